@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from aforo.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from aforo.llm.sentencepiece_codec import op1_sentencepiece
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
