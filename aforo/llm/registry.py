@@ -5,11 +5,13 @@ from __future__ import annotations
 from aforo.llm.chat_format import OP2_SQL, op2_chat_format
 from aforo.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from aforo.llm.sentencepiece_codec import op1_sentencepiece
+from aforo.llm.sharding import op10_sharding
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_chat_format": op2_chat_format,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLE_SQL = {
