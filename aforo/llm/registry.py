@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from aforo.llm.chat_format import OP2_SQL, op2_chat_format
 from aforo.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from aforo.llm.near_dedup import op5_near_dedup
 from aforo.llm.sentencepiece_codec import op1_sentencepiece
 from aforo.llm.sharding import op10_sharding
 from aforo.llm.toxicity import op7_toxicity
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_chat_format": op2_chat_format,
     "op4_url_filter": op4_url_filter,
+    "op5_near_dedup": op5_near_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_sharding": op10_sharding,
