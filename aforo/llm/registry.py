@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from aforo.llm.chat_format import OP2_SQL, op2_chat_format
+from aforo.llm.decontaminate import op3_decontaminate
 from aforo.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from aforo.llm.near_dedup import op5_near_dedup
 from aforo.llm.sentencepiece_codec import op1_sentencepiece
@@ -13,6 +14,7 @@ from aforo.llm.url_filter import op4_url_filter
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_chat_format": op2_chat_format,
+    "op3_decontaminate": op3_decontaminate,
     "op4_url_filter": op4_url_filter,
     "op5_near_dedup": op5_near_dedup,
     "op7_toxicity": op7_toxicity,
