@@ -6,6 +6,7 @@ from aforo.llm.chat_format import OP2_SQL, op2_chat_format
 from aforo.llm.decontaminate import op3_decontaminate
 from aforo.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from aforo.llm.near_dedup import op5_near_dedup
+from aforo.llm.pii import op9_pii
 from aforo.llm.sentencepiece_codec import op1_sentencepiece
 from aforo.llm.sharding import op10_sharding
 from aforo.llm.toxicity import op7_toxicity
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_near_dedup": op5_near_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_pii": op9_pii,
     "op10_sharding": op10_sharding,
 }
 
