@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds decoded at a time; a longer text comes alone.
@@ -132,6 +132,28 @@ def distinct_pairs(values: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray,
     return values[first], owners[first]
 
 
+def raw_hash(text: Column) -> Column:
+    """The hash by which decisions on rows find their rows again, beside the id; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id and text hash are in ``kept`` (doc_id, text_hash); of equal ones one."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("i"), raw_hash(F.col(text_col)).alias("h"))
+    keys = kept.select(F.coalesce("doc_id", F.lit(-1)).alias("i0"), F.col("doc_id").isNull().alias("none"), F.col("text_hash").alias("h"))
+    rows = rows.withColumns({"i0": F.coalesce("i", F.lit(-1)), "none": F.col("i").isNull()}).join(keys, ["i0", "none", "h"], "left_semi")
+    nth = F.row_number().over(Window.partitionBy("i0", "none", "h").orderBy("i0"))
+    return rows.withColumn("nth", nth).filter("nth = 1").select("row.*")
+
+
+def drop_rows(docs: DataFrame, dropped: DataFrame, most: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id and text hash are not in ``dropped``, which is broadcast up to ``most`` rows."""
+    bad = checkpoint(dropped.select("doc_id", "text_hash").distinct())
+    few = F.broadcast(bad) if bad.count() <= most else bad
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("i"), raw_hash(F.col(text_col)).alias("h"))
+    return rows.join(few, rows.i.eqNullSafe(few.doc_id) & (rows.h == few.text_hash), "left_anti").select("row.*")
+
+
 def smallest(*cols: str):
     """min() of rows by these columns, nulls last: a struct whose fields v0, v1, ... hold them."""
     parts = []

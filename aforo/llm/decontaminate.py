@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aforo.llm.common import mix64, slices, split_words
+from aforo.llm.common import mix64, raw_hash, slices, split_words
 
 #: Words in a window, share of an item's windows that must be found, words of a window that must be
 #: words, share of slots that may disagree, bits of the filter.
@@ -156,12 +156,12 @@ def _items(window: int):
 
 
 def _probe(widths: list[int], bits):
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("found", pa.list_(pa.string()))])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("h", pa.int64()), ("found", pa.list_(pa.string()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
         for piece in slices(batches, "text"):
-            rows, ids, made, out = piece.column("row").to_pylist(), piece.column("doc_id").to_pylist(), Canonical(piece.column("text")), []
+            rows, ids, texts, made, out = *(piece.column(c).to_pylist() for c in ("row", "doc_id", "text_hash")), Canonical(piece.column("text")), []
             for width in widths:
                 start, h, owner = made.windows(width)
                 place = h & np.uint64(FILTER_BITS - 1)
@@ -170,7 +170,7 @@ def _probe(widths: list[int], bits):
                 for s, x, o in zip(start[hit].tolist(), h[hit].view(np.int64).tolist(), owner[hit].tolist()):
                     if (o, x) not in seen:
                         seen.add((o, x))
-                        out.append((rows[o], ids[o], x, made.values(s, width)))
+                        out.append((rows[o], ids[o], texts[o], x, made.values(s, width)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
     return run
@@ -195,7 +195,7 @@ def _bit_table(items: DataFrame) -> np.ndarray:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, found: float = FOUND) -> DataFrame:
-    """(row, doc_id, item_id, n_windows, n_found, n_slots) for each item found in a row of ``docs``.
+    """(row, doc_id, text_hash, item_id, n_windows, n_found, n_slots) for each item found in a row of ``docs``.
 
     ``row`` tells rows of equal id apart; it numbers the rows as ``docs`` is read.
     """
@@ -204,19 +204,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = items.dropDuplicates(["item_id", "h"]).persist()
     widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most ``window`` numbers
     bits = spark.sparkContext.broadcast(_bit_table(items))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    hits = rows.mapInArrow(_probe(widths, bits), "row long, doc_id long, h long, found array<string>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), raw_hash(F.col(text_col)).alias("text_hash")).withColumn("row", F.monotonically_increasing_id())
+    hits = rows.mapInArrow(_probe(widths, bits), "row long, doc_id long, text_hash long, h long, found array<string>")
     sizes = items.groupBy(F.col("item_id").alias("of_item")).agg(F.count("*").alias("n_windows"))
-    pairs = hits.join(items, "h").groupBy("row", "doc_id", "item_id").agg(
+    pairs = hits.join(items, "h").groupBy("row", "doc_id", "text_hash", "item_id").agg(
         F.count("*").alias("n_found"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("values", "found")))).alias("slots")
     )
     slots = F.size("slots")
     values = F.size(F.array_distinct(F.transform("slots", lambda s: s["values"])))
     agree = (slots - values) <= slots * DISAGREE
-    pairs = pairs.join(sizes, F.col("item_id").eqNullSafe(F.col("of_item"))).select("row", "doc_id", "item_id", "n_windows", "n_found", values.alias("n_slots"), agree.alias("agree"))
+    pairs = pairs.join(sizes, F.col("item_id").eqNullSafe(F.col("of_item"))).select("row", "doc_id", "text_hash", "item_id", "n_windows", "n_found", values.alias("n_slots"), agree.alias("agree"))
     return pairs.filter((F.col("n_found") >= F.col("n_windows") * found) & F.col("agree")).drop("agree")
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return contaminated(docs, items).drop("row")
+    return contaminated(docs, items).drop("row", "text_hash")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aforo.llm.common import checkpoint, mix64, slices, smallest
+from aforo.llm.common import checkpoint, mix64, raw_hash, slices, smallest
 
 #: Chunk sizes in bytes: least, about the mean beyond the least, most.
 LEAST, MEAN, MOST = 512, 2048, 16384
@@ -64,7 +64,7 @@ def cuts(candidates: np.ndarray, start: int, end: int) -> list[int]:
 
 
 def _recipes(key_bits: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("text_sha256", pa.string()), ("recipe", pa.list_(pa.int64())), ("p1", pa.list_(pa.int64())), ("p2", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("text_sha256", pa.string()), ("recipe", pa.list_(pa.int64())), ("p1", pa.list_(pa.int64())), ("p2", pa.list_(pa.int64()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop, signed = 64 - key_bits, np.int64
@@ -88,28 +88,29 @@ def _recipes(key_bits: int):
                 p1.append(proof[:, 0])
                 p2.append(proof[:, 1])
                 start = end
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(shas), *(pa.array(x, pa.list_(pa.int64())) for x in (recipe, p1, p2))], schema=schema)
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text_hash"), pa.array(shas), *(pa.array(x, pa.list_(pa.int64())) for x in (recipe, p1, p2))], schema=schema)
 
     return run
 
 
 def chunk_recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64) -> DataFrame:
-    """doc_id, text_sha256 of the normalised text, recipe (array of verified identifiers), row_id.
+    """doc_id, text_hash of the raw text, text_sha256 of the normalised one, recipe (verified identifiers), row_id.
 
     ``key_bits`` under 64 makes identifiers collide, for tests of the verification.
     """
-    made = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(
-        _recipes(key_bits), "doc_id long, text_sha256 string, recipe array<long>, p1 array<long>, p2 array<long>"
+    text = F.col(text_col)
+    made = docs.select(F.col(id_col).cast("long").alias("doc_id"), raw_hash(text).alias("text_hash"), text.cast("binary").alias("text")).mapInArrow(
+        _recipes(key_bits), "doc_id long, text_hash long, text_sha256 string, recipe array<long>, p1 array<long>, p2 array<long>"
     )
     made = checkpoint(made.withColumn("row_id", F.monotonically_increasing_id()))
     chunks = made.select(F.explode(F.arrays_zip("recipe", "p1", "p2")).alias("c")).select("c.*")
     clash = chunks.groupBy("recipe").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("p1", "p2") for f in (F.min, F.max))).filter("min_p1 <> max_p1 OR min_p2 <> max_p2")
     verified = F.concat("p1", "p2") if clash.take(1) else F.col("recipe")
-    return made.select("doc_id", "row_id", "text_sha256", verified.alias("recipe"))
+    return made.select("doc_id", "row_id", "text_hash", "text_sha256", verified.alias("recipe"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, row_id.
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, text_hash.
 
     Equal recipes are equal texts; of each group the row with the smallest id stays. A group is
     counted with map-side aggregation, so that its size costs no task more than another.
@@ -117,13 +118,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = chunk_recipes(docs, id_col, text_col, key_bits)
     groups = rows.groupBy("recipe").agg(smallest("doc_id", "row_id").alias("first"), F.count("*").alias("group_size"))
     return rows.join(groups, "recipe").select(
-        "doc_id", F.col("first.v0").alias("keep_id"), "group_size", (F.col("row_id") == F.col("first.v1")).alias("kept"), "text_sha256", "row_id"
+        "doc_id", F.col("first.v0").alias("keep_id"), "group_size", (F.col("row_id") == F.col("first.v1")).alias("kept"), "text_sha256", "text_hash"
     )
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return exact_dedup(docs).drop("row_id")
+    return exact_dedup(docs).drop("text_hash")
 
 
 OP8_SQL = r"""

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aforo.llm.common import checkpoint, distinct_pairs, hash_words, mix64, shingles, slices, smallest, split_words
+from aforo.llm.common import checkpoint, distinct_pairs, hash_words, mix64, raw_hash, shingles, slices, smallest, split_words
 from aforo.llm.graph import components
 
 #: Rows in a band, bands; similarity as a fraction.
@@ -205,9 +205,13 @@ def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, shingle: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, text_hash, stays.
+
+    ``kept`` says that the row's id names its component; ``stays`` is true for one row of each
+    component (and for each row without words), told by id and text hash.
+    """
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    read = read.withColumn("text_hash", F.xxhash64("text"))
+    read = read.withColumn("text_hash", raw_hash(F.col("text")))
     signed = checkpoint(read.mapInArrow(_sign(shingle), "doc_id long, text_hash long, n long, k1 long, k2 long, bands array<long>"))
     nodes = signed.filter("n > 0").groupBy("k1", "k2").agg(smallest("doc_id", "text_hash").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("n").alias("n"))
     nodes = checkpoint(nodes.withColumn("id", F.monotonically_increasing_id()))
@@ -242,13 +246,16 @@ def near_dedup(docs: DataFrame, shingle: int = 2, id_col: str = "doc_id", text_c
 
     links = star.filter("linked").select(F.col("c").alias("u"), F.col("y").alias("v")).unionByName(more)
     roots = components(links)
-    named = nodes.select("id", "k1", "k2", F.col("rep.v0").alias("rep_id")).join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
-    least = named.groupBy("root").agg(F.min("rep_id").alias("component_id"))
-    named = named.join(least, "root").select("k1", "k2", "component_id")
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2").join(named, ["k1", "k2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = nodes.select("id", "k1", "k2", "rep").join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
+    least = named.groupBy("root").agg(F.min("rep").alias("first"))
+    named = named.select("k1", "k2", "root").join(least, "root").select("k1", "k2", "first")
+    out = signed.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "k1", "k2").join(named, ["k1", "k2"], "left")
+    linked = F.col("n_shingles") > 0
+    component = F.when(linked, F.col("first.v0")).otherwise(F.col("doc_id"))
+    kept = F.col("doc_id").eqNullSafe(component)
+    stays = kept & (~linked | (F.col("text_hash") == F.col("first.v1")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_hash", stays.alias("stays"))
 
 
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash", "stays")
