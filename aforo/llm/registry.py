@@ -9,6 +9,7 @@ from aforo.llm.near_dedup import op5_near_dedup
 from aforo.llm.pii import op9_pii
 from aforo.llm.sentencepiece_codec import op1_sentencepiece
 from aforo.llm.sharding import op10_sharding
+from aforo.llm.suffix_dedup import op6_suffix_dedup
 from aforo.llm.toxicity import op7_toxicity
 from aforo.llm.url_filter import op4_url_filter
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_url_filter": op4_url_filter,
     "op5_near_dedup": op5_near_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_pii": op9_pii,
