@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from aforo.plans import monthly
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _module in (monthly,):
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL
