@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from aforo.plans import flows, monthly
+from aforo.plans import ensemble, flows, monthly
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (monthly, flows):
+for _module in (monthly, flows, ensemble):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
