@@ -16,19 +16,19 @@ from __future__ import annotations
 from functools import cache
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aforo.llm.common import LOWER, UPPER
 
 #: Buckets for hashed n-grams, their lengths, ridge penalty, probability from which a url is blocked.
-BUCKETS, LENGTHS, PENALTY, THRESHOLD = 2048, (3, 4, 5), 0.0001, 0.5
+BUCKETS, LENGTHS, PENALTY, THRESHOLD = 8192, (3, 4, 5), 0.0001, 0.5
 
 #: (verdict, rule): host and path of a rule as one string, parted by its first slash.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
-#: The small labelled table: hosts that are unwanted (1) and ordinary (0), each on several paths.
+#: The small labelled table: hosts that are unwanted (1) and ordinary (0).
 _UNWANTED = """
 cheap-meds discount-pills pills-online buy-viagra generic-pills pharmacy-cheap cheap-watches replica-cheap online-casino
 casino-bonus royal-casino win-casino poker-win jackpot-win lucky-slots free-spins free-bets sport-bets betting-tips bets-online
@@ -43,17 +43,13 @@ travel-notes railway harbour orchestra the-times herald gazette tribune research
 tradition interest another northern southern western eastern theorem anthem rethink inland outland handmade standing listing
 reading thinking writing thread throne third thistle toner tiredness enterprise andes hound ounce leather weather
 """.split()
-_PATHS = ("/", "/en/17", "/fr/203.html", "/de/58/", "/es/911", "/index.html", "/2024/05/story")
-_ENDS = (".example.com", ".example.net", ".example.org", ".com", ".net", ".org")
-_HEADS = ("", "www.", "blog.", "m.")
+#: Every host stands in each of these, so that only hosts tell the two kinds apart.
+_FRAMES = ("https://www.{}.example.com/en/17", "http://{}.example.net/de/58.html", "https://blog.{}.example.org/fr/203/", "http://m.{}.com/es/911", "https://{}.org/2024/05/story", "http://{}.net/")
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """(url, label): the default training table, a few hundred rows."""
-    rows = []
-    for label, names in ((1.0, _UNWANTED), (0.0, _ORDINARY)):
-        for i, name in enumerate(names):
-            rows += [(f"https://{_HEADS[(i + j) % 4]}{name}{_ENDS[(i + j) % 6]}{_PATHS[(i + 3 * j) % 7]}", label) for j in range(4)]
+    rows = [(frame.format(name), label) for label, names in ((1.0, _UNWANTED), (0.0, _ORDINARY)) for name in names for frame in _FRAMES]
     return spark.createDataFrame(rows, "url string, label double")
 
 
@@ -64,7 +60,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def ngram_buckets(host: Column, path: Column, buckets: int = BUCKETS) -> Column:
-    """Distinct buckets of the character n-grams of ``^host$`` and of the path."""
+    """Distinct buckets of the character n-grams of ``^host$`` and of the path, any digit taken for 0."""
+    path = F.translate(path, "123456789", "000000000")
     parts = []
     for mark, text in (("h", F.concat(F.lit("^"), host, F.lit("$"))), ("p", path)):
         for n in LENGTHS:
@@ -76,9 +73,10 @@ def ngram_buckets(host: Column, path: Column, buckets: int = BUCKETS) -> Column:
 def train(labelled: DataFrame, buckets: int = BUCKETS) -> tuple[list[float], float]:
     """Weights and intercept from a labelled table of (url, label); the table is small by contract."""
     host, path = host_and_path(F.col("url"))
-    at = labelled.select("label", ngram_buckets(host, path, buckets).alias("at"))
-    ones = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.when(F.array_contains("at", i), 1.0 / F.sqrt(F.size("at"))).otherwise(0.0))
-    rows = at.select("label", array_to_vector(ones).alias("features")).coalesce(1)
+    at = labelled.select("label", ngram_buckets(host, path, buckets).cast("array<string>").alias("at")).coalesce(1)
+    vectors = CountVectorizerModel.from_vocabulary([str(i) for i in range(buckets)], inputCol="at", outputCol="counts")
+    vectors.setBinary(True)
+    rows = Normalizer(inputCol="counts", outputCol="features").transform(vectors.transform(at))
     model = LogisticRegression(regParam=PENALTY, maxIter=60, standardization=False).fit(rows)
     return [float(x) for x in model.coefficients.toArray()], float(model.intercept)
 
