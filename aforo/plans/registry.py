@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from aforo.plans import ensemble, flows, monthly
+from aforo.plans import ensemble, flows, monthly, spatial
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (monthly, flows, ensemble):
+for _module in (monthly, flows, ensemble, spatial):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
