@@ -33,7 +33,7 @@ from aforo.llm.common import slices
 
 MARK = "▁"
 #: Stretches a worker's cache holds at most, and the longest it keeps.
-CACHED, CACHED_CHARS = 400_000, 64
+CACHED, CACHED_CHARS = 150_000, 64
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -273,17 +273,16 @@ def read_model(path: str | None = None) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False) -> DataFrame:
-    """One row per row: id, n_tokens, ids_sha256, decoded_sha256; also ids and decoded unless ``digests_only``.
+def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """One row per row: id, n_tokens, ids_sha256, decoded_sha256, and of ids and decoded what ``extra`` names.
 
     The model (its size is fixed by its vocabulary) is broadcast once. Rows go through in slices of
     bounded size and no shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-    if not digests_only:
-        fields += [("ids", pa.list_(pa.int32())), ("decoded", pa.string())]
-    schema = pa.schema(fields)
+    more = {"ids": pa.list_(pa.int32()), "decoded": pa.string()}
+    schema = pa.schema(fields + [(x, more[x]) for x in extra])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value)
@@ -298,12 +297,12 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
                 n.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
-                if not digests_only:
+                if "ids" in extra:
                     all_ids.append(np.frombuffer(ids, "<i4"))
+                if "decoded" in extra:
                     texts.append(back)
             cols = [piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            if not digests_only:
-                cols += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
+            cols += [pa.array({"ids": all_ids, "decoded": texts}[x], more[x]) for x in extra]
             yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     names = {"int64": "long", "string": "string", "list<item: int32>": "array<int>", "list<element: int32>": "array<int>"}
@@ -312,4 +311,4 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
 
 
 def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), read_model(), digests_only=True)
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), read_model(), extra=())
