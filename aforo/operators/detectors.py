@@ -1,0 +1,240 @@
+"""Further detectors, explanations, survival, feedback, folds and disaggregation."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def water_balance(injected: DataFrame, billed: DataFrame, limit: float = 2.0) -> DataFrame:
+    """Injected over billed volume by (barrio, fecha) present in both; per barrio mean, deviation, total share lost, flag."""
+    both = injected.join(billed, ["barrio", "fecha"]).withColumn("ratio", F.when(F.col("billed") > 0, F.col("injected") / F.col("billed")))
+    out = both.groupBy("barrio").agg(F.count("ratio").alias("n"), F.avg("ratio").alias("avg_ratio"), F.stddev_samp("ratio").alias("std_ratio"), F.sum("injected").alias("i"), F.sum("billed").alias("b"))
+    return out.withColumns({"total_anr_pct": F.when(F.col("i") > 0, (F.col("i") - F.col("b")) / F.col("i") * 100).otherwise(0.0), "is_anomaly": F.col("avg_ratio") > limit}).drop("i", "b")
+
+
+def care_level(score: Column, age: Column, alone: Column) -> Column:
+    return F.when((score > 0.7) & (age >= 75) & alone, "CRITICO").when((score > 0.5) & (age >= 70) & alone, "ALTO").when((score > 0.3) & (age >= 65), "VIGILANCIA").otherwise("NORMAL")
+
+
+def benchmark_flag(ratio: Column) -> Column:
+    return F.when(ratio > 2, "MUY_ALTO").when(ratio > 1.5, "ALTO").when(ratio < 0.4, "MUY_BAJO").when(ratio < 0.6, "BAJO").otherwise("NORMAL")
+
+
+def severity(score: Column) -> Column:
+    """Of an isolation forest's score, which is negative."""
+    return F.when(score < -0.5, "CRITICAL").when(score < -0.3, "HIGH").when(score < -0.1, "MEDIUM").otherwise("NORMAL")
+
+
+def risk_sum(df: DataFrame, high: list[str], low: list[str]) -> DataFrame:
+    """Sum of factors scaled to 0..1 over all rows (``low``: small is risky); a constant factor counts 0."""
+    w = Window.partitionBy()
+
+    def scaled(c: str) -> Column:
+        lo, hi = F.min(c).over(w), F.max(c).over(w)
+        return F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(0.0)
+
+    parts = [scaled(c) for c in high] + [F.when(F.max(c).over(w) > F.min(c).over(w), 1 - scaled(c)).otherwise(0.0) for c in low]
+    return df.withColumn("risk", reduce(lambda a, b: a + b, parts))
+
+
+def explain_z(df: DataFrame, features: list[str], by: str, least: float = 1.5, top: int = 3) -> DataFrame:
+    """The ``top`` features furthest (over ``least`` deviations) from their mean within ``by``, as text."""
+    w = Window.partitionBy(by)
+    z = lambda c: F.when(F.stddev_samp(c).over(w) > 0, (F.col(c) - F.avg(c).over(w)) / F.stddev_samp(c).over(w)).otherwise(0.0)
+    df = df.withColumns({f"_z_{c}": z(c) for c in features})
+    far = F.filter(F.array(*(F.struct((-F.abs(f"_z_{c}")).alias("o"), F.lit(c).alias("f"), F.when(F.col(f"_z_{c}") > 0, "+").otherwise("-").alias("s")) for c in features)), lambda s: s["o"] < -least)
+    best = F.slice(F.array_sort(far), 1, top)
+    return df.withColumn("why", F.array_join(F.transform(best, lambda s: F.concat(s["f"], s["s"])), ";")).drop(*(f"_z_{c}" for c in features))
+
+
+def counterfactual(df: DataFrame, features: list[str], normal: str) -> DataFrame:
+    """For rows that are not normal: the changes that bring each feature to the 5 to 95 % range of normal rows."""
+    bounds = df.filter(F.col(normal)).agg(*(F.percentile(c, F.lit(p)).alias(f"{n}_{c}") for c in features for n, p in (("lo", 0.05), ("hi", 0.95))))
+    rows = df.filter(~F.col(normal)).crossJoin(F.broadcast(bounds))  # bounds are one row
+    change = {f"change_{c}": F.when(F.col(c) < F.col(f"lo_{c}"), F.col(f"lo_{c}") - F.col(c)).when(F.col(c) > F.col(f"hi_{c}"), F.col(f"hi_{c}") - F.col(c)).otherwise(0.0) for c in features}
+    rows = rows.withColumns(change)
+    n = reduce(lambda a, b: a + b, ((F.col(f"change_{c}") != 0).cast("int") for c in features))
+    return rows.withColumn("n_changes", n).withColumn("confidence", F.when(F.col("n_changes") == 0, "NONE").when(F.col("n_changes") == 1, "HIGH").when(F.col("n_changes") <= 3, "MEDIUM").otherwise("LOW"))
+
+
+def adjust_threshold(labels: DataFrame, key: str, threshold: float = -0.1, least: int = 10) -> DataFrame:
+    """New threshold per key from feedback: many false alarms lower it, few raise it, within -0.5 and -0.02."""
+    g = labels.groupBy(key).agg(F.count("*").alias("n"), F.avg((F.col("label") == "FALSE_POSITIVE").cast("double")).alias("fp"))
+    t = F.when(F.col("n") < least, threshold).when(F.col("fp") > 0.5, F.greatest(threshold - 0.05 * (F.col("fp") - 0.3), F.lit(-0.5))).when(F.col("fp") < 0.2, F.least(threshold + 0.02 * (0.3 - F.col("fp")), F.lit(-0.02))).otherwise(threshold)
+    return g.withColumn("threshold", t)
+
+
+def kaplan_meier(df: DataFrame, by: str, time: str, event: str) -> DataFrame:
+    """Survival per group and distinct time: running product of 1 - deaths / at risk; 0 from the first time all die."""
+    e = F.col(event).cast("int")
+    g = df.groupBy(by, F.col(time).alias("t")).agg(F.sum(e).alias("d"), F.count("*").alias("c"))
+    w = Window.partitionBy(by).orderBy("t")
+    g = g.withColumn("at_risk", F.sum("c").over(w.rowsBetween(0, Window.unboundedFollowing)))
+    left = 1 - F.col("d") / F.col("at_risk")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    g = g.withColumns({"_log": F.sum(F.when(left > 0, F.log(left)).otherwise(0.0)).over(run), "_end": F.max((left <= 0).cast("int")).over(run)})
+    return g.withColumn("survival", F.when(F.col("_end") == 1, 0.0).otherwise(F.exp("_log"))).select(by, "t", "at_risk", "d", "survival")
+
+
+def combine_scores(df: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """Weighted mean of the scores that are there, how many there are."""
+    total = reduce(lambda a, b: a + b, (F.when(F.col(c).isNotNull(), w).otherwise(0.0) for c, w in weights.items()))
+    score = reduce(lambda a, b: a + b, (F.coalesce(F.col(c) * w, F.lit(0.0)) for c, w in weights.items()))
+    n = reduce(lambda a, b: a + b, (F.col(c).isNotNull().cast("int") for c in weights))
+    return df.withColumns({"combined": F.when(total > 0, score / total).otherwise(0.0), "n_techniques": n})
+
+
+def purged_folds(months: DataFrame, train: int, test: int, gap: int, step: int) -> DataFrame:
+    """Walk-forward folds over distinct months (column fecha): fold, fecha, role (train, gap, test)."""
+    m = months.distinct().withColumn("i", F.row_number().over(Window.orderBy("fecha")) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
+    last = F.floor((F.col("n") - train - gap - test) / step)
+    m = m.filter(last >= 0).withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    at = F.col("i") - F.col("fold") * step
+    role = F.when((at >= 0) & (at < train), "train").when((at >= train) & (at < train + gap), "gap").when((at >= train + gap) & (at < train + gap + test), "test")
+    return m.select(F.col("fold").cast("int").alias("fold"), "fecha", role.alias("role")).filter("role IS NOT NULL")
+
+
+def disaggregate(monthly: DataFrame, curve: list[float], weekday: list[float]) -> DataFrame:
+    """Hours of each month with its total dealt out by an hourly curve and weekday factors. monthly: key, fecha, total."""
+    start = F.trunc("fecha", "month")
+    hours = F.sequence(start.cast("timestamp_ntz"), F.add_months(start, 1).cast("timestamp_ntz") - F.expr("interval 1 hour"), F.expr("interval 1 hour"))
+    rows = monthly.withColumn("ts", F.explode(hours))
+    w = F.array(*map(F.lit, curve))[F.hour("ts")] * F.array(*map(F.lit, weekday))[F.weekday("ts")]
+    rows = rows.withColumn("_w", w)
+    return rows.select("key", "ts", (F.col("total") * F.col("_w") / F.sum("_w").over(Window.partitionBy("key", "fecha"))).alias("litros"))
+
+
+def rolling_wasserstein(df: DataFrame, key: str, t: str, x: str, size: int = 6) -> DataFrame:
+    """Distance between the ``size`` values up to here and the ``size`` before them (equal sizes: mean gap of order statistics)."""
+    w = Window.partitionBy(key).orderBy(t)
+    now, before = F.array_sort(F.collect_list(x).over(w.rowsBetween(-(size - 1), 0))), F.array_sort(F.collect_list(x).over(w.rowsBetween(-(2 * size - 1), -size)))
+    df = df.withColumns({"_a": now, "_b": before}).filter(F.size("_b") == size)
+    return df.withColumn("distance", F.aggregate(F.zip_with("_a", "_b", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, v: s + v) / size).drop("_a", "_b")
+
+
+def seasonal_naive(df: DataFrame, k: float = 2.0) -> DataFrame:
+    """Forecast of a month as the median of its calendar month in the years before; anomaly beyond k deviations of those."""
+    w = Window.partitionBy("barrio_key", F.month("fecha")).orderBy("fecha").rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumns({"forecast": F.percentile("cpc", F.lit(0.5)).over(w), "spread": F.stddev_pop("cpc").over(w), "n_before": F.count("cpc").over(w)})
+    return df.withColumn("is_anomaly", F.when(F.col("n_before") >= 2, (F.col("spread") > 0) & (F.abs(F.col("cpc") - F.col("forecast")) > k * F.col("spread"))))
+
+
+def permutation_p(df: DataFrame, a: str, b: str, key: str, rounds: int = 99, seed: str = "s") -> DataFrame:
+    """Correlation of a and b and its p-value over permutations of b, each the order of md5(seed-round-key)."""
+    rows = df.select(key, a, b)
+    r = rows.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    r = r.withColumns({"i": F.row_number().over(Window.partitionBy("round").orderBy(key)), "j": F.row_number().over(Window.partitionBy("round").orderBy(F.md5(F.concat_ws("-", F.lit(seed), "round", F.col(key).cast("string"))), key))})
+    mixed = r.select("round", "i", a).join(r.select("round", F.col("j").alias("i"), b), ["round", "i"]).groupBy("round").agg(F.corr(a, b).alias("c"))
+    real = rows.agg(F.corr(a, b).alias("r"))
+    both = mixed.crossJoin(F.broadcast(real))  # one row
+    return both.agg(F.max("r").alias("r"), ((F.count_if(F.abs("c") >= F.abs("r")) + 1) / (F.count("*") + 1)).alias("p_value"))
+
+
+def isolation_forest(df: DataFrame, key: list[str], features: list[str], trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
+    """Isolation forest: trees from seeded samples of at most ``sample`` rows each, scores -2^(-depth / c), lower is stranger.
+
+    Fitting needs ``trees * sample`` rows in all, the documented bound; they are drawn by hash and sent to the
+    driver. Scoring is Arrow-batched over the broadcast trees, without shuffle.
+    """
+    keyed = df.withColumn("_h", F.xxhash64(F.lit(seed), *key, *features))
+    pool = keyed.select("_h", *features).orderBy("_h").limit(trees * sample).toPandas()[features].to_numpy(float)
+    rng, forest = np.random.default_rng(seed), []
+    size = min(sample, len(pool))
+    limit = int(np.ceil(np.log2(max(size, 2))))
+
+    def c(n: float) -> float:
+        return 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2)
+
+    def grow(x: np.ndarray, depth: int):
+        spread = x.max(0) - x.min(0) if len(x) else np.zeros(len(features))
+        if depth >= limit or len(x) <= 1 or not spread.any():
+            return depth + c(len(x))
+        f = rng.choice(np.flatnonzero(spread))
+        cut = rng.uniform(x[:, f].min(), x[:, f].max())
+        return f, cut, grow(x[x[:, f] < cut], depth + 1), grow(x[x[:, f] >= cut], depth + 1)
+
+    for _ in range(trees if size else 0):
+        forest.append(grow(pool[rng.choice(len(pool), size, replace=False)], 0))
+    shared, norm = df.sparkSession.sparkContext.broadcast(forest), max(c(size), 1e-9)
+
+    def depth(node, x: np.ndarray, out: np.ndarray, at: np.ndarray) -> None:
+        if not isinstance(node, tuple):
+            out[at] += node
+            return
+        f, cut, low, high = node
+        left = x[at, f] < cut
+        depth(low, x, out, at[left])
+        depth(high, x, out, at[~left])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x, total = b[features].to_numpy(float), np.zeros(len(b))
+            for tree in shared.value:
+                depth(tree, x, total, np.arange(len(b)))
+            yield b[key].assign(score=-(2.0 ** (-(total / max(len(shared.value), 1)) / norm)))
+
+    return df.select(*key, *features).mapInPandas(run, df.select(*key).withColumn("score", F.lit(0.0)).schema)
+
+
+def pca_errors(df: DataFrame, key: list[str], features: list[str], k: int) -> DataFrame:
+    """Squared error of rebuilding the standardised features from ``k`` principal components (a linear autoencoder)."""
+    from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    x = VectorAssembler(inputCols=features, outputCol="_v").transform(df.select(*key, *features))
+    x = StandardScaler(withMean=True, inputCol="_v", outputCol="_s").fit(x).transform(x)
+    model = PCA(k=k, inputCol="_s", outputCol="_p").fit(x)
+    pc = model.pc.toArray().tolist()  # features by components
+    x = model.transform(x).withColumns({"s": vector_to_array("_s"), "p": vector_to_array("_p")})
+    back = F.array(*(reduce(lambda a, b: a + b, (F.col("p")[j] * pc[i][j] for j in range(k))) for i in range(len(features))))
+    return x.select(*key, F.aggregate(F.zip_with("s", back, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b).alias("error"))
+
+
+def persistence_h0(df: DataFrame, key: str, t: str, x: str) -> DataFrame:
+    """H0 persistence of each series' delay embedding (3 values): total, greatest and mean length of the merge edges.
+
+    The minimum spanning tree needs a series' points together: a series is one group (hundreds of months at
+    most), groups run in parallel.
+    """
+
+    def mst(g: pd.DataFrame) -> pd.DataFrame:
+        v = g.sort_values(t)[x].to_numpy(float)
+        p = np.stack([v[:-2], v[1:-1], v[2:]], 1) if len(v) > 2 else np.zeros((0, 3))
+        deaths, best, left = [], np.full(len(p), np.inf), np.ones(len(p), bool)
+        at = 0
+        for _ in range(len(p) - 1):
+            left[at] = False
+            best = np.minimum(best, np.sqrt(((p - p[at]) ** 2).sum(1)))
+            at = int(np.where(left, best, np.inf).argmin())
+            deaths.append(best[at])
+        d = sorted(deaths)[:-1]  # the last merge is dropped
+        return pd.DataFrame([(g[key].iloc[0], float(sum(d)), float(max(d, default=0)), float(np.mean(d)) if d else 0.0)], columns=[key, "total", "greatest", "mean"])
+
+    return df.select(key, t, x).groupBy(key).applyInPandas(mst, f"{key} string, total double, greatest double, mean double")
+
+
+def bocpd(df: DataFrame, key: str, t: str, x: str, hazard: float = 1 / 12, longest: int = 42) -> DataFrame:
+    """Bayesian online change points: probability that a run starts at each row, run lengths cut at ``longest``."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(t)
+        v = g[x].to_numpy(float)
+        z = (v - v.mean()) / v.std() if v.std() > 0 else np.zeros(len(v))
+        p, n, s, out = np.ones(1), np.zeros(1), np.zeros(1), []
+        for value in z:
+            var = 1 + 1 / (n + 1)
+            like = np.exp(-0.5 * (value - s / (n + 1)) ** 2 / var) / np.sqrt(2 * np.pi * var)
+            joint = p * like
+            grown = np.concatenate([[joint.sum() * hazard], joint * (1 - hazard)])[: longest + 1]
+            p = grown / max(grown.sum(), 1e-300)
+            n, s = np.concatenate([[0], n + 1])[: longest + 1], np.concatenate([[0], s + value])[: longest + 1]
+            out.append(float(p[0] if len(p) == 1 else p[:2].sum()))
+        return g[[key, t]].assign(p_change=out)
+
+    return df.select(key, t, x).groupBy(key).applyInPandas(run, df.select(key, t).withColumn("p_change", F.lit(0.0)).schema)
