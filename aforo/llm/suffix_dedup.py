@@ -11,7 +11,8 @@ from one of its suffixes, and confirmed stretches of a text are united.
 
 A suffix that its neighbour doesn't confirm is compared with the nearest ``NEAR`` to both sides, as its
 longest match to the right need not be the longest overall. A sorted run is
-streamed: memory is constant, whatever the number of copies of a passage. What is broadcast is a bit table
+streamed: memory is constant, whatever the number of copies of a passage. Before the shuffle the
+suffixes of a slice that have the same words around them become one row. What is broadcast is a bit table
 of fixed size; when it fills up, more suffixes are sorted and results stay the same.
 
 Words are compared without regard to the case of A to Z and to white space. Nulls: a null text is
@@ -99,10 +100,12 @@ def _bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at].astype(np.int32))], names=["at", "bits"])
 
 
-_SUFFIX = pa.schema([("h", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("ahead", pa.binary()), ("behind", pa.binary())])
+_SUFFIX = pa.schema([("h", pa.int64()), ("ahead", pa.binary()), ("behind", pa.binary()), ("rows", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
 
 
 def _suffixes(bits):
+    """Suffixes that pass the filter; those of a slice with the same words around them are one row with all places."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
         for piece in slices(batches, "text"):
@@ -116,10 +119,15 @@ def _suffixes(bits):
             raw, turned, n = short.tobytes(), short[::-1].tobytes(), len(short)
             begin, end = offsets[owner], offsets[owner + 1]
             right, left = np.minimum(end, at + LEAST), np.maximum(begin, at - SPREAD + 1)
-            ahead = [raw[4 * a : 4 * b] for a, b in zip(at.tolist(), right.tolist())]
-            behind = [turned[4 * (n - a) : 4 * (n - b)] for a, b in zip(at.tolist(), left.tolist())]
-            rows, ids = (piece.column(c).take(pa.array(owner)) for c in ("row", "doc_id"))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), rows, ids, pa.array((at - begin).astype(np.int32)), pa.array(ahead, pa.binary()), pa.array(behind, pa.binary())], schema=_SUFFIX)
+            rows, ids = (piece.column(c).to_pylist() for c in ("row", "doc_id"))
+            same: dict[tuple[int, bytes, bytes], tuple[list, list, list]] = {}
+            for x, a, r, l, o, p in zip(h.view(np.int64).tolist(), at.tolist(), right.tolist(), left.tolist(), owner.tolist(), (at - begin).tolist()):
+                places = same.setdefault((x, raw[4 * a : 4 * r], turned[4 * (n - a) : 4 * (n - l)]), ([], [], []))
+                places[0].append(rows[o])
+                places[1].append(ids[o])
+                places[2].append(p)
+            cols = [[k[i] for k in same] for i in range(3)] + [[v[i] for v in same.values()] for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SUFFIX)], schema=_SUFFIX)
 
     return run
 
@@ -138,17 +146,23 @@ def _neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From suffixes sorted by (h, ahead, behind): (row, doc_id, start, end) of confirmed stretches."""
     group, near, waiting = None, deque(maxlen=NEAR), deque(maxlen=NEAR)
 
+    def confirm(x: list, left: int, right: int) -> None:
+        out.extend((row, doc, at - left, at + right) for row, doc, at in zip(x[2], x[3], x[4]))
+        x[5] = True
+
     def match(x: list, y: list) -> None:
-        right, left = common_words(x[3], y[3]), common_words(x[4], y[4])
+        right, left = common_words(x[0], y[0]), common_words(x[1], y[1])
         if left + right >= LEAST:
-            for z in (x, y):
-                out.append((z[0], z[1], z[2] - left, z[2] + right))
-                z[5] = True
+            confirm(x, left, right)
+            confirm(y, left, right)
 
     for batch in batches:
         out: list[tuple] = []
         for h, *row in zip(*(c.to_pylist() for c in batch.columns)):
             row.append(False)
+            words = len(row[0]) // 4, len(row[1]) // 4
+            if len(row[2]) > 1 and sum(words) >= LEAST:
+                confirm(row, words[1], words[0])
             if h != group:
                 group = h
                 near.clear()
@@ -190,8 +204,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     table = np.zeros(FILTER_BITS // 8, np.uint8)
     table[got.column("at").to_numpy()] = got.column("bits").to_numpy().astype(np.uint8)
     bits = docs.sparkSession.sparkContext.broadcast(table)
-    suffixes = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_suffixes(bits), "h long, row long, doc_id long, at int, ahead binary, behind binary")
-    order = suffixes.repartition("h").sortWithinPartitions("h", "ahead", "behind").select("h", "row", "doc_id", "at", "ahead", "behind")
+    suffixes = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_suffixes(bits), "h long, ahead binary, behind binary, rows array<long>, ids array<long>, at array<int>")
+    order = suffixes.repartition("h").sortWithinPartitions("h", "ahead", "behind")
     found = order.mapInArrow(_neighbours, "row long, doc_id long, start int, end int")
     spans = found.groupBy("row", "doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     return spans.select("doc_id", F.explode(F.expr(_UNITE)).alias("s")).select("doc_id", F.col("s.start").alias("start_word"), F.col("s.end").alias("end_word"), (F.col("s.end") - F.col("s.start")).alias("n_words"))
