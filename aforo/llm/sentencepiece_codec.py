@@ -33,7 +33,7 @@ from aforo.llm.common import slices
 
 MARK = "▁"
 #: Stretches a worker's cache holds at most, and the longest it keeps.
-CACHED, CACHED_CHARS = 150_000, 64
+CACHED, CACHED_CHARS = 350_000, 64
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
