@@ -18,19 +18,6 @@ def water_balance(injected: DataFrame, billed: DataFrame, limit: float = 2.0) ->
     return out.withColumns({"total_anr_pct": F.when(F.col("i") > 0, (F.col("i") - F.col("b")) / F.col("i") * 100).otherwise(0.0), "is_anomaly": F.col("avg_ratio") > limit}).drop("i", "b")
 
 
-def care_level(score: Column, age: Column, alone: Column) -> Column:
-    return F.when((score > 0.7) & (age >= 75) & alone, "CRITICO").when((score > 0.5) & (age >= 70) & alone, "ALTO").when((score > 0.3) & (age >= 65), "VIGILANCIA").otherwise("NORMAL")
-
-
-def benchmark_flag(ratio: Column) -> Column:
-    return F.when(ratio > 2, "MUY_ALTO").when(ratio > 1.5, "ALTO").when(ratio < 0.4, "MUY_BAJO").when(ratio < 0.6, "BAJO").otherwise("NORMAL")
-
-
-def severity(score: Column) -> Column:
-    """Of an isolation forest's score, which is negative."""
-    return F.when(score < -0.5, "CRITICAL").when(score < -0.3, "HIGH").when(score < -0.1, "MEDIUM").otherwise("NORMAL")
-
-
 def risk_sum(df: DataFrame, high: list[str], low: list[str]) -> DataFrame:
     """Sum of factors scaled to 0..1 over all rows (``low``: small is risky); a constant factor counts 0."""
     w = Window.partitionBy()

@@ -5,19 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEVELS = {"CRITICO": 0, "ALTO": 1, "VIGILANCIA": 2}
-
-
 def consensus_counts(df: DataFrame, most: int) -> DataFrame:
     """How many rows have at least 1, 2, ... detectors."""
     counts = df.agg(*(F.count_if(F.col("n_models_detecting") >= k).alias(f"k{k}") for k in range(1, most + 1)))
     return counts.select(F.inline(F.array(*(F.struct(F.lit(k).alias("at_least"), F.col(f"k{k}").alias("n")) for k in range(1, most + 1)))))
 
 
-def two_model_vote(a: Column, b: Column) -> Column:
-    return F.when(a & b, "HIGH").when(a | b, "MEDIUM").otherwise("NONE")
-
-
 def economic_impact(df: DataFrame, flag: str, x: str, expected: str, price: float) -> DataFrame:
     """Per barrio: flagged months, what they used beyond expectation, its price."""
     over = F.greatest(F.col(x) - F.col(expected), F.lit(0.0))
@@ -51,10 +44,6 @@ def bucket_sample(df: DataFrame, key: Column, share: float, seed: str = "42") ->
     return df.filter(F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), key.cast("string"))), 1, 6), 16, 10).cast("long") < int(share * (1 << 24)))
 
 
-def level_order(level: str) -> Column:
-    return F.coalesce(*(F.when(F.col(level) == k, v) for k, v in LEVELS.items()), F.lit(len(LEVELS)))
-
-
 def write_results(df: DataFrame, path: str) -> DataFrame:
     """Results as CSV, arrays joined by semicolons; read back with the same column names."""
     arrays = {f.name for f in df.schema if f.dataType.typeName() == "array"}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from aforo.functions import ladders
 from aforo.operators import detectors as d
 from aforo.operators import monthly as m
 from aforo.operators.flows import daily_features
@@ -35,7 +36,7 @@ _q("m8_water_balance", _balance, rounded_sql(f"{PANEL}, inj AS (SELECT r_name AS
 def _care(s, sf):
     c = table(s, sf, "customer")
     score, age, alone = (F.col("c_acctbal") + 1000) / 11000, 60 + F.pmod("c_custkey", F.lit(35)), F.pmod("c_custkey", F.lit(3)) == 0
-    return c.select("c_custkey", d.care_level(score, age, alone).alias("nivel"), d.benchmark_flag(F.col("c_acctbal") / 4500).alias("benchmark"), d.severity(-score).alias("severity"))
+    return c.select("c_custkey", ladders.care_level(score, age, alone).alias("nivel"), ladders.benchmark_flag(F.col("c_acctbal") / 4500).alias("benchmark"), ladders.severity(-score).alias("severity"))
 
 
 _q("m22_care_level", _care, "SELECT c_custkey, CASE WHEN s > 0.7 AND age >= 75 AND al THEN 'CRITICO' WHEN s > 0.5 AND age >= 70 AND al THEN 'ALTO' WHEN s > 0.3 AND age >= 65 THEN 'VIGILANCIA' ELSE 'NORMAL' END AS nivel, CASE WHEN r > 2 THEN 'MUY_ALTO' WHEN r > 1.5 THEN 'ALTO' WHEN r < 0.4 THEN 'MUY_BAJO' WHEN r < 0.6 THEN 'BAJO' ELSE 'NORMAL' END AS benchmark, CASE WHEN -s < -0.5 THEN 'CRITICAL' WHEN -s < -0.3 THEN 'HIGH' WHEN -s < -0.1 THEN 'MEDIUM' ELSE 'NORMAL' END AS severity FROM (SELECT c_custkey, (c_acctbal + 1000) / 11000 AS s, 60 + c_custkey % 35 AS age, c_custkey % 3 = 0 AS al, c_acctbal / 4500 AS r FROM customer)")

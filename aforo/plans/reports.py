@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from aforo.functions import ladders
 from aforo.operators import ensemble as e
 from aforo.operators import reports as r
 from aforo.plans.ensemble import _CONF, _CONS, FLAGS, KEYS, RESULTS, results
@@ -22,7 +23,7 @@ def _q(name, build, sql=None):
 
 
 _q("a22_consensus_counts", lambda s, d: r.consensus_counts(e.consensus(results(s, d), FLAGS), 4), f"WITH {RESULTS}, c AS ({_CONS}) SELECT k::INT AS at_least, count(*) FILTER (n_models_detecting >= k) AS n FROM c, (SELECT unnest([1, 2, 3, 4]) AS k) GROUP BY 1")
-_q("e1_two_model_vote", lambda s, d: results(s, d).select(*KEYS, r.two_model_vote(F.col("is_anomaly_cross"), F.col("is_anomaly_season")).alias("vote")), f"WITH {RESULTS} SELECT barrio_key, fecha, CASE WHEN is_anomaly_cross AND is_anomaly_season THEN 'HIGH' WHEN is_anomaly_cross OR is_anomaly_season THEN 'MEDIUM' ELSE 'NONE' END AS vote FROM results")
+_q("e1_two_model_vote", lambda s, d: results(s, d).select(*KEYS, ladders.two_model_vote(F.col("is_anomaly_cross"), F.col("is_anomaly_season")).alias("vote")), f"WITH {RESULTS} SELECT barrio_key, fecha, CASE WHEN is_anomaly_cross AND is_anomaly_season THEN 'HIGH' WHEN is_anomaly_cross OR is_anomaly_season THEN 'MEDIUM' ELSE 'NONE' END AS vote FROM results")
 _q("a23_economic_impact", lambda s, d: rounded(r.economic_impact(results(s, d).withColumn("expected", F.col("consumo") / F.greatest("yoy_ratio", F.lit(0.01))), "is_anomaly_yoy", "consumo", "expected", 0.002), ["barrio"], {"n": 0, "excess": 2, "cost": 4}),
    rounded_sql(RESULTS, "SELECT barrio, count(*) AS n, sum(greatest(consumo - consumo / greatest(yoy_ratio, 0.01), 0)) AS excess, sum(greatest(consumo - consumo / greatest(yoy_ratio, 0.01), 0)) * 0.002 AS cost FROM results WHERE is_anomaly_yoy GROUP BY 1", ["barrio"], {"n": 0, "excess": 2, "cost": 4}))
 _q("p14_mean_score", lambda s, d: rounded(results(s, d).withColumn("score", r.mean_score([F.col(f) for f in FLAGS], [F.when(F.col("abs_dev") > 0.1, F.least(F.col("abs_dev") / 0.5, F.lit(1.0)))])), KEYS, {"score": 6}),
@@ -35,7 +36,7 @@ _q("c24_monthly_correlation", lambda s, d: table(s, d, "orders").groupBy(F.trunc
    f"WITH {RESULTS} SELECT round(corr(fraud, det), 6) AS r, count(*) AS n FROM (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS fecha, avg((o_orderpriority LIKE '1%')::INT) AS fraud FROM orders GROUP BY 1) JOIN (SELECT fecha, avg(is_anomaly_cross::INT) AS det FROM results GROUP BY 1) USING (fecha)")
 _q("h4_peak_thinning", lambda s, d: r.thin_peaks(sector_hourly(s, d).withColumn("c", F.round("caudal", 4)), "sector", "ts", "c", 50.0, 12))
 _q("src8_bucket_sample", lambda s, d: r.bucket_sample(table(s, d, "orders"), F.col("o_orderkey"), 0.3).select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders WHERE ('0x' || substr(md5('42-' || o_orderkey), 1, 6))::BIGINT < 5033164")
-_q("s27_level_order", lambda s, d: table(s, d, "customer").select("c_custkey", F.element_at(F.array(*map(F.lit, ["VIGILANCIA", "CRITICO", "ALTO"])), (F.pmod("c_custkey", F.lit(3)) + 1).cast("int")).alias("nivel"), "c_acctbal").withColumn("o", r.level_order("nivel")).orderBy("o", F.desc("c_acctbal"), "c_custkey").limit(50).select("c_custkey", "nivel", "o"),
+_q("s27_level_order", lambda s, d: table(s, d, "customer").select("c_custkey", F.element_at(F.array(*map(F.lit, ["VIGILANCIA", "CRITICO", "ALTO"])), (F.pmod("c_custkey", F.lit(3)) + 1).cast("int")).alias("nivel"), "c_acctbal").withColumn("o", ladders.level_order("nivel")).orderBy("o", F.desc("c_acctbal"), "c_custkey").limit(50).select("c_custkey", "nivel", "o"),
    "SELECT c_custkey, nivel, CAST(o AS INTEGER) AS o FROM (SELECT *, CASE nivel WHEN 'CRITICO' THEN 0 WHEN 'ALTO' THEN 1 ELSE 2 END AS o FROM (SELECT c_custkey, c_acctbal, ['VIGILANCIA', 'CRITICO', 'ALTO'][CAST(c_custkey % 3 + 1 AS INTEGER)] AS nivel FROM customer)) ORDER BY o, c_acctbal DESC, c_custkey LIMIT 50")
 _q("g8_json_fields", lambda s, d: table(s, d, "events").select("event_type", F.from_json("props", "k long")["k"].alias("k")).groupBy("event_type").agg(F.sum("k").alias("total"), F.countDistinct("k").alias("different")), "SELECT event_type, CAST(sum(k) AS BIGINT) AS total, count(DISTINCT k) AS different FROM (SELECT event_type, CAST(props ->> '$.k' AS BIGINT) AS k FROM events) GROUP BY 1")
 
