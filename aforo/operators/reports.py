@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def consensus_counts(df: DataFrame, most: int) -> DataFrame:
     """How many rows have at least 1, 2, ... detectors."""
     counts = df.agg(*(F.count_if(F.col("n_models_detecting") >= k).alias(f"k{k}") for k in range(1, most + 1)))
