@@ -49,7 +49,7 @@ _END = ".!?:\n"
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 _WORD, _NUM, _UNIT, _CAPITAL = 0, 1, 2, 4
 #: Raw words whose attributes a worker keeps at most.
-CACHED = 400_000
+CACHED = 150_000
 
 
 def _attributes(raw: str) -> tuple[str, int, bool]:
@@ -172,6 +172,7 @@ def _probe(widths: list[int], bits):
                         seen.add((o, x))
                         out.append((rows[o], ids[o], texts[o], x, made.values(s, width)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+        Canonical._known.clear()
 
     return run
 

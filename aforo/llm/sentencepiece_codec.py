@@ -110,6 +110,7 @@ class Codec:
         self.automaton.make_automaton()
         joined = any(MARK in p.lstrip(MARK) for p in self.ids)
         self.split = re.compile(r"[^\n]+|\n" if joined else f"{MARK}*[^{MARK}\n]+|{MARK}+|\n") if not any("\n" in p and len(p) > 1 for p in self.ids) else None
+        self.limit = CACHED
         self.compatible: dict[int, bool] = {}
         self.cache: dict[str, tuple[bytes, str]] = {}
         self.odd = {i for i, k in enumerate(self.kinds) if k != NORMAL}
@@ -132,7 +133,7 @@ class Codec:
         key = left << 24 | right
         known = self.compatible.get(key)
         if known is None:
-            if len(self.compatible) > CACHED:
+            if len(self.compatible) > self.limit:
                 self.compatible.clear()
             two = [self.pieces[left], self.pieces[right]]
             known = self.compatible[key] = self._merge("".join(two)) == two
@@ -196,7 +197,7 @@ class Codec:
             text = self._text(ids)
             known = pack(f"<{len(ids)}I", *ids), s if text == s else text
             if len(s) <= CACHED_CHARS:
-                if len(self.cache) >= CACHED:
+                if len(self.cache) >= self.limit:
                     self.cache.clear()
                 self.cache[s] = known
         return known
@@ -273,7 +274,7 @@ def read_model(path: str | None = None) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ("ids", "decoded"), cached: int = CACHED) -> DataFrame:
     """One row per row: id, n_tokens, ids_sha256, decoded_sha256, and of ids and decoded what ``extra`` names.
 
     The model (its size is fixed by its vocabulary) is broadcast once. Rows go through in slices of
@@ -286,6 +287,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value)
+        codec.limit = cached
         first, last = (np.array([i], "<u4").tobytes() for i in (codec.bos, codec.eos))
         look, one = codec.cache.get, codec._stretch
         for piece in slices(batches, "text"):

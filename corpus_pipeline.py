@@ -39,7 +39,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, ids of each document."""
-    return sentencepiece_codec.encode(docs, sentencepiece_codec.read_model(), extra=("ids",))
+    return sentencepiece_codec.encode(docs, sentencepiece_codec.read_model(), extra=("ids",), cached=150_000)  # workers hold other stages' tables too
 
 
 STAGES = [
