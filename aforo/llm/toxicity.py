@@ -8,10 +8,12 @@ the two likelihoods, normalised by length: over the whole text and over its most
 fixed lengths. A logistic function fitted on labelled texts left out of the counts turns these into a
 probability.
 
-Counts cover all labelled training texts and are made and combined in Spark. What scoring needs at
-hand is bounded by ``SLOTS``: a table of log ratios by 6-gram and one by context, where of the 6-grams
-that share a slot the most frequent stays and the others back off. Labels are broadcast only if
-there are at most ``BROADCAST_LABELS``; beyond, texts and labels meet in a shuffle join.
+Counts cover all labelled training texts and are made and combined in Spark, and every counted 6-gram
+and context scores. What workers have at hand is bounded: tables of ``SLOTS`` log ratios, where of those
+that share a slot the most frequent stays, and sorted arrays of the ``HELD`` most frequent of the others.
+What is left stays a Spark table; texts ask for what they need of it in a join by 6-gram, and a bit table of
+fixed size says what need not be asked. Labels are broadcast only if there are at most
+``BROADCAST_LABELS``; beyond, texts and labels meet in a shuffle join.
 
 Nulls: a null text is empty; an empty text has a ratio of one, and so the score the logistic function
 gives to that. A null id is never held out nor labelled. Several labels for one id count as the
@@ -28,11 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aforo.llm.common import checkpoint, slices
+from aforo.llm.common import checkpoint, distinct_pairs, free_name, mix64, slices
 
 ORDER, DISCOUNT = 6, 0.75
 #: Slots for 6-grams and for their contexts, prime numbers.
 SLOTS, CONTEXT_SLOTS = 2_097_143, 1_048_573
+#: Log ratios without a slot that workers hold at most, bits of the filter of those beyond.
+HELD, FILTER_BITS = 4_000_000, 1 << 25
+#: No key left in a slot; what tells contexts from 6-grams among the ratios without a slot.
+_EMPTY, _CONTEXT = 0xFFFFFFFF, 1 << 48
 #: Lengths of stretches in bytes.
 STRETCHES = (8, 16, 32, 64)
 #: Labelled rows that the logistic function is fitted on at most; labels broadcast at most.
@@ -114,14 +120,58 @@ def kneser_ney(types: DataFrame) -> tuple[DataFrame, DataFrame]:
     return grams, contexts.select("h", (F.col("t0") + F.col("t1")).alias("weight"), F.log(freed("1") / freed("0")).alias("ratio"))
 
 
-def _slots(table: DataFrame, key: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The table as arrays of ``n`` slots: what is left of the key (or all ones), and the ratio."""
-    best = table.groupBy(F.pmod(key, F.lit(n)).alias("slot")).agg(F.max(F.struct("weight", key, "ratio")).alias("b"))
-    got = best.select(F.col("slot").cast("int"), F.expr(f"cast(b.{key} div {n} as long) AS rest"), F.col("b.ratio").cast("float").alias("ratio")).toArrow()
-    rest, ratio = np.full(n, 0xFFFFFFFF, np.uint32), np.zeros(n, np.float32)
+def _slots(table: DataFrame, key: str, n: int) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame]:
+    """The table as arrays of ``n`` slots, what is left of the key (or all ones) and the ratio; and the rows without a slot."""
+    slot = F.pmod(key, F.lit(n)).cast("int").alias("slot")
+    best = checkpoint(table.groupBy(slot).agg(F.max(F.struct("weight", key, "ratio")).alias("b")).select("slot", F.col(f"b.{key}").alias("taken"), F.col("b.ratio").cast("float").alias("ratio")))
+    got = best.select("slot", F.expr(f"cast(taken div {n} as long) AS rest"), "ratio").toArrow()
+    rest, ratio = np.full(n, _EMPTY, np.uint32), np.zeros(n, np.float32)
     at = got.column("slot").to_numpy()
     rest[at], ratio[at] = got.column("rest").to_numpy().astype(np.uint32), got.column("ratio").to_numpy()
-    return rest, ratio
+    return (rest, ratio), table.join(best.select(F.col("taken").alias(key)), key, "left_anti")
+
+
+def _place(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p = mix64(keys) & np.uint64(FILTER_BITS - 1)
+    return (p >> np.uint64(3)).astype(np.int64), (p & np.uint64(7)).astype(np.uint8)
+
+
+def _bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = np.zeros(FILTER_BITS // 8, np.uint8)
+    for b in batches:
+        at, bit = _place(b.column(0).to_numpy().view(np.uint64))
+        np.bitwise_or.at(table, at, np.uint8(1) << bit)
+    at = np.flatnonzero(table)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at].astype(np.int32))], names=["at", "bits"])
+
+
+_Ratios = tuple[np.ndarray, np.ndarray]
+_NONE: _Ratios = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+
+
+def _sorted(keys: pa.Array, ratios: pa.Array) -> _Ratios:
+    keys, first = np.unique(keys.to_numpy().view(np.uint64), return_index=True)
+    return keys, ratios.to_numpy()[first]
+
+
+def _beyond(model: Model, others: DataFrame) -> None:
+    """Ratios without a slot (k, weight, ratio): the most frequent go into the model's arrays, the others into its table."""
+    light = F.least("weight", F.lit(10_000))
+    sizes = others.groupBy(light.alias("w")).count().orderBy(F.desc("w")).collect()  # at most 10,000 rows
+    least, n = None, 0
+    for r in sizes:
+        n += r["count"]
+        if n > HELD:
+            break
+        least = r.w
+    held = others.filter(light >= least) if least is not None else others.limit(0)
+    got = held.select("k", "ratio").toArrow().combine_chunks()
+    model.held = _sorted(got.column("k").combine_chunks(), got.column("ratio").combine_chunks()) if got.num_rows else _NONE
+    if n > HELD:
+        model.asked = others.filter(light < least if least is not None else F.lit(True)).select("k", "ratio")
+        got = model.asked.select("k").mapInArrow(_bits, "at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+        model.filter = np.zeros(FILTER_BITS // 8, np.uint8)
+        model.filter[got.column("at").to_numpy()] = got.column("bits").to_numpy().astype(np.uint8)
 
 
 @dataclass
@@ -131,19 +181,50 @@ class Model:
     mean: np.ndarray | None = None
     scale: np.ndarray | None = None
     weights: np.ndarray | None = None  # the last is the intercept
+    held: _Ratios = _NONE
+    filter: np.ndarray | None = None
+    asked: DataFrame | None = None  # (k, ratio) that no worker holds
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"asked": None}
 
-    def features(self, texts: list[bytes | None]) -> np.ndarray:
+    def _find(self, keys: np.ndarray, context: bool, answers: _Ratios) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of 6-grams or contexts: the ratio, whether there is one, and where only the table may have it."""
+        left, ratio = self.contexts if context else self.grams
+        rest, slot = np.divmod(keys, np.uint64(len(left)))
+        slot = slot.astype(np.int64)
+        taken = left[slot]
+        known = taken == rest
+        x = np.zeros(len(keys), np.float64)
+        x[known] = ratio[slot[known]]
+        unsure = np.flatnonzero(~known & (taken != _EMPTY))  # who has no slot finds another in it
+        for table, ratios in (self.held, answers):
+            if len(table) and len(unsure):
+                want = keys[unsure] | np.uint64(_CONTEXT * context)
+                at = np.minimum(np.searchsorted(table, want), len(table) - 1)
+                hit = table[at] == want
+                x[unsure[hit]], known[unsure[hit]] = ratios[at[hit]], True
+                unsure = unsure[~hit]
+        return x, known, unsure
+
+    def asks(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (key, text) that the table may have."""
+        grams, offsets = _grams(texts)
+        owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
+        _, known, unsure = self._find(grams, False, _NONE)
+        new = np.flatnonzero(~known)
+        h = grams[new] >> np.uint64(8)
+        far = self._find(h, True, _NONE)[2]
+        keys = np.concatenate([grams[unsure], h[far] | np.uint64(_CONTEXT)])
+        at, bit = _place(keys)
+        hit = ((self.filter[at] >> bit) & np.uint8(1)).astype(bool)
+        return distinct_pairs(keys[hit], np.concatenate([owner[unsure], owner[new[far]]])[hit])
+
+    def features(self, texts: list[bytes | None], answers: _Ratios = _NONE) -> np.ndarray:
         """Of each text: mean log ratio, the greatest mean over stretches of each length, log length."""
         grams, offsets = _grams(texts)
-        x = np.zeros(len(grams), np.float64)
-        rest, slot = np.divmod(grams, np.uint64(SLOTS))
-        slot = slot.astype(np.int64)
-        known = self.grams[0][slot] == rest
-        x[known] = self.grams[1][slot[known]]
-        h = grams[~known] >> np.uint64(8)
-        rest, slot = np.divmod(h, np.uint64(CONTEXT_SLOTS))
-        slot = slot.astype(np.int64)
-        x[~known] = np.where(self.contexts[0][slot] == rest, self.contexts[1][slot], 0)
+        x, known, _ = self._find(grams, False, answers)
+        x[~known] = self._find(grams[~known] >> np.uint64(8), True, answers)[0]
         sums = np.concatenate([[0.0], np.cumsum(x)])
         n = np.diff(offsets)
         out = np.zeros((len(n), len(STRETCHES) + 2))
@@ -160,10 +241,10 @@ class Model:
                 out[long, j] = np.maximum.reduceat(run, bounds)[::2]
         return out
 
-    def score(self, texts: list[bytes | None]) -> np.ndarray:
+    def score(self, texts: list[bytes | None], answers: _Ratios = _NONE) -> np.ndarray:
         if self.weights is None:
             return np.zeros(len(texts))
-        x = (self.features(texts) - self.mean) / self.scale
+        x = (self.features(texts, answers) - self.mean) / self.scale
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
@@ -180,6 +261,29 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+def _answered(rows: DataFrame, model: Model, shared, text_col: str) -> DataFrame:
+    """``rows`` with two more columns at the end, keys and ratios from the model's table that their texts ask for."""
+    names = [free_name(rows, c) for c in ("keys", "ratios")]
+    if model.asked is None:
+        return rows.withColumns({names[0]: F.lit(None).cast("array<long>"), names[1]: F.lit(None).cast("array<float>")})
+    key = free_name(rows, "key")
+    rows = rows.withColumn(key, F.xxhash64(*(F.col(c) for c, t in rows.dtypes if c == text_col or t in ("bigint", "int", "string"))))
+
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, "text"):
+            k, owner = shared.value.asks(piece.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([piece.column("key").take(pa.array(owner)), pa.array(k.view(np.int64))], names=["key", "k"])
+
+    asks = rows.select(F.col(key).alias("key"), F.col(text_col).cast("binary").alias("text")).mapInArrow(ask, "key long, k long").distinct()
+    got = asks.join(model.asked, "k").groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("k", "ratio")).alias("a"))
+    return rows.join(got, key, "left").withColumns({names[0]: F.col("a.k"), names[1]: F.col("a.ratio")}).drop("a", key)
+
+
+def _answers(piece: pa.RecordBatch) -> _Ratios:
+    keys, ratios = (piece.column(piece.num_columns - i).flatten() for i in (2, 1))
+    return _sorted(keys, ratios) if len(keys) else _NONE
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -194,16 +298,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     left_out = crc.bitwiseAND(28) == 0  # the next three bits
     types = rows.filter(~left_out).select("text", "toxic").mapInArrow(_count, "g long, c0 long, c1 long")
     types = checkpoint(types.groupBy("g").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
-    grams, contexts = kneser_ney(types)
-    model = Model(_slots(grams, "g", SLOTS), _slots(contexts, "h", CONTEXT_SLOTS))
+    grams, contexts = map(checkpoint, kneser_ney(types))
+    (of_grams, grams), (of_contexts, contexts) = _slots(grams, "g", SLOTS), _slots(contexts, "h", CONTEXT_SLOTS)
+    model = Model(of_grams, of_contexts)
+    others = grams.select(F.col("g").alias("k"), "weight", F.col("ratio").cast("float").alias("ratio")).unionByName(contexts.select(F.col("h").bitwiseOR(F.lit(_CONTEXT)).alias("k"), "weight", F.col("ratio").cast("float").alias("ratio")))
+    _beyond(model, checkpoint(others))
     shared, width = docs.sparkSession.sparkContext.broadcast(model), len(STRETCHES) + 2
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
-            x = shared.value.features(piece.column("text").to_pylist())
+            x = shared.value.features(piece.column("text").to_pylist(), _answers(piece))
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
 
-    sample = rows.filter(left_out).select("doc_id", "toxic", "text").mapInArrow(measure, "doc_id long, toxic int, x array<double>")
+    sample = _answered(rows.filter(left_out).select("doc_id", "toxic", "text"), model, shared, "text").mapInArrow(measure, "doc_id long, toxic int, x array<double>")
     got = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(FITTED_ROWS).toArrow()
     x, y = np.array(got.column("x").to_pylist(), float).reshape(-1, width), got.column("toxic").to_numpy().astype(float)
     if len(set(y)) == 2:
@@ -218,9 +325,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(shared.value.score(piece.column("text").to_pylist()))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(shared.value.score(piece.column("text").to_pylist(), _answers(piece)))], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    return _answered(rows, model, shared, "text").mapInArrow(run, "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -230,10 +338,10 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, text_col):
-            good = shared.value.score(piece.column(at).cast(pa.binary()).to_pylist()) < THRESHOLD
-            yield piece.filter(pa.array(good))
+            good = shared.value.score(piece.column(at).cast(pa.binary()).to_pylist(), _answers(piece)) < THRESHOLD
+            yield piece.select(range(piece.num_columns - 2)).filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return _answered(docs, model, shared, text_col).mapInArrow(run, docs.schema)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:

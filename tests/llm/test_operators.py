@@ -298,6 +298,27 @@ def test_toxicity_without_labels(spark, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_toxicity_keeps_every_counted_gram(spark, tmp_path, monkeypatch):
+    rnd = random.Random(5)
+    rows = [(i, " ".join("".join(rnd.choice("abcdef") for _ in range(5)) for _ in range(40)) + " vile" * (i % 2)) for i in range(400)]
+    table, labels = docs(spark, rows), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+
+    def run():
+        model = toxicity.fit(table, labels)
+        scores = {r.doc_id: r.score for r in toxicity.score(table, model).collect()}
+        return model, scores, {r.doc_id for r in toxicity.keep_clean(table, model).collect()}
+
+    _, want, kept = run()
+    assert len({round(x, 6) for x in want.values()}) > 100
+    for slots, held in ((65_537, 10**6), (65_537, 3000), (65_537, 0)):  # a slot has room for what 65,537 leaves of a key
+        monkeypatch.setattr(toxicity, "SLOTS", slots)
+        monkeypatch.setattr(toxicity, "CONTEXT_SLOTS", 503)
+        monkeypatch.setattr(toxicity, "HELD", held)
+        model, got, left = run()
+        assert (model.asked is None) == (held == 10**6) and len(model.held[0]) <= held
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want) and left == kept
+
+
 def test_features_against_plain_loops():
     texts = [b"", b"ab", b"some longer text " * 20, None]
     rng = np.random.default_rng(1)
