@@ -1,19 +1,20 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by sparse suffixes.
 
 Of a text's suffixes (sequences of words) only those at content-selected positions are retained: the
 minimisers, where the hash of the next ``GRAM`` words is least among ``SPREAD`` in a row. Equal passages
 of ``LEAST`` words have a minimiser at the same place within their first ``SPREAD`` words, so that at
 least ``LEAST - SPREAD + 1`` words to its right are equal; suffixes whose next so many words
-occur once in the table (counted with map-side aggregation) are left out. The rest are sorted by their words,
-neighbours are compared (longest common prefix) and extended to the left; matches of ``LEAST`` words
-confirm both suffixes. A suffix carries as many words to either side as any match needs to be seen in full
-from one of its suffixes, and confirmed stretches of a text are united.
-
-A suffix that its neighbour doesn't confirm is compared with the nearest ``NEAR`` to both sides, as its
-longest match to the right need not be the longest overall. A sorted run is
-streamed: memory is constant, whatever the number of copies of a passage. Before the shuffle the
+occur once in the table (counted with map-side aggregation) are left out. The rest are brought together by
+the hash of these words. A suffix carries as many words to either side as any match needs to be seen in full
+from one of its suffixes: of its at most ``SPREAD`` runs of ``LEAST`` words that hold the minimiser each is
+compared with those of all other suffixes by a hash, those that occur twice are confirmed, and confirmed
+stretches of a text are united.
+
+Groups of suffixes are settled in their task; of a group of more than ``LARGE`` the runs that are
+single in their part are counted in a second shuffle, where each part sends a run once, so that memory is
+bounded whatever the number of copies of a passage. Before the first shuffle the
 suffixes of a slice that have the same words around them become one row. What is broadcast is a bit table
-of fixed size; when it fills up, more suffixes are sorted and results stay the same.
+of fixed size; when it fills up, more suffixes are compared and results stay the same.
 
 Words are compared without regard to the case of A to Z and to white space. Nulls: a null text is
 empty; a null id is carried. Rows that repeat are copies of each other. Texts under ``LEAST`` words have
@@ -22,20 +23,20 @@ no passages. An empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aforo.llm.common import hash_words, mix64, slices, split_words
+from aforo.llm.common import checkpoint, hash_words, mix64, slices, split_words
 
 #: Words of a passage at least, words hashed at a position, positions a minimiser is the least of.
 LEAST, GRAM, SPREAD = 50, 8, 32
-#: Words to the right that are equal for sure; bits of the filter; suffixes a suffix is compared with.
-SURE, FILTER_BITS, NEAR = LEAST - SPREAD + 1, 1 << 25, 64
+#: Words to the right that are equal for sure; bits of the filter; suffixes of a group that a task settles alone.
+SURE, FILTER_BITS, LARGE = LEAST - SPREAD + 1, 1 << 25, 10_000
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -132,56 +133,88 @@ def _suffixes(bits):
     return run
 
 
-def common_words(a: bytes, b: bytes) -> int:
-    """How many words of four bytes two sequences have in common from their start."""
-    n = min(len(a), len(b))
-    a, b = a[:n], b[:n]
-    if a == b:
-        return n // 4
-    differ = int.from_bytes(a) ^ int.from_bytes(b)
-    return (8 * n - differ.bit_length()) // 32
-
-
-def _neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From suffixes sorted by (h, ahead, behind): (row, doc_id, start, end) of confirmed stretches."""
-    group, near, waiting = None, deque(maxlen=NEAR), deque(maxlen=NEAR)
-
-    def confirm(x: list, left: int, right: int) -> None:
-        out.extend((row, doc, at - left, at + right) for row, doc, at in zip(x[2], x[3], x[4]))
-        x[5] = True
-
-    def match(x: list, y: list) -> None:
-        right, left = common_words(x[0], y[0]), common_words(x[1], y[1])
-        if left + right >= LEAST:
-            confirm(x, left, right)
-            confirm(y, left, right)
-
-    for batch in batches:
-        out: list[tuple] = []
-        for h, *row in zip(*(c.to_pylist() for c in batch.columns)):
-            row.append(False)
-            words = len(row[0]) // 4, len(row[1]) // 4
-            if len(row[2]) > 1 and sum(words) >= LEAST:
-                confirm(row, words[1], words[0])
-            if h != group:
-                group = h
-                near.clear()
-                waiting.clear()
-            if near:
-                match(row, near[-1])
-            for other in waiting:  # those that nothing has confirmed yet
-                if not other[5]:
-                    match(row, other)
-            for other in reversed(near):
-                if row[5]:
-                    break
-                match(row, other)
-            while waiting and waiting[0][5]:
-                waiting.popleft()
-            if not row[5]:
-                waiting.append(row)
-            near.append(row)
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["row", "doc_id", "start", "end"])
+_FOUND = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("h", pa.int64()), ("w", pa.int64())])
+
+
+def _run_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """A row for each suffix: of its runs that begin SPREAD - 1 words before the minimiser, ..., at it the hashes, and which there are."""
+    size = SPREAD - 1
+    n, words = batch.num_rows, np.zeros((batch.num_rows, size + LEAST), np.uint64)
+    ahead, behind = (pc.binary_length(batch.column(c)).to_numpy() // 4 for c in ("ahead", "behind"))
+    for part, column, lengths in ((words[:, size:], "ahead", ahead), (words[:, :size][:, ::-1], "behind", behind)):
+        flat = np.frombuffer(b"".join(batch.column(column).to_pylist()), ">u4")
+        part[np.arange(part.shape[1]) < lengths[:, None]] = flat
+    prefix = np.zeros((n, size + LEAST + 1), np.uint64)
+    np.cumsum(words * _powers(_BASE, size + LEAST), axis=1, dtype=np.uint64, out=prefix[:, 1:])
+    keys = mix64((prefix[:, LEAST:] - prefix[:, :SPREAD]) * _powers(_INVERSE, SPREAD))
+    at = np.arange(SPREAD)
+    # runs seen from different minimisers are different ones
+    keys = mix64(keys + batch.column("h").to_numpy().view(np.uint64)[:, None] * np.uint64(_BASE) + at.astype(np.uint64))
+    return keys, (at >= size - behind[:, None]) & (at + LEAST <= size + ahead[:, None])
+
+
+def _settle(batch: pa.RecordBatch, opened: int | None) -> pa.RecordBatch:
+    """Runs that occur twice in these suffixes, as stretches; of the group ``opened`` also each run once, with its hash.
+
+    Of a run that occurs twice here only the hash counts then, and its row is null.
+    """
+    keys, there = _run_keys(batch)
+    h, size = batch.column("h").to_numpy(), SPREAD - 1
+    places = np.diff(batch.column("at").offsets.to_numpy())
+    which, at = np.nonzero(there)
+    _, first, back, count = np.unique(keys[there], return_index=True, return_inverse=True, return_counts=True)
+    copies = np.bincount(back, places[which], len(count))
+    twice = np.zeros((len(h), SPREAD + 2), np.int8)
+    twice[which, at + 1] = copies[back] > 1
+    step = np.diff(twice, axis=1)
+    row, begin = np.nonzero(step == 1)
+    stop = np.nonzero(step == -1)[1] - 1 + LEAST
+    shared = np.zeros(0, np.int64)
+    mine = np.zeros(0, np.int64)
+    if opened is not None:
+        send = first[h[which[first]] == opened]
+        again = copies[back[send]] > 1
+        shared, mine = send[again], send[~again]
+    starts = np.concatenate([[0], np.cumsum(places)])
+    times = places[row]
+    flat = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(starts[row], times)
+    flat = np.concatenate([flat, starts[which[mine]]])
+    left = np.concatenate([np.repeat(begin, times), at[mine]]) - size
+    right = np.concatenate([np.repeat(stop, times), at[mine] + LEAST]) - size
+    rows, ids, where = (batch.column(c).flatten().take(pa.array(flat)) for c in ("rows", "ids", "at"))
+    where = where.to_numpy()
+    none = np.full(int(times.sum()), 0)
+    w = keys[there].view(np.int64)
+    h_col, w_col = np.concatenate([none, h[which[mine]]]), np.concatenate([none, w[mine]])
+    confirmed = np.arange(len(flat)) < len(none)
+    own = [rows, ids, pa.array((where + left).astype(np.int32)), pa.array((where + right).astype(np.int32)), pa.array(h_col, mask=confirmed), pa.array(w_col, mask=confirmed)]
+    theirs = [*(pa.nulls(len(shared), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())), pa.array(h[which[shared]]), pa.array(w[shared])]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([a.cast(b.type), b]) for a, b in zip(own, theirs)], schema=_FOUND)
+
+
+def _groups(large: int):
+    """From suffixes sorted by h: confirmed stretches (h null), and runs of large groups that are to be counted."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, opened = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            h = batch.column("h").to_numpy()
+            cut = int(np.searchsorted(h, h[-1]))
+            if cut:
+                yield _settle(batch.slice(0, cut), opened)
+            held = batch.slice(cut)
+            if held.num_rows > large:
+                opened = int(h[-1])
+                yield _settle(held, opened)
+                held = None
+        if held is not None:
+            yield _settle(held, opened)
+
+    return run
 
 
 #: Stretches of a row, sorted, united where they touch or overlap.
@@ -205,8 +238,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     table[got.column("at").to_numpy()] = got.column("bits").to_numpy().astype(np.uint8)
     bits = docs.sparkSession.sparkContext.broadcast(table)
     suffixes = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_suffixes(bits), "h long, ahead binary, behind binary, rows array<long>, ids array<long>, at array<int>")
-    order = suffixes.repartition("h").sortWithinPartitions("h", "ahead", "behind")
-    found = order.mapInArrow(_neighbours, "row long, doc_id long, start int, end int")
+    order = suffixes.repartition("h").sortWithinPartitions("h")
+    found = checkpoint(order.mapInArrow(_groups(LARGE), "row long, doc_id long, start int, end int, h long, w long"))
+    runs = found.filter(F.col("h").isNotNull()).groupBy("h", "w").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("row").isNotNull(), F.struct("row", "doc_id", "start", "end"))).alias("places"))
+    found = found.filter(F.col("h").isNull()).select("row", "doc_id", "start", "end").unionByName(runs.filter("n > 1").select(F.explode("places").alias("p")).select("p.*"))
     spans = found.groupBy("row", "doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     return spans.select("doc_id", F.explode(F.expr(_UNITE)).alias("s")).select("doc_id", F.col("s.start").alias("start_word"), F.col("s.end").alias("end_word"), (F.col("s.end") - F.col("s.start")).alias("n_words"))
 

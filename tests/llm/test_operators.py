@@ -273,6 +273,29 @@ def test_repeated_passages_equal_brute_force(spark, real, empty):
     assert suffix_dedup.repeated_passages(empty).count() == 0
 
 
+@pytest.mark.parametrize("large", [suffix_dedup.LARGE, 60])
+def test_passages_around_a_hot_line(spark, monkeypatch, large):
+    monkeypatch.setattr(suffix_dedup, "LARGE", large)
+    rnd = random.Random(7)
+
+    def words(n):
+        return [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+
+    line, rows = words(45), []
+    left = [words(5) for _ in range(6)]  # each before two lines
+    right = words(5)
+    for i in range(420):
+        after = right + words(40) if i in (3, 77) else words(45)
+        before = left[i // 2 % 6] if i % 70 in (0, 1) else words(5)
+        rows.append((i, " ".join(words(30) + before + line + after)))
+    far = words(20)  # a longer match to the left of what a neighbour confirms
+    rows += [(900, " ".join(far + line + right)), (901, " ".join(far + line + words(30))), (902, " ".join(far + line + words(30))), (902, rows[5][1]), (None, rows[5][1])]
+    table = docs(spark, rows)
+    got = collections.Counter((r.doc_id, r.start_word, r.end_word) for r in suffix_dedup.repeated_passages(table).collect())
+    want = brute_passages(rows)
+    assert len(want) > 15 and got == want
+
+
 # 7 toxicity
 
 
