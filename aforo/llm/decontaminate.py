@@ -10,8 +10,10 @@ other numbers, names or units is caught, and a chance likeness of templates is n
 
 The documents' windows don't move: each task first asks a filter of fixed size (a bit table of
 ``FILTER_BITS`` bits, made from the items, of whatever number) and only windows that pass, with the values in
-their slots, go to the join, where hashes are compared in full. Of a window that a document repeats
-the first counts.
+their slots and their places, go to the join, where hashes are compared in full. Share and slots are checked
+for each place that the item may have in the document: windows as far from the document's beginning as from the
+item's, give or take nothing or up to ``SHIFT`` words put in or left out, and also the first occurrences of
+all windows, wherever they are. An item is found if any of these passes.
 
 Nulls: null texts are empty, match nothing; a null item or document id is carried as null. Items
 of fewer than ``LITERAL`` words say too little and are left out. Rows that repeat are reported each. Empty tables give an empty
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 from aforo.llm.common import mix64, raw_hash, slices, split_words
 
 #: Words in a window, share of an item's windows that must be found, words of a window that must be
-#: words, share of slots that may disagree, bits of the filter.
-WINDOW, FOUND, LITERAL, DISAGREE, FILTER_BITS = 8, 0.5, 4, 0.1, 1 << 23
+#: words, share of slots that may disagree, bits of the filter, words that may shift within an item.
+WINDOW, FOUND, LITERAL, DISAGREE, FILTER_BITS, SHIFT = 8, 0.5, 4, 0.1, 1 << 23, 8
 
 #: Units of measure, singular or plural, and their signs.
 UNITS = frozenset(
@@ -140,7 +142,7 @@ class Canonical:
 
 
 def _items(window: int):
-    schema = pa.schema([("item_id", pa.int64()), ("width", pa.int32()), ("h", pa.int64()), ("values", pa.list_(pa.string()))])
+    schema = pa.schema([("item_id", pa.int64()), ("width", pa.int32()), ("h", pa.int64()), ("at", pa.int32()), ("values", pa.list_(pa.string()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
@@ -149,14 +151,14 @@ def _items(window: int):
             for width in sorted({min(window, int(x)) for x in n if x}):
                 start, h, owner = made.windows(width)
                 own = np.minimum(n[owner], window) == width
-                rows += [(ids[o], width, x, made.values(s, width)) for s, x, o in zip(start[own].tolist(), h[own].view(np.int64).tolist(), owner[own].tolist())]
+                rows += [(ids[o], width, x, s - int(made.offsets[o]), made.values(s, width)) for s, x, o in zip(start[own].tolist(), h[own].view(np.int64).tolist(), owner[own].tolist())]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
     return run
 
 
 def _probe(widths: list[int], bits):
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("h", pa.int64()), ("found", pa.list_(pa.string()))])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("h", pa.int64()), ("place", pa.int32()), ("first", pa.bool_()), ("found", pa.list_(pa.string()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
@@ -168,9 +170,8 @@ def _probe(widths: list[int], bits):
                 hit = np.flatnonzero((table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
                 seen = set()
                 for s, x, o in zip(start[hit].tolist(), h[hit].view(np.int64).tolist(), owner[hit].tolist()):
-                    if (o, x) not in seen:
-                        seen.add((o, x))
-                        out.append((rows[o], ids[o], texts[o], x, made.values(s, width)))
+                    out.append((rows[o], ids[o], texts[o], x, s - int(made.offsets[o]), (o, x) not in seen, made.values(s, width)))
+                    seen.add((o, x))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
         Canonical._known.clear()
 
@@ -201,21 +202,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``row`` tells rows of equal id apart; it numbers the rows as ``docs`` is read.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).mapInArrow(_items(window), "item_id long, width int, h long, values array<string>")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).mapInArrow(_items(window), "item_id long, width int, h long, at int, values array<string>")
     items = items.dropDuplicates(["item_id", "h"]).persist()
     widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most ``window`` numbers
     bits = spark.sparkContext.broadcast(_bit_table(items))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), raw_hash(F.col(text_col)).alias("text_hash")).withColumn("row", F.monotonically_increasing_id())
-    hits = rows.mapInArrow(_probe(widths, bits), "row long, doc_id long, text_hash long, h long, found array<string>")
+    hits = rows.mapInArrow(_probe(widths, bits), "row long, doc_id long, text_hash long, h long, place int, first boolean, found array<string>")
     sizes = items.groupBy(F.col("item_id").alias("of_item")).agg(F.count("*").alias("n_windows"))
-    pairs = hits.join(items, "h").groupBy("row", "doc_id", "text_hash", "item_id").agg(
-        F.count("*").alias("n_found"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("values", "found")))).alias("slots")
+    shift = F.col("place") - F.col("at")
+    # alternatives: first occurrences, equal shifts, and shifts in either of two rows of overlapping ranges
+    near = [F.struct(F.lit(i).alias("kind"), x.cast("long").alias("shift")) for i, x in enumerate((F.lit(0), shift, F.floor(shift / (2 * SHIFT)), F.floor((shift + SHIFT) / (2 * SHIFT))))]
+    ways = F.when(F.col("first"), F.array(*near)).otherwise(F.array(*near[1:]))
+    pairs = hits.join(items, "h").withColumn("way", F.explode(ways)).groupBy("row", "doc_id", "text_hash", "item_id", "way").agg(
+        F.size(F.collect_set("h")).cast("long").alias("n_found"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("values", "found")))).alias("slots")
     )
     slots = F.size("slots")
     values = F.size(F.array_distinct(F.transform("slots", lambda s: s["values"])))
     agree = (slots - values) <= slots * DISAGREE
     pairs = pairs.join(sizes, F.col("item_id").eqNullSafe(F.col("of_item"))).select("row", "doc_id", "text_hash", "item_id", "n_windows", "n_found", values.alias("n_slots"), agree.alias("agree"))
-    return pairs.filter((F.col("n_found") >= F.col("n_windows") * found) & F.col("agree")).drop("agree")
+    best = pairs.filter((F.col("n_found") >= F.col("n_windows") * found) & F.col("agree")).groupBy("row", "doc_id", "text_hash", "item_id").agg(F.max(F.struct("n_found", "n_windows", "n_slots")).alias("b"))
+    return best.select("row", "doc_id", "text_hash", "item_id", "b.n_windows", "b.n_found", "b.n_slots")
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

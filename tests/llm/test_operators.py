@@ -155,6 +155,16 @@ def test_decontamination_equals_brute_force(spark, real, empty):
     assert decontaminate.contaminated(empty, items).count() == 0 and decontaminate.contaminated(table, items.limit(0)).count() == 0
 
 
+def test_decontamination_after_another_use_of_the_template(spark):
+    item = "If Tom has 3 apples and buys 5 kg of flour, then how much does Tom pay in total for everything today?"
+    other = "If Ann has 7 apples and buys 9 kg of sugar while it rains, what will the shop earn this week?"
+    inserted = item.replace("in total", "in the shop in total")
+    rows = [(1, f"{other} {item}"), (2, f"{other} so {inserted}"), (3, f"{other} {other}"), (4, item)]
+    items = spark.createDataFrame([(900, item)], "item_id long, text string")
+    got = sorted(r.doc_id for r in decontaminate.contaminated(docs(spark, rows), items).collect())
+    assert got == [1, 2, 4]
+
+
 # 4 URLs
 
 
