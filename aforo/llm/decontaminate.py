@@ -1,12 +1,16 @@
 """Benchmark decontamination by template windows.
 
-Texts are canonicalised word by word: numbers become ``<num>``, units of measure ``<unit>`` and names
-(capitalised words inside a sentence) ``<name>``; other words are lower-cased and lose punctuation. A
-window is ``WINDOW`` canonical words of an item (a shorter item is one window); windows that are mostly
-slots say nothing and are left out. Documents and items meet in a hash join of window hashes. An item
-is found in a document if enough of its distinct windows are there and the slots agree: what stood in
-one slot value of the item must be one value in the document, so that a question asked again with
-other numbers, names or units is caught, and a chance likeness of templates is not.
+Texts are canonicalised word by word: numbers (digits or words) become ``<num>``, units of measure after a number
+``<unit>`` and names ``<name>``; other words are lower-cased and lose punctuation. Names are capitalised words,
+at the beginning of a sentence or line only if they are no common opening word; a number with its unit in one word
+(5kg) counts as two. A window is ``WINDOW`` canonical words of an item (a shorter item is one window). A window with
+fewer than ``LITERAL`` words that are no slots says too little as a template and stands for itself: it is compared
+with the values in its slots. An item of fewer than ``LITERAL`` words is found only in texts of just these words.
+
+Documents and items meet in a hash join of window hashes. An item is found in a document if enough of its distinct
+windows are there and the slots agree: what stood in one slot value of the item must be one value in the document, so
+that a question asked again with other numbers, names or units is caught, and a chance likeness of templates is not;
+or if ``VERBATIM`` words in a row are there, values included.
 
 The documents' windows don't move: each task first asks a filter of fixed size (a bit table of
 ``FILTER_BITS`` bits, made from the items, of whatever number) and only windows that pass, with the values in
@@ -15,8 +19,8 @@ for each place that the item may have in the document: windows as far from the d
 item's, give or take nothing or up to ``SHIFT`` words put in or left out, and also the first occurrences of
 all windows, wherever they are. An item is found if any of these passes.
 
-Nulls: null texts are empty, match nothing; a null item or document id is carried as null. Items
-of fewer than ``LITERAL`` words say too little and are left out. Rows that repeat are reported each. Empty tables give an empty
+Nulls: null texts are empty, match nothing; a null item or document id is carried as null. Items are told apart by row,
+so that ids may repeat or be null. Rows that repeat are reported each. Empty tables give an empty
 result. Other columns are not read.
 """
 
@@ -32,11 +36,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aforo.llm.common import mix64, raw_hash, slices, split_words
+from aforo.llm.common import checkpoint, mix64, raw_hash, slices, split_words
 
-#: Words in a window, share of an item's windows that must be found, words of a window that must be
-#: words, share of slots that may disagree, bits of the filter, words that may shift within an item.
-WINDOW, FOUND, LITERAL, DISAGREE, FILTER_BITS, SHIFT = 8, 0.5, 4, 0.1, 1 << 23, 8
+#: Words in a window, share of an item's windows that must be found, words of a template that must be
+#: words, share of slots that may disagree, bits of the filter, words that may shift within an item, words in a row that suffice.
+WINDOW, FOUND, LITERAL, DISAGREE, FILTER_BITS, SHIFT, VERBATIM = 8, 0.5, 4, 0.1, 1 << 23, 8, 13
 
 #: Units of measure, singular or plural, and their signs.
 UNITS = frozenset(
@@ -45,113 +49,149 @@ UNITS = frozenset(
     "s sec second seconds minute minutes hour hours day days week weeks month months year years hz khz mhz ghz w kw mw watt watts volt volts "
     "j kj joule joules n newton newtons kpa bar degree degrees percent dollar dollars euro euros cent cents usd eur gbp kb mb gb tb km/h mph m/s".split()
 )
-_NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:e[+-]?\d+)?%?$")
+NUMBER_WORDS = frozenset(
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
+)
+#: Words that open a sentence with a capital and are no names.
+OPENERS = frozenset(
+    "the a an and or but if when while what which who whose where why how there this that these those it its he she they we you i "
+    "in on at by for from to of with as is are was were be do does did can could should would will may not no each every all some "
+    "after before since then so because given find let "
+    "el la los las un una y o si cuando que qué cómo de en por para con se su es son "
+    "le les une et ou quand quel quelle comment dans pour par avec il elle ce ces est sont "
+    "der die das ein eine und oder wenn was welche wie wer wo im an auf für von mit er sie wir ist sind".split()
+)
+_NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:e[+-]?\d+)?(?:%|st|nd|rd|th)?$")
+_GLUED = re.compile(r"([+-]?\d[\d.,]*)([^\W\d_][^\W\d_/]*(?:/[^\W\d_]+)?)$")
 _STRIP = "\"'`.,;:!?()[]{}<>*_~|#$%&…“”‘’«»¿¡"
 _END = ".!?:\n"
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
-_WORD, _NUM, _UNIT, _CAPITAL = 0, 1, 2, 4
-#: Raw words whose attributes a worker keeps at most.
+_WORD, _NUM, _UNIT, _CAPITAL, _OPENER = 0, 1, 2, 4, 8
+#: Raw words whose tokens a worker keeps at most.
 CACHED = 150_000
 
 
-def _attributes(raw: str) -> tuple[str, int, bool]:
-    """Of a raw word: itself without punctuation in lower case, what it may be, whether a sentence ends."""
-    bare = raw.strip(_STRIP)
-    low = bare.lower()
-    kind = _NUM if _NUMBER.match(low) else _UNIT * (low in UNITS) | _CAPITAL * (len(bare) > 1 and bare[0].isupper() and bare[1:].islower())
-    return low, kind, raw[-1] in _END
+def _singular(unit: str) -> str:
+    return {"feet": "foot", "inches": "inch"}.get(unit) or (unit[:-1] if unit[-1:] == "s" and unit[:-1] in UNITS else unit)
 
 
-def canonical(text: str) -> tuple[list[str], list[str]]:
-    """The canonical words of a text, and for each the value if it is a slot, else an empty string.
-
-    White space is what it is for split_words. A capitalised word is a name unless a line or a sentence
-    begins with it; a unit is one only after a number.
+def _tokens(raw: str) -> tuple[list[tuple[str, int]], bool]:
+    """Of a raw word: its tokens (in lower case without punctuation, and what each may be), whether a sentence ends."""
+    bare = raw.strip(_STRIP)
+    low, ends = bare.lower(), raw[-1] in _END
+    if not low:
+        return [], ends
+    glued = _GLUED.match(low)
+    if glued and glued[2] in UNITS:
+        return [(glued[1], _NUM), (glued[2], _UNIT)], ends
+    if _NUMBER.match(low) or all(x in NUMBER_WORDS for x in low.split("-")):
+        return [(low, _NUM)], ends
+    capital = _CAPITAL * (len(bare) > 1 and bare[0].isupper() and bare[1:].islower())
+    return [(low, _UNIT * (low in UNITS) | capital | _OPENER * (low in OPENERS))], ends
+
+
+def canonical(text: str) -> tuple[list[str], list[str], list[str]]:
+    """The canonical words of a text, for each the value if it is a slot, else an empty string, and the words in lower case.
+
+    White space is what it is for split_words. A unit is one only after a number; its value is the singular.
     """
-    words, values = [], []
+    words, values, lows = [], [], []
     for line in text.split("\n"):
         opens = True
         for raw in re.findall(r"[^\x20\x09-\x0d]+", line):
-            low, kind, ends = _attributes(raw)
-            if not low:
-                opens = opens or ends
-                continue
-            slot = NUM if kind == _NUM else UNIT if kind & _UNIT and words and words[-1] == NUM else NAME if kind & _CAPITAL and not opens else ""
-            words.append(slot or low)
-            values.append(low if slot else "")
-            opens = ends
-    return words, values
+            tokens, ends = _tokens(raw)
+            for low, kind in tokens:
+                name = kind & _CAPITAL and not (opens and kind & _OPENER)
+                slot = NUM if kind == _NUM else UNIT if kind & _UNIT and words and words[-1] == NUM else NAME if name else ""
+                words.append(slot or low)
+                values.append(_singular(low) if slot == UNIT else low if slot else "")
+                lows.append(low)
+                opens = False
+            opens = ends or opens
+    return words, values, lows
 
 
 class Canonical:
     """Canonical words of many texts at once, as arrays; what canonical() says of each."""
 
-    _known: dict[str, tuple[str, int, bool, int]] = {}
+    _known: dict[str, tuple[list[tuple[str, int, int]], bool]] = {}
 
     def __init__(self, texts: pa.Array):
         marked = pc.replace_substring(pc.fill_null(texts, ""), "\n", " \x01 ")
         raw, offsets = split_words(marked, lower=False)
         coded = raw.dictionary_encode()
-        uniques = coded.dictionary.to_pylist()
         known = self._known
         if len(known) > CACHED:
             known.clear()
         table = []
-        for w in uniques:
+        for w in coded.dictionary.to_pylist():
             got = known.get(w)
             if got is None:
-                low, kind, ends = ("", 0, True) if w == "\x01" else _attributes(w)
-                got = known[w] = low, kind, ends, xxhash.xxh3_64_intdigest(low)
+                tokens, ends = ([], True) if w == "\x01" else _tokens(w)
+                got = known[w] = [(low, kind, xxhash.xxh3_64_intdigest(low)) for low, kind in tokens], ends
             table.append(got)
-        self.lows = [t[0] for t in table]
         code = coded.indices.to_numpy()
-        kind, ends, full = (np.array([f(t) for t in table], t_)[code] if len(table) else np.zeros(0, t_) for f, t_ in ((lambda t: t[1], np.int8), (lambda t: t[2], bool), (lambda t: bool(t[0]), bool)))
-        hashes = np.array([t[3] for t in table], np.uint64)[code] if len(table) else np.zeros(0, np.uint64)
-        before = np.concatenate([[0], np.cumsum(full)])
+        flat = [t for tokens, _ in table for t in tokens]
+        self.lows = [t[0] for t in flat]
+        each = np.array([len(tokens) for tokens, _ in table], np.int64)
+        many, ends = each[code], np.array([e for _, e in table], bool)[code]
+        before = np.concatenate([[0], np.cumsum(many)])
         self.offsets = before[offsets]
+        at = np.repeat(np.arange(len(code)), many)  # each token's word
+        self.code = np.arange(len(at)) - before[at] + (np.cumsum(each) - each)[code[at]]
+        kind = np.array([t[1] for t in flat], np.int8)[self.code]
         ended = np.concatenate([[0], np.cumsum(ends)])
-        at = np.flatnonzero(full)
         first = np.zeros(len(at), bool)
         first[self.offsets[:-1][np.diff(self.offsets) > 0]] = True
-        previous = np.concatenate([[0], at[:-1]]) if len(at) else at
+        previous = np.concatenate([at[:1], at[:-1]])
         opens = first | (ended[at] > ended[previous])
-        self.code, kind = code[at], kind[at]
         number = kind == _NUM
-        unit = ((kind & _UNIT) > 0) & np.concatenate([[False], number[:-1]]) & ~first if len(at) else number
-        name = ((kind & _CAPITAL) > 0) & ~number & ~unit & ~opens
-        self.slot = number | unit | name
-        self.hashes = hashes[at]
+        unit = ((kind & _UNIT) > 0) & np.concatenate([number[:0], [False] * bool(len(at)), number[:-1]]).astype(bool) & ~first
+        name = ((kind & _CAPITAL) > 0) & ~unit & ~(opens & ((kind & _OPENER) > 0))
+        self.unit, self.slot = unit, number | unit | name
+        self.raw = np.array([t[2] for t in flat], np.uint64)[self.code]
+        self.hashes = self.raw.copy()
         for which, mark in ((number, NUM), (unit, UNIT), (name, NAME)):
             self.hashes[which] = xxhash.xxh3_64_intdigest(mark)
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each window of ``width`` words with enough words among them: first word, hash, text."""
+        """Of each window of ``width`` words: first word, hash (of the template, or of the words where they say more), text."""
         n = np.diff(self.offsets)
         owner = np.repeat(np.arange(len(n)), n)
         at = np.arange(len(owner))
         start = at[at + width <= self.offsets[owner + 1]]
+        if width < LITERAL:
+            start = start[n[owner[start]] == width]
         slots = np.concatenate([[0], np.cumsum(self.slot)])
-        start = start[width - (slots[start + width] - slots[start]) >= LITERAL]
+        exact = width - (slots[start + width] - slots[start]) < LITERAL
         h = np.zeros(len(start), np.uint64)
-        for j in range(width):
-            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + self.hashes[start + j] + np.uint64(j + 1))
+        for which, words, seed in ((~exact, self.hashes, 0), (exact, self.raw, 1)):
+            own = start[which]
+            x = np.full(len(own), seed, np.uint64)
+            for j in range(width):
+                x = mix64(x * np.uint64(0x9E3779B97F4A7C15) + words[own + j] + np.uint64(j + 1))
+            h[which] = x
         return start, h, owner[start]
 
     def values(self, start: int, width: int) -> list[str]:
-        return [self.lows[self.code[i]] for i in range(start, start + width) if self.slot[i]]
+        return [_singular(self.lows[self.code[i]]) if self.unit[i] else self.lows[self.code[i]] for i in range(start, start + width) if self.slot[i]]
 
 
 def _items(window: int):
-    schema = pa.schema([("item_id", pa.int64()), ("width", pa.int32()), ("h", pa.int64()), ("at", pa.int32()), ("values", pa.list_(pa.string()))])
+    schema = pa.schema([("item", pa.int64()), ("item_id", pa.int64()), ("width", pa.int32()), ("h", pa.int64()), ("at", pa.int32()), ("opening", pa.bool_()), ("values", pa.list_(pa.string()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
-            ids, made, rows = piece.column("item_id").to_pylist(), Canonical(piece.column("text")), []
+            items, ids, made, rows = piece.column("item").to_pylist(), piece.column("item_id").to_pylist(), Canonical(piece.column("text")), []
             n = np.diff(made.offsets)
             for width in sorted({min(window, int(x)) for x in n if x}):
                 start, h, owner = made.windows(width)
                 own = np.minimum(n[owner], window) == width
-                rows += [(ids[o], width, x, s - int(made.offsets[o]), made.values(s, width)) for s, x, o in zip(start[own].tolist(), h[own].view(np.int64).tolist(), owner[own].tolist())]
+                seen = set()
+                for s, x, o in zip(start[own].tolist(), h[own].view(np.int64).tolist(), owner[own].tolist()):
+                    rows.append((items[o], ids[o], width, x, s - int(made.offsets[o]), (o, x) not in seen, made.values(s, width)))
+                    seen.add((o, x))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
     return run
@@ -196,31 +236,43 @@ def _bit_table(items: DataFrame) -> np.ndarray:
     return table
 
 
+#: The most numbers in a row among ``places``.
+_IN_A_ROW = """
+aggregate(array_sort(places), named_struct('last', -2, 'run', 0, 'most', 0), (a, x) -> named_struct(
+  'last', x, 'run', IF(x = a.last + 1, a.run + 1, 1), 'most', greatest(a.most, IF(x = a.last + 1, a.run + 1, 1))), a -> a.most)
+"""
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, found: float = FOUND) -> DataFrame:
     """(row, doc_id, text_hash, item_id, n_windows, n_found, n_slots) for each item found in a row of ``docs``.
 
     ``row`` tells rows of equal id apart; it numbers the rows as ``docs`` is read.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).mapInArrow(_items(window), "item_id long, width int, h long, at int, values array<string>")
-    items = items.dropDuplicates(["item_id", "h"]).persist()
+    items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), F.col("text"))
+    items = checkpoint(items.mapInArrow(_items(window), "item long, item_id long, width int, h long, at int, opening boolean, values array<string>"))
     widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most ``window`` numbers
     bits = spark.sparkContext.broadcast(_bit_table(items))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), raw_hash(F.col(text_col)).alias("text_hash")).withColumn("row", F.monotonically_increasing_id())
     hits = rows.mapInArrow(_probe(widths, bits), "row long, doc_id long, text_hash long, h long, place int, first boolean, found array<string>")
-    sizes = items.groupBy(F.col("item_id").alias("of_item")).agg(F.count("*").alias("n_windows"))
+    sizes = items.groupBy(F.col("item").alias("of_item")).agg(F.countDistinct("h").alias("n_windows"))
     shift = F.col("place") - F.col("at")
     # alternatives: first occurrences, equal shifts, and shifts in either of two rows of overlapping ranges
     near = [F.struct(F.lit(i).alias("kind"), x.cast("long").alias("shift")) for i, x in enumerate((F.lit(0), shift, F.floor(shift / (2 * SHIFT)), F.floor((shift + SHIFT) / (2 * SHIFT))))]
-    ways = F.when(F.col("first"), F.array(*near)).otherwise(F.array(*near[1:]))
-    pairs = hits.join(items, "h").withColumn("way", F.explode(ways)).groupBy("row", "doc_id", "text_hash", "item_id", "way").agg(
-        F.size(F.collect_set("h")).cast("long").alias("n_found"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("values", "found")))).alias("slots")
+    ways = F.when(F.col("first") & F.col("opening"), F.array(*near)).otherwise(F.array(*near[1:]))
+    same = (F.col("way.kind") == 1) & (F.col("values") == F.col("found"))
+    pairs = hits.join(items, "h").withColumn("way", F.explode(ways)).groupBy("row", "doc_id", "text_hash", "item", "item_id", "way").agg(
+        F.size(F.collect_set("h")).cast("long").alias("n_found"),
+        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("values", "found")))).alias("slots"),
+        F.collect_set(F.when(same, F.col("at"))).alias("places"),
     )
     slots = F.size("slots")
     values = F.size(F.array_distinct(F.transform("slots", lambda s: s["values"])))
     agree = (slots - values) <= slots * DISAGREE
-    pairs = pairs.join(sizes, F.col("item_id").eqNullSafe(F.col("of_item"))).select("row", "doc_id", "text_hash", "item_id", "n_windows", "n_found", values.alias("n_slots"), agree.alias("agree"))
-    best = pairs.filter((F.col("n_found") >= F.col("n_windows") * found) & F.col("agree")).groupBy("row", "doc_id", "text_hash", "item_id").agg(F.max(F.struct("n_found", "n_windows", "n_slots")).alias("b"))
+    verbatim = F.expr(_IN_A_ROW) + window - 1 >= max(VERBATIM, window + 1)
+    pairs = pairs.join(sizes, F.col("item") == F.col("of_item"))
+    good = pairs.filter((F.col("n_found") >= F.col("n_windows") * found) & agree | verbatim)
+    best = good.groupBy("row", "doc_id", "text_hash", "item", "item_id").agg(F.max(F.struct("n_found", "n_windows", values.alias("n_slots"))).alias("b"))
     return best.select("row", "doc_id", "text_hash", "item_id", "b.n_windows", "b.n_found", "b.n_slots")
 
 
