@@ -15,9 +15,14 @@ What is left stays a Spark table; texts ask for what they need of it in a join b
 fixed size says what need not be asked. Labels are broadcast only if there are at most
 ``BROADCAST_LABELS``; beyond, texts and labels meet in a shuffle join.
 
+Texts are measured in pieces of ``PIECE`` bytes, with what the longest stretch needs of the piece before, so
+that a worker's memory does not grow with a text. Log ratios are whole numbers (of 2^-20), so that sums are exact
+and a score depends on its text alone, not on how rows are dealt or batched.
+
 Nulls: a null text is empty; an empty text has a ratio of one, and so the score the logistic function
 gives to that. A null id is never held out nor labelled. Several labels for one id count as the
-largest. Without labels of both kinds every score is 0. Other columns are not read.
+largest; rows that repeat are scored alike. Without labels of both kinds every score is 0. An empty table gives
+an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +45,10 @@ SLOTS, CONTEXT_SLOTS = 2_097_143, 1_048_573
 HELD, FILTER_BITS = 4_000_000, 1 << 25
 #: No key left in a slot; what tells contexts from 6-grams among the ratios without a slot.
 _EMPTY, _CONTEXT = 0xFFFFFFFF, 1 << 48
-#: Lengths of stretches in bytes.
-STRETCHES = (8, 16, 32, 64)
+#: Lengths of stretches in bytes, bytes measured at a time, log ratios per unit.
+STRETCHES, PIECE, UNIT = (8, 16, 32, 64), 1 << 18, 1 << 20
+#: 6-grams that a task holds before it sends their counts on.
+COUNTED = 1_000_000
 #: Labelled rows that the logistic function is fitted on at most; labels broadcast at most.
 FITTED_ROWS, BROADCAST_LABELS = 20_000, 2_000_000
 THRESHOLD = 0.3
@@ -48,15 +56,28 @@ THRESHOLD = 0.3
 _SPACES = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 
 
-def _grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """6-grams of all texts as integers, one for each byte, and the n + 1 offsets of the texts.
+def _pieces(texts: list[bytes | None], carry: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Lists of (text, bytes carried over, ORDER bytes of context and the piece), of about PIECE bytes together."""
+    out, held = [], 0
+    for i, text in enumerate(texts):
+        for start in range(0, len(text or b""), PIECE):
+            end, first = min(start + PIECE, len(text)), max(0, start - carry)
+            out.append((i, start - first, b" " * max(0, ORDER - first) + text[max(0, first - ORDER) : end]))
+            held += end - first
+            if held >= PIECE:
+                yield out
+                out, held = [], 0
+    if out:
+        yield out
+
 
-    A to Z are lower-cased, white space is a space, and six spaces stand before each text.
+def _grams(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """6-grams of all pieces as integers, one for each byte after the context, and the n + 1 offsets of the pieces.
+
+    A to Z are lower-cased, white space is a space.
     """
-    made = [(t or b"").lower().translate(_SPACES) for t in texts]
-    sizes = np.fromiter(map(len, made), np.int64, len(made))
-    pad = b" " * ORDER
-    raw = np.frombuffer(b"".join(x for t in made for x in (pad, t)), np.uint8)
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) - ORDER
+    raw = np.frombuffer(b"".join(pieces).lower().translate(_SPACES), np.uint8)
     keep = np.ones(len(raw), bool)
     starts = np.cumsum(sizes + ORDER) - sizes - ORDER
     keep[(starts[:, None] + np.arange(ORDER)).ravel()] = False
@@ -67,7 +88,7 @@ def _grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """6-grams of a task's texts with their counts in ordinary (c0) and toxic (c1) ones."""
+    """6-grams of a task's texts with their counts in ordinary (c0) and toxic (c1) ones; several rows for one 6-gram where there are many."""
     held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
 
     def merge(parts):
@@ -76,24 +97,30 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         return keys, np.bincount(back, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
 
-    for piece in slices(batches, "text"):
-        toxic = piece.column("toxic").to_numpy()
-        grams, offsets = _grams(piece.column("text").to_pylist())
-        of = np.repeat(toxic, np.diff(offsets))
-        for c in (0, 1):
-            held[c].append(np.unique(grams[of == c], return_counts=True))
-            if len(held[c]) > 4:
-                held[c] = [merge(held[c])]
-    for c in (0, 1):
+    def send(c: int) -> Iterator[pa.RecordBatch]:
         keys, n = merge(held[c])
-        zero = np.zeros_like(n)
+        held[c], zero = [], np.zeros_like(n)
         for at in range(0, len(keys), 100_000):
             part = slice(at, at + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[part].astype(np.int64), *((n[part], zero[part]) if c == 0 else (zero[part], n[part])))], names=["g", "c0", "c1"])
 
+    for batch in slices(batches, "text", PIECE):
+        toxic = batch.column("toxic").to_pylist()
+        for part in _pieces(batch.column("text").to_pylist(), 0):
+            for c in (0, 1):
+                own = [p for i, _, p in part if toxic[i] == c]
+                if own:
+                    held[c].append(np.unique(_grams(own)[0], return_counts=True))
+                if len(held[c]) > 8:
+                    held[c] = [merge(held[c])]
+                if held[c] and len(held[c][0][0]) > COUNTED:
+                    yield from send(c)
+    for c in (0, 1):
+        yield from send(c)
+
 
 def kneser_ney(types: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Log ratios from the counts (g, c0, c1): (g, weight, ratio) by 6-gram and (h, weight, ratio) by context.
+    """Log ratios in units from the counts (g, c0, c1): (g, weight, ratio) by 6-gram and (h, weight, ratio) by context.
 
     The chain of backoff is 6, 4, 2 and no byte before; each shorter n-gram counts the longer ones that
     end in it, in either class.
@@ -116,16 +143,19 @@ def kneser_ney(types: DataFrame) -> tuple[DataFrame, DataFrame]:
         own = F.when(F.col(f"t{c}") > 0, F.greatest(F.col(f"c{c}") - d, F.lit(0.0)) / F.col(f"t{c}")).otherwise(0.0)
         return own + freed(c) * F.col("p4")
 
-    grams = keyed.join(p4, "k4").join(contexts, "h").select("g", (F.col("c0") + F.col("c1")).alias("weight"), F.log(p("1") / p("0")).alias("ratio"))
-    return grams, contexts.select("h", (F.col("t0") + F.col("t1")).alias("weight"), F.log(freed("1") / freed("0")).alias("ratio"))
+    def units(x: Column) -> Column:
+        return F.round(F.log(x) * UNIT).cast("int").alias("ratio")
+
+    grams = keyed.join(p4, "k4").join(contexts, "h").select("g", (F.col("c0") + F.col("c1")).alias("weight"), units(p("1") / p("0")))
+    return grams, contexts.select("h", (F.col("t0") + F.col("t1")).alias("weight"), units(freed("1") / freed("0")))
 
 
 def _slots(table: DataFrame, key: str, n: int) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame]:
     """The table as arrays of ``n`` slots, what is left of the key (or all ones) and the ratio; and the rows without a slot."""
     slot = F.pmod(key, F.lit(n)).cast("int").alias("slot")
-    best = checkpoint(table.groupBy(slot).agg(F.max(F.struct("weight", key, "ratio")).alias("b")).select("slot", F.col(f"b.{key}").alias("taken"), F.col("b.ratio").cast("float").alias("ratio")))
+    best = checkpoint(table.groupBy(slot).agg(F.max(F.struct("weight", key, "ratio")).alias("b")).select("slot", F.col(f"b.{key}").alias("taken"), F.col("b.ratio").alias("ratio")))
     got = best.select("slot", F.expr(f"cast(taken div {n} as long) AS rest"), "ratio").toArrow()
-    rest, ratio = np.full(n, _EMPTY, np.uint32), np.zeros(n, np.float32)
+    rest, ratio = np.full(n, _EMPTY, np.uint32), np.zeros(n, np.int32)
     at = got.column("slot").to_numpy()
     rest[at], ratio[at] = got.column("rest").to_numpy().astype(np.uint32), got.column("ratio").to_numpy()
     return (rest, ratio), table.join(best.select(F.col("taken").alias(key)), key, "left_anti")
@@ -146,7 +176,7 @@ def _bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _Ratios = tuple[np.ndarray, np.ndarray]
-_NONE: _Ratios = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+_NONE: _Ratios = np.zeros(0, np.uint64), np.zeros(0, np.int32)
 
 
 def _sorted(keys: pa.Array, ratios: pa.Array) -> _Ratios:
@@ -154,39 +184,14 @@ def _sorted(keys: pa.Array, ratios: pa.Array) -> _Ratios:
     return keys, ratios.to_numpy()[first]
 
 
-def _beyond(model: Model, others: DataFrame) -> None:
-    """Ratios without a slot (k, weight, ratio): the most frequent go into the model's arrays, the others into its table."""
-    light = F.least("weight", F.lit(10_000))
-    sizes = others.groupBy(light.alias("w")).count().orderBy(F.desc("w")).collect()  # at most 10,000 rows
-    least, n = None, 0
-    for r in sizes:
-        n += r["count"]
-        if n > HELD:
-            break
-        least = r.w
-    held = others.filter(light >= least) if least is not None else others.limit(0)
-    got = held.select("k", "ratio").toArrow().combine_chunks()
-    model.held = _sorted(got.column("k").combine_chunks(), got.column("ratio").combine_chunks()) if got.num_rows else _NONE
-    if n > HELD:
-        model.asked = others.filter(light < least if least is not None else F.lit(True)).select("k", "ratio")
-        got = model.asked.select("k").mapInArrow(_bits, "at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-        model.filter = np.zeros(FILTER_BITS // 8, np.uint8)
-        model.filter[got.column("at").to_numpy()] = got.column("bits").to_numpy().astype(np.uint8)
-
-
 @dataclass
-class Model:
+class Tables:
+    """What workers hold of the log ratios."""
+
     grams: tuple[np.ndarray, np.ndarray]
     contexts: tuple[np.ndarray, np.ndarray]
-    mean: np.ndarray | None = None
-    scale: np.ndarray | None = None
-    weights: np.ndarray | None = None  # the last is the intercept
     held: _Ratios = _NONE
     filter: np.ndarray | None = None
-    asked: DataFrame | None = None  # (k, ratio) that no worker holds
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"asked": None}
 
     def _find(self, keys: np.ndarray, context: bool, answers: _Ratios) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of 6-grams or contexts: the ratio, whether there is one, and where only the table may have it."""
@@ -195,8 +200,7 @@ class Model:
         slot = slot.astype(np.int64)
         taken = left[slot]
         known = taken == rest
-        x = np.zeros(len(keys), np.float64)
-        x[known] = ratio[slot[known]]
+        x = np.where(known, ratio[slot], 0).astype(np.int64)
         unsure = np.flatnonzero(~known & (taken != _EMPTY))  # who has no slot finds another in it
         for table, ratios in (self.held, answers):
             if len(table) and len(unsure):
@@ -207,45 +211,89 @@ class Model:
                 unsure = unsure[~hit]
         return x, known, unsure
 
-    def asks(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (key, text) that the table may have."""
-        grams, offsets = _grams(texts)
-        owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
-        _, known, unsure = self._find(grams, False, _NONE)
-        new = np.flatnonzero(~known)
-        h = grams[new] >> np.uint64(8)
-        far = self._find(h, True, _NONE)[2]
-        keys = np.concatenate([grams[unsure], h[far] | np.uint64(_CONTEXT)])
-        at, bit = _place(keys)
-        hit = ((self.filter[at] >> bit) & np.uint8(1)).astype(bool)
-        return distinct_pairs(keys[hit], np.concatenate([owner[unsure], owner[new[far]]])[hit])
+    def asks(self, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(key, text) that the Spark table may have, distinct within each piece."""
+        for part in _pieces(texts, 0):
+            grams, offsets = _grams([p for _, _, p in part])
+            owner = np.repeat([i for i, _, _ in part], np.diff(offsets))
+            _, known, unsure = self._find(grams, False, _NONE)
+            new = np.flatnonzero(~known)
+            h = grams[new] >> np.uint64(8)
+            far = self._find(h, True, _NONE)[2]
+            keys = np.concatenate([grams[unsure], h[far] | np.uint64(_CONTEXT)])
+            at, bit = _place(keys)
+            hit = ((self.filter[at] >> bit) & np.uint8(1)).astype(bool)
+            yield distinct_pairs(keys[hit], np.concatenate([owner[unsure], owner[new[far]]])[hit])
 
     def features(self, texts: list[bytes | None], answers: _Ratios = _NONE) -> np.ndarray:
         """Of each text: mean log ratio, the greatest mean over stretches of each length, log length."""
-        grams, offsets = _grams(texts)
-        x, known, _ = self._find(grams, False, answers)
-        x[~known] = self._find(grams[~known] >> np.uint64(8), True, answers)[0]
-        sums = np.concatenate([[0.0], np.cumsum(x)])
-        n = np.diff(offsets)
+        n = np.array([len(t or b"") for t in texts], np.int64)
+        total, best = np.zeros(len(n), np.int64), np.full((len(n), len(STRETCHES)), np.iinfo(np.int64).min)
+        for part in _pieces(texts, max(STRETCHES) - 1):
+            grams, offsets = _grams([p for _, _, p in part])
+            owner = np.array([i for i, _, _ in part])
+            x, known, _ = self._find(grams, False, answers)
+            x[~known] = self._find(grams[~known] >> np.uint64(8), True, answers)[0]
+            sums = np.concatenate([[0], np.cumsum(x)])
+            begin, end = offsets[:-1], offsets[1:]
+            np.add.at(total, owner, sums[end] - sums[begin + [carried for _, carried, _ in part]])
+            for j, w in enumerate(STRETCHES):
+                long = np.flatnonzero(end - begin >= w)
+                if len(long):
+                    run = np.append(sums[w:] - sums[:-w], np.iinfo(np.int64).min)
+                    bounds = np.stack([begin[long], end[long] - w + 1], 1).ravel()
+                    np.maximum.at(best[:, j], owner[long], np.maximum.reduceat(run, bounds)[::2])
         out = np.zeros((len(n), len(STRETCHES) + 2))
-        out[:, 0] = (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(n, 1)
+        out[:, 0] = total / np.maximum(n, 1) / UNIT
+        for j, w in enumerate(STRETCHES):
+            out[:, j + 1] = np.where(n > w, best[:, j], total) / w / UNIT  # of a shorter text: its sum over the length
         out[:, -1] = np.log1p(n)
-        for j, w in enumerate(STRETCHES, 1):
-            out[:, j] = out[:, 0] * np.minimum(n, w) / w  # of a shorter text: its sum over the length
-            long = np.flatnonzero(n > w)
-            if len(long):
-                run = (sums[w:] - sums[:-w]) / w
-                bounds = np.stack([offsets[:-1][long], offsets[1:][long] - w + 1], 1).ravel()
-                if bounds[-1] >= len(run):
-                    run = np.append(run, -np.inf)
-                out[long, j] = np.maximum.reduceat(run, bounds)[::2]
         return out
 
-    def score(self, texts: list[bytes | None], answers: _Ratios = _NONE) -> np.ndarray:
-        if self.weights is None:
-            return np.zeros(len(texts))
-        x = (self.features(texts, answers) - self.mean) / self.scale
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
+
+def _beyond(others: DataFrame) -> tuple[_Ratios, np.ndarray | None, DataFrame | None]:
+    """Ratios without a slot (k, weight, ratio): the most frequent as arrays; of the others the filter and the table."""
+    light = F.least("weight", F.lit(10_000))
+    sizes = others.groupBy(light.alias("w")).count().orderBy(F.desc("w")).collect()  # at most 10,000 rows
+    least, n = None, 0
+    for r in sizes:
+        n += r["count"]
+        if n > HELD:
+            break
+        least = r.w
+    held = others.filter(light >= least) if least is not None else others.limit(0)
+    got = held.select("k", "ratio").toArrow().combine_chunks()
+    held = _sorted(got.column("k").combine_chunks(), got.column("ratio").combine_chunks()) if got.num_rows else _NONE
+    if n <= HELD:
+        return held, None, None
+    asked = others.filter(light < least if least is not None else F.lit(True)).select("k", "ratio")
+    got = asked.select("k").mapInArrow(_bits, "at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    bits[got.column("at").to_numpy()] = got.column("bits").to_numpy().astype(np.uint8)
+    return held, bits, asked
+
+
+@dataclass
+class Model:
+    shared: Broadcast  # of Tables: sent once, for fitting and scoring
+    asked: DataFrame | None = None  # (k, ratio) that no worker holds
+    mean: np.ndarray | None = None
+    scale: np.ndarray | None = None
+    weights: np.ndarray | None = None  # the last is the intercept
+
+    def scorer(self):
+        """A function from texts and answers to scores, small to send."""
+        shared, mean, scale, weights = self.shared, self.mean, self.scale, self.weights
+
+        def score(texts: list[bytes | None], answers: _Ratios = _NONE) -> np.ndarray:
+            if weights is None:
+                return np.zeros(len(texts))
+            x, z = shared.value.features(texts, answers), np.full(len(texts), weights[-1])
+            for j in range(x.shape[1]):  # column by column: the same rounding for any number of rows
+                z += (x[:, j] - mean[j]) / scale[j] * weights[j]
+            return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+        return score
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -261,18 +309,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def _answered(rows: DataFrame, model: Model, shared, text_col: str) -> DataFrame:
+def _answered(rows: DataFrame, model: Model, text_col: str) -> DataFrame:
     """``rows`` with two more columns at the end, keys and ratios from the model's table that their texts ask for."""
     names = [free_name(rows, c) for c in ("keys", "ratios")]
     if model.asked is None:
-        return rows.withColumns({names[0]: F.lit(None).cast("array<long>"), names[1]: F.lit(None).cast("array<float>")})
+        return rows.withColumns({names[0]: F.lit(None).cast("array<long>"), names[1]: F.lit(None).cast("array<int>")})
     key = free_name(rows, "key")
     rows = rows.withColumn(key, F.xxhash64(*(F.col(c) for c, t in rows.dtypes if c == text_col or t in ("bigint", "int", "string"))))
 
+    shared = model.shared
+
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "text"):
-            k, owner = shared.value.asks(piece.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([piece.column("key").take(pa.array(owner)), pa.array(k.view(np.int64))], names=["key", "k"])
+        for piece in slices(batches, "text", PIECE):
+            for k, owner in shared.value.asks(piece.column("text").to_pylist()):
+                yield pa.RecordBatch.from_arrays([piece.column("key").take(pa.array(owner)), pa.array(k.view(np.int64))], names=["key", "k"])
 
     asks = rows.select(F.col(key).alias("key"), F.col(text_col).cast("binary").alias("text")).mapInArrow(ask, "key long, k long").distinct()
     got = asks.join(model.asked, "k").groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("k", "ratio")).alias("a"))
@@ -300,17 +350,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     types = checkpoint(types.groupBy("g").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
     grams, contexts = map(checkpoint, kneser_ney(types))
     (of_grams, grams), (of_contexts, contexts) = _slots(grams, "g", SLOTS), _slots(contexts, "h", CONTEXT_SLOTS)
-    model = Model(of_grams, of_contexts)
-    others = grams.select(F.col("g").alias("k"), "weight", F.col("ratio").cast("float").alias("ratio")).unionByName(contexts.select(F.col("h").bitwiseOR(F.lit(_CONTEXT)).alias("k"), "weight", F.col("ratio").cast("float").alias("ratio")))
-    _beyond(model, checkpoint(others))
-    shared, width = docs.sparkSession.sparkContext.broadcast(model), len(STRETCHES) + 2
+    others = grams.select(F.col("g").alias("k"), "weight", "ratio").unionByName(contexts.select(F.col("h").bitwiseOR(F.lit(_CONTEXT)).alias("k"), "weight", "ratio"))
+    held, bits, asked = _beyond(checkpoint(others))
+    shared, width = docs.sparkSession.sparkContext.broadcast(Tables(of_grams, of_contexts, held, bits)), len(STRETCHES) + 2
+    model = Model(shared, asked)
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "text"):
+        for piece in slices(batches, "text", PIECE):
             x = shared.value.features(piece.column("text").to_pylist(), _answers(piece))
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
 
-    sample = _answered(rows.filter(left_out).select("doc_id", "toxic", "text"), model, shared, "text").mapInArrow(measure, "doc_id long, toxic int, x array<double>")
+    sample = _answered(rows.filter(left_out).select("doc_id", "toxic", "text"), model, "text").mapInArrow(measure, "doc_id long, toxic int, x array<double>")
     got = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(FITTED_ROWS).toArrow()
     x, y = np.array(got.column("x").to_pylist(), float).reshape(-1, width), got.column("toxic").to_numpy().astype(float)
     if len(set(y)) == 2:
@@ -321,27 +371,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    scores = model.scorer()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(shared.value.score(piece.column("text").to_pylist(), _answers(piece)))], names=["doc_id", "score"])
+        for piece in slices(batches, "text", PIECE):
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(scores(piece.column("text").to_pylist(), _answers(piece)))], names=["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return _answered(rows, model, shared, "text").mapInArrow(run, "doc_id long, score double")
+    return _answered(rows, model, "text").mapInArrow(run, "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score is below the threshold, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+    scores, at = model.scorer(), docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, text_col):
-            good = shared.value.score(piece.column(at).cast(pa.binary()).to_pylist(), _answers(piece)) < THRESHOLD
+        for piece in slices(batches, text_col, PIECE):
+            good = scores(piece.column(at).cast(pa.binary()).to_pylist(), _answers(piece)) < THRESHOLD
             yield piece.select(range(piece.num_columns - 2)).filter(pa.array(good))
 
-    return _answered(docs, model, shared, text_col).mapInArrow(run, docs.schema)
+    return _answered(docs, model, text_col).mapInArrow(run, docs.schema)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:

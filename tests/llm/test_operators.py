@@ -105,6 +105,32 @@ def test_rewriting_template_is_detected(spark):
     assert chat_format.read_back(chat_format.format_turns(turns.limit(0))).count() == 0
 
 
+def test_a_template_that_looks_far_back(spark, monkeypatch):
+    """Rewrites a turn ten back: seen at once with whole prefixes, at a doubling of the turns beyond FULL."""
+
+    def fading(turns):
+        return "".join(f"<{r}>{t if i > len(turns) - 10 else '.'}\n" for i, (r, t) in enumerate(turns))
+
+    turns = spark.createDataFrame([(1, i, "user", f"text {i}") for i in range(40)] + [(2, 0, "user", "a" * 300_000)], "conv_id long, turn long, role string, text string").withColumn("segment", chat_format.F.lit("mine"))
+    flags = lambda **kw: [r.rewritten for r in chat_format.format_turns(turns, fading, **kw).filter("conv_id = 1").orderBy("turn").collect()]
+    assert flags() == [i >= 9 for i in range(40)] == flags(context=2)
+    back = {r.conv_id: r for r in chat_format.read_back(chat_format.format_turns(turns, context=2)).collect()}
+    assert back[2].n_turns == 1 and back[1].n_turns == 40 and not back[1].rewritten
+    monkeypatch.setattr(chat_format, "FULL", 4)
+    late = chat_format.Rendering(fading, 2)
+    assert [i for i in range(40) if late.add(("user", f"text {i}"))[1]] == [15, 31]
+    monkeypatch.setattr(chat_format, "HELD", 50)
+    small = chat_format.Rendering(chat_format.template, 2)
+    made = [small.add(("user", f"text {i}"))[0] for i in range(40)]
+    assert "".join(made) == chat_format.template([("user", f"text {i}") for i in range(40)]) and len(small.before) == 2
+
+
+def test_repeated_turns(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "b"), (1, 0, "user", "b"), (1, 0, "assistant", "a"), (1, None, "user", "first")], "conv_id long, turn long, role string, text string")
+    got = chat_format.read_back(chat_format.format_turns(turns)).collect()[0]
+    assert got.n_turns == 4 and got.turns_sha256 == hashlib.sha256(b"user\nfirst\nassistant\na\nuser\nb\nuser\nb\n").hexdigest() and got.loss_chars == 1
+
+
 # 3 decontamination
 
 
@@ -112,46 +138,67 @@ def test_canonical_arrays_equal_plain():
     import pyarrow as pa
 
     rnd = random.Random(2)
-    texts = [None, "", LONG] + ["".join(rnd.choice([" ", "\n", " Tom", "Ann.", " 5", " kg", " ...", "x", "\t", "A", "é ", "..\n", " 3%"]) for _ in range(rnd.randrange(14))) for _ in range(500)]
+    texts = [None, "", LONG] + ["".join(rnd.choice([" ", "\n", " Tom", "Ann.", " 5", " kg", " hours", "7h", " 8miles", " The", " two", " ...", "x", "\t", "A", "é ", "..\n", " 3%"]) for _ in range(rnd.randrange(14))) for _ in range(500)]
     made = decontaminate.Canonical(pa.array(texts))
     for i, t in enumerate(texts):
-        words, values = decontaminate.canonical(t or "")
+        words, values, lows = decontaminate.canonical(t or "")
         a, b = made.offsets[i], made.offsets[i + 1]
-        assert b - a == len(words) and [made.lows[made.code[j]] if made.slot[j] else "" for j in range(a, b)] == values
+        assert b - a == len(words) and [made.lows[made.code[j]] for j in range(a, b)] == lows
+        assert [(made.values(j, 1) or [""])[0] for j in range(a, b)] == values
+
+
+def template_windows(text, k):
+    """(place, key, slot values) of each window of k words, as the module's description says."""
+    words, values, lows = decontaminate.canonical(text or "")
+    if k < decontaminate.LITERAL:
+        return [(0, ("whole", *lows), [v for v in values if v])] if 0 < len(words) == k else []
+    out = []
+    for i in range(len(words) - k + 1):
+        own = [x for x in values[i : i + k] if x]
+        out.append((i, ("template", *words[i : i + k]) if k - len(own) >= decontaminate.LITERAL else ("words", *lows[i : i + k]), own))
+    return out
 
 
 def brute_contaminated(rows, items, width=decontaminate.WINDOW):
-    out = set()
+    out, shift = set(), decontaminate.SHIFT
     for item, text in items:
-        w, v = decontaminate.canonical(text or "")
-        k = min(width, len(w))
-        wins = {}
-        for i in range(len(w) - k + 1 if k else 0):
-            if sum(not x for x in v[i : i + k]) >= decontaminate.LITERAL:
-                wins.setdefault(tuple(w[i : i + k]), [x for x in v[i : i + k] if x])
+        k = min(width, len(decontaminate.canonical(text or "")[0]))
+        own = template_windows(text, k)
+        keys = collections.defaultdict(list)
+        for at, key, values in own:
+            keys[key].append((at, values))
         for doc, t in rows:
-            dw, dv = decontaminate.canonical(t or "")
-            found, pairs = set(), set()
-            for i in range(len(dw) - k + 1):
-                key = tuple(dw[i : i + k])
-                if k and key in wins and key not in found:
-                    found.add(key)
-                    pairs |= set(zip(wins[key], [x for x in dv[i : i + k] if x]))
-            clash = len(pairs) - len({a for a, _ in pairs})
-            if wins and len(found) >= decontaminate.FOUND * len(wins) and clash <= len(pairs) * decontaminate.DISAGREE:
-                out.add((doc, item))
+            ways, seen = collections.defaultdict(list), set()
+            for place, key, found in template_windows(t, k):
+                for n, (at, values) in enumerate(keys.get(key, ())):
+                    hit, d = (key, at, list(zip(values, found)), values == found), place - at
+                    for way in ((0, 0), (1, d), (2, d // (2 * shift)), (3, (d + shift) // (2 * shift)))[n > 0 or key in seen :]:
+                        ways[way].append(hit)
+                if key in keys:
+                    seen.add(key)
+            for (kind, _), hits in ways.items():
+                pairs = {p for h in hits for p in h[2]}
+                clash = len(pairs) - len({a for a, _ in pairs})
+                same = {h[1] for h in hits if h[3]}
+                row = any(all(a + j in same for j in range(decontaminate.VERBATIM - width + 1)) for a in same)
+                if len({h[0] for h in hits}) >= decontaminate.FOUND * len(keys) and clash <= len(pairs) * decontaminate.DISAGREE or kind == 1 and row:
+                    out.add((doc, item))
     return out
 
 
 def test_decontamination_equals_brute_force(spark, real, empty):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     question = "If Tom has 3 apples and buys 5 kg of flour, then how much does Tom pay in total for everything today?"
-    items = items.unionByName(spark.createDataFrame([(900, question), (901, None), (902, "hi")], "item_id long, text string"))
+    sums = ["What is 17 times 23?", "1 2 3 5 8 13 21 34 55", "The answer is", question.upper(), "Ann had three apples. Ann bought 5kg of flour in one hour. How much did Ann pay for all of it?"]
+    items = items.unionByName(spark.createDataFrame([(900, question), (901, None), (902, "hi"), *enumerate(sums, 903)], "item_id long, text string"))
     more = [(9001, "x y. if Ann has 7 apples and buys 9 kg of flour, then how much does Ann pay in total for everything today? z"), (9002, "if Ann has 7 apples and buys 7 kg of flour, then how much does Bob pay in total for everything today?"), (9003, None), (9004, ""), (9005, "hi"), (9006, LONG)]
+    more += [(9007, "so what is 17 times 23? none"), (9008, "what is 18 times 23?"), (9009, "see 1 2 3 5 8 13 21 34 55 89"), (9010, "1 2 3 5 8 13 22 34 55"), (9011, "the Answer is"), (9012, "so the answer is")]
+    more += [(9013, "Bob had 4 apples. Bob bought seven kg of flour in 2 hours. How much did Bob pay for all of it?"), (9014, "x " * 40 + question[20:90] + " y" * 40), (9015, (question + " ") * 3 + LONG), (9016, "hi there")]
     table = real.unionByName(docs(spark, more, False))
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(table, items).collect()}
     assert got == brute_contaminated([tuple(r) for r in table.collect()], [tuple(r) for r in items.collect()])
-    assert (9001, 900) in got and (9002, 900) not in got
+    assert {(9001, 900), (9005, 902), (9007, 903), (9009, 904), (9011, 905), (9013, 907), (9014, 900), (9015, 900)} <= got
+    assert not {(9002, 900), (9008, 903), (9010, 904), (9012, 905), (9016, 902)} & got
     assert decontaminate.contaminated(empty, items).count() == 0 and decontaminate.contaminated(table, items.limit(0)).count() == 0
 
 
@@ -165,6 +212,14 @@ def test_decontamination_after_another_use_of_the_template(spark):
     assert got == [1, 2, 4]
 
 
+def test_items_with_null_or_equal_ids(spark):
+    parts = [" ".join(f"{a}{i}" for i in range(12)).replace("0", "o").replace("1", "i").replace("2", "z") for a in ("ka", "lo", "mu")]
+    parts = [re.sub(r"\d", "x", p) for p in parts]
+    items = spark.createDataFrame([(None, parts[0]), (None, parts[1]), (7, parts[2]), (7, "q " * 30)], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id or -1) for r in decontaminate.contaminated(docs(spark, [(1, parts[0]), (2, parts[2]), (2, parts[2]), (None, parts[1])]), items).collect() if r.doc_id)
+    assert got == [(1, -1), (2, 7), (2, 7)]
+
+
 # 4 URLs
 
 
@@ -180,10 +235,71 @@ def test_url_rules(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
-def test_url_model_on_held_out_hosts(spark):
-    rows = [(f"https://{h}.example.net/en/{i}", y) for i, (h, y) in enumerate([("super-casino", 1), ("cheap-pills", 1), ("free-spins-now", 1), ("adult-chat", 1), ("old-library", 0), ("river-museum", 0), ("school-history", 0), ("weather-station", 0)])]
-    got = {r.url: r.verdict for r in url_filter.filter_urls(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")).join(spark.createDataFrame(list(enumerate(u for u, _ in rows)), "page_id long, url string"), "page_id").collect()}
-    assert sum((got[u] == "block") == bool(y) for u, y in rows) >= 7
+UNWANTED = "super-casino casino-royal7 best-pills viagra-shop online-poker free-bets24 m.free-bets spam-farm cheap-pills adult-x adult-chat hot-cams payday-cash fastloans keygen-crack warez-zone torrents-free spam-links ad-tracker9 click-bonus replica-watch xxx-clips sexy-dating bet-tips jackpot-city slots-of-fun".split()
+ORDINARY = "old-library river-museum school-history weather-station cooking-tips local-news city-council physics-lectures tionsh ththnt essexlife free-books online-courses best-hikes mountain-huts poem-archive train-times harbour-news data-journal maths-help bird-songs medieval-history pillow-shop clickstream-papers roadside-cafe beta-release".split()
+
+
+def judged(spark, urls):
+    rows = [(i, u, y) for i, (u, y) in enumerate(urls)]
+    out = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, host int")).collect()
+    blocked = {r.page_id for r in out if r.verdict == "block"}
+    hits = sum(y for i, _, y in rows if i in blocked)
+    return hits / max(1, len(blocked)), hits / sum(y for _, _, y in rows)
+
+
+def test_url_model_on_new_hosts_and_paths(spark):
+    paths = [("/buy-viagra-online-casino", 1), ("/casino/bonus", 1), ("/cheap_loans", 1), ("/library/books", 0), ("/history-of-rome.html", 0), ("/2024/05/03/market-opens", 0)]
+    urls = [(f"https://{h}.example.net/en/{i}", y) for y, hosts in ((1, UNWANTED), (0, ORDINARY)) for i, h in enumerate(hosts)] + [(f"https://old-library.example.net{p}", y) for p, y in paths]
+    precision, recall = judged(spark, urls)
+    assert precision >= 0.9 and recall >= 0.9
+
+
+def test_url_model_on_hosts_left_out(spark):
+    labelled = url_filter.labelled_urls(spark).withColumn("host", url_filter.host_and_path(url_filter.F.col("url"))[0])
+    fifth = url_filter.F.crc32("host") % 5
+    weights, bias = url_filter.train(labelled.filter(fifth != 0).select("url", "label"))
+    host_at, path_at = url_filter._grams(*url_filter.host_and_path(url_filter.F.col("url")), len(weights) // 2)
+    rows = labelled.filter(fifth == 0).select("label", (url_filter.score(host_at, path_at, weights, bias) >= url_filter.THRESHOLD).alias("blocked")).toPandas()
+    hits = (rows.blocked & (rows.label == 1)).sum()
+    print("precision", hits / rows.blocked.sum(), "recall", hits / (rows.label == 1).sum())
+    assert len(rows) > 400 and hits >= 0.9 * rows.blocked.sum() and hits >= 0.9 * (rows.label == 1).sum()
+
+
+def test_url_score_equals_mllib(spark):
+    labelled = url_filter.labelled_urls(spark).limit(600)
+    model = url_filter.fit(labelled, 1024)
+    weights = tuple(model.coefficients.toArray().tolist())
+    host_at, path_at = url_filter._grams(*url_filter.host_and_path(url_filter.F.col("url")), 1024)
+    urls = labelled.unionByName(spark.createDataFrame([(None, 0.0), ("", 1.0), ("http://b/" + "x" * 5000, 0.0)], "url string, label double"))
+    rows = model.transform(url_filter.vectors(urls, 1024)).select("probability", url_filter.score(host_at, path_at, weights, float(model.intercept)).alias("mine")).collect()
+    assert all(abs(r.probability[1] - r.mine) < 1e-9 for r in rows)
+
+
+def brute_rule(host, path):
+    best = None
+    for verdict, rule in url_filter.RULES:
+        domain, _, start = rule.partition("/")
+        if (host == domain or host.endswith("." + domain)) and path.startswith("/" + start) and (best is None or len(rule) > len(best[1])):
+            best = verdict, rule
+    return best
+
+
+def test_url_rules_equal_brute_force(spark):
+    rnd = random.Random(8)
+    part = lambda *xs: "".join(rnd.choice(xs) for _ in range(rnd.randrange(4)))
+    urls = [None, "", "://", "http://"] + [part("h", "http", ":", "//", "://") + part("a.", "example.", "Example.", "ORG", "org", "com", "x") + part("/", "/en/1", "/es/", "/fr/", "/de/", "?", "#", "a") for _ in range(1500)]
+    urls += [f"https://{h}{p}" for h in ("example.org", "WWW.example.org", "com", "a.com", "xorg", "a.org") for p in ("", "/", "/en/1", "/en/12?x", "/es/", "/es", "/fr/a", "/de/#b", "?/fr/")]
+    pages = spark.createDataFrame([(i, u, "mine") for i, u in enumerate(urls)] + [(7, urls[7], "again")], "page_id long, url string, path string")
+    got = url_filter.filter_urls(pages).collect()
+    assert len(got) == len(urls) + 1 and len({tuple(r) for r in got if r.page_id == 7}) == 1
+    for r in got:
+        u = urls[r.page_id] or ""
+        tail = u.split("://", 1)[1] if "://" in u else ""
+        host = re.match("[^/?#]*", tail)[0]
+        path = re.match("[^?#]*", tail[len(host) :])[0]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        rule = brute_rule(host, path)
+        assert (r.host, r.path, r.rule) == (host, path, rule and rule[1]) and (not rule or r.verdict == rule[0]), u
 
 
 # 5 near duplicates
@@ -348,27 +464,87 @@ def test_toxicity_keeps_every_counted_gram(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(toxicity, "CONTEXT_SLOTS", 503)
         monkeypatch.setattr(toxicity, "HELD", held)
         model, got, left = run()
-        assert (model.asked is None) == (held == 10**6) and len(model.held[0]) <= held
+        assert (model.asked is None) == (held == 10**6) and len(model.shared.value.held[0]) <= held
         assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want) and left == kept
 
 
-def test_features_against_plain_loops():
-    texts = [b"", b"ab", b"some longer text " * 20, None]
-    rng = np.random.default_rng(1)
-    grams, _ = toxicity._grams(texts)
-    table = {int(g): float(rng.normal()) for g in grams}
-    rest, ratio = np.full(toxicity.SLOTS, 0xFFFFFFFF, np.uint32), np.zeros(toxicity.SLOTS, np.float32)
+def plain_features(text, ratio):
+    raw = b" " * 6 + (text or b"").lower()
+    x = [ratio(int.from_bytes(raw[i - 5 : i + 1])) for i in range(6, len(raw))]
+    sums = np.concatenate([[0], np.cumsum(x)])
+    best = [max(sums[w:] - sums[:-w]) / w if len(x) > w else sums[-1] / w for w in toxicity.STRETCHES]
+    return [sums[-1] / max(len(x), 1), *best, np.log1p(len(x))]
+
+
+@pytest.mark.parametrize("piece", [toxicity.PIECE, 100])
+def test_features_against_plain_loops(monkeypatch, piece):
+    monkeypatch.setattr(toxicity, "PIECE", piece)
+    rng = random.Random(1)
+    texts = [b"", b"ab", b"Some longer text " * 20, None, bytes(rng.choice(b"abc ") for _ in range(1000)), b"x" * 64]
+    grams, _ = toxicity._grams([b" " * 6 + (t or b"") for t in texts])
+    table = {int(g): rng.randrange(-(1 << 22), 1 << 22) for g in grams}
+    rest, ratio = np.full(toxicity.SLOTS, 0xFFFFFFFF, np.uint32), np.zeros(toxicity.SLOTS, np.int32)
     for g, x in table.items():
         rest[g % toxicity.SLOTS], ratio[g % toxicity.SLOTS] = g // toxicity.SLOTS, x
-    none = np.full(toxicity.CONTEXT_SLOTS, 0xFFFFFFFF, np.uint32), np.zeros(toxicity.CONTEXT_SLOTS, np.float32)
-    got = toxicity.Model((rest, ratio), none).features(texts)
+    none = np.full(toxicity.CONTEXT_SLOTS, 0xFFFFFFFF, np.uint32), np.zeros(toxicity.CONTEXT_SLOTS, np.int32)
+    tables = toxicity.Tables((rest, ratio), none)
+    got = tables.features(texts)
     for t, f in zip(texts, got):
-        raw = b" " * 6 + (t or b"")
-        x = [float(ratio[int.from_bytes(raw[i - 5 : i + 1]) % toxicity.SLOTS]) for i in range(6, len(raw))]
-        assert np.isclose(f[0], sum(x) / max(len(x), 1)) and np.isclose(f[-1], np.log1p(len(x)))
-        for j, w in enumerate(toxicity.STRETCHES, 1):
-            want = max((sum(x[i : i + w]) for i in range(len(x) - w + 1)), default=sum(x)) / w
-            assert np.isclose(f[j], want, atol=1e-9)
+        assert np.allclose(f, plain_features(t, lambda g: float(ratio[g % toxicity.SLOTS]) / toxicity.UNIT), atol=1e-9)
+        assert (tables.features([t]) == f).all()
+
+
+def plain_kneser_ney(rows):
+    """Log ratio of a 6-gram or, where it was not counted, of its context, from the definition."""
+    d, chain = toxicity.DISCOUNT, (6, 4, 2)
+    count = [collections.Counter(), collections.Counter()]
+    for text, c in rows:
+        raw = b" " * 6 + text.lower()
+        count[c].update(raw[i - 5 : i + 1] for i in range(6, len(raw)))
+    types = {6: set(count[0]) | set(count[1])}
+    for n, m in ((4, 6), (2, 4)):
+        types[n] = {g[-n:] for g in types[m]}
+    continued = {n: collections.Counter(g[-n:] for g in types[m]) for n, m in ((4, 6), (2, 4))}
+
+    def lower(g, n):
+        if n == 0:
+            return 1 / 256
+        same = [x for x in types[n] if x[:-1] == g[:-1]]
+        total = sum(continued[n][x] for x in same)
+        return max(continued[n][g] - d, 0) / total + d * len(same) / total * lower(g[2:], chain[chain.index(n) + 1] if n > 2 else 0)
+
+    def ratio(g):
+        p, freed = [], []
+        for c in (0, 1):
+            same = [x for x in count[c] if x[:-1] == g[:-1]]
+            total = sum(count[c][x] for x in same)
+            freed.append(d * len(same) / total if total else 1.0)
+            p.append((max(count[c][g] - d, 0) / total if total else 0.0) + freed[-1] * (lower(g[2:], 4) if g in types[6] else 0))
+        return np.log(p[1] / p[0]) if g in types[6] else np.log(freed[1] / freed[0])
+
+    return ratio
+
+
+def test_kneser_ney_against_plain_loops(spark):
+    rows = [(b"The cat sat on the mat", 0), (b"you vile cat", 1), (b"on the mat you sat", 0), (b"vile vile mat", 1), (b"Cat", 0)]
+    counts = spark.createDataFrame([(t, c) for t, c in rows], "text binary, toxic int").repartition(2).mapInArrow(toxicity._count, "g long, c0 long, c1 long")
+    grams, contexts = toxicity.kneser_ney(counts.groupBy("g").agg(toxicity.F.sum("c0").alias("c0"), toxicity.F.sum("c1").alias("c1")))
+    want = plain_kneser_ney(rows)
+    got = grams.collect()
+    assert len(got) > 40
+    for r in got:
+        assert abs(r.ratio / toxicity.UNIT - want(int(r.g).to_bytes(6))) < 1e-5
+    for r in contexts.collect():
+        assert abs(r.ratio / toxicity.UNIT - want(int(r.h).to_bytes(5) + b"\xff")) < 1e-5
+
+
+def test_a_score_depends_on_its_text_alone(spark, real):
+    model = toxicity.fit(real, spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic"))
+    score = model.scorer()
+    texts = [(r.text or "").encode() for r in real.collect()]
+    assert list(score(texts)) == [score([t])[0] for t in texts]
+    long = b"you vile scum " + b"ordinary words of any kind " * 400_000
+    assert score([b"a", long, None])[1] == score([long])[0]
 
 
 # 8 exact duplicates
@@ -420,8 +596,8 @@ def brute_spans(text):
 def test_pii_base_equals_brute_force(spark, real, tmp_path):
     rnd = random.Random(6)
     alphabet = list("0123456789") * 3 + list(" -.+()@abé%😀")
-    rows = [(1, None), (2, ""), (3, "a@b.c+d@e.f x@y..z a@b.c."), (4, "1.2.3.4.5.6.7.8 0001.002.3.255 256.1.1.1 1.2.3.00000 0.0.0.0"), (5, "é😀 4111-1111-1111-1111 +1 (017) 555-7713. +12"), (6, "1.1.1.1 " * 500)]
-    rows += [(100 + i, "".join(rnd.choice(alphabet) for _ in range(rnd.randrange(60)))) for i in range(1500)]
+    rows = [(90_001, None), (90_002, ""), (90_003, "a@b.c+d@e.f x@y..z a@b.c."), (90_004, "1.2.3.4.5.6.7.8 0001.002.3.255 256.1.1.1 1.2.3.00000 0.0.0.0"), (90_005, "é😀 4111-1111-1111-1111 +1 (017) 555-7713. +12"), (90_006, "1.1.1.1 " * 500)]
+    rows += [(91_000 + i, "".join(rnd.choice(alphabet) for _ in range(rnd.randrange(60)))) for i in range(1500)]
     real.unionByName(docs(spark, rows, False)).write.parquet(f"{tmp_path}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs(spark, rows, False).collect()}
     for r in pii.op9_pii(spark, str(tmp_path)).collect():
@@ -444,6 +620,55 @@ def test_pii_added_spans(spark):
     assert got[1] == [("phone", 5, 19)] and got[2] and got[2][0][0] == "email" and not got[3] and not got[4] and not got[5]
 
 
+def test_pii_score_equals_mllib_and_holds_out(spark):
+    """Of candidates whose texts neither trees nor thresholds have seen."""
+    rows = pii.parts(pii.labelled_candidates(spark)).coalesce(1).persist()
+    model = pii.fit(rows)
+    sql, thresholds = pii.train(pii.labelled_candidates(spark))
+    got = model.transform(rows).select("kind", "label", "part", "probability", pii.F.expr(pii.score_sql(model)).alias("mine"), pii.F.expr(sql).alias("score")).collect()
+    assert all(abs(r.probability[1] - r.mine) < 1e-9 for r in got)
+    assert not {r.text for r in rows.filter("part = 1").select("text").collect()} & {r.text for r in rows.filter("part <> 1").select("text").collect()}
+    for k, name in enumerate(pii.KINDS):
+        own = [r for r in got if r.kind == k and r.part == 1]
+        found = [r for r in own if r.score >= thresholds[k]]
+        precision, recall = sum(r.label for r in found) / len(found), sum(r.label for r in found) / sum(r.label for r in own)
+        print(name, len(own), "precision", precision, "recall", recall)
+        assert precision >= 0.9 and recall >= 0.9
+
+
+def test_pii_sweep_equals_brute_force(spark):
+    rnd = random.Random(11)
+    rows, want = [], {}
+    for i in range(400):
+        base, at = [], 0
+        for _ in range(rnd.randrange(4)):
+            at += rnd.randrange(12)
+            base.append((rnd.randrange(4), at, at + 1 + rnd.randrange(8)))
+            at = base[-1][2] if rnd.random() < 0.8 else at
+        good = [(rnd.randrange(4), a, a + 1 + rnd.randrange(9), rnd.choice([0.6, 0.7, 0.8, 0.9])) for a in (rnd.randrange(40) for _ in range(rnd.randrange(7)))]
+        good = sorted({(x[1]): x for x in good}.values())
+        rows.append((i, base, good))
+        taken = []
+        for c in sorted((c for c in good if not any(b[1] < c[2] and c[1] < b[2] for b in base)), key=lambda c: (-c[3], c[1])):
+            if not any(t[1] < c[2] and c[1] < t[2] for t in taken):
+                taken.append(c)
+        want[i] = sorted(t[:3] for t in taken)
+    chain = [(0, 0, 10, 0.8), (0, 5, 15, 0.9)]
+    rows.append((900, [(1, 12, 20)], chain))
+    want[900] = [(0, 0, 10)]
+    df = spark.createDataFrame(rows, f"i int, base array<struct<k:int,start:int,end:int>>, good array<{pii._SPAN}>")
+    for r in df.select("i", pii.F.expr(pii._SWEEP).alias("added")).collect():
+        assert sorted((x.k, x.start, x.end) for x in r.added) == want[r.i]
+
+
+def test_pii_edges(spark, empty, tmp_path):
+    assert pii.find_pii(empty).count() == 0
+    rows = [(1, "call (415) 555-0132 now, a@b.com"), (1, "call (415) 555-0132 now, a@b.com"), (None, "a@b.com 01 23 45 67 89")]
+    spark.createDataFrame([(*r, "mine", 1) for r in rows], "doc_id long, text string, spans string, base int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r.doc_id, r.spans, r.n_email, r.n_spans) for r in pii.op9_pii(spark, str(tmp_path)).collect()), key=str)
+    assert got[0] == got[1] == (1, "email:25:32,phone:5:19", 1, 2) and got[2][2] == 1
+
+
 # 10 sharding
 
 
@@ -457,7 +682,7 @@ def test_shards(spark, real, empty, tmp_path):
     rows = [(1, None), (1, None), (2, ""), (None, LONG), (3, "a"), (4, "a")]
     table = real.unionByName(docs(spark, rows, False)).withColumn("shard", sharding.F.lit("mine"))
     one = sharding.shard_documents(table, 7, f"{tmp_path}/a", bucket_bytes=20_000)
-    two = sharding.shard_documents(table.repartition(5), 7, f"{tmp_path}/b", bucket_bytes=20_000)
+    two = sharding.shard_documents(table.repartition(5), 7, f"{tmp_path}/b", bucket_bytes=20_000, most=5)
     key = lambda df: sorted((str(r.doc_id), r.text or "", r._shard, r.slot) for r in df.collect())
     assert [x[2:] for x in key(one)] == [x[2:] for x in key(two)]
     shards = collections.defaultdict(list)

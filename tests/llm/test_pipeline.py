@@ -34,9 +34,9 @@ def extended(spark, raw):
 def test_toxicity_stage(spark, raw):
     docs = extended(spark, raw)
     kept = stage("toxicity")(spark, docs, SF)
-    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic"))
+    score = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")).scorer()
     assert kept.columns == docs.columns
-    assert rows(kept) == collections.Counter((r.doc_id, r.text) for r in docs.collect() if model.score([(r.text or "").encode()])[0] < toxicity.THRESHOLD)
+    assert rows(kept) == collections.Counter((r.doc_id, r.text) for r in docs.collect() if score([(r.text or "").encode()])[0] < toxicity.THRESHOLD)
 
 
 def test_exact_stage(spark, raw):
