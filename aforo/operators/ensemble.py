@@ -68,6 +68,26 @@ def rank_normalise(df: DataFrame, x: str, name: str) -> DataFrame:
     return df.join(ranks, F.col(x).eqNullSafe(F.col("_x"))).drop("_x")
 
 
+#: Weights of the three signals of a pseudo-label, share of rows below it.
+INFRASTRUCTURE, DEVIATION, REPLACEMENT, BELOW = 0.35, 0.35, 0.30, 0.85
+
+
+def pseudo_labels(df: DataFrame, risk: DataFrame, replaced: DataFrame, deviation: str) -> DataFrame:
+    """Columns pseudo_score and pseudo_label (the highest 15 per cent), from signals that no detector has seen.
+
+    risk: barrio, risk_rank (low is risky; 0.5 where unknown); replaced: barrio, share of recent meters; ``deviation``: a size.
+    """
+    df = df.join(risk, "barrio", "left").join(replaced, "barrio", "left")
+    worst = df.agg(F.max("risk_rank").alias("_worst"))
+    df = df.crossJoin(F.broadcast(worst))  # one row
+    df = df.withColumns({"_infra": F.coalesce(1 - F.col("risk_rank") / F.col("_worst"), F.lit(0.5)), "_dev": F.coalesce(deviation, F.lit(0.0)), "_rep": F.coalesce("replaced", F.lit(0.0))})
+    df = rank_normalise(rank_normalise(df, "_dev", "_rd"), "_rep", "_rr")
+    score = F.round(INFRASTRUCTURE * F.col("_infra") + DEVIATION * F.col("_rd") + REPLACEMENT * F.col("_rr"), 9)
+    df = df.withColumn("pseudo_score", score).drop("_worst", "_infra", "_dev", "_rep", "_rd", "_rr", "risk_rank", "replaced")
+    cut = df.agg(F.percentile("pseudo_score", F.lit(BELOW)).alias("_cut"))
+    return df.crossJoin(F.broadcast(cut)).withColumn("pseudo_label", F.col("pseudo_score") >= F.col("_cut"))  # one row
+
+
 def binary_metrics(df: DataFrame, y: str, predicted: str) -> DataFrame:
     """Counts, precision, recall, F1 and Cohen's kappa in one row."""
     t, p = F.col(y).cast("int"), F.col(predicted).cast("int")

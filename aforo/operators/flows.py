@@ -52,12 +52,28 @@ def night_flow_flags(ratios: DataFrame, profile: DataFrame, threshold: float = 2
     return df.withColumn("score", F.col("z") + uso + regen).withColumn("is_anomaly", F.col("score") > threshold)
 
 
-def night_silence(df: DataFrame) -> DataFrame:
-    """Per sector and day: night hours (1 to 5) and their share of the day's mean; ladder of silence."""
-    out = df.groupBy("sector", F.col("ts").cast("date").alias("dia")).agg(F.avg(between_hours(1, 5, "caudal")).alias("night"), F.avg(between_hours(8, 21, "caudal")).alias("day"))
-    share = F.when(F.col("day") > 0, F.coalesce("night", F.lit(0.0)) / F.col("day"))
-    level = F.when(share < 0.05, "SILENCIO").when(share < 0.15, "MUY_BAJO").when(share < 0.3, "BAJO").when(share.isNull(), "SIN_DATOS").otherwise("NORMAL")
-    return out.withColumns({"share": share, "level": level})
+#: Night over day flow below the limit, and the score of silence.
+SILENCE = ((0.01, 1.0), (0.03, 0.85), (0.05, 0.6), (0.10, 0.3))
+
+
+def night_silence(df: DataFrame, key: str = "sector", x: str = "caudal") -> DataFrame:
+    """Per series and day: mean flow of the night (1 to 5 h) and the day (8 to 21 h), their ratio, a score of silence.
+
+    Days without night hours, day hours or day flow are left out.
+    """
+    out = df.groupBy(key, F.col("ts").cast("date").alias("dia")).agg(F.avg(between_hours(1, 5, x)).alias("night"), F.avg(between_hours(8, 21, x)).alias("day"))
+    out = out.filter("night IS NOT NULL AND day > 0").withColumn("ratio", F.col("night") / F.col("day"))
+    score = F.lit(0.0)
+    for limit, worth in reversed(SILENCE):
+        score = F.when(F.col("ratio") < limit, worth).otherwise(score)
+    return out.withColumn("silence", score)
+
+
+def silent_months(days: DataFrame, key: str = "sector") -> DataFrame:
+    """Per series and month, over the days with some silence: mean and greatest score, silent days (over 0.5) and their share."""
+    some = days.filter("silence > 0").groupBy(key, F.trunc("dia", "month").alias("mes"))
+    out = some.agg(F.avg("silence").alias("avg_silence"), F.max("silence").alias("max_silence"), F.count_if(F.col("silence") > 0.5).alias("days_silent"), F.count("*").alias("total_days"))
+    return out.withColumn("pct_days_silent", F.col("days_silent") / F.col("total_days"))
 
 
 def rolling_day(df: DataFrame, key: str, x: str) -> DataFrame:

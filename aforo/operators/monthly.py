@@ -128,9 +128,13 @@ def fourier(df: DataFrame) -> DataFrame:
 
 
 def external_adjusted(df: DataFrame, alpha: float = 0.03, base: float = 18.0, beta: float = 0.002, least: float = 0.5) -> DataFrame:
-    """Consumption per contract at reference weather, from columns temp and rain."""
-    factor = F.greatest(1 + alpha * (F.col("temp") - base) - beta * F.col("rain"), F.lit(least))
-    return df.withColumn("adjusted", F.col("cpc") / factor)
+    """Consumption per contract at reference weather and without visitors; drought index.
+
+    From columns avg_temp, tourist_occupancy_pct and spei_index, null where unknown (then the factor is 1, the index 0).
+    """
+    warm = F.greatest(1 + alpha * (F.coalesce("avg_temp", F.lit(base)) - base), F.lit(least))
+    visitors = 1 + beta * F.coalesce("tourist_occupancy_pct", F.lit(0.0))
+    return df.withColumns({"temp_adjusted_consumption": F.col("cpc") / warm, "tourism_adjusted_consumption": F.col("cpc") / visitors, "spei_index": F.coalesce("spei_index", F.lit(0.0))})
 
 
 def consumption_drops(df: DataFrame) -> DataFrame:

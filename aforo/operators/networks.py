@@ -6,21 +6,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def graph_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Degree, weighted degree, mean score of neighbours and of upstream nodes. nodes: id, score; edges: src, dst, w."""
-    score = nodes.select(F.col("id").alias("other"), F.col("score").alias("s"))
-    both = edges.select(F.col("src").alias("id"), F.col("dst").alias("other"), "w").unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("other"), "w"))
-    near = both.join(score, "other").groupBy("id").agg(F.count("*").alias("degree"), F.sum("w").alias("weighted_degree"), F.avg("s").alias("neighbour_score"))
-    up = edges.select(F.col("dst").alias("id"), F.col("src").alias("other")).join(score, "other").groupBy("id").agg(F.avg("s").alias("upstream_score"))
-    out = nodes.join(near, "id", "left").join(up, "id", "left")
-    return out.fillna({"degree": 0, "weighted_degree": 0.0, "neighbour_score": 0.0, "upstream_score": 0.0})
-
-
-def network_class(features: DataFrame, high: float) -> DataFrame:
-    """PROPAGATION if an upstream node is high too, PRESSURE if only neighbours are, ISOLATED if none, else NORMAL."""
-    on = F.col("score") > high
-    kind = F.when(~on, "NORMAL").when(F.col("upstream_score") > high, "PROPAGATION").when(F.col("neighbour_score") > high, "PRESSURE").otherwise("ISOLATED")
-    return features.withColumn("network_class", kind)
+def graph_features(nodes: DataFrame, pipes: DataFrame) -> DataFrame:
+    """Of each node, over its neighbours: number, weights, range of elevations, mean score, mean score by weight, mean score of
+    those more than 1 m above, number of those more than 1 m below. nodes: id, score, elevation; pipes: a, b, w (one row a pair).
+    """
+    other = nodes.select(F.col("id").alias("other"), F.col("score").alias("s"), F.col("elevation").alias("up"))
+    ends = pipes.select(F.col("a").alias("id"), F.col("b").alias("other"), "w").unionByName(pipes.select(F.col("b").alias("id"), F.col("a").alias("other"), "w"))
+    rows = ends.join(other, "other").join(nodes.select("id", "elevation"), "id")
+    near = rows.groupBy("id").agg(
+        F.count("*").alias("degree"),
+        F.sum("w").alias("weighted_degree"),
+        (F.max("up") - F.min("up")).alias("elevation_diff"),
+        F.avg("s").alias("neighbour_score"),
+        F.when(F.sum("w") > 0, F.sum(F.col("s") * F.col("w")) / F.sum("w")).alias("propagation"),
+        F.avg(F.when(F.col("up") > F.col("elevation") + 1, F.col("s"))).alias("upstream_score"),
+        F.count_if(F.col("up") < F.col("elevation") - 1).alias("downstream_count"),
+    )
+    return nodes.join(near, "id", "left").fillna({c: 0 for c in near.columns if c != "id"})
+
+
+def network_class(features: DataFrame) -> DataFrame:
+    """What the network says of an anomalous node (score over the third quartile), and how sure that is.
+
+    PROPAGATION: nodes above it are anomalous. ISOLATED: its neighbours are not. PRESSURE: extreme elevation or a great range of
+    elevations around it. The limits are one row, broadcast. features: of graph_features, and n_models.
+    """
+    limits = features.agg(F.percentile("score", F.lit(0.75)).alias("t"), F.percentile("elevation", F.lit(0.9)).alias("q"), F.greatest(F.max("elevation"), F.lit(1.0)).alias("top"))
+    df = features.crossJoin(F.broadcast(limits)).withColumn("u", F.greatest("t", F.lit(1e-6)))
+    score, near, spread, u = F.col("score"), F.col("neighbour_score"), F.col("propagation"), F.col("u")
+    high, diff = F.col("elevation"), F.col("elevation_diff")
+    cases = [
+        (~(score > F.col("t")), "NORMAL", F.lit(0.0)),
+        (F.col("upstream_score") > F.col("t") * 0.8, "PROPAGATION", F.col("upstream_score") / u * 0.5 + spread / u * 0.3 + score / u * 0.2),
+        (near < F.col("t") * 0.3, "ISOLATED", score / u * 0.5 + (1 - near / F.greatest(score, F.lit(1e-6))) * 0.3 + F.col("n_models") / 10 * 0.2),
+        ((diff > 30) | (high > F.col("q")), "PRESSURE", diff / 100 * 0.4 + score / u * 0.4 + high / F.col("top") * 0.2),
+        (spread > near, "PROPAGATION", score / u * 0.3),
+        (F.lit(True), "ISOLATED", score / u * 0.3),
+    ]
+    kind, sure = F.lit("NORMAL"), F.lit(0.0)
+    for holds, name, worth in reversed(cases):
+        kind, sure = F.when(holds, name).otherwise(kind), F.when(holds, F.least(worth, F.lit(1.0))).otherwise(sure)
+    return df.withColumns({"network_class": kind, "confidence": sure}).drop("t", "q", "top", "u")
 
 
 def steady_state(nodes: DataFrame, edges: DataFrame, pump: float = 20.0, neighbour: float = 10.0) -> DataFrame:

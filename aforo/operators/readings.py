@@ -40,10 +40,18 @@ def by_periodicity(flags: DataFrame) -> DataFrame:
 
 
 def meter_health(df: DataFrame) -> DataFrame:
-    """Per month: shares of stopped, near-zero, high and oddly long readings, and of any of these."""
-    zero, low, high, odd = F.col("m3") == 0, (F.col("m3_per_day") > 0) & (F.col("m3_per_day") < 0.005), F.col("m3_per_day") > 3, (F.col("dias") < 15) | (F.col("dias") > 120)
-    share = lambda c, n: (F.avg(c.cast("int")) * 100).alias(n)
-    return df.groupBy("mes").agg(F.count("*").alias("n"), share(zero, "pct_zero"), share(low, "pct_low"), share(high, "pct_high"), share(odd, "pct_odd_days"), share(zero | low | high | odd, "pct_suspicious"), F.median("m3_per_day").alias("median_m3_day"))
+    """Per month: shares of stopped, nearly unused, very high and oddly long readings, of suspicious ones, median use a day."""
+    x, days, a_day = F.col("m3"), F.col("dias"), F.col("m3_per_day")
+    share = lambda c, n: F.avg(F.coalesce(c, F.lit(False)).cast("int")).alias(n)
+    return df.groupBy("mes").agg(
+        F.count("*").alias("n"),
+        share(x == 0, "pct_zero"),
+        share((a_day > 0) & (a_day < 0.005), "pct_very_low"),
+        share(a_day > 3, "pct_high_consumption"),
+        share((days < 15) | (days > 100), "pct_abnormal_days"),
+        F.median("m3_per_day").alias("median_m3_dia"),
+        share((x == 0) | (x < 0) | (days < 15) | (days > 45), "pct_suspicious"),
+    )
 
 
 def gini(df: DataFrame, key: str, x: str) -> DataFrame:

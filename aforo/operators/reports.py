@@ -12,10 +12,46 @@ def consensus_counts(df: DataFrame, most: int) -> DataFrame:
     return counts.select(F.inline(F.array(*(F.struct(F.lit(k).alias("at_least"), F.col(f"k{k}").alias("n")) for k in range(1, most + 1)))))
 
 
-def economic_impact(df: DataFrame, flag: str, x: str, expected: str, price: float) -> DataFrame:
-    """Per barrio: flagged months, what they used beyond expectation, its price."""
-    over = F.greatest(F.col(x) - F.col(expected), F.lit(0.0))
-    return df.filter(F.col(flag)).groupBy("barrio").agg(F.count("*").alias("n"), F.sum(over).alias("excess")).withColumn("cost", F.col("excess") * price)
+def economic_impact(df: DataFrame, x: str = "consumo", tariff: float = 1.5, inspection: float = 200.0) -> DataFrame:
+    """One row: barrios with an alert (1 model or more in a month) and with a sure one (3), the use of months where 2 models
+    fire, the excess in it (15 per cent), what that is worth, the cost of inspections and the return. ``x`` in litres.
+    """
+    per = df.groupBy("barrio_key").agg(F.max("n_models_detecting").alias("most"), F.sum(F.when(F.col("n_models_detecting") >= 2, F.col(x))).alias("anomalous"))
+    out = per.agg(
+        F.count("*").alias("total_barrios"),
+        F.count_if(F.col("most") >= 1).alias("barrios_alerta"),
+        F.count_if(F.col("most") >= 3).alias("barrios_alta_confianza"),
+        (F.coalesce(F.sum("anomalous"), F.lit(0.0)) / 1000).alias("consumo_anomalo_m3"),
+    )
+    out = out.withColumn("exceso_estimado_m3", F.col("consumo_anomalo_m3") * 0.15)
+    out = out.withColumns({"ahorro_eur": F.col("exceso_estimado_m3") * tariff, "coste_inspecciones": F.col("barrios_alta_confianza") * inspection})
+    return out.withColumn("roi", F.when(F.col("coste_inspecciones") > 0, F.col("ahorro_eur") / F.col("coste_inspecciones")).otherwise(0.0))
+
+
+def fraud_rate(df: DataFrame, at: str, motive: str, weights: dict[str, float]) -> DataFrame:
+    """Per month: suspicious changes (motives with a weight), all changes, their rate, its mean over 3 months, sum of weights.
+
+    The window holds a row a month.
+    """
+    weight = F.lit(0.0)
+    for name, worth in weights.items():
+        weight = F.when(F.col(motive) == name, worth).otherwise(weight)
+    out = df.groupBy(F.trunc(F.col(at).cast("date"), "month").alias("mes")).agg(
+        F.count_if(F.col(motive).isin(*weights)).alias("n_fraud"), F.count("*").alias("n_total_changes"), F.sum(weight).alias("fraud_weighted")
+    )
+    out = out.withColumn("fraud_rate", F.col("n_fraud") / F.col("n_total_changes"))
+    return out.withColumn("fraud_rate_3m", F.avg("fraud_rate").over(Window.orderBy("mes").rowsBetween(-2, 0)))
+
+
+def vote_evaluation(df: DataFrame, first: str, second: str, y: str) -> DataFrame:
+    """Hits, precision, recall and F1 of two models together, in the modes ``or`` and ``and``."""
+    a, b, t = (F.coalesce(F.col(c), F.lit(False)) for c in (first, second, y))
+    modes = F.array(F.struct(F.lit("or").alias("mode"), (a | b).alias("on")), F.struct(F.lit("and").alias("mode"), (a & b).alias("on")))
+    rows = df.select(t.alias("t"), F.inline(modes)).groupBy("mode")
+    rows = rows.agg(*(F.count_if(F.expr(c)).alias(n) for n, c in (("tp", "on AND t"), ("fp", "on AND NOT t"), ("fn", "NOT on AND t"))))
+    ratio = lambda x, n: F.when(n > 0, x / n).otherwise(0.0)
+    rows = rows.withColumns({"precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": ratio(F.col("tp"), F.col("tp") + F.col("fn"))})
+    return rows.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
 def mean_score(flags: list[Column], extra: list[Column]) -> Column:

@@ -103,13 +103,22 @@ def change_context(df: DataFrame, key: str, t: str, x: str) -> DataFrame:
     return df.withColumn("magnitude_pct", pct).withColumn("direction", F.when(F.col("magnitude_pct") > 0, "UP").when(F.col("magnitude_pct") < 0, "DOWN").otherwise("FLAT"))
 
 
-def projection(df: DataFrame, key: str, t: str, x: str, ahead: int = 6) -> DataFrame:
-    """Straight line through a series, its value ``ahead`` rows on, change against the mean, risk tier."""
-    i = df.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(t)).cast("double"))
-    g = i.groupBy(key).agg(F.count("*").alias("n"), F.regr_slope(x, "_i").alias("slope"), F.regr_intercept(x, "_i").alias("intercept"), F.avg(x).alias("mean")).filter("n > 3")
-    g = g.withColumn("projected", F.col("intercept") + F.col("slope") * (F.col("n") + ahead))
-    change = F.when(F.col("mean") != 0, (F.col("projected") - F.col("mean")) / F.col("mean")).otherwise(0.0)
-    return g.withColumn("change", change).withColumn("risk", F.when(F.col("change") > 0.5, "ALTO").when(F.col("change") > 0.2, "MEDIO").otherwise("BAJO"))
+def projection(df: DataFrame, key: str, t: str, x: str, total: str, detections: str, ahead: int = 6, least: int = 6) -> DataFrame:
+    """Lines through a series' use per contract and use, carried on by ``ahead`` rows: change against the mean of the last three,
+    sum of the use to come, mean detections of the last three, risk. Series of fewer than ``least`` rows are left out.
+    """
+    w = Window.partitionBy(key)
+    rows = df.withColumns({"_i": (F.row_number().over(w.orderBy(t)) - 1).cast("double"), "_n": F.count("*").over(w)}).filter(F.col("_n") >= least)
+    last = F.col("_i") >= F.col("_n") - 3
+    g = rows.groupBy(key).agg(
+        F.count("*").alias("n"), F.regr_slope(x, "_i").alias("trend"), F.regr_intercept(x, "_i").alias("_a"), F.regr_slope(total, "_i").alias("_s"), F.regr_intercept(total, "_i").alias("_b"),
+        F.avg(F.when(last, F.col(x))).alias("current"), F.avg(F.when(last, F.col(detections))).alias("recent_rate"),
+    )
+    g = g.withColumn("future", F.col("_a") + F.col("trend") * (F.col("n") + ahead - 1))
+    g = g.withColumn("future_total", ahead * F.col("_b") + F.col("_s") * (ahead * F.col("n") + ahead * (ahead - 1) / 2))
+    g = g.withColumn("pct_change", F.when(F.col("current") > 0, (F.col("future") - F.col("current")) / F.col("current") * 100).otherwise(0.0))
+    high, some = (F.col("pct_change") > 10) & (F.col("recent_rate") >= 2), (F.col("pct_change") > 5) | (F.col("recent_rate") >= 1.5)
+    return g.withColumn("risk", F.when(high, "ALTO").when(some, "MEDIO").otherwise("BAJO")).drop("_a", "_b", "_s")
 
 
 def min_max(x: str, *by: str) -> Column:

@@ -34,12 +34,28 @@ _q("m8_water_balance", _balance, rounded_sql(f"{PANEL}, inj AS (SELECT r_name AS
 
 
 def _care(s, sf):
+    """Households of people of 65 and more that need care."""
     c = table(s, sf, "customer")
-    score, age, alone = (F.col("c_acctbal") + 1000) / 11000, 60 + F.pmod("c_custkey", F.lit(35)), F.pmod("c_custkey", F.lit(3)) == 0
-    return c.select("c_custkey", ladders.care_level(score, age, alone).alias("nivel"), ladders.benchmark_flag(F.col("c_acctbal") / 4500).alias("benchmark"), ladders.severity(-score).alias("severity"))
+    c = c.withColumns({"score": (F.col("c_acctbal") + 1000) / 11000, "age": 60 + F.pmod("c_custkey", F.lit(35)), "alone": F.pmod("c_custkey", F.lit(3)) == 0})
+    levels = c.filter("age >= 65").withColumn("nivel", ladders.care_level(F.col("score"), F.col("age"), F.col("alone"))).filter("nivel <> 'BAJO'")
+    return levels.select("c_custkey", "nivel", ladders.severity(-F.col("score")).alias("severity"))
 
 
-_q("m22_care_level", _care, "SELECT c_custkey, CASE WHEN s > 0.7 AND age >= 75 AND al THEN 'CRITICO' WHEN s > 0.5 AND age >= 70 AND al THEN 'ALTO' WHEN s > 0.3 AND age >= 65 THEN 'VIGILANCIA' ELSE 'NORMAL' END AS nivel, CASE WHEN r > 2 THEN 'MUY_ALTO' WHEN r > 1.5 THEN 'ALTO' WHEN r < 0.4 THEN 'MUY_BAJO' WHEN r < 0.6 THEN 'BAJO' ELSE 'NORMAL' END AS benchmark, CASE WHEN -s < -0.5 THEN 'CRITICAL' WHEN -s < -0.3 THEN 'HIGH' WHEN -s < -0.1 THEN 'MEDIUM' ELSE 'NORMAL' END AS severity FROM (SELECT c_custkey, (c_acctbal + 1000) / 11000 AS s, 60 + c_custkey % 35 AS age, c_custkey % 3 = 0 AS al, c_acctbal / 4500 AS r FROM customer)")
+_q("m22_care_level", _care,
+   """SELECT * FROM (SELECT c_custkey, CASE WHEN s > 0.7 AND age >= 75 AND al THEN 'CRITICO' WHEN s > 0.5 AND age >= 70 AND al THEN 'ALTO' WHEN s > 0.3 AND age >= 65 THEN 'VIGILANCIA' END AS nivel,
+        CASE WHEN -s < -0.5 THEN 'CRITICAL' WHEN -s < -0.3 THEN 'HIGH' WHEN -s < -0.1 THEN 'MEDIUM' ELSE 'NORMAL' END AS severity
+      FROM (SELECT c_custkey, (c_acctbal + 1000) / 11000 AS s, 60 + c_custkey % 35 AS age, c_custkey % 3 = 0 AS al FROM customer) WHERE age >= 65) WHERE nivel IS NOT NULL""")
+
+
+def _benchmark(s, sf):
+    ratio, income, age = F.col("c_acctbal") / 4500, 6000 + F.col("c_acctbal") * 1.5, 2025 - (1940 + F.pmod("c_custkey", F.lit(80)))
+    return table(s, sf, "customer").select("c_custkey", ladders.benchmark_flag(ratio).alias("anomaly_flag"), ladders.benchmark_type(ratio).alias("anomaly_type"), ladders.income_tier(income).alias("renta_nivel"), ladders.building_risk(age).alias("riesgo"))
+
+
+_q("m23_benchmark", _benchmark,
+   """SELECT c_custkey, r > 1.5 OR r < 0.5 AS anomaly_flag, CASE WHEN r > 2 THEN 'fuga_grave' WHEN r > 1.5 THEN 'fuga_probable' WHEN r < 0.4 THEN 'fraude_probable' WHEN r < 0.6 THEN 'subregistro' ELSE 'normal' END AS anomaly_type,
+        CASE WHEN i < 9000 THEN 'muy_baja' WHEN i < 11000 THEN 'baja' WHEN i < 14000 THEN 'media' WHEN i < 18000 THEN 'media_alta' ELSE 'alta' END AS renta_nivel, CASE WHEN a > 60 THEN 'critico' WHEN a > 40 THEN 'alto' WHEN a > 25 THEN 'medio' ELSE 'bajo' END AS riesgo
+      FROM (SELECT c_custkey, c_acctbal / 4500 AS r, 6000 + c_acctbal * 1.5::DOUBLE AS i, 2025 - (1940 + c_custkey % 80) AS a FROM customer)""")
 
 
 def _risk(s, sf):

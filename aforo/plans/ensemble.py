@@ -9,7 +9,7 @@ from aforo.operators import monthly as m
 from aforo.operators import statistics as st
 from aforo.plans.flows import rounded, rounded_sql
 from aforo.plans.monthly import _MED, _SEAS
-from aforo.sources.adapters import READINGS, SECTOR, SPARSE, panel, readings, sector_hourly, table
+from aforo.sources.adapters import CENSUS, METERS, READINGS, SECTOR, SPARSE, census, meters, panel, readings, sector_hourly, table
 
 QUERIES, ORACLE_SQL = {}, {}
 FLAGS = ["is_anomaly_cross", "is_anomaly_season", "is_anomaly_dev", "is_anomaly_yoy"]
@@ -58,17 +58,23 @@ _q("e3_weighted_voting", lambda s, d: rounded(e.weighted_voting(results(s, d), W
 _pairs = [(a, b) for i, a in enumerate(FLAGS) for b in FLAGS[i + 1 :]]
 _q("e11_flag_jaccard", lambda s, d: rounded(e.flag_jaccard(results(s, d), FLAGS), ["model_a", "model_b"], {"jaccard": 6}),
    f"WITH {RESULTS} " + " UNION ALL ".join(f"SELECT '{a}' AS model_a, '{b}' AS model_b, round(count(*) FILTER ({a} AND {b}) / count(*) FILTER ({a} OR {b}), 6) AS jaccard FROM results" for a, b in _pairs))
-_RN = "(CASE WHEN mx > 1 THEN (rk - 1) / (mx - 1) ELSE 0 END)"
-_PSEUDO = f"""SELECT *, pseudo_score >= (SELECT quantile_cont(pseudo_score, 0.85) FROM p0) AS pseudo_label FROM p0"""
-_P0 = """p0 AS (SELECT *, round(0.6 * (rk - 1) / greatest(max(rk) OVER () - 1, 1) + 0.4 * (rz - 1) / greatest(max(rz) OVER () - 1, 1), 9) AS pseudo_score FROM (SELECT *, rank() OVER (ORDER BY abs_dev) + (count(*) OVER (PARTITION BY abs_dev) - 1) / 2 AS rk, rank() OVER (ORDER BY az) + (count(*) OVER (PARTITION BY az) - 1) / 2 AS rz FROM (SELECT *, round(abs(seasonal_zscore), 6) AS az FROM results)))"""
+_PSEUDO = """SELECT *, pseudo_score >= (SELECT quantile_cont(pseudo_score, 0.85) FROM p0) AS pseudo_label FROM p0"""
+_P0 = f"""{CENSUS}, {METERS},
+rr AS (SELECT barrio AS b2, sum(rank_) AS infra FROM (SELECT barrio, pct_65plus, rank() OVER (ORDER BY pct_65plus DESC) AS rank_ FROM census) GROUP BY 1),
+rp AS (SELECT barrio AS b3, avg(coalesce(installed >= DATE '1995-07-01', false)::INT) AS replaced FROM meters GROUP BY 1),
+ps AS (
+  SELECT results.*, coalesce(1 - infra / max(infra) OVER (), 0.5) AS infra_signal, coalesce(abs_dev, 0) AS dv, coalesce(round(replaced, 9), 0) AS rv
+  FROM results LEFT JOIN rr ON b2 = barrio LEFT JOIN rp ON b3 = barrio),
+p0 AS (
+  SELECT *, round(0.35 * infra_signal + 0.35 * (rk - 1) / greatest(max(rk) OVER () - 1, 1) + 0.30 * (rz - 1) / greatest(max(rz) OVER () - 1, 1), 9) AS pseudo_score
+  FROM (SELECT *, rank() OVER (ORDER BY dv) + (count(*) OVER (PARTITION BY dv) - 1) / 2 AS rk, rank() OVER (ORDER BY rv) + (count(*) OVER (PARTITION BY rv) - 1) / 2 AS rz FROM ps))"""
 
 
 def pseudo(s, d):
-    df = results(s, d).withColumn("az", F.round(F.abs("seasonal_zscore"), 6))
-    df = e.rank_normalise(e.rank_normalise(df, "abs_dev", "r_dev"), "az", "r_z")
-    df = df.withColumn("pseudo_score", F.round(0.6 * F.col("r_dev") + 0.4 * F.col("r_z"), 9))
-    cut = df.agg(F.percentile("pseudo_score", F.lit(0.85)).alias("_cut"))
-    return df.crossJoin(F.broadcast(cut)).withColumn("pseudo_label", F.col("pseudo_score") >= F.col("_cut"))  # one row
+    """Labels from three signals: a barrio's risk rank (by its elderly), deviation from peers, share of recent meters."""
+    ranks = census(s, d).select("barrio", F.rank().over(e.Window.orderBy(F.desc("pct_65plus"))).alias("risk_rank"))  # a row a barrio
+    replaced = meters(s, d).groupBy("barrio").agg(F.round(F.avg(F.coalesce(F.col("installed") >= F.lit("1995-07-01").cast("date"), F.lit(False)).cast("int")), 9).alias("replaced"))
+    return e.pseudo_labels(results(s, d), ranks, replaced, "abs_dev")
 
 
 _q("e12_pseudo_labels", lambda s, d: rounded(pseudo(s, d), KEYS, {"pseudo_score": 6, "pseudo_label": 0}), rounded_sql(f"{RESULTS}, {_P0}", _PSEUDO, KEYS, {"pseudo_score": 6, "pseudo_label": 0}))
@@ -153,8 +159,12 @@ from aforo.sources.adapters import PANEL  # noqa: E402
 _q("c8_spearman", _spearman, f"WITH {PANEL}, p AS (SELECT fecha, round(sum(consumo), 4) AS a, sum(contratos) AS b FROM panel GROUP BY 1) SELECT round(corr(ra, rb), 6) AS rho, count(*) AS n FROM (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS rb FROM p)")
 _q("w25_change_context", lambda s, d: rounded(st.change_context(panel(s, d), "barrio_key", "fecha", "cpc"), [*KEYS, "direction"], {"mean_before": 4, "mean_after": 4, "magnitude_pct": 4}),
    rounded_sql(PANEL, "SELECT *, CASE WHEN magnitude_pct > 0 THEN 'UP' WHEN magnitude_pct < 0 THEN 'DOWN' ELSE 'FLAT' END AS direction FROM (SELECT *, CASE WHEN mean_before > 0 THEN (mean_after - mean_before) / mean_before * 100 ELSE 0 END AS magnitude_pct FROM (SELECT *, avg(cpc) OVER (PARTITION BY barrio_key ORDER BY fecha ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS mean_before, avg(cpc) OVER (PARTITION BY barrio_key ORDER BY fecha ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS mean_after FROM panel))", [*KEYS, "direction"], {"mean_before": 4, "mean_after": 4, "magnitude_pct": 4}))
-_q("w24_projection", lambda s, d: rounded(st.projection(panel(s, d), "barrio_key", "fecha", "cpc"), ["barrio_key", "risk"], {"n": 0, "slope": 4, "projected": 4, "change": 6}),
-   rounded_sql(PANEL, "SELECT *, CASE WHEN change > 0.5 THEN 'ALTO' WHEN change > 0.2 THEN 'MEDIO' ELSE 'BAJO' END AS risk FROM (SELECT *, CASE WHEN mu <> 0 THEN (projected - mu) / mu ELSE 0 END AS change FROM (SELECT *, ic + slope * (n + 6) AS projected FROM (SELECT barrio_key, count(*) AS n, regr_slope(cpc, i) AS slope, regr_intercept(cpc, i) AS ic, avg(cpc) AS mu FROM (SELECT *, CAST(row_number() OVER (PARTITION BY barrio_key ORDER BY fecha) AS DOUBLE) AS i FROM panel) GROUP BY 1) WHERE n > 3))", ["barrio_key", "risk"], {"n": 0, "slope": 4, "projected": 4, "change": 6}))
+_PJ = {"n": 0, "trend": 4, "current": 4, "future": 4, "future_total": 2, "recent_rate": 6, "pct_change": 4}
+_q("w24_projection", lambda s, d: rounded(st.projection(e.consensus(results(s, d), FLAGS), "barrio_key", "fecha", "cpc", "consumo", "n_models_detecting"), ["barrio_key", "risk"], _PJ),
+   rounded_sql(f"{RESULTS}, c AS ({_CONS})", """SELECT *, CASE WHEN pct_change > 10 AND recent_rate >= 2 THEN 'ALTO' WHEN pct_change > 5 OR recent_rate >= 1.5 THEN 'MEDIO' ELSE 'BAJO' END AS risk FROM (
+      SELECT *, CASE WHEN current > 0 THEN (future - current) / current * 100 ELSE 0 END AS pct_change FROM (SELECT *, ic + trend * (n + 5) AS future, 6 * jc + sc * (6 * n + 15) AS future_total FROM (
+        SELECT barrio_key, count(*) AS n, regr_slope(cpc, i) AS trend, regr_intercept(cpc, i) AS ic, regr_slope(consumo, i) AS sc, regr_intercept(consumo, i) AS jc, avg(cpc) FILTER (i >= nn - 3) AS current, avg(n_models_detecting) FILTER (i >= nn - 3) AS recent_rate
+        FROM (SELECT *, CAST(row_number() OVER (PARTITION BY barrio_key ORDER BY fecha) - 1 AS DOUBLE) AS i, count(*) OVER (PARTITION BY barrio_key) AS nn FROM c) WHERE nn >= 6 GROUP BY 1)))""", ["barrio_key", "risk"], _PJ))
 QUERIES["m14_cusum"] = lambda s, d: st.cusum(panel(s, d), "barrio_key", "fecha", "cpc")
 _q("w13_equal_width_bins", lambda s, d: st.equal_width_bins(table(s, d, "customer"), "c_acctbal", 3, "bin").groupBy("bin").agg(F.count("*").alias("n")),
    "SELECT bin, count(*) AS n FROM (SELECT CAST(least(greatest(ceil((c_acctbal - min(c_acctbal) OVER ()) / (max(c_acctbal) OVER () - min(c_acctbal) OVER ()) * 3) - 1, 0), 2) AS INTEGER) AS bin FROM customer) GROUP BY 1")

@@ -28,7 +28,7 @@ _DAILY = """SELECT *, CASE WHEN day_mean > 0.001 THEN night_mean / day_mean ELSE
   SELECT contrato, CAST(ts AS DATE) AS dia, sum(litros) AS total, coalesce(min(litros) FILTER (hour(ts) BETWEEN 2 AND 5), 0) AS night_min, coalesce(avg(litros) FILTER (hour(ts) BETWEEN 2 AND 5), 0) AS night_mean,
     coalesce(avg(litros) FILTER (hour(ts) BETWEEN 8 AND 22), 0) AS day_mean, count(*) FILTER (litros > 0) AS active_hours FROM household GROUP BY 1, 2)"""
 _add("a1_daily_features", household_hourly, HOUSEHOLD, lambda d: f.daily_features(d, "contrato", "litros"), ["contrato", "dia"],
-     {"total": 4, "night_min": 4, "night_mean": 4, "day_mean": 4, "active_hours": 0, "night_day_ratio": 4}, _DAILY)
+     {"total": 6, "night_min": 6, "night_mean": 6, "day_mean": 6, "active_hours": 0, "night_day_ratio": 6}, _DAILY)
 _add("w14_rolling_week", household_hourly, HOUSEHOLD, lambda d: f.rolling_week(f.daily_features(d, "contrato", "litros"), "contrato"), ["contrato", "dia"], {"roll_mean": 4, "roll_std": 4, "roll_z": 4},
      f"SELECT *, CASE WHEN roll_std > 0 THEN (total - roll_mean) / roll_std ELSE 0.0 END AS roll_z FROM (SELECT *, CASE WHEN count(*) OVER w >= 3 THEN avg(total) OVER w END AS roll_mean, CASE WHEN count(*) OVER w >= 3 THEN stddev_samp(total) OVER w END AS roll_std FROM ({_DAILY}) WINDOW w AS (PARTITION BY contrato ORDER BY dia ROWS 6 PRECEDING))")
 _RATIO = "SELECT *, CASE WHEN day > 0 THEN night / day END AS ratio FROM (SELECT sector, CAST(ts AS DATE) AS dia, avg(caudal) FILTER (hour(ts) BETWEEN 2 AND 4) AS night, avg(caudal) FILTER (hour(ts) BETWEEN 10 AND 17) AS day FROM sector GROUP BY 1, 2)"
@@ -46,8 +46,12 @@ _add("m9_night_flow", sector_hourly, SECTOR, _night_flow, ["sector"], {"mean_rat
      f"""SELECT *, score > 2 AS is_anomaly FROM (SELECT sector, mean_ratio, z, z + CASE WHEN nd > 0.5 THEN 2 WHEN nd > 0.3 THEN 1 ELSE 0 END + CASE WHEN re > 3 THEN 1.5 WHEN re > 1.5 THEN 0.5 ELSE 0 END AS score FROM (
        SELECT *, CASE WHEN stddev_samp(mean_ratio) OVER () > 0 THEN (mean_ratio - avg(mean_ratio) OVER ()) / stddev_samp(mean_ratio) OVER () ELSE 0 END AS z FROM (SELECT sector, avg(ratio) AS mean_ratio FROM ({_RATIO}) GROUP BY 1))
        JOIN (SELECT sector AS s2, length(sector) / 20.0 AS nd, max(caudal) / avg(caudal) AS re FROM sector GROUP BY 1) ON s2 = sector)""")
-QUERIES["a17_night_silence"] = lambda spark, sf_dir: f.night_silence(sector_hourly(spark, sf_dir)).select("sector", "dia", F.round("share", 4).alias("share"), "level")
-ORACLE_SQL["a17_night_silence"] = f"WITH {SECTOR} SELECT sector, dia, round(share, 4) AS share, CASE WHEN share < 0.05 THEN 'SILENCIO' WHEN share < 0.15 THEN 'MUY_BAJO' WHEN share < 0.3 THEN 'BAJO' WHEN share IS NULL THEN 'SIN_DATOS' ELSE 'NORMAL' END AS level FROM (SELECT *, CASE WHEN day > 0 THEN coalesce(night, 0) / day END AS share FROM (SELECT sector, CAST(ts AS DATE) AS dia, avg(caudal) FILTER (hour(ts) BETWEEN 1 AND 5) AS night, avg(caudal) FILTER (hour(ts) BETWEEN 8 AND 21) AS day FROM sector GROUP BY 1, 2))"
+_SILENT = """SELECT *, CASE WHEN ratio < 0.01 THEN 1.0 WHEN ratio < 0.03 THEN 0.85 WHEN ratio < 0.05 THEN 0.6 WHEN ratio < 0.10 THEN 0.3 ELSE 0.0 END AS silence FROM (SELECT *, night / day AS ratio FROM (
+  SELECT contrato, CAST(ts AS DATE) AS dia, avg(litros) FILTER (hour(ts) BETWEEN 1 AND 5) AS night, avg(litros) FILTER (hour(ts) BETWEEN 8 AND 21) AS day FROM household GROUP BY 1, 2) WHERE night IS NOT NULL AND day > 0)"""
+_add("a17_night_silence", household_hourly, HOUSEHOLD, lambda d: f.night_silence(d, "contrato", "litros"), ["contrato", "dia"], {"night": 6, "day": 6, "ratio": 6, "silence": 2}, _SILENT)
+_add("a17_silent_months", household_hourly, HOUSEHOLD, lambda d: f.silent_months(f.night_silence(d, "contrato", "litros"), "contrato"), ["contrato", "mes"],
+     {"avg_silence": 6, "max_silence": 2, "days_silent": 0, "total_days": 0, "pct_days_silent": 6},
+     f"SELECT *, days_silent / total_days AS pct_days_silent FROM (SELECT contrato, CAST(date_trunc('month', dia) AS DATE) AS mes, avg(silence) AS avg_silence, max(silence) AS max_silence, count(*) FILTER (silence > 0.5) AS days_silent, count(*) AS total_days FROM ({_SILENT}) WHERE silence > 0 GROUP BY 1, 2)")
 _add("w21_rolling_day", sector_hourly, SECTOR, lambda d: f.rolling_day(d, "sector", "caudal"), ["sector", "ts"], {"mean_24h": 4}, "SELECT *, avg(caudal) OVER (PARTITION BY sector ORDER BY ts RANGE BETWEEN INTERVAL 86399 SECOND PRECEDING AND CURRENT ROW) AS mean_24h FROM sector")
 _add("w22_takens_embedding", sector_hourly, SECTOR, lambda d: f.takens(d, "sector", "caudal"), ["sector", "ts"], {"x0": 4, "x1": 4, "x2": 4}, "SELECT * FROM (SELECT sector, ts, caudal AS x0, lead(caudal, 1) OVER w AS x1, lead(caudal, 2) OVER w AS x2 FROM sector WINDOW w AS (PARTITION BY sector ORDER BY ts)) WHERE x2 IS NOT NULL")
 _add("w23_block_means", household_hourly, HOUSEHOLD, lambda d: f.blocks(d, "contrato", "litros"), ["contrato"], {"block": 0, "mean": 4, "n": 0}, "SELECT contrato, block, avg(litros) AS mean, count(*) AS n FROM (SELECT *, (row_number() OVER (PARTITION BY contrato ORDER BY ts) - 1) // 4 AS block FROM household) GROUP BY 1, 2")
@@ -81,8 +85,9 @@ _add("a5_monthly_reading_stats", readings, READINGS, lambda d: r.monthly_reading
      {"n": 0, "pct_zero": 4, "pct_extreme_high": 4, "pct_extreme_low": 4, "pct_delayed": 4, "pct_anomaly_reading": 4, "m3_mean": 4, "m3_median": 4, "m3_std": 4, "m3_max": 4, "z": 4, "above_2sigma": 0, "is_anomaly": 0},
      f"SELECT *, z > 2 AS above_2sigma, z > 1 OR pct_anomaly_reading > 15 AS is_anomaly FROM (SELECT *, CASE WHEN stddev_samp(pct_anomaly_reading) OVER () > 0 THEN (pct_anomaly_reading - avg(pct_anomaly_reading) OVER ()) / stddev_samp(pct_anomaly_reading) OVER () ELSE 0 END AS z FROM (SELECT mes, count(*) AS n, {_PCT}, avg(m3) AS m3_mean, median(m3) AS m3_median, CASE WHEN count(*) > 1 THEN stddev_samp(m3) END AS m3_std, max(m3) AS m3_max FROM ({_FLAGS}) GROUP BY 1))")
 _add("a6_by_periodicity", readings, READINGS, lambda d: r.by_periodicity(r.reading_flags(d)), ["trimestral"], {"n": 0, "pct_anomaly": 4, "m3_mean": 4, "m3_median": 4}, f"SELECT trimestral, count(*) AS n, avg(is_anomaly_reading::INT) * 100 AS pct_anomaly, avg(m3) AS m3_mean, median(m3) AS m3_median FROM ({_FLAGS}) GROUP BY 1")
-_add("a15_meter_health", readings, READINGS, r.meter_health, ["mes"], {"n": 0, "pct_zero": 4, "pct_low": 4, "pct_high": 4, "pct_odd_days": 4, "pct_suspicious": 4, "median_m3_day": 6},
-     "SELECT mes, count(*) AS n, avg((m3 = 0)::INT) * 100 AS pct_zero, avg((m3_per_day > 0 AND m3_per_day < 0.005)::INT) * 100 AS pct_low, avg((m3_per_day > 3)::INT) * 100 AS pct_high, avg((dias < 15 OR dias > 120)::INT) * 100 AS pct_odd_days, avg((m3 = 0 OR (m3_per_day > 0 AND m3_per_day < 0.005) OR m3_per_day > 3 OR dias < 15 OR dias > 120)::INT) * 100 AS pct_suspicious, median(m3_per_day) AS median_m3_day FROM readings GROUP BY 1")
+_add("a15_meter_health", readings, READINGS, r.meter_health, ["mes"], {"n": 0, "pct_zero": 6, "pct_very_low": 6, "pct_high_consumption": 6, "pct_abnormal_days": 6, "median_m3_dia": 6, "pct_suspicious": 6},
+     """SELECT mes, count(*) AS n, avg((m3 = 0)::INT) AS pct_zero, avg((m3_per_day > 0 AND m3_per_day < 0.005)::INT) AS pct_very_low, avg((m3_per_day > 3)::INT) AS pct_high_consumption, avg((dias < 15 OR dias > 100)::INT) AS pct_abnormal_days,
+       median(m3_per_day) AS median_m3_dia, avg((m3 <= 0 OR dias < 15 OR dias > 45)::INT) AS pct_suspicious FROM readings GROUP BY 1""")
 _DIST = """SELECT a.*, gini, entropy FROM (SELECT mes, count(*) AS n_readings, avg((m3 = 0)::INT) * 100 AS pct_zero, avg((m3 < 0)::INT) * 100 AS pct_negative, avg((m3_per_day > (SELECT quantile_cont(m3_per_day, 0.99) FROM readings WHERE m3_per_day > 0))::INT) * 100 AS pct_extreme, avg(delay) AS mean_delay, avg((delay > 5)::INT) * 100 AS pct_late,
    CASE WHEN var_pop(m3_per_day) > 0 THEN (avg(m3_per_day ** 3) - 3 * avg(m3_per_day) * avg(m3_per_day ** 2) + 2 * avg(m3_per_day) ** 3) / var_pop(m3_per_day) ** 1.5 END AS skewness, CASE WHEN var_pop(m3_per_day) > 0 THEN kurtosis_pop(m3_per_day) END AS kurtosis FROM readings GROUP BY 1) a
  LEFT JOIN (SELECT mes, 2 * sum(i * x) / (count(*) * sum(x)) - (count(*) + 1.0) / count(*) AS gini FROM (SELECT mes, m3_per_day AS x, row_number() OVER (PARTITION BY mes ORDER BY m3_per_day) AS i FROM readings WHERE m3_per_day > 0) GROUP BY 1) g USING (mes)

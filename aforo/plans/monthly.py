@@ -68,8 +68,25 @@ _add("w10_lags", m.lags, _LAG_COLS, _LAGS)
 _add("w10_lags_sparse", m.lags, _LAG_COLS, _LAGS, "nation")
 _add("w11_fourier", m.fourier, {"sin_month": 6, "cos_month": 6, "sin_quarter": 6, "cos_quarter": 6, "consumption_x_contracts": 6},
      "SELECT *, sin(2 * pi() * month(fecha) / 12) AS sin_month, cos(2 * pi() * month(fecha) / 12) AS cos_month, sin(2 * pi() * month(fecha) / 6) AS sin_quarter, cos(2 * pi() * month(fecha) / 6) AS cos_quarter, ln(1 + greatest(cpc, 0)) * ln(1 + greatest(contratos, 1)) AS consumption_x_contracts FROM $p")
-_add("w12_external_adjusted", lambda df: m.external_adjusted(df.withColumns({"temp": 18 + 8 * F.cos((F.month("fecha") - 7) * 3.141592653589793 / 6), "rain": 10.0 * F.month("fecha")})), {"adjusted": 4},
-     "SELECT *, cpc / greatest(1 + 0.03 * (18 + 8 * cos((month(fecha) - 7) * pi() / 6) - 18) - 0.002 * 10.0 * month(fecha), 0.5) AS adjusted FROM $p")
+
+
+def _external(df):
+    """A made climate: a yearly wave, occupancy by month, an index known in even months only."""
+    month = F.month("fecha")
+    return m.external_adjusted(
+        df.withColumns(
+            {
+                "avg_temp": F.when(month != 5, 18 + 20 * F.cos((month - 7) * 3.141592653589793 / 6)),
+                "tourist_occupancy_pct": F.when(month != 2, 7.0 * month),
+                "spei_index": F.when(month % 2 == 0, (month - 6) / 4),
+            }
+        )
+    )
+
+
+_add("w12_external_adjusted", _external, {"temp_adjusted_consumption": 7, "tourism_adjusted_consumption": 7, "spei_index": 4},
+     """SELECT *, cpc / CASE WHEN month(fecha) = 5 THEN 1 ELSE greatest(1 + 0.03 * (20 * cos((month(fecha) - 7) * pi() / 6)), 0.5) END AS temp_adjusted_consumption,
+       cpc / CASE WHEN month(fecha) = 2 THEN 1 ELSE 1 + 0.002 * 7.0 * month(fecha) END AS tourism_adjusted_consumption, CASE WHEN month(fecha) % 2 = 0 THEN (month(fecha) - 6) / 4 ELSE 0 END AS spei_index FROM $p""")
 _DROPS = """SELECT *, CASE WHEN n > 0 THEN t / n ELSE 0.0 END AS drop_severity FROM (SELECT *,
   (mom_change < 0)::INT + (hist_change < 0)::INT + (seasonal_change < 0)::INT + (zscore_historical < -1.5)::INT AS n,
   CASE WHEN mom_change < 0 THEN least(-mom_change, 1.0) ELSE 0 END + CASE WHEN hist_change < 0 THEN least(-hist_change, 1.0) ELSE 0 END + CASE WHEN seasonal_change < 0 THEN least(-seasonal_change, 1.0) ELSE 0 END + CASE WHEN zscore_historical < -1.5 THEN least(-zscore_historical / 4, 1.0) ELSE 0 END AS t

@@ -23,11 +23,17 @@ def _q(name, build, sql=None):
 
 
 _q("a22_consensus_counts", lambda s, d: r.consensus_counts(e.consensus(results(s, d), FLAGS), 4), f"WITH {RESULTS}, c AS ({_CONS}) SELECT k::INT AS at_least, count(*) FILTER (n_models_detecting >= k) AS n FROM c, (SELECT unnest([1, 2, 3, 4]) AS k) GROUP BY 1")
-_q("e1_two_model_vote", lambda s, d: results(s, d).select(*KEYS, ladders.two_model_vote(F.col("is_anomaly_cross"), F.col("is_anomaly_season")).alias("vote")), f"WITH {RESULTS} SELECT barrio_key, fecha, CASE WHEN is_anomaly_cross AND is_anomaly_season THEN 'HIGH' WHEN is_anomaly_cross OR is_anomaly_season THEN 'MEDIUM' ELSE 'NONE' END AS vote FROM results")
-_q("a23_economic_impact", lambda s, d: rounded(r.economic_impact(results(s, d).withColumn("expected", F.col("consumo") / F.greatest("yoy_ratio", F.lit(0.01))), "is_anomaly_yoy", "consumo", "expected", 0.002), ["barrio"], {"n": 0, "excess": 2, "cost": 4}),
-   rounded_sql(RESULTS, "SELECT barrio, count(*) AS n, sum(greatest(consumo - consumo / greatest(yoy_ratio, 0.01), 0)) AS excess, sum(greatest(consumo - consumo / greatest(yoy_ratio, 0.01), 0)) * 0.002 AS cost FROM results WHERE is_anomaly_yoy GROUP BY 1", ["barrio"], {"n": 0, "excess": 2, "cost": 4}))
-_q("p14_mean_score", lambda s, d: rounded(results(s, d).withColumn("score", r.mean_score([F.col(f) for f in FLAGS], [F.when(F.col("abs_dev") > 0.1, F.least(F.col("abs_dev") / 0.5, F.lit(1.0)))])), KEYS, {"score": 6}),
-   rounded_sql(RESULTS, f"SELECT *, coalesce(list_avg(list_filter([{', '.join(f'{f}::INT::DOUBLE' for f in FLAGS)}, CASE WHEN abs_dev > 0.1 THEN least(abs_dev / 0.5, 1) END], lambda x: x IS NOT NULL)), 0) AS score FROM results", KEYS, {"score": 6}))
+_q("e1_two_model_vote", lambda s, d: results(s, d).select(*KEYS, ladders.two_model_vote(F.col("is_anomaly_cross"), F.col("is_anomaly_season")).alias("severity"), (F.col("is_anomaly_cross") | F.col("is_anomaly_season")).alias("is_anomaly")),
+   f"WITH {RESULTS} SELECT barrio_key, fecha, CASE WHEN is_anomaly_cross AND is_anomaly_season THEN 'CRITICAL' WHEN is_anomaly_cross THEN 'HIGH' WHEN is_anomaly_season THEN 'MEDIUM' ELSE 'NORMAL' END AS severity, is_anomaly_cross OR is_anomaly_season AS is_anomaly FROM results")
+_VE = {"tp": 0, "fp": 0, "fn": 0, "precision": 6, "recall": 6, "f1": 6}
+_q("e1_vote_evaluation", lambda s, d: rounded(r.vote_evaluation(results(s, d), "is_anomaly_cross", "is_anomaly_season", "is_anomaly_yoy"), ["mode"], _VE),
+   rounded_sql(f"{RESULTS}, v AS (SELECT mode, CASE mode WHEN 'or' THEN is_anomaly_cross OR is_anomaly_season ELSE is_anomaly_cross AND is_anomaly_season END AS p, is_anomaly_yoy AS y FROM results, (SELECT unnest(['or', 'and']) AS mode))",
+     "SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM (SELECT *, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall FROM (SELECT mode, count(*) FILTER (p AND y) AS tp, count(*) FILTER (p AND NOT y) AS fp, count(*) FILTER (NOT p AND y) AS fn FROM v GROUP BY 1))", ["mode"], _VE))
+_EI = {"total_barrios": 0, "barrios_alerta": 0, "barrios_alta_confianza": 0, "consumo_anomalo_m3": 4, "exceso_estimado_m3": 4, "ahorro_eur": 4, "coste_inspecciones": 2, "roi": 4}
+_q("a23_economic_impact", lambda s, d: rounded(r.economic_impact(e.consensus(results(s, d), FLAGS)), [], _EI),
+   rounded_sql(f"{RESULTS}, c AS ({_CONS})", "SELECT *, CASE WHEN coste_inspecciones > 0 THEN ahorro_eur / coste_inspecciones ELSE 0 END AS roi FROM (SELECT *, exceso_estimado_m3 * 1.5 AS ahorro_eur, barrios_alta_confianza * 200.0 AS coste_inspecciones FROM (SELECT *, consumo_anomalo_m3 * 0.15 AS exceso_estimado_m3 FROM (SELECT count(*) AS total_barrios, count(*) FILTER (most >= 1) AS barrios_alerta, count(*) FILTER (most >= 3) AS barrios_alta_confianza, coalesce(sum(anomalous), 0) / 1000 AS consumo_anomalo_m3 FROM (SELECT barrio_key, max(n_models_detecting) AS most, sum(consumo) FILTER (n_models_detecting >= 2) AS anomalous FROM c GROUP BY 1))))", [], _EI))
+_q("p14_mean_score", lambda s, d: rounded(results(s, d).withColumn("score", r.mean_score([F.col(f) for f in FLAGS], [F.when(F.col("abs_dev") > 0.1, F.least(F.col("abs_dev") / 0.5, F.lit(1.0)))])), KEYS, {"score": 9}),
+   rounded_sql(RESULTS, f"SELECT *, coalesce(list_avg(list_filter([{', '.join(f'{f}::INT::DOUBLE' for f in FLAGS)}, CASE WHEN abs_dev > 0.1 THEN least(abs_dev / 0.5, 1) END], lambda x: x IS NOT NULL)), 0) AS score FROM results", KEYS, {"score": 9}))
 _TO = "g AS (SELECT barrio_key, round(avg(abs_dev), 6) AS a, round(avg(abs(seasonal_zscore)), 6) AS b FROM results GROUP BY 1), o AS (SELECT barrio_key FROM g ORDER BY a DESC, 1 LIMIT 25), t AS (SELECT barrio_key FROM g ORDER BY b DESC, 1 LIMIT 25)"
 _q("c21_top_overlap", lambda s, d: rounded(r.top_overlap(results(s, d).groupBy("barrio_key").agg(F.round(F.avg("abs_dev"), 6).alias("a"), F.round(F.avg(F.abs("seasonal_zscore")), 6).alias("b")), "barrio_key", "a", "b", 25), [], {"shared": 0, "jaccard": 6}),
    f"WITH {RESULTS}, {_TO} SELECT count(*) FILTER (o.barrio_key IS NOT NULL AND t.barrio_key IS NOT NULL)::DOUBLE AS shared, round(count(*) FILTER (o.barrio_key IS NOT NULL AND t.barrio_key IS NOT NULL) / count(*), 6) AS jaccard FROM o FULL OUTER JOIN t USING (barrio_key)")

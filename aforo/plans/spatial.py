@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from aforo.operators import geometry as g
 from aforo.operators import networks as n
+from aforo.operators import reports as rp
 from aforo.plans.flows import rounded, rounded_sql
 from aforo.sources import parsing as ps
 from aforo.sources.adapters import table
@@ -85,9 +86,32 @@ def _nodes(s, d):
     return table(s, d, "customer").groupBy(F.col("c_nationkey").alias("id")).agg(F.avg("c_acctbal").alias("score"), F.count("*").cast("double").alias("demand"))
 
 
-_GF = "SELECT nd.*, coalesce(degree, 0) AS degree, coalesce(weighted_degree, 0) AS weighted_degree, coalesce(neighbour_score, 0) AS neighbour_score, coalesce(upstream_score, 0) AS upstream_score FROM nd LEFT JOIN (SELECT b.id, count(*) AS degree, sum(w) AS weighted_degree, avg(score) AS neighbour_score FROM (SELECT src AS id, dst AS o, w FROM ed UNION ALL SELECT dst, src, w FROM ed) b JOIN nd n2 ON n2.id = o GROUP BY 1) x USING (id) LEFT JOIN (SELECT dst AS id, avg(score) AS upstream_score FROM ed JOIN nd n3 ON n3.id = src GROUP BY 1) y USING (id)"
-_q("m17_graph_features", lambda s, d: rounded(n.network_class(n.graph_features(_nodes(s, d), _edges(s, d)), 4500.0), ["id", "network_class"], {"degree": 0, "weighted_degree": 0, "neighbour_score": 4, "upstream_score": 4}),
-   rounded_sql(f"{_ED}, {_ND}", f"SELECT *, CASE WHEN NOT score > 4500 THEN 'NORMAL' WHEN upstream_score > 4500 THEN 'PROPAGATION' WHEN neighbour_score > 4500 THEN 'PRESSURE' ELSE 'ISOLATED' END AS network_class FROM ({_GF})", ["id", "network_class"], {"degree": 0, "weighted_degree": 0, "neighbour_score": 4, "upstream_score": 4}))
+def _net(s, d):
+    """Nations as nodes (score: share of negative balances), a sparse part of the trade between them as pipes."""
+    nodes = table(s, d, "customer").groupBy(F.col("c_nationkey").alias("id")).agg(F.avg((F.col("c_acctbal") < 0).cast("int")).alias("score"))
+    nodes = nodes.withColumns({"elevation": F.pmod(F.col("id") * 37, F.lit(100)).cast("double"), "n_models": F.pmod("id", F.lit(4)).cast("double")})
+    pipes = _edges(s, d).groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("w").alias("w"))
+    return n.network_class(n.graph_features(nodes, pipes.filter("(a * 7 + b * 3) % 5 = 0")))
+
+
+_NET = f"""{_ED},
+nd AS (SELECT c_nationkey AS id, avg((c_acctbal < 0)::INT) AS score, ((c_nationkey * 37) % 100)::DOUBLE AS elevation, (c_nationkey % 4)::DOUBLE AS n_models FROM customer GROUP BY 1),
+pp AS (SELECT * FROM (SELECT least(src, dst) AS a, greatest(src, dst) AS b, sum(w) AS w FROM ed GROUP BY 1, 2) WHERE (a * 7 + b * 3) % 5 = 0),
+near AS (
+  SELECT x.id, count(*) AS degree, sum(w) AS weighted_degree, max(o.elevation) - min(o.elevation) AS elevation_diff, avg(o.score) AS neighbour_score, sum(o.score * w) / sum(w) AS propagation,
+    coalesce(avg(o.score) FILTER (o.elevation > me.elevation + 1), 0) AS upstream_score, count(*) FILTER (o.elevation < me.elevation - 1) AS downstream_count
+  FROM (SELECT a AS id, b AS other, w FROM pp UNION ALL SELECT b, a, w FROM pp) x JOIN nd o ON o.id = other JOIN nd me ON me.id = x.id GROUP BY 1),
+gf AS (
+  SELECT nd.*, coalesce(degree, 0) AS degree, coalesce(weighted_degree, 0) AS weighted_degree, coalesce(elevation_diff, 0) AS elevation_diff, coalesce(neighbour_score, 0) AS neighbour_score,
+    coalesce(propagation, 0) AS propagation, coalesce(upstream_score, 0) AS upstream_score, coalesce(downstream_count, 0) AS downstream_count FROM nd LEFT JOIN near USING (id)),
+lim AS (SELECT quantile_cont(score, 0.75) AS t, quantile_cont(elevation, 0.9) AS q, greatest(max(elevation), 1) AS top FROM gf)"""
+_NET_BODY = """
+SELECT *, CASE kind WHEN 0 THEN 'NORMAL' WHEN 1 THEN 'PROPAGATION' WHEN 2 THEN 'ISOLATED' WHEN 3 THEN 'PRESSURE' ELSE CASE WHEN propagation > neighbour_score THEN 'PROPAGATION' ELSE 'ISOLATED' END END AS network_class,
+  least(1, CASE kind WHEN 0 THEN 0 WHEN 1 THEN upstream_score / u * 0.5 + propagation / u * 0.3 + score / u * 0.2 WHEN 2 THEN score / u * 0.5 + (1 - neighbour_score / greatest(score, 1e-6)) * 0.3 + n_models / 10 * 0.2
+    WHEN 3 THEN elevation_diff / 100 * 0.4 + score / u * 0.4 + elevation / top * 0.2 ELSE score / u * 0.3 END) AS confidence
+FROM (SELECT *, greatest(t, 1e-6) AS u, CASE WHEN NOT score > t THEN 0 WHEN upstream_score > t * 0.8 THEN 1 WHEN neighbour_score < t * 0.3 THEN 2 WHEN elevation_diff > 30 OR elevation > q THEN 3 ELSE 4 END AS kind FROM gf, lim)"""
+_NET_COLS = {"degree": 0, "weighted_degree": 0, "elevation_diff": 2, "neighbour_score": 6, "propagation": 6, "upstream_score": 6, "downstream_count": 0, "confidence": 4}
+_q("m17_graph_features", lambda s, d: rounded(_net(s, d), ["id", "network_class"], _NET_COLS), rounded_sql(_NET, _NET_BODY, ["id", "network_class"], _NET_COLS))
 _q("m18_steady_state", lambda s, d: rounded(n.steady_state(_nodes(s, d).withColumns({"elevation": F.col("id") * 3.0, "has_pump": F.col("score") > 4500}), _edges(s, d).withColumnRenamed("w", "capacity")), ["id", "zone"], {"head": 4, "supply": 4, "pressure": 4, "bottleneck": 0}),
    rounded_sql(f"{_ED}, {_ND}", "SELECT *, CASE WHEN pressure < 15 THEN 'LOW' WHEN pressure < 40 THEN 'MEDIUM' ELSE 'HIGH' END AS zone, supply < demand AS bottleneck FROM (SELECT id, demand, coalesce(head, 0) AS head, coalesce(supply, 0) AS supply, coalesce(head, 0) + CASE WHEN score > 4500 THEN 20 ELSE 0 END + CASE WHEN coalesce(np, 0) > 0 THEN 10 ELSE 0 END AS pressure FROM nd LEFT JOIN (SELECT dst AS id, max(src * 3.0 - dst * 3.0) AS head, sum(w) AS supply, max((score > 4500)::INT) AS np FROM ed JOIN nd n2 ON n2.id = src WHERE src > dst GROUP BY 1) f USING (id))", ["id", "zone"], {"head": 4, "supply": 4, "pressure": 4, "bottleneck": 0}))
 _q("c5_chains", lambda s, d: n.chains(_edges(s, d).withColumn("w", F.col("w") / F.max("w").over(Window.partitionBy())), 0.6).select(F.array_join("path", ">").alias("path"), F.round("strength", 6).alias("strength")),
@@ -101,8 +125,10 @@ _q("src12_contract_growth", lambda s, d: table(s, d, "orders").groupBy(F.trunc(F
 _q("src19_month_spine", lambda s, d: table(s, d, "orders").groupBy("o_orderpriority").agg(F.min(F.col("o_orderdate").cast("date")).alias("a"), F.max(F.col("o_orderdate").cast("date")).alias("b")).select("o_orderpriority", F.explode(ps.month_spine(F.col("a"), F.col("b"))).alias("mes")),
    "SELECT o_orderpriority, CAST(unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), INTERVAL 1 MONTH)) AS DATE) AS mes FROM orders GROUP BY 1")
 _q("a30_motive_pivot", lambda s, d: table(s, d, "orders").groupBy(F.trunc(F.col("o_orderdate").cast("date"), "month").alias("mes")).pivot("o_orderstatus", ["F", "O", "P"]).count().fillna(0), "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS mes, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P FROM orders GROUP BY 1")
-_q("a9_fraud_rate", lambda s, d: table(s, d, "orders").groupBy(F.trunc(F.col("o_orderdate").cast("date"), "month").alias("mes")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("o_orderpriority").startswith("1"), 1.0).when(F.col("o_orderpriority").startswith("2"), 0.5).otherwise(0.0)).alias("weighted")).select("mes", "n", F.round("weighted", 2).alias("weighted"), F.round(F.avg(F.col("weighted") / F.col("n")).over(Window.orderBy("mes").rowsBetween(-2, 0)), 6).alias("rate_3m")),
-   "SELECT mes, n, round(weighted, 2) AS weighted, round(avg(weighted / n) OVER (ORDER BY mes ROWS 2 PRECEDING), 6) AS rate_3m FROM (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS mes, count(*) AS n, sum(CASE WHEN o_orderpriority LIKE '1%' THEN 1.0::DOUBLE WHEN o_orderpriority LIKE '2%' THEN 0.5 ELSE 0 END) AS weighted FROM orders GROUP BY 1)")
+_FRAUD = {"1-URGENT": 1.0, "2-HIGH": 1.5, "3-MEDIUM": 0.8}
+_q("a9_fraud_rate", lambda s, d: rounded(rp.fraud_rate(table(s, d, "orders"), "o_orderdate", "o_orderpriority", _FRAUD), ["mes"], {"n_fraud": 0, "n_total_changes": 0, "fraud_rate": 6, "fraud_rate_3m": 6, "fraud_weighted": 4}),
+   rounded_sql("g AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS mes, count(*) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')) AS n_fraud, count(*) AS n_total_changes, sum(CASE o_orderpriority WHEN '1-URGENT' THEN 1.0::DOUBLE WHEN '2-HIGH' THEN 1.5 WHEN '3-MEDIUM' THEN 0.8 ELSE 0 END) AS fraud_weighted FROM orders GROUP BY 1)",
+     "SELECT *, n_fraud / n_total_changes AS fraud_rate, avg(n_fraud / n_total_changes) OVER (ORDER BY mes ROWS 2 PRECEDING) AS fraud_rate_3m FROM g", ["mes"], {"n_fraud": 0, "n_total_changes": 0, "fraud_rate": 6, "fraud_rate_3m": 6, "fraud_weighted": 4}))
 _q("j16_interval_membership", lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.percentile(F.unix_seconds(F.col("ts").cast("timestamp")), F.array(F.lit(0.25), F.lit(0.5))).alias("q")).join(table(s, d, "events"), "user_id").filter(F.unix_seconds(F.col("ts").cast("timestamp")).between(F.col("q")[0], F.col("q")[1])).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")),
    "SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events JOIN (SELECT user_id AS u, quantile_cont(floor(epoch(ts)), 0.25) AS a, quantile_cont(floor(epoch(ts)), 0.5) AS b FROM events GROUP BY 1) ON u = user_id WHERE floor(epoch(ts)) BETWEEN a AND b GROUP BY 1")
 _q("j8_semi_anti", lambda s, d: table(s, d, "customer").join(table(s, d, "orders").filter("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("n")), "SELECT c_mktsegment, count(*) AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') GROUP BY 1")
