@@ -10,11 +10,12 @@ from one of its suffixes: of its at most ``SPREAD`` runs of ``LEAST`` words that
 compared with those of all other suffixes by a hash, those that occur twice are confirmed, and confirmed
 stretches of a text are united.
 
-Groups of suffixes are settled in their task; of a group of more than ``LARGE`` the runs that are
-single in their part are counted in a second shuffle, where each part sends a run once, so that memory is
-bounded whatever the number of copies of a passage. Before the first shuffle the
-suffixes of a slice that have the same words around them become one row. What is broadcast is a bit table
-of fixed size; when it fills up, more suffixes are compared and results stay the same.
+Groups of suffixes are settled in their task; a group of more than ``LARGE`` is dealt to several tasks by the words
+around its suffixes, and of its runs those that are single in their part are counted in a second shuffle, where each
+part sends a run once, so that memory and time of a task are bounded whatever the number of copies of a passage. Before
+the first shuffle the suffixes of a slice that have the same words around them become one row. What is broadcast is a
+bit table and a table of group sizes, both of fixed size; when they fill up, more suffixes are compared or dealt out and
+results stay the same.
 
 Words are compared without regard to the case of A to Z and to white space. Nulls: a null text is
 empty; a null id is carried. Rows that repeat are copies of each other. Texts under ``LEAST`` words have
@@ -28,6 +29,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +37,8 @@ from aforo.llm.common import checkpoint, hash_words, mix64, slices, split_words
 
 #: Words of a passage at least, words hashed at a position, positions a minimiser is the least of.
 LEAST, GRAM, SPREAD = 50, 8, 32
-#: Words to the right that are equal for sure; bits of the filter; suffixes of a group that a task settles alone.
-SURE, FILTER_BITS, LARGE = LEAST - SPREAD + 1, 1 << 25, 10_000
+#: Words to the right that are equal for sure; bits of the filter; suffixes of a group that a task settles alone; slots of group sizes.
+SURE, FILTER_BITS, LARGE, SIZES = LEAST - SPREAD + 1, 1 << 25, 2_000, 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -101,14 +103,17 @@ def _bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at].astype(np.int32))], names=["at", "bits"])
 
 
-_SUFFIX = pa.schema([("h", pa.int64()), ("ahead", pa.binary()), ("behind", pa.binary()), ("rows", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
+_SUFFIX = pa.schema([("h", pa.int64()), ("salt", pa.int32()), ("ahead", pa.binary()), ("behind", pa.binary()), ("rows", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
 
 
-def _suffixes(bits):
-    """Suffixes that pass the filter; those of a slice with the same words around them are one row with all places."""
+def _suffixes(shared):
+    """Suffixes that pass the filter; those of a slice with the same words around them are one row with all places.
+
+    The salt is 0, or in large groups a number from 1 by the words around the suffix.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = bits.value
+        table, levels = shared.value
         for piece in slices(batches, "text"):
             words, offsets = split_words(piece.column("text"))
             hashes = hash_words(words)
@@ -127,7 +132,9 @@ def _suffixes(bits):
                 places[0].append(rows[o])
                 places[1].append(ids[o])
                 places[2].append(p)
-            cols = [[k[i] for k in same] for i in range(3)] + [[v[i] for v in same.values()] for i in range(3)]
+            level = levels[np.array([k[0] for k in same], np.int64).view(np.uint64) & np.uint64(SIZES - 1)].tolist()
+            salts = [1 + (xxhash.xxh3_64_intdigest(k[1] + k[2]) & (1 << n) - 1) if n else 0 for k, n in zip(same, level)]
+            cols = [[k[0] for k in same], salts, [k[1] for k in same], [k[2] for k in same]] + [[v[i] for v in same.values()] for i in range(3)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SUFFIX)], schema=_SUFFIX)
 
     return run
@@ -154,7 +161,7 @@ def _run_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _settle(batch: pa.RecordBatch, opened: int | None) -> pa.RecordBatch:
-    """Runs that occur twice in these suffixes, as stretches; of the group ``opened`` also each run once, with its hash.
+    """Runs that occur twice in these suffixes, as stretches; of the group ``opened`` and salted ones also each run once, with its hash.
 
     Of a run that occurs twice here only the hash counts then, and its row is null.
     """
@@ -169,12 +176,12 @@ def _settle(batch: pa.RecordBatch, opened: int | None) -> pa.RecordBatch:
     step = np.diff(twice, axis=1)
     row, begin = np.nonzero(step == 1)
     stop = np.nonzero(step == -1)[1] - 1 + LEAST
-    shared = np.zeros(0, np.int64)
-    mine = np.zeros(0, np.int64)
+    parted = batch.column("salt").to_numpy() > 0
     if opened is not None:
-        send = first[h[which[first]] == opened]
-        again = copies[back[send]] > 1
-        shared, mine = send[again], send[~again]
+        parted = parted | (h == opened)
+    send = first[parted[which[first]]]
+    again = copies[back[send]] > 1
+    shared, mine = send[again], send[~again]
     starts = np.concatenate([[0], np.cumsum(places)])
     times = places[row]
     flat = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(starts[row], times)
@@ -193,7 +200,7 @@ def _settle(batch: pa.RecordBatch, opened: int | None) -> pa.RecordBatch:
 
 
 def _groups(large: int):
-    """From suffixes sorted by h: confirmed stretches (h null), and runs of large groups that are to be counted."""
+    """From suffixes sorted by h and salt: confirmed stretches (h null), and runs of large groups that are to be counted."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, opened = None, None
@@ -203,6 +210,10 @@ def _groups(large: int):
             if held is not None:
                 batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
             h = batch.column("h").to_numpy()
+            if batch.column("salt")[-1].as_py():  # other parts of the last group may be anywhere
+                yield _settle(batch, opened)
+                held = None
+                continue
             cut = int(np.searchsorted(h, h[-1]))
             if cut:
                 yield _settle(batch.slice(0, cut), opened)
@@ -232,13 +243,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Every occurrence is listed, also a second one in the same text; positions count words from 0.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    repeated = rows.select("text").mapInArrow(_hashes, "h long").groupBy("h").count().filter("count > 1")
+    repeated = checkpoint(rows.select("text").mapInArrow(_hashes, "h long").groupBy("h").count().filter("count > 1"))
     got = repeated.select("h").mapInArrow(_bits, "at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table = np.zeros(FILTER_BITS // 8, np.uint8)
+    table, levels = np.zeros(FILTER_BITS // 8, np.uint8), np.zeros(SIZES, np.uint8)
     table[got.column("at").to_numpy()] = got.column("bits").to_numpy().astype(np.uint8)
-    bits = docs.sparkSession.sparkContext.broadcast(table)
-    suffixes = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_suffixes(bits), "h long, ahead binary, behind binary, rows array<long>, ids array<long>, at array<int>")
-    order = suffixes.repartition("h").sortWithinPartitions("h")
+    large = repeated.filter(F.col("count") > LARGE).groupBy(F.col("h").bitwiseAND(SIZES - 1).alias("at"))
+    got = large.agg(F.ceil(F.log2(F.max("count") / LARGE)).alias("level")).toArrow()  # at most SIZES rows
+    levels[got.column("at").to_numpy()] = got.column("level").to_numpy().astype(np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast((table, levels))
+    suffixes = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_suffixes(shared), "h long, salt int, ahead binary, behind binary, rows array<long>, ids array<long>, at array<int>")
+    order = suffixes.repartition("h", "salt").sortWithinPartitions("h", "salt")
     found = checkpoint(order.mapInArrow(_groups(LARGE), "row long, doc_id long, start int, end int, h long, w long"))
     runs = found.filter(F.col("h").isNotNull()).groupBy("h", "w").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("row").isNotNull(), F.struct("row", "doc_id", "start", "end"))).alias("places"))
     found = found.filter(F.col("h").isNull()).select("row", "doc_id", "start", "end").unionByName(runs.filter("n > 1").select(F.explode("places").alias("p")).select("p.*"))
