@@ -112,13 +112,21 @@ def chunk_recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, text_hash.
 
-    Equal recipes are equal texts; of each group the row with the smallest id stays. A group is
-    counted with map-side aggregation, so that its size costs no task more than another.
+    Equal recipes are equal texts; of each group the row with the smallest id stays. Groups are
+    counted with map-side aggregation; those of one row need no join. The others are written first, so that their
+    rows meet them in a plain shuffle join, which Spark splits where a recipe is in very many rows.
     """
     rows = chunk_recipes(docs, id_col, text_col, key_bits)
     groups = rows.groupBy("recipe").agg(smallest("doc_id", "row_id").alias("first"), F.count("*").alias("group_size"))
-    return rows.join(groups, "recipe").select(
-        "doc_id", F.col("first.v0").alias("keep_id"), "group_size", (F.col("row_id") == F.col("first.v1")).alias("kept"), "text_sha256", "text_hash"
+    groups = checkpoint(groups.filter("group_size > 1"))
+    alone = F.col("group_size").isNull()
+    return rows.join(groups, "recipe", "left").select(
+        "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first.v0")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (alone | (F.col("row_id") == F.col("first.v1"))).alias("kept"),
+        "text_sha256",
+        "text_hash",
     )
 
 
