@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aforo.operators.ranges import average_ranks, least_from_here, null_safe_join, running_sums
+
 
 def _n(flag: str) -> Column:
     return F.coalesce(F.col(flag).cast("int"), F.lit(0))
@@ -50,22 +52,26 @@ def flag_jaccard(df: DataFrame, flags: list[str]) -> DataFrame:
 
 
 def average_rank(x: str, *by: str) -> Column:
-    """Rank from 1, ties share their mean rank."""
+    """Rank from 1, ties share their mean rank; a window over the rows of a key, for keys with few rows."""
     w = Window.partitionBy(*by)
     return F.rank().over(w.orderBy(x)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2.0
 
 
-def rank_normalise(df: DataFrame, x: str, name: str) -> DataFrame:
-    """(average rank - 1) / (greatest - 1), nulls at the bottom end; ranks come from counts per distinct value.
+def percent_rank_average(df: DataFrame, x: str, by: str, name: str) -> DataFrame:
+    """Average rank of x within ``by`` over the number of rows there; ranks come from counts per distinct value, range by range."""
+    ranks = average_ranks(df, x, [by])
+    sizes = ranks.groupBy(by).agg(F.sum("count").alias("_n"))
+    ranks = ranks.join(sizes, by).select(by, x, (F.col("_rank") / F.col("_n")).alias(name))
+    return null_safe_join(df, ranks, [by, x])
 
-    The running count is over distinct values, added up in Spark's window on what the values' groups have left.
-    """
-    counts = df.groupBy(x).count()
-    w = Window.orderBy(F.col(x).asc_nulls_last())
-    ranks = counts.withColumn("_r", F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - (F.col("count") - 1) / 2.0)
-    ranks = ranks.withColumn("_m", F.max("_r").over(Window.partitionBy()))
-    ranks = ranks.select(F.col(x).alias("_x"), ((F.col("_r") - 1) / F.greatest(F.col("_m") - 1, F.lit(1.0))).alias(name))
-    return df.join(ranks, F.col(x).eqNullSafe(F.col("_x"))).drop("_x")
+
+def rank_normalise(df: DataFrame, x: str, name: str) -> DataFrame:
+    """(average rank - 1) / (greatest - 1), nulls at the bottom end; ranks come from counts per distinct value, range by range."""
+    ranks = average_ranks(df, x)
+    greatest = ranks.agg(F.max("_rank").alias("_m"))
+    ranks = ranks.crossJoin(F.broadcast(greatest))  # one row
+    ranks = ranks.select(x, ((F.col("_rank") - 1) / F.greatest(F.col("_m") - 1, F.lit(1.0))).alias(name))
+    return null_safe_join(df, ranks, [x])
 
 
 #: Weights of the three signals of a pseudo-label, share of rows below it.
@@ -101,11 +107,12 @@ def binary_metrics(df: DataFrame, y: str, predicted: str) -> DataFrame:
 
 def ranking_metrics(df: DataFrame, y: str, score: str) -> DataFrame:
     """ROC area (ties count half) and average precision, from counts per distinct score."""
-    g = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(y).cast("int")).alias("p"), F.sum(1 - F.col(y).cast("int")).alias("n"))
-    up = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    g = g.withColumns({"below": F.coalesce(F.sum("n").over(up), F.lit(0)), "tp": F.sum("p").over(down), "all": F.sum(F.col("p") + F.col("n")).over(down)})
-    return g.agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc_roc"), (F.sum(F.col("p") * F.col("tp") / F.col("all")) / F.sum("p")).alias("average_precision"))
+    t = F.col(y).cast("int")
+    g = df.groupBy(F.col(score).alias("s")).agg(F.sum(t).alias("p"), F.sum(1 - t).alias("n"), F.count("*").alias("m"))
+    g = running_sums(g, "s", {"p": "tp", "m": "all", "n": "fp"}, descending=True)
+    g = g.crossJoin(F.broadcast(df.agg(F.sum(1 - t).alias("negatives"))))  # one row
+    below = F.col("negatives") - F.col("fp")
+    return g.agg((F.sum(F.col("p") * (below + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc_roc"), (F.sum(F.col("p") * F.col("tp") / F.col("all")) / F.sum("p")).alias("average_precision"))
 
 
 def reliability(df: DataFrame, y: str, p: str, bins: int = 10) -> DataFrame:
@@ -116,33 +123,81 @@ def reliability(df: DataFrame, y: str, p: str, bins: int = 10) -> DataFrame:
     return g.withColumn("ece_part", F.abs(F.col("mean_predicted") - F.col("observed")) * F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
+def calibration_summary(bins: DataFrame) -> DataFrame:
+    """One row from reliability(): Brier score and that of the base rate, expected and greatest calibration error."""
+    n = F.col("n")
+    out = bins.agg(
+        F.sum(n).alias("n"), (F.sum(F.col("brier") * n) / F.sum(n)).alias("brier"), (F.sum(F.col("observed") * n) / F.sum(n)).alias("_base"),
+        F.sum("ece_part").alias("ece"), F.max(F.abs(F.col("mean_predicted") - F.col("observed"))).alias("mce"),
+    )
+    return out.withColumn("brier_baseline", F.col("_base") * (1 - F.col("_base"))).drop("_base")
+
+
+def ks_uniform(df: DataFrame, p: str) -> DataFrame:
+    """One row: Kolmogorov-Smirnov distance of the p-values under 1 from the uniform distribution, its p-value (the limiting
+    series), and a verdict; from counts per distinct value.
+    """
+    g = df.filter(F.col(p) < 1).groupBy(F.col(p).alias("p")).count()
+    g = running_sums(g, "p", {"count": "upto"}).crossJoin(F.broadcast(g.agg(F.sum("count").alias("n"))))  # one row
+    gap = F.greatest(F.col("upto") / F.col("n") - F.col("p"), F.col("p") - (F.col("upto") - F.col("count")) / F.col("n"))
+    out = g.agg(F.max("n").alias("ks_n"), F.max(gap).alias("ks_stat"))
+    t = F.sqrt("ks_n") * F.col("ks_stat")
+    series = reduce(lambda a, b: a + b, (F.lit(2.0 * (-1) ** (k - 1)) * F.exp(-2.0 * k * k * t * t) for k in range(1, 101)))
+    # the series for small arguments converges in few terms too
+    small = F.lit((2 * 3.141592653589793) ** 0.5) / t * reduce(lambda a, b: a + b, (F.exp(-((2 * k - 1) ** 2) * 3.141592653589793**2 / (8 * t * t)) for k in range(1, 6)))
+    out = out.withColumn("ks_pvalue", F.when(t > 1, F.least(series, F.lit(1.0))).otherwise(1 - small))
+    return out.withColumn("verdict", F.when(F.col("ks_pvalue") >= 0.05, "BIEN CALIBRADO").when(F.col("ks_pvalue") < 0.05, "MISCALIBRADO"))
+
+
 def conformal_p(df: DataFrame, score: str, calibration: str) -> DataFrame:
-    """p = (calibration scores at least as high + 1) / (their number + 1), by one running count over scores."""
-    g = df.groupBy(F.col(score).alias("_s")).agg(F.sum(F.col(calibration).cast("int")).alias("_c"))
-    at_least = F.sum("_c").over(Window.orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    g = g.withColumns({"_k": at_least, "_n": F.sum("_c").over(Window.partitionBy())})
+    """p = (calibration scores at least as high + 1) / (their number + 1), by running counts over distinct scores."""
+    on = F.col(calibration).cast("int")
+    g = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("_s")).agg(F.sum(on).alias("_c"))
+    g = running_sums(g, "_s", {"_c": "_k"}, descending=True).crossJoin(F.broadcast(df.agg(F.sum(F.when(F.col(score).isNotNull(), on)).alias("_n"))))  # one row
     out = df.join(g, F.col(score) == F.col("_s"), "left").withColumn("p_value", F.coalesce((F.col("_k") + 1) / (F.col("_n") + 1), F.lit(1.0)))
     stars = F.when(F.col("p_value") < 0.01, "***").when(F.col("p_value") < 0.05, "**").when(F.col("p_value") < 0.1, "*").otherwise("")
     return out.withColumn("stars", stars).drop("_s", "_c", "_k", "_n")
 
 
 def benjamini_hochberg(df: DataFrame, p: str) -> DataFrame:
-    """q-values: the least of p * m / rank over this and all larger p."""
-    w = Window.orderBy(p)
-    m = F.count("*").over(Window.partitionBy())
-    df = df.withColumn("_q", F.least(F.col(p) * m / F.row_number().over(w), F.lit(1.0)))
-    return df.withColumn("q_value", F.min("_q").over(Window.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, Window.currentRow))).drop("_q")
+    """q-values: the least of p * m / rank over this and all larger p; ties have the greatest of their ranks."""
+    counts = df.groupBy(p).count()
+    g = running_sums(counts, p, {"count": "_rank"}).crossJoin(F.broadcast(df.agg(F.count(p).alias("_m"))))  # one row
+    g = g.withColumn("_q", F.least(F.col(p) * F.col("_m") / F.col("_rank"), F.lit(1.0)))
+    return df.join(least_from_here(g.select(p, "_q"), p, "_q", "q_value").drop("_q"), p)
+
+
+def fisher_combined(df: DataFrame, p: str) -> DataFrame:
+    """One row: Fisher's statistic of independent p-values, its p-value (chi squared, 2 degrees a value), their number.
+
+    The tail of an even number of degrees is a finite sum; terms grow from one to the next.
+    """
+    out = df.agg((-2 * F.sum(F.log(p))).alias("statistic"), F.count(p).alias("n"))
+    half = F.col("statistic") / 2
+    terms = F.aggregate(
+        F.sequence(F.lit(1).cast("long"), F.col("n")), F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total")),
+        lambda a, i: F.struct((a["term"] * half / i).alias("term"), (a["total"] + a["term"]).alias("total")), lambda a: a["total"],
+    )
+    return out.withColumn("p_value", F.when(F.col("n") > 0, F.exp(-half) * terms))
 
 
 def lift_curve(df: DataFrame, y: str, score: str, key: list[str], shares: tuple[float, ...] = (0.01, 0.05, 0.10, 0.20, 0.50)) -> DataFrame:
-    """Hits among the highest scores at each cut-off, against the overall rate."""
-    w = Window.orderBy(F.desc(score), *key)
-    df = df.withColumns({"_r": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy())})
-    cut = lambda s: F.greatest(F.lit(1), F.floor(F.col("_n") * s))
+    """Hits among the highest scores at each cut-off, against the overall rate.
+
+    Counts per distinct score say at which score each cut-off falls; only rows of these few scores are ordered by key.
+    """
     hit = F.col(y).cast("int")
-    sums = df.agg(F.avg(hit).alias("base"), F.sum(hit).alias("pos"), *(F.sum(F.when(F.col("_r") <= cut(s), hit)).alias(f"h{i}") for i, s in enumerate(shares)), *(F.count_if(F.col("_r") <= cut(s)).alias(f"k{i}") for i, s in enumerate(shares)))
-    rows = [F.struct(F.lit(s).alias("share"), F.col(f"k{i}").alias("k"), (F.col(f"h{i}") / F.col(f"k{i}")).alias("precision"), (F.col(f"h{i}") / F.col("pos")).alias("recall"), (F.col(f"h{i}") / F.col(f"k{i}") / F.col("base")).alias("lift")) for i, s in enumerate(shares)]
-    return sums.select(F.inline(F.array(*rows)))
+    total = df.agg(F.count("*").alias("_n"), F.avg(hit).alias("base"), F.sum(hit).alias("pos"))
+    g = df.groupBy(score).agg(F.count("*").alias("m"), F.sum(hit).alias("h"))
+    g = running_sums(g, score, {"m": "upto", "h": "hits"}, descending=True).crossJoin(F.broadcast(total))  # one row
+    cuts = F.array(*(F.struct(F.lit(s).alias("share"), F.greatest(F.lit(1), F.floor(F.col("_n") * s)).alias("k")) for s in shares))
+    at = g.select("*", F.inline(cuts)).filter("k <= upto AND k > upto - m")  # one row a cut-off
+    ties = df.join(F.broadcast(at.select(score).distinct()), score)
+    nth = F.row_number().over(Window.partitionBy(score).orderBy(*key))
+    ties = ties.withColumn("_i", nth).join(F.broadcast(at.select(score, "share", F.expr("k - (upto - m)").alias("left"))), score)
+    ties = ties.filter("_i <= left").groupBy("share").agg(F.sum(hit).alias("last"))
+    out = at.join(ties, "share").withColumn("hit", F.col("hits") - F.col("h") + F.col("last"))
+    return out.select("share", "k", (F.col("hit") / F.col("k")).alias("precision"), (F.col("hit") / F.col("pos")).alias("recall"), (F.col("hit") / F.col("k") / F.col("base")).alias("lift"))
 
 
 def spatial_class(df: DataFrame, edges: DataFrame, least: int = 1) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from aforo.operators.ranges import running_sums
+
 
 def reading_flags(df: DataFrame, multiplier: float = 3.0, zero_days: int = 30) -> DataFrame:
     """Stopped, extreme (fence of the month's positive values), negative and late readings."""
@@ -55,32 +57,51 @@ def meter_health(df: DataFrame) -> DataFrame:
 
 
 def gini(df: DataFrame, key: str, x: str) -> DataFrame:
-    """Gini coefficient of the positive values per key: one sort, no pairs."""
-    pos = df.filter(F.col(x) > 0).select(key, F.col(x).alias("x"))
-    i = F.row_number().over(Window.partitionBy(key).orderBy("x"))
-    out = pos.withColumn("i", i).groupBy(key).agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("i") * F.col("x")).alias("t"))
+    """Gini coefficient of the positive values per key, from counts per distinct value; no key is sorted in one task."""
+    counts = df.filter(F.col(x) > 0).groupBy(key, F.col(x).alias("x")).count()
+    ranks = running_sums(counts, "x", {"count": "upto"}, [key])
+    places = F.col("count") * (2 * F.col("upto") - F.col("count") + 1) / 2  # sum of the ranks of equal values
+    out = ranks.groupBy(key).agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("x")).alias("s"), F.sum(places * F.col("x")).alias("t"))
     return out.select(key, (2 * F.col("t") / (F.col("n") * F.col("s")) - (F.col("n") + 1) / F.col("n")).alias("gini"))
 
 
 def binned_entropy(df: DataFrame, key: str, x: str, bins: int = 50) -> DataFrame:
     """Entropy (bits) of the positive values over equal-width bins of each key's range."""
-    w = Window.partitionBy(key)
-    pos = df.filter(F.col(x) > 0).select(key, F.col(x).alias("x")).withColumns({"lo": F.min("x").over(w), "hi": F.max("x").over(w)})
+    pos = df.filter(F.col(x) > 0).select(key, F.col(x).alias("x"))
+    pos = pos.join(pos.groupBy(key).agg(F.min("x").alias("lo"), F.max("x").alias("hi")), key)
     b = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(0)
     counts = pos.groupBy(key, b.alias("b")).count()
-    p = F.col("count") / F.sum("count").over(w)
+    p = F.col("count") / F.sum("count").over(Window.partitionBy(key))  # at most ``bins`` rows a key
     return counts.withColumn("p", p).groupBy(key).agg((-F.sum(F.col("p") * F.log2("p"))).alias("entropy"))
 
 
+def ks_before(df: DataFrame, key: str, x: str, months: int = 6) -> DataFrame:
+    """KS statistic of each month's values against those of the ``months`` before it (of those there are); 0 for the first.
+
+    From counts per distinct value, each carried to the months it is compared in. ``key`` orders the months.
+    """
+    nth = df.select(key).distinct().withColumn("_m", F.row_number().over(Window.orderBy(key)))  # a row a month
+    counts = df.filter(F.col(x).isNotNull()).groupBy(key, F.col(x).alias("x")).count().join(F.broadcast(nth), key)
+    rows = counts.select("x", "count", F.explode(F.sequence(F.lit(0), F.lit(months))).alias("_d"), "_m")
+    now = (F.col("_d") == 0).cast("long")
+    g = rows.groupBy((F.col("_m") + F.col("_d")).alias("_m"), "x").agg(F.sum(F.col("count") * now).alias("a"), F.sum(F.col("count") * (1 - now)).alias("b"))
+    all_ = g.groupBy("_m").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    g = running_sums(g, "x", {"a": "ua", "b": "ub"}, ["_m"]).join(F.broadcast(all_), "_m")  # a row a month
+    gap = F.when((F.col("na") > 0) & (F.col("nb") > 0), F.abs(F.col("ua") / F.col("na") - F.col("ub") / F.col("nb"))).otherwise(0.0)
+    return g.groupBy("_m").agg(F.max(gap).alias("ks")).join(nth, "_m").drop("_m")
+
+
 def distribution_features(df: DataFrame) -> DataFrame:
-    """Per month: shares, skewness and kurtosis (population), delay, Gini, entropy."""
+    """Per month: shares, skewness and kurtosis (population), delay, Gini, entropy, distance from the months before."""
     p99 = df.filter("m3_per_day > 0").agg(F.percentile("m3_per_day", F.lit(0.99)).alias("p99"))
     pct = lambda c, n: (F.avg(c.cast("int")) * 100).alias(n)
     out = df.crossJoin(F.broadcast(p99)).groupBy("mes").agg(  # p99 is one row
         F.count("*").alias("n_readings"), pct(F.col("m3") == 0, "pct_zero"), pct(F.col("m3") < 0, "pct_negative"), pct(F.col("m3_per_day") > F.col("p99"), "pct_extreme"),
         F.avg("delay").alias("mean_delay"), pct(F.col("delay") > 5, "pct_late"), F.skewness("m3_per_day").alias("skewness"), F.kurtosis("m3_per_day").alias("kurtosis"),
     )
-    return out.join(gini(df, "mes", "m3_per_day"), "mes", "left").join(binned_entropy(df, "mes", "m3_per_day"), "mes", "left")
+    for more in (gini(df, "mes", "m3_per_day"), binned_entropy(df, "mes", "m3_per_day"), ks_before(df, "mes", "m3_per_day")):
+        out = out.join(more, "mes", "left")
+    return out
 
 
 def distribution_flags(f: DataFrame, features: list[str], least: int = 3, z: float = 2.0) -> DataFrame:

@@ -44,17 +44,18 @@ def entropy_of(counts: DataFrame, *by: str) -> DataFrame:
     return counts.withColumn("_p", p).groupBy(*by).agg((-F.sum(F.col("_p") * F.log("_p"))).alias("h"))
 
 
-def transfer_entropy(df: DataFrame, key: str, t: str, x: str, bins: int = 10) -> DataFrame:
-    """TE of every ordered pair of series over one lag, from counts of binned values.
+def transfer_entropy(df: DataFrame, key: str, t: str, x: str, edges: DataFrame, bins: int = 10) -> DataFrame:
+    """TE over one lag along the given edges (src, dst), from counts of binned values.
 
-    Series are binned over their range and paired on time (an equi-join); entropies come from grouped counts.
+    Series are binned over their range; an edge's two series meet on time, so that the work is edges times times, not all pairs.
+    Entropies come from grouped counts.
     """
     w = Window.partitionBy(key)
     lo, hi = F.min(x).over(w), F.max(x).over(w)
     b = F.when(hi > lo, F.least(F.floor((F.col(x) - lo) / (hi - lo) * bins), F.lit(bins - 1))).otherwise(0).cast("int")
     s = df.select(F.col(key).alias("k"), F.col(t).alias("t"), b.alias("b"))
     s = s.withColumn("p", F.lag("b").over(Window.partitionBy("k").orderBy("t"))).filter("p IS NOT NULL")
-    pairs = s.select(F.col("k").alias("dst"), "t", F.col("b").alias("y"), F.col("p").alias("yp")).join(s.select(F.col("k").alias("src"), "t", F.col("p").alias("xp")), "t").filter("src <> dst")
+    pairs = s.select(F.col("k").alias("dst"), "t", F.col("b").alias("y"), F.col("p").alias("yp")).join(edges.select("src", "dst"), "dst").join(s.select(F.col("k").alias("src"), "t", F.col("p").alias("xp")), ["src", "t"])
     full = pairs.groupBy("src", "dst", "y", "yp", "xp").count()
     parts = None
     for name, cols in (("h1", ("y", "yp")), ("h2", ("yp",)), ("h3", ("y", "yp", "xp")), ("h4", ("yp", "xp"))):
@@ -130,10 +131,10 @@ def min_max(x: str, *by: str) -> Column:
 
 def equal_width_bins(df: DataFrame, x: str, n: int, name: str) -> DataFrame:
     """Bin 0 to n - 1 of the whole range, right edges closed, the least value in the first."""
-    w = Window.partitionBy()
-    lo, hi = F.min(x).over(w), F.max(x).over(w)
+    df = df.crossJoin(F.broadcast(df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))))  # one row
+    lo, hi = F.col("_lo"), F.col("_hi")
     b = F.when(hi > lo, F.least(F.greatest(F.ceil((F.col(x) - lo) / (hi - lo) * n) - 1, F.lit(0)), F.lit(n - 1))).otherwise(0)
-    return df.withColumn(name, b.cast("int"))
+    return df.withColumn(name, b.cast("int")).drop("_lo", "_hi")
 
 
 def diff_in_diff(df: DataFrame, treated: str, after: str, x: str) -> DataFrame:

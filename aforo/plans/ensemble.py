@@ -79,7 +79,7 @@ def pseudo(s, d):
 
 _q("e12_pseudo_labels", lambda s, d: rounded(pseudo(s, d), KEYS, {"pseudo_score": 6, "pseudo_label": 0}), rounded_sql(f"{RESULTS}, {_P0}", _PSEUDO, KEYS, {"pseudo_score": 6, "pseudo_label": 0}))
 _q("w19_rank_normalise", lambda s, d: rounded(e.rank_normalise(results(s, d), "abs_dev", "r"), KEYS, {"r": 6}), rounded_sql(RESULTS, "SELECT *, (rk - 1) / greatest(max(rk) OVER () - 1, 1) AS r FROM (SELECT *, rank() OVER (ORDER BY abs_dev) + (count(*) OVER (PARTITION BY abs_dev) - 1) / 2 AS rk FROM results)", KEYS, {"r": 6}))
-_q("w18_average_rank", lambda s, d: rounded(results(s, d).withColumn("pct_rank", e.average_rank("abs_dev", "uso") / F.count("*").over(e.Window.partitionBy("uso"))), KEYS, {"pct_rank": 6}),
+_q("w18_average_rank", lambda s, d: rounded(e.percent_rank_average(results(s, d), "abs_dev", "uso", "pct_rank"), KEYS, {"pct_rank": 6}),
    rounded_sql(RESULTS, "SELECT *, (rank() OVER (PARTITION BY uso ORDER BY abs_dev) + (count(*) OVER (PARTITION BY uso, abs_dev) - 1) / 2) / count(*) OVER (PARTITION BY uso) AS pct_rank FROM results", KEYS, {"pct_rank": 6}))
 _BM = "SELECT *, 2 * precision * recall / (precision + recall) AS f1, (po - pe) / (1 - pe) AS kappa FROM (SELECT *, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, (tp + tn) / n AS po, ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / (n * n) AS pe FROM (SELECT count(*)::DOUBLE AS n, (count(*) FILTER (y AND p))::DOUBLE AS tp, (count(*) FILTER (NOT y AND p))::DOUBLE AS fp, (count(*) FILTER (y AND NOT p))::DOUBLE AS fn, (count(*) FILTER (NOT y AND NOT p))::DOUBLE AS tn FROM $s))"
 _BMC = {"tp": 0, "fp": 0, "fn": 0, "tn": 0, "precision": 6, "recall": 6, "f1": 6, "kappa": 6}
@@ -89,11 +89,22 @@ _q("e13_ranking_metrics", lambda s, d: rounded(e.ranking_metrics(pseudo(s, d), "
    f"WITH {RESULTS}, {_P0}, g AS (SELECT pseudo_score AS s, (count(*) FILTER (is_anomaly_cross))::DOUBLE AS p, (count(*) FILTER (NOT is_anomaly_cross))::DOUBLE AS n FROM p0 GROUP BY 1) SELECT round(sum(p * (coalesce(below, 0) + n / 2)) / (sum(p) * sum(n)), 6) AS auc_roc, round(sum(p * tp / al) / sum(p), 6) AS average_precision FROM (SELECT *, sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below, sum(p) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS tp, sum(p + n) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS al FROM g)")
 _q("e6_reliability", lambda s, d: rounded(e.reliability(pseudo(s, d), "is_anomaly_cross", "pseudo_score"), ["bin"], {"n": 0, "mean_predicted": 6, "observed": 6, "brier": 6, "ece_part": 6}),
    rounded_sql(f"{RESULTS}, {_P0}", "SELECT *, abs(mean_predicted - observed) * n / sum(n) OVER () AS ece_part FROM (SELECT CAST(least(floor(pseudo_score * 10), 9) AS INTEGER) AS bin, count(*) AS n, avg(pseudo_score) AS mean_predicted, avg(is_anomaly_cross::INT) AS observed, avg((pseudo_score - is_anomaly_cross::INT) ** 2) AS brier FROM p0 GROUP BY 1)", ["bin"], {"n": 0, "mean_predicted": 6, "observed": 6, "brier": 6, "ece_part": 6}))
+_CAL = {"n": 0, "brier": 6, "brier_baseline": 6, "ece": 6, "mce": 6}
+_q("e6_calibration", lambda s, d: rounded(e.calibration_summary(e.reliability(pseudo(s, d), "is_anomaly_cross", "pseudo_score")), [], _CAL),
+   rounded_sql(f"{RESULTS}, {_P0}", """SELECT sum(n) AS n, sum(b) / sum(n) AS brier, sum(o) / sum(n) * (1 - sum(o) / sum(n)) AS brier_baseline, sum(abs(mp - o / n) * n) / sum(n) AS ece, max(abs(mp - o / n)) AS mce FROM (
+      SELECT least(floor(pseudo_score * 10), 9) AS bin, count(*) AS n, avg(pseudo_score) AS mp, sum(is_anomaly_cross::INT) AS o, sum((pseudo_score - is_anomaly_cross::INT) ** 2) AS b FROM p0 GROUP BY 1)""", [], _CAL).replace("SELECT , ", "SELECT "))
 _CONF = "SELECT a.*, (SELECT 1) AS one, (k + 1) / (n + 1) AS p_value FROM results a JOIN (SELECT abs_dev AS s, sum(c) OVER (ORDER BY abs_dev DESC ROWS UNBOUNDED PRECEDING) AS k, sum(c) OVER () AS n FROM (SELECT abs_dev, count(*) FILTER (train) AS c FROM results GROUP BY 1)) ON s = abs_dev"
 _q("e4_conformal_p", lambda s, d: rounded(e.conformal_p(results(s, d), "abs_dev", "train"), [*KEYS, "stars"], {"p_value": 6}),
    rounded_sql(RESULTS, f"SELECT *, CASE WHEN p_value < 0.01 THEN '***' WHEN p_value < 0.05 THEN '**' WHEN p_value < 0.1 THEN '*' ELSE '' END AS stars FROM ({_CONF})", [*KEYS, "stars"], {"p_value": 6}))
 _q("c11_benjamini_hochberg", lambda s, d: rounded(e.benjamini_hochberg(e.conformal_p(results(s, d), "abs_dev", "train").groupBy("barrio_key").agg(F.min("p_value").alias("p_value")), "p_value"), ["barrio_key"], {"p_value": 6, "q_value": 6}),
    rounded_sql(RESULTS, f"SELECT *, min(q) OVER (ORDER BY p_value DESC RANGE UNBOUNDED PRECEDING) AS q_value FROM (SELECT *, least(p_value * count(*) OVER () / row_number() OVER (ORDER BY p_value), 1) AS q FROM (SELECT barrio_key, min(p_value) AS p_value FROM ({_CONF}) GROUP BY 1))", ["barrio_key"], {"p_value": 6, "q_value": 6}))
+_KS = {"ks_n": 0, "ks_stat": 6, "ks_pvalue": 6}
+_q("e6_ks_uniform", lambda s, d: rounded(e.ks_uniform(e.conformal_p(results(s, d).filter("fecha < '1996-01-01'"), "abs_dev", "is_anomaly_season"), "p_value"), ["verdict"], _KS),
+   rounded_sql(RESULTS + ", rs AS (SELECT * FROM results WHERE fecha < DATE '1996-01-01'), k0 AS (SELECT (k + 1) / (n + 1) AS p_value FROM rs JOIN (SELECT abs_dev AS s, sum(c) OVER (ORDER BY abs_dev DESC ROWS UNBOUNDED PRECEDING) AS k, sum(c) OVER () AS n FROM (SELECT abs_dev, count(*) FILTER (is_anomaly_season) AS c FROM rs GROUP BY 1)) ON s = abs_dev), k1 AS (SELECT p_value, row_number() OVER (ORDER BY p_value) AS i, count(*) OVER () AS n FROM k0 WHERE p_value < 1), k2 AS (SELECT max(n) AS ks_n, max(greatest(i / n - p_value, p_value - (i - 1) / n)) AS ks_stat FROM k1)",
+     "SELECT *, CASE WHEN ks_pvalue >= 0.05 THEN 'BIEN CALIBRADO' WHEN ks_pvalue < 0.05 THEN 'MISCALIBRADO' END AS verdict FROM (SELECT *, CASE WHEN ks_n > 0 THEN least(1, list_sum([2 * (-1) ** (k - 1) * exp(-2 * k * k * ks_n * ks_stat ** 2) for k in range(1, 101)])) END AS ks_pvalue FROM k2)", ["verdict"], _KS))
+_q("c11_fisher", lambda s, d: rounded(e.fisher_combined(e.conformal_p(results(s, d), "abs_dev", "train").groupBy("barrio").agg(F.min("p_value").alias("p_value")).filter("p_value > 0.001"), "p_value"), [], {"statistic": 6, "n": 0, "p_value": 9}),
+   rounded_sql(f"{RESULTS}, f0 AS (SELECT -2 * sum(ln(p)) AS statistic, count(*) AS n FROM (SELECT barrio, min(p_value) AS p FROM ({_CONF}) GROUP BY 1) WHERE p > 0.001)",
+     "SELECT statistic, n, exp(-statistic / 2) * list_sum([(statistic / 2) ** k / factorial(k::INTEGER) for k in range(0, n)]) AS p_value FROM f0", [], {"statistic": 6, "n": 0, "p_value": 9}).replace("SELECT , ", "SELECT "))
 _LC = {"share": 2, "k": 0, "precision": 6, "recall": 6, "lift": 6}
 _q("a24_lift_curve", lambda s, d: rounded(e.lift_curve(pseudo(s, d), "is_anomaly_yoy", "pseudo_score", KEYS), [], _LC),
    f"WITH {RESULTS}, {_P0}, r AS (SELECT *, row_number() OVER (ORDER BY pseudo_score DESC, barrio_key, fecha) AS rn, count(*) OVER () AS n FROM p0) SELECT round(s, 2) AS share, k::DOUBLE AS k, round(h / k, 6) AS precision, round(h / pos, 6) AS recall, round(h / k / base, 6) AS lift FROM (SELECT s, count(*) FILTER (rn <= greatest(1, floor(n * s))) AS k, count(*) FILTER (rn <= greatest(1, floor(n * s)) AND is_anomaly_yoy) AS h, count(*) FILTER (is_anomaly_yoy) AS pos, avg(is_anomaly_yoy::INT) AS base FROM r, (SELECT unnest([0.01::DOUBLE, 0.05, 0.10, 0.20, 0.50]) AS s) GROUP BY 1)")
@@ -138,7 +149,15 @@ _q("m15_wasserstein_split", lambda s, d: rounded(st.ecdf_gap(m.split_train(panel
    rounded_sql(f"{SPARSE}, tt AS (SELECT *, dense_rank() OVER (ORDER BY fecha) <= least(24, floor((SELECT count(DISTINCT fecha) FROM sparse) * 0.7)) AS train FROM sparse)", _gap_sql("barrio_key", "cpc", "train", "tt"), ["barrio_key"], {"wasserstein": 4, "ks": 6}))
 _q("a7_ks_by_periodicity", lambda s, d: rounded(st.ecdf_gap(readings(s, d), "mes", "m3", "trimestral"), ["mes"], {"wasserstein": 6, "ks": 6}), rounded_sql(READINGS, _gap_sql("mes", "m3", "trimestral", "readings"), ["mes"], {"wasserstein": 6, "ks": 6}))
 _TE = "WITH $c, b0 AS (SELECT sector AS k, ts AS t, CAST(CASE WHEN hi > lo THEN least(floor((caudal - lo) / (hi - lo) * 10), 9) ELSE 0 END AS INTEGER) AS b FROM (SELECT *, min(caudal) OVER (PARTITION BY sector) AS lo, max(caudal) OVER (PARTITION BY sector) AS hi FROM sector)), s AS (SELECT * FROM (SELECT *, lag(b) OVER (PARTITION BY k ORDER BY t) AS p FROM b0) WHERE p IS NOT NULL), pr AS (SELECT y.k AS dst, x.k AS src, y.b AS y, y.p AS yp, x.p AS xp FROM s y JOIN s x ON x.t = y.t AND x.k <> y.k)" + "".join(f", h{i} AS (SELECT src, dst, -sum(q * ln(q)) AS h{i} FROM (SELECT src, dst, count(*) / sum(count(*)) OVER (PARTITION BY src, dst) AS q FROM pr GROUP BY src, dst, {c}) GROUP BY 1, 2)" for i, c in ((1, "y, yp"), (2, "yp"), (3, "y, yp, xp"), (4, "yp, xp"))) + " SELECT src, dst, round(greatest(h1 - h2 - h3 + h4, 0), 6) + 0.0 AS te FROM h1 JOIN h2 USING (src, dst) JOIN h3 USING (src, dst) JOIN h4 USING (src, dst)"
-_q("c5_transfer_entropy", lambda s, d: rounded(st.transfer_entropy(sector_hourly(s, d), "sector", "ts", "caudal"), ["src", "dst"], {"te": 6}), _TE.replace("$c", SECTOR))
+
+
+def _sector_edges(s, d):
+    """Both directions between any two event types (five)."""
+    kinds = table(s, d, "events").select("event_type").distinct()
+    return kinds.toDF("src").join(kinds.toDF("dst"), F.col("src") != F.col("dst"))
+
+
+_q("c5_transfer_entropy", lambda s, d: rounded(st.transfer_entropy(sector_hourly(s, d), "sector", "ts", "caudal", _sector_edges(s, d)), ["src", "dst"], {"te": 6}), _TE.replace("$c", SECTOR))
 
 
 def _moran(s, d):

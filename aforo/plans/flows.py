@@ -88,13 +88,17 @@ _add("a6_by_periodicity", readings, READINGS, lambda d: r.by_periodicity(r.readi
 _add("a15_meter_health", readings, READINGS, r.meter_health, ["mes"], {"n": 0, "pct_zero": 6, "pct_very_low": 6, "pct_high_consumption": 6, "pct_abnormal_days": 6, "median_m3_dia": 6, "pct_suspicious": 6},
      """SELECT mes, count(*) AS n, avg((m3 = 0)::INT) AS pct_zero, avg((m3_per_day > 0 AND m3_per_day < 0.005)::INT) AS pct_very_low, avg((m3_per_day > 3)::INT) AS pct_high_consumption, avg((dias < 15 OR dias > 100)::INT) AS pct_abnormal_days,
        median(m3_per_day) AS median_m3_dia, avg((m3 <= 0 OR dias < 15 OR dias > 45)::INT) AS pct_suspicious FROM readings GROUP BY 1""")
-_DIST = """SELECT a.*, gini, entropy FROM (SELECT mes, count(*) AS n_readings, avg((m3 = 0)::INT) * 100 AS pct_zero, avg((m3 < 0)::INT) * 100 AS pct_negative, avg((m3_per_day > (SELECT quantile_cont(m3_per_day, 0.99) FROM readings WHERE m3_per_day > 0))::INT) * 100 AS pct_extreme, avg(delay) AS mean_delay, avg((delay > 5)::INT) * 100 AS pct_late,
-   CASE WHEN var_pop(m3_per_day) > 0 THEN (avg(m3_per_day ** 3) - 3 * avg(m3_per_day) * avg(m3_per_day ** 2) + 2 * avg(m3_per_day) ** 3) / var_pop(m3_per_day) ** 1.5 END AS skewness, CASE WHEN var_pop(m3_per_day) > 0 THEN kurtosis_pop(m3_per_day) END AS kurtosis FROM readings GROUP BY 1) a
+_DIST = """SELECT a.*, gini, entropy, ks FROM (SELECT *, dense_rank() OVER (ORDER BY mes) AS dense FROM (SELECT mes, count(*) AS n_readings, avg((m3 = 0)::INT) * 100 AS pct_zero, avg((m3 < 0)::INT) * 100 AS pct_negative, avg((m3_per_day > (SELECT quantile_cont(m3_per_day, 0.99) FROM readings WHERE m3_per_day > 0))::INT) * 100 AS pct_extreme, avg(delay) AS mean_delay, avg((delay > 5)::INT) * 100 AS pct_late,
+   CASE WHEN var_pop(m3_per_day) > 0 THEN (avg(m3_per_day ** 3) - 3 * avg(m3_per_day) * avg(m3_per_day ** 2) + 2 * avg(m3_per_day) ** 3) / var_pop(m3_per_day) ** 1.5 END AS skewness, CASE WHEN var_pop(m3_per_day) > 0 THEN kurtosis_pop(m3_per_day) END AS kurtosis FROM readings GROUP BY 1)) a
  LEFT JOIN (SELECT mes, 2 * sum(i * x) / (count(*) * sum(x)) - (count(*) + 1.0) / count(*) AS gini FROM (SELECT mes, m3_per_day AS x, row_number() OVER (PARTITION BY mes ORDER BY m3_per_day) AS i FROM readings WHERE m3_per_day > 0) GROUP BY 1) g USING (mes)
- LEFT JOIN (SELECT mes, -sum(p * log2(p)) AS entropy FROM (SELECT mes, n / sum(n) OVER (PARTITION BY mes) AS p FROM (SELECT mes, CASE WHEN hi > lo THEN least(floor((x - lo) / (hi - lo) * 50), 49) ELSE 0 END AS b, count(*) AS n FROM (SELECT mes, m3_per_day AS x, min(m3_per_day) OVER (PARTITION BY mes) AS lo, max(m3_per_day) OVER (PARTITION BY mes) AS hi FROM readings WHERE m3_per_day > 0) GROUP BY 1, 2)) GROUP BY 1) e USING (mes)"""
-_DIST_COLS = {"n_readings": 0, "pct_zero": 4, "pct_negative": 4, "pct_extreme": 4, "mean_delay": 4, "pct_late": 4, "skewness": 4, "kurtosis": 4, "gini": 6, "entropy": 6}
+ LEFT JOIN (SELECT mes, -sum(p * log2(p)) AS entropy FROM (SELECT mes, n / sum(n) OVER (PARTITION BY mes) AS p FROM (SELECT mes, CASE WHEN hi > lo THEN least(floor((x - lo) / (hi - lo) * 50), 49) ELSE 0 END AS b, count(*) AS n FROM (SELECT mes, m3_per_day AS x, min(m3_per_day) OVER (PARTITION BY mes) AS lo, max(m3_per_day) OVER (PARTITION BY mes) AS hi FROM readings WHERE m3_per_day > 0) GROUP BY 1, 2)) GROUP BY 1) e USING (mes)
+ LEFT JOIN (SELECT m AS mi, max(gap) AS ks FROM (SELECT m, CASE WHEN na > 0 AND nb > 0 THEN abs(sum(a) OVER w / na - sum(b) OVER w / nb) ELSE 0 END AS gap FROM (
+     SELECT *, sum(a) OVER (PARTITION BY m) AS na, sum(b) OVER (PARTITION BY m) AS nb FROM (SELECT k.m, x, count(*) FILTER (d = 0) AS a, count(*) FILTER (d > 0) AS b FROM (
+       SELECT m3_per_day AS x, dense_rank() OVER (ORDER BY mes) AS m0 FROM readings), (SELECT unnest(range(0, 7)) AS d), (SELECT unnest(range(1, 5000)) AS m) k WHERE k.m = m0 + d GROUP BY 1, 2)) WINDOW w AS (PARTITION BY m ORDER BY x ROWS UNBOUNDED PRECEDING)) GROUP BY 1) k
+   ON mi = dense"""
+_DIST_COLS = {"n_readings": 0, "pct_zero": 4, "pct_negative": 4, "pct_extreme": 4, "mean_delay": 4, "pct_late": 4, "skewness": 4, "kurtosis": 4, "gini": 6, "entropy": 6, "ks": 6}
 _add("a7_distribution_features", readings, READINGS, r.distribution_features, ["mes"], _DIST_COLS, _DIST)
-_Z = ["pct_zero", "pct_negative", "pct_extreme", "gini", "entropy", "mean_delay", "pct_late", "skewness", "kurtosis"]
+_Z = ["pct_zero", "pct_negative", "pct_extreme", "gini", "entropy", "mean_delay", "pct_late", "ks", "skewness", "kurtosis"]
 _zs = {c: f"abs(CASE WHEN stddev_samp({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () ELSE 0 END)" for c in _Z}
 _add("m10d_distribution_flags", readings, READINGS, lambda d: r.distribution_flags(r.distribution_features(d), _Z), ["mes"], {"n_anomalous": 0, "score": 4, "is_anomaly": 0},
      f"SELECT mes, len(z) AS n_anomalous, coalesce(list_avg(z), 0) AS score, len(z) >= 3 AS is_anomaly FROM (SELECT mes, list_filter([{', '.join(_zs.values())}], lambda x: x > 2) AS z FROM ({_DIST}))")
