@@ -123,48 +123,59 @@ def permutation_p(df: DataFrame, a: str, b: str, key: str, rounds: int = 99, see
     return both.agg(F.max("r").alias("r"), ((F.count_if(F.abs("c") >= F.abs("r")) + 1) / (F.count("*") + 1)).alias("p_value"))
 
 
-def isolation_forest(df: DataFrame, key: list[str], features: list[str], trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
-    """Isolation forest: trees from seeded samples of at most ``sample`` rows each, scores -2^(-depth / c), lower is stranger.
+def _normal_depth(n: float) -> float:
+    return 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2)
 
-    Fitting needs ``trees * sample`` rows in all, the documented bound; they are drawn by hash and sent to the
-    driver. Scoring is Arrow-batched over the broadcast trees, without shuffle.
-    """
-    keyed = df.withColumn("_h", F.xxhash64(F.lit(seed), *key, *features))
-    pool = keyed.select("_h", *features).orderBy("_h").limit(trees * sample).toPandas()[features].to_numpy(float)
-    rng, forest = np.random.default_rng(seed), []
-    size = min(sample, len(pool))
-    limit = int(np.ceil(np.log2(max(size, 2))))
 
-    def c(n: float) -> float:
-        return 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2)
+def fit_forest(pool: np.ndarray, trees: int, sample: int, seed: int) -> tuple[list, float]:
+    """Isolation trees, each of at most ``sample`` rows of ``pool``, and the depth that scores are measured by."""
+    rng, size = np.random.default_rng(seed), min(sample, len(pool))
+    limit = int(np.ceil(np.log2(max(size, 2))))
 
     def grow(x: np.ndarray, depth: int):
-        spread = x.max(0) - x.min(0) if len(x) else np.zeros(len(features))
+        spread = x.max(0) - x.min(0) if len(x) else np.zeros(pool.shape[1])
         if depth >= limit or len(x) <= 1 or not spread.any():
-            return depth + c(len(x))
+            return depth + _normal_depth(len(x))
         f = rng.choice(np.flatnonzero(spread))
         cut = rng.uniform(x[:, f].min(), x[:, f].max())
         return f, cut, grow(x[x[:, f] < cut], depth + 1), grow(x[x[:, f] >= cut], depth + 1)
 
-    for _ in range(trees if size else 0):
-        forest.append(grow(pool[rng.choice(len(pool), size, replace=False)], 0))
-    shared, norm = df.sparkSession.sparkContext.broadcast(forest), max(c(size), 1e-9)
+    forest = [grow(pool[rng.choice(len(pool), size, replace=False)], 0) for _ in range(trees if size else 0)]
+    return forest, max(_normal_depth(size), 1e-9)
+
+
+def forest_scores(forest: list, norm: float, x: np.ndarray) -> np.ndarray:
+    """-2^(-mean depth / norm) of each row; lower is stranger."""
+    total = np.zeros(len(x))
 
-    def depth(node, x: np.ndarray, out: np.ndarray, at: np.ndarray) -> None:
+    def walk(node, at: np.ndarray) -> None:
         if not isinstance(node, tuple):
-            out[at] += node
+            total[at] += node
             return
         f, cut, low, high = node
         left = x[at, f] < cut
-        depth(low, x, out, at[left])
-        depth(high, x, out, at[~left])
+        walk(low, at[left])
+        walk(high, at[~left])
+
+    for tree in forest:
+        walk(tree, np.arange(len(x)))
+    return -(2.0 ** (-(total / max(len(forest), 1)) / norm))
+
+
+def isolation_forest(df: DataFrame, key: list[str], features: list[str], trees: int = 100, sample: int = 256, seed: int = 42, fitted_on: str = "true") -> DataFrame:
+    """Isolation forest: trees from seeded samples of at most ``sample`` rows each (of those where ``fitted_on`` holds), scores
+    -2^(-depth / c), lower is stranger.
+
+    Fitting needs ``trees * sample`` rows in all, the documented bound; they are drawn by hash and sent to the
+    driver. Scoring is Arrow-batched over the broadcast trees, without shuffle.
+    """
+    keyed = df.filter(fitted_on).withColumn("_h", F.xxhash64(F.lit(seed), *key, *features))
+    pool = keyed.select("_h", *features).orderBy("_h").limit(trees * sample).toPandas()[features].to_numpy(float)
+    shared = df.sparkSession.sparkContext.broadcast(fit_forest(pool, trees, sample, seed))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x, total = b[features].to_numpy(float), np.zeros(len(b))
-            for tree in shared.value:
-                depth(tree, x, total, np.arange(len(b)))
-            yield b[key].assign(score=-(2.0 ** (-(total / max(len(shared.value), 1)) / norm)))
+            yield b[key].assign(score=forest_scores(*shared.value, b[features].to_numpy(float)))
 
     return df.select(*key, *features).mapInPandas(run, df.select(*key).withColumn("score", F.lit(0.0)).schema)
 
