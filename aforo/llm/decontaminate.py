@@ -76,19 +76,25 @@ def _singular(unit: str) -> str:
     return {"feet": "foot", "inches": "inch"}.get(unit) or (unit[:-1] if unit[-1:] == "s" and unit[:-1] in UNITS else unit)
 
 
+_KINDS = dict.fromkeys(OPENERS, _OPENER) | dict.fromkeys(UNITS, _UNIT) | {w: _UNIT | _OPENER for w in UNITS & OPENERS} | dict.fromkeys(NUMBER_WORDS, _NUM)
+
+
 def _tokens(raw: str) -> tuple[list[tuple[str, int]], bool]:
     """Of a raw word: its tokens (in lower case without punctuation, and what each may be), whether a sentence ends."""
     bare = raw.strip(_STRIP)
     low, ends = bare.lower(), raw[-1] in _END
     if not low:
         return [], ends
-    glued = _GLUED.match(low)
-    if glued and glued[2] in UNITS:
-        return [(glued[1], _NUM), (glued[2], _UNIT)], ends
-    if _NUMBER.match(low) or all(x in NUMBER_WORDS for x in low.split("-")):
-        return [(low, _NUM)], ends
-    capital = _CAPITAL * (len(bare) > 1 and bare[0].isupper() and bare[1:].islower())
-    return [(low, _UNIT * (low in UNITS) | capital | _OPENER * (low in OPENERS))], ends
+    if not low.isalpha():
+        glued = _GLUED.match(low)
+        if glued and glued[2] in UNITS:
+            return [(glued[1], _NUM), (glued[2], _UNIT)], ends
+        if _NUMBER.match(low) or "-" in low and all(x in NUMBER_WORDS for x in low.split("-")):
+            return [(low, _NUM)], ends
+    kind = _KINDS.get(low, _WORD)
+    if bare != low and kind != _NUM and len(bare) > 1 and bare[0].isupper() and bare[1:].islower():
+        kind |= _CAPITAL
+    return [(low, kind)], ends
 
 
 def canonical(text: str) -> tuple[list[str], list[str], list[str]]:
@@ -115,32 +121,31 @@ def canonical(text: str) -> tuple[list[str], list[str], list[str]]:
 class Canonical:
     """Canonical words of many texts at once, as arrays; what canonical() says of each."""
 
-    _known: dict[str, tuple[list[tuple[str, int, int]], bool]] = {}
+    _known: dict[str, tuple] = {}
 
     def __init__(self, texts: pa.Array):
         marked = pc.replace_substring(pc.fill_null(texts, ""), "\n", " \x01 ")
         raw, offsets = split_words(marked, lower=False)
         coded = raw.dictionary_encode()
-        known = self._known
+        known, table = self._known, []
         if len(known) > CACHED:
             known.clear()
-        table = []
         for w in coded.dictionary.to_pylist():
             got = known.get(w)
             if got is None:
                 tokens, ends = ([], True) if w == "\x01" else _tokens(w)
-                got = known[w] = [(low, kind, xxhash.xxh3_64_intdigest(low)) for low, kind in tokens], ends
+                (low, kind), (low2, kind2) = (*tokens, ("", 0), ("", 0))[:2]
+                got = known[w] = len(tokens), ends, low, kind, xxhash.xxh3_64_intdigest(low), low2, kind2, xxhash.xxh3_64_intdigest(low2) if low2 else 0
             table.append(got)
-        code = coded.indices.to_numpy()
-        flat = [t for tokens, _ in table for t in tokens]
-        self.lows = [t[0] for t in flat]
-        each = np.array([len(tokens) for tokens, _ in table], np.int64)
-        many, ends = each[code], np.array([e for _, e in table], bool)[code]
+        each, ends, self.first, kind, hashes, self.second, kind2, hashes2 = zip(*table) if table else [()] * 8
+        pair = lambda a, b, t: np.stack([np.array(a, t), np.array(b, t)], 1).ravel()  # noqa: E731  a word's tokens are 2 * word and 2 * word + 1
+        code = coded.indices.to_numpy().astype(np.int64)
+        many, ends = np.array(each, np.int64)[code], np.array(ends, bool)[code]
         before = np.concatenate([[0], np.cumsum(many)])
         self.offsets = before[offsets]
         at = np.repeat(np.arange(len(code)), many)  # each token's word
-        self.code = np.arange(len(at)) - before[at] + (np.cumsum(each) - each)[code[at]]
-        kind = np.array([t[1] for t in flat], np.int8)[self.code]
+        self.code = 2 * code[at] + np.arange(len(at)) - before[at]
+        kind = pair(kind, kind2, np.int8)[self.code]
         ended = np.concatenate([[0], np.cumsum(ends)])
         first = np.zeros(len(at), bool)
         first[self.offsets[:-1][np.diff(self.offsets) > 0]] = True
@@ -150,7 +155,7 @@ class Canonical:
         unit = ((kind & _UNIT) > 0) & np.concatenate([number[:0], [False] * bool(len(at)), number[:-1]]).astype(bool) & ~first
         name = ((kind & _CAPITAL) > 0) & ~unit & ~(opens & ((kind & _OPENER) > 0))
         self.unit, self.slot = unit, number | unit | name
-        self.raw = np.array([t[2] for t in flat], np.uint64)[self.code]
+        self.raw = pair(hashes, hashes2, np.uint64)[self.code]
         self.hashes = self.raw.copy()
         for which, mark in ((number, NUM), (unit, UNIT), (name, NAME)):
             self.hashes[which] = xxhash.xxh3_64_intdigest(mark)
@@ -174,8 +179,12 @@ class Canonical:
             h[which] = x
         return start, h, owner[start]
 
+    def low(self, i: int) -> str:
+        word, second = divmod(int(self.code[i]), 2)
+        return (self.second if second else self.first)[word]
+
     def values(self, start: int, width: int) -> list[str]:
-        return [_singular(self.lows[self.code[i]]) if self.unit[i] else self.lows[self.code[i]] for i in range(start, start + width) if self.slot[i]]
+        return [_singular(self.low(i)) if self.unit[i] else self.low(i) for i in range(start, start + width) if self.slot[i]]
 
 
 def _items(window: int):
