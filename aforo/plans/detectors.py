@@ -97,21 +97,7 @@ _q("m6_seasonal_naive", lambda s, sf: rounded(d.seasonal_naive(panel(s, sf)), ["
    rounded_sql(PANEL, "SELECT *, CASE WHEN nb >= 2 THEN spread > 0 AND abs(cpc - forecast) > 2 * spread END AS is_anomaly FROM (SELECT *, quantile_cont(cpc, 0.5) OVER w AS forecast, stddev_pop(cpc) OVER w AS spread, count(cpc) OVER w AS nb FROM panel WINDOW w AS (PARTITION BY barrio_key, month(fecha) ORDER BY fecha ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))", ["barrio_key", "fecha"], {"forecast": 4, "spread": 4, "is_anomaly": 0}))
 _q("c8_permutation_p", lambda s, sf: rounded(d.permutation_p(panel(s, sf).groupBy("fecha").agg(F.sum("consumo").alias("a"), F.avg("cpc").alias("b")), "a", "b", "fecha"), [], {"r": 6, "p_value": 6}),
    f"WITH {PANEL}, x AS (SELECT fecha, sum(consumo) AS a, avg(cpc) AS b FROM panel GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY fecha) AS i, row_number() OVER (PARTITION BY k ORDER BY md5('s-' || k || '-' || fecha), fecha) AS j FROM x, (SELECT unnest(generate_series(1, 99)) AS k)), c AS (SELECT p.k, corr(p.a, q.b) AS c FROM r p JOIN r q ON p.k = q.k AND p.i = q.j GROUP BY 1) SELECT round((SELECT corr(a, b) FROM x), 6) AS r, round((count(*) FILTER (abs(c) >= abs((SELECT corr(a, b) FROM x))) + 1) / (count(*) + 1), 6) AS p_value FROM c")
-_q("a25_stable_core", lambda s, sf: results(s, sf).groupBy("barrio_key").agg(F.avg("abs_dev").alias("d"), F.avg(F.col("is_anomaly_cross").cast("int")).alias("x")).crossJoin(F.broadcast(results(s, sf).groupBy("barrio_key").agg(F.avg("abs_dev").alias("d")).agg(F.percentile("d", F.lit(0.75)).alias("q")))).select("barrio_key", ((F.col("d") >= F.col("q")) & (F.col("x") >= 0.1)).alias("core")),
-   f"WITH {RESULTS}, g AS (SELECT barrio_key, avg(abs_dev) AS d, avg(is_anomaly_cross::INT) AS x FROM results GROUP BY 1) SELECT barrio_key, d >= (SELECT quantile_cont(d, 0.75) FROM g) AND x >= 0.1 AS core FROM g")
-_q("c19_multiplier_sweep", lambda s, sf: _sweep(s, sf))
 _q("m1_isolation_forest", lambda s, sf: d.isolation_forest(daily_features(household_hourly(s, sf), "contrato", "litros"), ["contrato", "dia"], ["total", "night_min", "night_mean", "day_mean", "night_day_ratio", "active_hours"]))
 _q("m13_pca_autoencoder", lambda s, sf: d.pca_errors(m.fourier(m.lags(panel(s, sf))), ["barrio_key", "fecha"], ["cpc", "lag_1", "lag_2", "rolling_mean_3", "rolling_std_3", "momentum"], 3))
 _q("m16_persistence", lambda s, sf: d.persistence_h0(panel(s, sf), "barrio_key", "fecha", "cpc"))
 _q("h4_bocpd", lambda s, sf: d.bocpd(panel(s, sf), "barrio_key", "fecha", "cpc"))
-
-
-def _sweep(s, sf):
-    """Detections and overlap with the deviation flag for several fence multipliers, the training statistics once."""
-    base = m.deviation_flags(panel(s, sf, "nation"), 1.5).select("barrio_key", "fecha", "is_anomaly")
-    out = None
-    for k in (1.0, 1.5, 2.0, 3.0):
-        one = m.deviation_flags(panel(s, sf, "nation"), k).select("barrio_key", "fecha", F.col("is_iqr").alias("hit")).join(base, ["barrio_key", "fecha"])
-        one = one.agg(F.lit(k).alias("multiplier"), F.count_if("hit").alias("n_hit"), F.count_if(F.col("hit") & F.col("is_anomaly")).alias("n_both"))
-        out = one if out is None else out.unionByName(one)
-    return out

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from aforo.plans import detectors, ensemble, flows, learned, monthly, reports, spatial, welfare
+from aforo.plans import audit, detectors, ensemble, flows, learned, monthly, reports, spatial, welfare
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (monthly, flows, ensemble, spatial, detectors, reports, welfare, learned):
+for _module in (monthly, flows, ensemble, spatial, detectors, reports, welfare, learned, audit):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

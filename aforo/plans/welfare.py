@@ -10,6 +10,7 @@ from aforo.operators import monthly as m
 from aforo.operators import social as so
 from aforo.operators import statistics as st
 from aforo.operators import welfare as w
+from aforo.operators.audit import elderly_share
 from aforo.plans.ensemble import _CONS, EDGES, FLAGS, RESULTS, region_edges, results
 from aforo.plans.flows import rounded, rounded_sql
 from aforo.plans.monthly import _DROPS
@@ -84,6 +85,9 @@ elderly AS (
 _ELDERLY_COLS = {"census": 6, "low_consumption": 6, "stability": 6, "size": 6, "decline": 6, "elderly_vulnerability": 3}
 _q("a18_elderly_vulnerability", _elderly, ["barrio_key"], _ELDERLY_COLS, f"{SPARSE}, {CENSUS}, {_ELDERLY}", "SELECT * FROM elderly")
 
+_q("a19_elderly_share", lambda s, sf: _elderly(s, sf).withColumn("pct_elderly_estimated", elderly_share(F.col("elderly_vulnerability"))), ["barrio_key"], {"pct_elderly_estimated": 2}, f"{SPARSE}, {CENSUS}, {_ELDERLY}",
+   "SELECT *, CASE WHEN elderly_vulnerability >= 0.8 THEN 0.40 WHEN elderly_vulnerability >= 0.6 THEN 0.30 WHEN elderly_vulnerability >= 0.45 THEN 0.22 WHEN elderly_vulnerability >= 0.3 THEN 0.18 ELSE 0.12 END AS pct_elderly_estimated FROM elderly")
+
 
 def _alerts(s, sf):
     drops = m.consumption_drops(panel(s, sf, "nation"))
