@@ -54,7 +54,7 @@ def areas_to_barrios(areas: DataFrame, barrio: str = "barrio") -> DataFrame:
 
 def infrastructure_risk(df: DataFrame, high: tuple[str, ...] = RISK_HIGH, low: tuple[str, ...] = RISK_LOW) -> DataFrame:
     """Sum of the factors scaled to 0..1 over all barrios (``low``: small is risky), 0.5 for one that is the same everywhere."""
-    ends = df.agg(*(g(c).alias(f"_{g.__name__}_{c}") for c in (*high, *low) for g in (F.min, F.max)))
+    ends = df.agg(*(g(c).alias(f"_{g.__name__}_{c}") for c in dict.fromkeys((*high, *low)) for g in (F.min, F.max)))
     df = df.crossJoin(F.broadcast(ends))  # one row
 
     def scaled(c: str) -> Column:

@@ -100,4 +100,5 @@ _q("c8_permutation_p", lambda s, sf: rounded(d.permutation_p(panel(s, sf).groupB
 _q("m1_isolation_forest", lambda s, sf: d.isolation_forest(daily_features(household_hourly(s, sf), "contrato", "litros"), ["contrato", "dia"], ["total", "night_min", "night_mean", "day_mean", "night_day_ratio", "active_hours"]))
 _q("m13_pca_autoencoder", lambda s, sf: d.pca_errors(m.fourier(m.lags(panel(s, sf))), ["barrio_key", "fecha"], ["cpc", "lag_1", "lag_2", "rolling_mean_3", "rolling_std_3", "momentum"], 3))
 _q("m16_persistence", lambda s, sf: d.persistence_h0(panel(s, sf), "barrio_key", "fecha", "cpc"))
-_q("h4_bocpd", lambda s, sf: d.bocpd(panel(s, sf), "barrio_key", "fecha", "cpc"))
+_q("h4_bocpd", lambda s, sf: d.household_changes(household_hourly(s, sf), "contrato", "ts", "litros"))
+_q("m14_bocpd", lambda s, sf: d.bocpd(panel(s, sf), "barrio_key", "fecha", "cpc"))
