@@ -38,8 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in the edges (u, v) of longs; the root is a component's smallest node.
 
     Each task first unites its own edges and keeps a forest. What is left is contracted by large and
-    small stars in turn until nothing changes: joins and minima only, so that a node with very many
-    edges is pre-aggregated and its join can be split. Nothing but a count and a sum of hashes comes to
+    small stars in turn until nothing changes: joins and minima only. Minima are written before they are joined, so that
+    the join is a plain shuffle join, which Spark splits where a node has very many edges. Nothing but a count and a sum of hashes comes to
     the driver; lineage is cut each round.
     """
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").mapInArrow(_forest, "u long, v long")
@@ -47,9 +47,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = checkpoint(large)
+        least = checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         edges = checkpoint(small)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -11,7 +11,8 @@ two nodes that share a bucket share a group. Verification computes exact interse
 in two rounds. First every node of a group with the centre: work and rows are linear. Then the nodes
 that turned out not to be linked to their centre with the rest of the group, block by block within
 memory, of which only confirmed links leave the task. Groups of any size are split (salted) by the bytes
-they hold in both rounds. Components of the confirmed links give the classes.
+they hold in both rounds. Components of the confirmed links give the classes. What is counted by a key is written before it
+is joined to the rows of that key, so that such joins are plain shuffle joins, which Spark splits where a key is hot.
 
 The chance that a pair at the threshold shares no band is (1 - 0.8^6)^42, 3 in a million.
 
@@ -36,8 +37,8 @@ from aforo.llm.graph import components
 
 #: Rows in a band, bands; similarity as a fraction.
 ROWS, BANDS, NUMERATOR, DENOMINATOR = 6, 42, 80, 100
-#: Shingles that a task holds of a group; nodes that are broadcast at most.
-HELD_SHINGLES, BROADCAST_NODES = 2_000_000, 2_000_000
+#: Shingles and nodes of a group that go to one task; nodes that are broadcast at most.
+HELD_SHINGLES, HELD_NODES, BROADCAST_NODES = 2_000_000, 500, 2_000_000
 
 
 def super_minhash(values: np.ndarray, owners: np.ndarray, n: int, m: int) -> np.ndarray:
@@ -217,26 +218,26 @@ def near_dedup(docs: DataFrame, shingle: int = 2, id_col: str = "doc_id", text_c
     nodes = checkpoint(nodes.withColumn("id", F.monotonically_increasing_id()))
 
     bands = nodes.select(F.explode("bands").alias("h"), F.col("id").alias("y"))
-    sizes = bands.groupBy("h").count().filter("count > 1")
+    sizes = checkpoint(bands.groupBy("h").count().filter("count > 1"))
     members = checkpoint(bands.join(sizes, "h"))
-    company = members.groupBy("y").agg(F.sum("count").alias("company"))
-    centres = members.join(company, "y").groupBy("h").agg(F.max(F.struct("company", "y")).alias("best"))
+    company = checkpoint(members.groupBy("y").agg(F.sum("count").alias("company")))
+    centres = checkpoint(members.join(company, "y").groupBy("h").agg(F.max(F.struct("company", "y")).alias("best")))
     groups = members.join(centres, "h").select(F.col("best.y").alias("c"), "y").distinct()
     groups = checkpoint(groups.join(nodes.select(F.col("id").alias("y"), "n"), "y"))
 
     texts = _texts(read, nodes, groups.select("y").distinct())
     held = F.lit(HELD_SHINGLES)
-    salts = groups.groupBy("c").agg(F.ceil(F.sum("n") / held).cast("int").alias("salts"))
+    salts = checkpoint(groups.groupBy("c").agg(F.greatest(F.ceil(F.sum("n") / held), F.ceil(F.count("*") / HELD_NODES)).cast("int").alias("salts")))
     first = groups.join(salts, "c").select("c", "y", F.explode(F.when(F.col("y") == F.col("c"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.hash("y"), F.col("salts"))))).alias("salt"))
     first = first.join(texts, "y").withColumn("other", F.col("y") != F.col("c")).select("c", "salt", "other", "y", "text")
     star = checkpoint(first.repartition("c", "salt").sortWithinPartitions("c", "salt", "other", "y").mapInArrow(_with_centre(shingle), "c long, y long, n long, linked boolean"))
 
     # rest: nodes not linked to their centre, with all others of its group
-    rest = star.groupBy("c").agg(
+    rest = checkpoint(star.groupBy("c").agg(
         F.count("*").alias("m"),
         F.ceil(F.coalesce(F.sum(F.when(~F.col("linked"), F.col("n"))), F.lit(0)) / held).cast("int").alias("blocks"),
-        F.ceil(F.sum("n") / (held * 4)).cast("int").alias("salts"),
-    ).filter("m > 1 AND blocks > 0")
+        F.greatest(F.ceil(F.sum("n") / (held * 4)), F.ceil(F.count("*") / (HELD_NODES * 4))).cast("int").alias("salts"),
+    ).filter("m > 1 AND blocks > 0"))
     of = star.join(rest, "c").withColumn("own", F.when(~F.col("linked"), F.pmod(F.hash("y"), F.col("blocks"))))
     all_blocks, all_salts = F.sequence(F.lit(0), F.col("blocks") - 1), F.sequence(F.lit(0), F.col("salts") - 1)
     kept = of.filter("own IS NOT NULL").select("c", "y", F.col("own").alias("block"), F.explode(all_salts).alias("salt"), F.lit(False).alias("probe"))
@@ -247,7 +248,7 @@ def near_dedup(docs: DataFrame, shingle: int = 2, id_col: str = "doc_id", text_c
     links = star.filter("linked").select(F.col("c").alias("u"), F.col("y").alias("v")).unionByName(more)
     roots = components(links)
     named = nodes.select("id", "k1", "k2", "rep").join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
-    least = named.groupBy("root").agg(F.min("rep").alias("first"))
+    least = checkpoint(named.groupBy("root").agg(F.min("rep").alias("first")))
     named = named.select("k1", "k2", "root").join(least, "root").select("k1", "k2", "first")
     out = signed.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "k1", "k2").join(named, ["k1", "k2"], "left")
     linked = F.col("n_shingles") > 0
