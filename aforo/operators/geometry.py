@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-
-
 def area(ring: Column) -> Column:
     """Shoelace area; a closing vertex changes nothing; 0 below three vertices."""
     cross = F.aggregate(F.zip_with(ring, F.concat(F.slice(ring, F.lit(2), F.size(ring) - 1), F.slice(ring, 1, 1)), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda s, v: s + v)
@@ -26,6 +24,49 @@ def length(line: Column) -> Column:
     return F.aggregate(d, F.lit(0.0), lambda s, v: s + v)
 
 
+def midpoint(line: Column) -> Column:
+    """The vertex in the middle of a line's vertices (of two the later)."""
+    return F.when(F.size(line) > 0, F.get(line, F.floor(F.size(line) / 2).cast("int")))
+
+
+def endpoints(line: Column) -> Column:
+    return F.when(F.size(line) > 0, F.struct(F.get(line, F.lit(0)).alias("first"), F.element_at(line, -1).alias("last")))
+
+
+#: The GRS80 ellipsoid, scale and false origin of a transverse Mercator zone.
+_A, _F, _K0, _EAST = 6378137.0, 1 / 298.257222101, 0.9996, 500000.0
+
+
+def utm_to_degrees(x: Column, y: Column, central: float = -3.0) -> Column:
+    """(lon, lat) in degrees of a point of a northern transverse Mercator zone (30N: ``central`` -3), by Krueger's series."""
+    n = _F / (2 - _F)
+    a = _A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    xi, eta = y / (_K0 * a), (x - _EAST) / (_K0 * a)
+    xi1, eta1 = xi, eta
+    for j, b in enumerate(beta, 1):
+        xi1 = xi1 - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        eta1 = eta1 - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
+    lat = chi
+    for j, d in enumerate(delta, 1):
+        lat = lat + d * F.sin(2 * j * chi)
+    return F.struct((F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))) + central).alias("lon"), F.degrees(lat).alias("lat"))
+
+
+def to_geojson(ring: Column, central: float = -3.0) -> Column:
+    """A ring of a transverse Mercator zone as the text of a GeoJSON polygon in degrees."""
+    points = F.transform(ring, lambda p: utm_to_degrees(p["x"], p["y"], central))
+    return F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(F.transform(points, lambda p: F.array(p["lon"], p["lat"]))).alias("coordinates")))
+
+
+def geojson_centroid(text: Column) -> Column:
+    """Mean of the vertices of a GeoJSON polygon's first ring, as x and y."""
+    ring = F.from_json(text, "type string, coordinates array<array<array<double>>>")["coordinates"][0]
+    return centroid(F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
+
+
 def contains(ring: Column, x: Column, y: Column) -> Column:
     """Ray casting: whether a ray to the right crosses an odd number of edges."""
     turned = F.concat(F.slice(ring, F.lit(2), F.size(ring) - 1), F.slice(ring, 1, 1))

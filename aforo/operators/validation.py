@@ -111,8 +111,9 @@ def household_factors(df: DataFrame, key: str, x: str, categories: dict[str, lis
     hot = F.array(*((F.col(c) == F.lit(v)).cast("double") for c, vs in categories.items() for v in vs), *(F.col(c).cast("double") for c in numbers))
     rows = df.select(key, "barrio", "uso", F.col(x).cast("double").alias("_y"), F.col(known_leak).alias("_leak"), array_to_vector(hot).alias("_v"))
     train = rows.filter("NOT _leak")
-    n = train.count()
-    model = LinearRegression(featuresCol="_v", labelCol="_y", elasticNetParam=0.0, regParam=alpha / max(n, 1), standardization=False, solver="normal").fit(train)
+    size = train.agg(F.count("*").alias("n"), F.stddev_pop("_y").alias("s")).first()
+    ridge = alpha / max(size["n"], 1) * (size["s"] or 1.0)  # MLlib divides by the label's deviation
+    model = LinearRegression(featuresCol="_v", labelCol="_y", elasticNetParam=0.0, regParam=ridge, standardization=False, solver="normal").fit(train)
     scored = model.transform(rows).withColumn("r", F.col("_y") - F.col("prediction"))
     g = written(scored.groupBy(key, "barrio", "uso").agg(F.avg("r").alias("mean_residual"), F.stddev_samp("r").alias("std_residual"), F.avg(F.abs("r")).alias("mean_abs_residual"), F.max("r").alias("max_residual")))
     ends = g.agg(F.avg("mean_residual").alias("_m"), F.stddev_samp("mean_residual").alias("_s"), F.max("mean_abs_residual").alias("_a"))

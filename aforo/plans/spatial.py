@@ -135,3 +135,33 @@ _q("j8_semi_anti", lambda s, d: table(s, d, "customer").join(table(s, d, "orders
 _q("st1_tumbling_day", lambda s, d: stream.run(s, stream.tumbling_day(stream.events(s, f"{d}/events.parquet"))).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total")), "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 _q("st2_sliding_day", lambda s, d: stream.run(s, stream.sliding_day(stream.events(s, f"{d}/events.parquet"))).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", F.round("mean", 6).alias("mean")), "SELECT start, event_type, round(avg(value), 6) AS mean FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2000-01-01') - INTERVAL 6 HOUR * k AS start, event_type, value FROM events, (SELECT unnest([0, 1, 2, 3]) AS k)) GROUP BY 1, 2")
 _q("st3_sessions", lambda s, d: stream.run(s, stream.sessions(stream.events(s, f"{d}/events.parquet"))).select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "user_id", "n"), """SELECT min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", user_id, count(*) AS n FROM (SELECT *, sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR > ts THEN 0 ELSE 1 END AS g FROM events)) GROUP BY user_id, s""")
+
+
+def _feedback(s, d):
+    stream_ = stream.events(s, f"{d}/events.parquet").select("user_id", "ts", "event_id", (F.pmod(F.col("event_id") * 7 + F.col("user_id"), F.lit(10)) < F.pmod("user_id", F.lit(10))).alias("is_false"))
+    return stream.run(s, stream.threshold_feedback(stream_)).select("user_id", "n_labels", F.round("share_false", 6).alias("share_false"), F.round("threshold", 6).alias("threshold"))
+
+
+_q("st4_threshold_feedback", _feedback)
+_q("g4_line_points", lambda s, d: rounded(_lines(s, d).select("l_orderkey", g.midpoint(F.col("ring")).alias("m"), g.endpoints(F.col("ring")).alias("e")).select("l_orderkey", F.col("m.x").alias("mx"), F.col("e.first.x").alias("fx"), F.col("e.last.y").alias("ly")), ["l_orderkey"], {"mx": 4, "fx": 4, "ly": 6}),
+   "WITH v AS (SELECT l_orderkey, list({'i': l_linenumber, 'x': l_quantity, 'y': l_extendedprice / 1000} ORDER BY l_linenumber, l_quantity, l_extendedprice) AS r FROM lineitem GROUP BY 1) SELECT l_orderkey, round(r[len(r) // 2 + 1].x, 4) + 0.0 AS mx, round(r[1].x, 4) + 0.0 AS fx, round(r[len(r)].y, 6) + 0.0 AS ly FROM v")
+
+
+def _degrees(s, d):
+    c = table(s, d, "customer").select("c_custkey", g.utm_to_degrees(720000 + F.pmod("c_custkey", F.lit(997)) * 10.0, 4240000 + F.pmod("c_custkey", F.lit(991)) * 10.0).alias("p"))
+    return rounded(c.select("c_custkey", F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat")), ["c_custkey"], {"lon": 7, "lat": 7})
+
+
+def _degrees_sql() -> str:
+    """The textbook series in SQL, with its terms written out by number."""
+    n = g._F / (2 - g._F)
+    a = g._A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    b1, b2, b3 = n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480
+    d1, d2, d3 = 2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15
+    return f"""WITH p AS (SELECT c_custkey, (4240000 + (c_custkey % 991) * 10.0::DOUBLE) / {0.9996 * a!r} AS xi, (720000 + (c_custkey % 997) * 10.0::DOUBLE - 500000) / {0.9996 * a!r} AS eta FROM customer),
+q AS (SELECT c_custkey, xi - {b1!r} * sin(2 * xi) * cosh(2 * eta) - {b2!r} * sin(4 * xi) * cosh(4 * eta) - {b3!r} * sin(6 * xi) * cosh(6 * eta) AS xi, eta - {b1!r} * cos(2 * xi) * sinh(2 * eta) - {b2!r} * cos(4 * xi) * sinh(4 * eta) - {b3!r} * cos(6 * xi) * sinh(6 * eta) AS eta FROM p),
+r AS (SELECT *, asin(sin(xi) / cosh(eta)) AS chi FROM q)
+SELECT c_custkey, round(degrees(atan2(sinh(eta), cos(xi))) - 3, 7) + 0.0 AS lon, round(degrees(chi + {d1!r} * sin(2 * chi) + {d2!r} * sin(4 * chi) + {d3!r} * sin(6 * chi)), 7) + 0.0 AS lat FROM r"""
+
+
+_q("g5_utm_to_degrees", _degrees, _degrees_sql())

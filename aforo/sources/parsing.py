@@ -69,11 +69,18 @@ def sector_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def semicolon_hourly_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Semicolon file with hours 1 to 24: ts, kwh."""
-    raw = spark.read.option("header", True).option("sep", ";").csv(path)
-    day = F.try_to_timestamp("Fecha", F.lit("dd/MM/yyyy"))
-    hour = F.split("Hora", ":")[0].try_cast("int") - 1
-    return raw.select((day.cast("timestamp_ntz") + F.make_dt_interval(hours=hour)).alias("ts"), decimal_comma(F.col("Consumo_kWh")).alias("kwh"))
+    """Semicolon file of hourly use, dates yyyy/MM/dd and hours 1 to 24: ts (the hour's beginning), consumption."""
+    raw = spark.read.option("header", True).option("sep", ";").option("ignoreLeadingWhiteSpace", True).csv(path)
+    raw = raw.toDF(*(c.strip() for c in raw.columns))
+    day = F.try_to_timestamp("Fecha", F.lit("yyyy/MM/dd"))
+    hour = F.col("Hora").try_cast("int") - 1
+    return raw.select((day.cast("timestamp_ntz") + F.make_dt_interval(hours=hour)).alias("ts"), F.col("Consumo_KWh").try_cast("double").alias("consumption"))
+
+
+def smart_meter_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Half-hourly smart meter file: ts, consumption (0 where it is no number)."""
+    raw = spark.read.option("header", True).csv(path)
+    return raw.select(F.to_timestamp_ntz("tstp").alias("ts"), F.coalesce(F.col("`energy(kWh/hh)`").try_cast("double"), F.lit(0.0)).alias("consumption"))
 
 
 def readings_csv(spark: SparkSession, pattern: str, year: int | None = None) -> DataFrame:

@@ -7,9 +7,12 @@ drives it over what there is and returns the table it wrote.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
@@ -34,6 +37,36 @@ def sessions(stream: DataFrame, gap: str = "6 hours", late: str = "1 day") -> Da
     return g.agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "user_id", "n")
 
 
+def adjusted(threshold: float, share_false: float) -> float:
+    """A detector's threshold after feedback: lower where over half of the alarms were false, higher where under a fifth were."""
+    if share_false > 0.5:
+        return max(threshold - 0.05 * (share_false - 0.3), -0.5)
+    if share_false < 0.2:
+        return min(threshold + 0.02 * (0.3 - share_false), -0.02)
+    return threshold
+
+
+def threshold_feedback(labels: DataFrame, start: float = -0.1, least: int = 10, every: int = 5) -> DataFrame:
+    """Per meter (user_id) the labels so far, the share of false alarms and the threshold, adjusted after each ``every`` labels
+    from the ``least``-th on. A stream of user_id, ts, event_id, is_false; the state of a meter is three numbers.
+
+    Labels of a micro-batch are taken in the order of ts and event_id.
+    """
+
+    def update(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, false, threshold = state.get if state.exists else (0, 0, start)
+        for is_false in pd.concat(list(frames)).sort_values(["ts", "event_id"])["is_false"]:
+            n, false = n + 1, false + int(is_false)
+            if n >= least and n % every == 0:
+                threshold = adjusted(threshold, false / n)
+        state.update((n, false, threshold))
+        yield pd.DataFrame({"user_id": [key[0]], "n_labels": [n], "share_false": [false / n], "threshold": [threshold]})
+
+    return labels.groupBy("user_id").applyInPandasWithState(
+        update, "user_id long, n_labels long, share_false double, threshold double", "n long, n_false long, threshold double", "update", "NoTimeout"
+    )
+
+
 def routes(alerts: DataFrame, level: str = "level") -> DataFrame:
     """Channels an alert goes to; nothing is sent."""
     return alerts.withColumn("route", F.when(F.col(level) == "CRITICO", "message+voice+emergency").when(F.col(level) == "ALTO", "message+voice").when(F.col(level) == "VIGILANCIA", "message"))

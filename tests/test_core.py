@@ -56,6 +56,8 @@ KEYS = {
     "m7_interval_forecast": ["barrio_key", "fecha"],
     "e5_stacking": ["barrio_key", "fecha"],
     "e10_ablation": ["model"],
+    "h5_household_factors": ["contrato"],
+    "st4_threshold_feedback": ["user_id"],
 }
 
 
