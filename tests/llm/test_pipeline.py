@@ -78,6 +78,15 @@ def test_run(spark, raw):
 
 def test_stages_on_an_empty_table(spark, raw):
     none = raw.limit(0)
-    for name in ("exact dedup", "MinHash near-dedup", "benchmark decontamination"):
+    for name, _ in corpus_pipeline.STAGES[:-1]:
         out = stage(name)(spark, none, SF)
         assert out.columns == raw.columns and out.count() == 0
+    out = stage("SentencePiece encoding")(spark, none, SF)
+    assert out.columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == 0
+
+
+def test_encoding_stage_keeps_every_row(spark, raw):
+    docs = extended(spark, raw)
+    out = stage("SentencePiece encoding")(spark, docs, SF)
+    assert collections.Counter(r.doc_id for r in out.collect()) == collections.Counter(r.doc_id for r in docs.collect())
+    assert {r.n_tokens for r in out.filter("doc_id IN (70001, 70002)").collect()} == {2}
