@@ -89,12 +89,12 @@ _q("c17_purged_folds", lambda s, sf: d.purged_folds(panel(s, sf).select("fecha")
    f"WITH {PANEL}, mm AS (SELECT fecha, row_number() OVER (ORDER BY fecha) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT fecha FROM panel)) SELECT CAST(f AS INTEGER) AS fold, fecha, CASE WHEN i - f * 6 < 24 THEN 'train' WHEN i - f * 6 < 26 THEN 'gap' ELSE 'test' END AS role FROM mm, (SELECT unnest(generate_series(0, (SELECT (max(n) - 32) // 6 FROM mm))) AS f) WHERE i - f * 6 BETWEEN 0 AND 31")
 _CURVE = [0.5] * 6 + [1.5] * 6 + [1.0] * 12
 _WEEK = [1.0, 1.0, 1.0, 1.0, 1.1, 1.3, 1.2]
-_q("n1_disaggregate", lambda s, sf: rounded(d.disaggregate(panel(s, sf).groupBy(F.col("barrio").alias("key"), "fecha").agg(F.sum("consumo").alias("total")), _CURVE, _WEEK), ["key", "ts"], {"litros": 4}),
-   rounded_sql(f"{PANEL}, t AS (SELECT barrio AS key, fecha, sum(consumo) AS total FROM panel GROUP BY 1, 2), h AS (SELECT key, fecha, total, unnest(generate_series(fecha::TIMESTAMP, fecha::TIMESTAMP + INTERVAL 1 MONTH - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS ts FROM t)", "SELECT key, ts, total * w / sum(w) OVER (PARTITION BY key, fecha) AS litros FROM (SELECT *, CASE WHEN hour(ts) < 6 THEN 0.5::DOUBLE WHEN hour(ts) < 12 THEN 1.5 ELSE 1 END * [1.0::DOUBLE, 1.0, 1.0, 1.0, 1.1, 1.3, 1.2][CAST(isodow(ts) AS INTEGER)] AS w FROM h)", ["key", "ts"], {"litros": 4}))
-_q("w20_rolling_wasserstein", lambda s, sf: rounded(d.rolling_wasserstein(panel(s, sf), "barrio_key", "fecha", "cpc"), ["barrio_key", "fecha"], {"distance": 4}),
-   rounded_sql(PANEL, "SELECT barrio_key, fecha, list_sum(list_transform(list_zip(list_sort(a), list_sort(b)), lambda z: abs(z[1] - z[2]))) / 6 AS distance FROM (SELECT *, list(cpc) OVER (PARTITION BY barrio_key ORDER BY fecha ROWS 5 PRECEDING) AS a, list(cpc) OVER (PARTITION BY barrio_key ORDER BY fecha ROWS BETWEEN 11 PRECEDING AND 6 PRECEDING) AS b FROM panel) WHERE len(b) = 6", ["barrio_key", "fecha"], {"distance": 4}))
-_q("m6_seasonal_naive", lambda s, sf: rounded(d.seasonal_naive(panel(s, sf)), ["barrio_key", "fecha"], {"forecast": 4, "spread": 4, "is_anomaly": 0}),
-   rounded_sql(PANEL, "SELECT *, CASE WHEN nb >= 2 THEN spread > 0 AND abs(cpc - forecast) > 2 * spread END AS is_anomaly FROM (SELECT *, quantile_cont(cpc, 0.5) OVER w AS forecast, stddev_pop(cpc) OVER w AS spread, count(cpc) OVER w AS nb FROM panel WINDOW w AS (PARTITION BY barrio_key, month(fecha) ORDER BY fecha ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))", ["barrio_key", "fecha"], {"forecast": 4, "spread": 4, "is_anomaly": 0}))
+_q("n1_disaggregate", lambda s, sf: rounded(d.disaggregate(panel(s, sf).groupBy(F.col("barrio").alias("key"), "fecha").agg(F.sum("consumo").alias("total")), _CURVE, _WEEK), ["key", "ts"], {"litros": 4}, ties=True),
+   rounded_sql(f"{PANEL}, t AS (SELECT barrio AS key, fecha, sum(consumo) AS total FROM panel GROUP BY 1, 2), h AS (SELECT key, fecha, total, unnest(generate_series(fecha::TIMESTAMP, fecha::TIMESTAMP + INTERVAL 1 MONTH - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS ts FROM t)", "SELECT key, ts, total * w / sum(w) OVER (PARTITION BY key, fecha) AS litros FROM (SELECT *, CASE WHEN hour(ts) < 6 THEN 0.5::DOUBLE WHEN hour(ts) < 12 THEN 1.5 ELSE 1 END * [1.0::DOUBLE, 1.0, 1.0, 1.0, 1.1, 1.3, 1.2][CAST(isodow(ts) AS INTEGER)] AS w FROM h)", ["key", "ts"], {"litros": 4}, ties=True))
+_q("w20_rolling_wasserstein", lambda s, sf: rounded(d.rolling_wasserstein(panel(s, sf), "barrio_key", "fecha", "cpc"), ["barrio_key", "fecha"], {"distance": 4}, ties=True),
+   rounded_sql(PANEL, "SELECT barrio_key, fecha, list_sum(list_transform(list_zip(list_sort(a), list_sort(b)), lambda z: abs(z[1] - z[2]))) / 6 AS distance FROM (SELECT *, list(cpc) OVER (PARTITION BY barrio_key ORDER BY fecha ROWS 5 PRECEDING) AS a, list(cpc) OVER (PARTITION BY barrio_key ORDER BY fecha ROWS BETWEEN 11 PRECEDING AND 6 PRECEDING) AS b FROM panel) WHERE len(b) = 6", ["barrio_key", "fecha"], {"distance": 4}, ties=True))
+_q("m6_seasonal_naive", lambda s, sf: rounded(d.seasonal_naive(panel(s, sf)), ["barrio_key", "fecha"], {"forecast": 4, "spread": 4, "is_anomaly": 0}, ties=True),
+   rounded_sql(PANEL, "SELECT *, CASE WHEN nb >= 2 THEN spread > 0 AND abs(cpc - forecast) > 2 * spread END AS is_anomaly FROM (SELECT *, quantile_cont(cpc, 0.5) OVER w AS forecast, stddev_pop(cpc) OVER w AS spread, count(cpc) OVER w AS nb FROM panel WINDOW w AS (PARTITION BY barrio_key, month(fecha) ORDER BY fecha ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))", ["barrio_key", "fecha"], {"forecast": 4, "spread": 4, "is_anomaly": 0}, ties=True))
 _q("c8_permutation_p", lambda s, sf: rounded(d.permutation_p(panel(s, sf).groupBy("fecha").agg(F.sum("consumo").alias("a"), F.avg("cpc").alias("b")), "a", "b", "fecha"), [], {"r": 6, "p_value": 6}),
    f"WITH {PANEL}, x AS (SELECT fecha, sum(consumo) AS a, avg(cpc) AS b FROM panel GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY fecha) AS i, row_number() OVER (PARTITION BY k ORDER BY md5('s-' || k || '-' || fecha), fecha) AS j FROM x, (SELECT unnest(generate_series(1, 99)) AS k)), c AS (SELECT p.k, corr(p.a, q.b) AS c FROM r p JOIN r q ON p.k = q.k AND p.i = q.j GROUP BY 1) SELECT round((SELECT corr(a, b) FROM x), 6) AS r, round((count(*) FILTER (abs(c) >= abs((SELECT corr(a, b) FROM x))) + 1) / (count(*) + 1), 6) AS p_value FROM c")
 _q("m1_isolation_forest", lambda s, sf: d.isolation_forest(daily_features(household_hourly(s, sf), "contrato", "litros"), ["contrato", "dia"], ["total", "night_min", "night_mean", "day_mean", "night_day_ratio", "active_hours"]))

@@ -11,17 +11,24 @@ from aforo.sources.adapters import HOUSEHOLD, READINGS, SECTOR, household_hourly
 QUERIES, ORACLE_SQL = {}, {}
 
 
-def rounded(df, keys: list[str], cols: dict[str, int]):
-    return df.select(*keys, *((F.round(F.col(c).cast("double"), d) + 0.0).alias(c) for c, d in cols.items()))
+def nudge(d: int) -> float:
+    """What is added before rounding to ``d`` places, here and in SQL, for columns with ties: a mean of amounts in cents may fall on the very border,
+    where engines that add in another order would round apart.
+    """
+    return 10.0 ** -(d + 3)
 
 
-def rounded_sql(ctes: str, body: str, keys: list[str], cols: dict[str, int]) -> str:
-    return f"WITH {ctes}, q AS ({body}) SELECT {', '.join(keys)}, {', '.join(f'round(CAST({c} AS DOUBLE), {d}) + 0.0 AS {c}' for c, d in cols.items())} FROM q"
+def rounded(df, keys: list[str], cols: dict[str, int], ties: bool = False):
+    return df.select(*keys, *((F.round(F.col(c).cast("double") + nudge(d) * ties, d) + 0.0).alias(c) for c, d in cols.items()))
+
+
+def rounded_sql(ctes: str, body: str, keys: list[str], cols: dict[str, int], ties: bool = False) -> str:
+    return f"WITH {ctes}, q AS ({body}) SELECT {', '.join(keys)}, {', '.join(f'round(CAST({c} AS DOUBLE) + {nudge(d) * ties!r}, {d}) + 0.0 AS {c}' for c, d in cols.items())} FROM q"
 
 
 def _add(name, source, cte, build, keys, cols, body):
-    QUERIES[name] = lambda spark, sf_dir: rounded(build(source(spark, sf_dir)), keys, cols)
-    ORACLE_SQL[name] = rounded_sql(cte, body, keys, cols)
+    QUERIES[name] = lambda spark, sf_dir: rounded(build(source(spark, sf_dir)), keys, cols, ties=True)
+    ORACLE_SQL[name] = rounded_sql(cte, body, keys, cols, ties=True)
 
 
 _DAILY = """SELECT *, CASE WHEN day_mean > 0.001 THEN night_mean / day_mean ELSE 0.0 END AS night_day_ratio FROM (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aforo.operators import monthly as m
+from aforo.plans.flows import nudge
 from aforo.sources.adapters import PANEL, SPARSE, panel
 
 _KEYS = ["barrio_key", "fecha"]
@@ -15,13 +16,13 @@ def _q(build, cols: dict[str, int], grain: str = "region"):
 
     def run(spark, sf_dir):
         df = build(panel(spark, sf_dir, grain))
-        return df.select(*_KEYS, *((F.round(F.col(c).cast("double"), d) + 0.0).alias(c) for c, d in cols.items()))
+        return df.select(*_KEYS, *((F.round(F.col(c).cast("double") + nudge(d), d) + 0.0).alias(c) for c, d in cols.items()))
 
     return run
 
 
 def _sql(cte: str, body: str, cols: dict[str, int], source: str) -> str:
-    return f"WITH {cte}, q AS ({body}) SELECT barrio_key, fecha, {', '.join(f'round(CAST({c} AS DOUBLE), {d}) + 0.0 AS {c}' for c, d in cols.items())} FROM {source}"
+    return f"WITH {cte}, q AS ({body}) SELECT barrio_key, fecha, {', '.join(f'round(CAST({c} AS DOUBLE) + {nudge(d)!r}, {d}) + 0.0 AS {c}' for c, d in cols.items())} FROM {source}"
 
 
 QUERIES, ORACLE_SQL = {}, {}
