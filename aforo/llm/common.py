@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bytes of text that a Python worker holds decoded at a time; a longer text comes alone.
-SLICE_BYTES = 2 << 20
+#: Bytes of text that a Python worker works on at a time (a longer text comes alone), and bytes of a batch that Spark sends it.
+SLICE_BYTES, BATCH_BYTES = 512 << 10, 4 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -40,6 +40,17 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session sends Python workers batches of ``BATCH_BYTES``, where it has Spark's own default (64 MB) so far.
+
+    Whole texts are wide rows: a batch stands in the executor's memory, in the pipe and in the worker at the same time.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, "64m").lower() in ("67108864b", "67108864", "64m", "64mb"):
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it as long as ``df`` has such a column."""
     taken = {c.lower() for c in df.columns}

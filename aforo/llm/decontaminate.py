@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aforo.llm.common import checkpoint, mix64, raw_hash, slices, split_words
+from aforo.llm.common import checkpoint, mix64, raw_hash, slices, small_batches, split_words
 
 #: Words in a window, share of an item's windows that must be found, words of a template that must be
 #: words, share of slots that may disagree, bits of the filter, words that may shift within an item, words in a row that suffice.
@@ -69,7 +69,7 @@ _END = ".!?:\n"
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 _WORD, _NUM, _UNIT, _CAPITAL, _OPENER = 0, 1, 2, 4, 8
 #: Raw words whose tokens a worker keeps at most.
-CACHED = 150_000
+CACHED = 50_000
 
 
 def _singular(unit: str) -> str:
@@ -257,7 +257,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     ``row`` tells rows of equal id apart; it numbers the rows as ``docs`` is read.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), F.col("text"))
     items = checkpoint(items.mapInArrow(_items(window), "item long, item_id long, width int, h long, at int, opening boolean, values array<string>"))
     widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most ``window`` numbers

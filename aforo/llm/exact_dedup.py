@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aforo.llm.common import checkpoint, mix64, raw_hash, slices, smallest
+from aforo.llm.common import checkpoint, mix64, raw_hash, slices, small_batches, smallest
 
 #: Chunk sizes in bytes: least, about the mean beyond the least, most.
 LEAST, MEAN, MOST = 512, 2048, 16384
@@ -99,7 +99,7 @@ def chunk_recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``key_bits`` under 64 makes identifiers collide, for tests of the verification.
     """
     text = F.col(text_col)
-    made = docs.select(F.col(id_col).cast("long").alias("doc_id"), raw_hash(text).alias("text_hash"), text.cast("binary").alias("text")).mapInArrow(
+    made = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), raw_hash(text).alias("text_hash"), text.cast("binary").alias("text")).mapInArrow(
         _recipes(key_bits), "doc_id long, text_hash long, text_sha256 string, recipe array<long>, p1 array<long>, p2 array<long>"
     )
     made = checkpoint(made.withColumn("row_id", F.monotonically_increasing_id()))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aforo.llm.common import slices
+from aforo.llm.common import slices, small_batches
 
 MARK = "▁"
 #: Stretches a worker's cache holds at most, and the longest it keeps.
@@ -280,7 +280,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     The model (its size is fixed by its vocabulary) is broadcast once. Rows go through in slices of
     bounded size and no shuffle.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     more = {"ids": pa.list_(pa.int32()), "decoded": pa.string()}
     schema = pa.schema(fields + [(x, more[x]) for x in extra])

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aforo.llm.common import free_name, shared_folder
+from aforo.llm.common import free_name, shared_folder, small_batches
 
 #: Bytes of text that a bucket is made for, buckets at least, partitions at most.
 BUCKET_BYTES, LEAST_BUCKETS, MOST_PARTITIONS = 16 << 20, 12, 20_000
@@ -81,7 +81,7 @@ def shard_documents(docs: DataFrame, n_shards: int, path: str, seed: int = 0, id
     Every column of ``docs`` is kept; added are slot (from 0 in each shard) and shard, with underscores
     before them where the name is taken.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     total = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-total // bucket_bytes))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aforo.llm.common import checkpoint, hash_words, mix64, slices, split_words
+from aforo.llm.common import checkpoint, hash_words, mix64, slices, small_batches, split_words
 
 #: Words of a passage at least, words hashed at a position, positions a minimiser is the least of.
 LEAST, GRAM, SPREAD = 50, 8, 32
@@ -242,7 +242,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Every occurrence is listed, also a second one in the same text; positions count words from 0.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     repeated = checkpoint(rows.select("text").mapInArrow(_hashes, "h long").groupBy("h").count().filter("count > 1"))
     got = repeated.select("h").mapInArrow(_bits, "at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     table, levels = np.zeros(FILTER_BITS // 8, np.uint8), np.zeros(SIZES, np.uint8)

@@ -36,7 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aforo.llm.common import checkpoint, distinct_pairs, free_name, mix64, slices
+from aforo.llm.common import checkpoint, distinct_pairs, free_name, mix64, slices, small_batches
 
 ORDER, DISCOUNT = 6, 0.75
 #: Slots for 6-grams and for their contexts, prime numbers.
@@ -344,7 +344,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     labels = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     if labels.count() <= BROADCAST_LABELS:
         labels = F.broadcast(labels)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).filter(crc % 4 != 2).join(labels, "doc_id")
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).filter(crc % 4 != 2).join(labels, "doc_id")
     left_out = crc.bitwiseAND(28) == 0  # the next three bits
     types = rows.filter(~left_out).select("text", "toxic").mapInArrow(_count, "g long, c0 long, c1 long")
     types = checkpoint(types.groupBy("g").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
