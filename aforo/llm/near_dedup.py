@@ -32,13 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aforo.llm.common import checkpoint, distinct_pairs, hash_words, mix64, raw_hash, shingles, slices, smallest, split_words
+from aforo.llm.common import checkpoint, distinct_pairs, hash_words, mix64, raw_hash, shingles, slices, small_batches, smallest, split_words
 from aforo.llm.graph import components
 
 #: Rows in a band, bands; similarity as a fraction.
 ROWS, BANDS, NUMERATOR, DENOMINATOR = 6, 42, 80, 100
-#: Shingles and nodes of a group that go to one task; nodes that are broadcast at most.
+#: Shingles of a group that go to one task, nodes that go there with their centre, nodes that are broadcast at most.
 HELD_SHINGLES, HELD_NODES, BROADCAST_NODES = 2_000_000, 500, 2_000_000
+#: Bytes of text signed at a time: levels are worked off once for all of a slice's sets.
+SIGNED_BYTES = 2 << 20
 
 
 def super_minhash(values: np.ndarray, owners: np.ndarray, n: int, m: int) -> np.ndarray:
@@ -91,7 +93,7 @@ def _sign(k: int):
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "text"):
+        for piece in slices(batches, "text", SIGNED_BYTES):
             values, owners, at = _sets(piece.column("text"), k)
             bands = band_hashes(super_minhash(values, owners, piece.num_rows, ROWS * BANDS))
             keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(values[a:b].tobytes()) for a, b in zip(at, at[1:])), np.int64).reshape(-1, 2)
@@ -211,7 +213,7 @@ def near_dedup(docs: DataFrame, shingle: int = 2, id_col: str = "doc_id", text_c
     ``kept`` says that the row's id names its component; ``stays`` is true for one row of each
     component (and for each row without words), told by id and text hash.
     """
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    read = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     read = read.withColumn("text_hash", raw_hash(F.col("text")))
     signed = checkpoint(read.mapInArrow(_sign(shingle), "doc_id long, text_hash long, n long, k1 long, k2 long, bands array<long>"))
     nodes = signed.filter("n > 0").groupBy("k1", "k2").agg(smallest("doc_id", "text_hash").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("n").alias("n"))
@@ -236,7 +238,7 @@ def near_dedup(docs: DataFrame, shingle: int = 2, id_col: str = "doc_id", text_c
     rest = checkpoint(star.groupBy("c").agg(
         F.count("*").alias("m"),
         F.ceil(F.coalesce(F.sum(F.when(~F.col("linked"), F.col("n"))), F.lit(0)) / held).cast("int").alias("blocks"),
-        F.greatest(F.ceil(F.sum("n") / (held * 4)), F.ceil(F.count("*") / (HELD_NODES * 4))).cast("int").alias("salts"),
+        F.ceil(F.sum("n") / (held * 4)).cast("int").alias("salts"),
     ).filter("m > 1 AND blocks > 0"))
     of = star.join(rest, "c").withColumn("own", F.when(~F.col("linked"), F.pmod(F.hash("y"), F.col("blocks"))))
     all_blocks, all_salts = F.sequence(F.lit(0), F.col("blocks") - 1), F.sequence(F.lit(0), F.col("salts") - 1)
