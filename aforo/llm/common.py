@@ -172,3 +172,19 @@ def smallest(*cols: str):
     for i, c in enumerate(cols):
         parts += [F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"v{i}")]
     return F.min(F.struct(*parts))
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``df`` written in the order of ``group`` and ``order`` (nulls first), with idx (from 0 in its group), n (the group's rows), part and row.
+
+    Rows are dealt by ranges, so that a large group spans as many tasks as it needs; ``part`` is the number of a range and ``row`` rises with
+    the whole order. ``group`` columns hold no nulls. Only counts of each range's groups are summed up, never rows of a group.
+    """
+    keys = [*group, *order]
+    ranged = checkpoint(df.repartitionByRange(*keys).sortWithinPartitions(*keys))  # ranges stay partitions
+    ranged = ranged.withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()})
+    counts = ranged.groupBy("part", *group).agg(F.count("*").alias("in_part"), F.min("row").alias("first"))
+    whole = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("in_part").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("part", *group, (before - F.col("first")).alias("shift"), F.sum("in_part").over(whole).alias("n"))
+    return ranged.join(starts, ["part", *group]).withColumn("idx", F.col("row") + F.col("shift")).drop("shift")

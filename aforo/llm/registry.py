@@ -5,6 +5,7 @@ from __future__ import annotations
 from aforo.llm.chat_format import OP2_SQL, op2_chat_format
 from aforo.llm.decontaminate import op3_decontaminate
 from aforo.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from aforo.llm.merkle import OP11_SQL, op11_merkle_manifest
 from aforo.llm.near_dedup import op5_near_dedup
 from aforo.llm.pii import op9_pii
 from aforo.llm.sentencepiece_codec import op1_sentencepiece
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_pii": op9_pii,
     "op10_sharding": op10_sharding,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE_SQL = {
     "op2_chat_format": OP2_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
