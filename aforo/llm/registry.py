@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from aforo.llm.chat_format import OP2_SQL, op2_chat_format
 from aforo.llm.decontaminate import op3_decontaminate
+from aforo.llm.embedding_dedup import OP12_SQL, op12_embedding_dedup
 from aforo.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from aforo.llm.merkle import OP11_SQL, op11_merkle_manifest
 from aforo.llm.near_dedup import op5_near_dedup
@@ -26,10 +27,12 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_sharding": op10_sharding,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_embedding_dedup": op12_embedding_dedup,
 }
 
 ORACLE_SQL = {
     "op2_chat_format": OP2_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op12_embedding_dedup": OP12_SQL,
 }
