@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from aforo.llm.chat_format import OP2_SQL, op2_chat_format
+from aforo.llm.conversation_repair import OP13_SQL, op13_conversation_repair
 from aforo.llm.decontaminate import op3_decontaminate
 from aforo.llm.embedding_dedup import OP12_SQL, op12_embedding_dedup
 from aforo.llm.exact_dedup import OP8_SQL, op8_exact_dedup
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_embedding_dedup": op12_embedding_dedup,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL = {
@@ -35,4 +37,5 @@ ORACLE_SQL = {
     "op8_exact_dedup": OP8_SQL,
     "op11_merkle_manifest": OP11_SQL,
     "op12_embedding_dedup": OP12_SQL,
+    "op13_conversation_repair": OP13_SQL,
 }
