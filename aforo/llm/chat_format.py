@@ -7,14 +7,13 @@ shorter one, the template has rewritten history: the row is marked, with the num
 that stayed. Where the text stands inside the segment is found the same way, by rendering the turn
 with a probe in place of its text; the loss mask covers the assistant's texts.
 
-Prefixes are complete: a turn is rendered with all turns before it, which is right for any template, but whose cost
-grows with the square of a conversation's turns. ``context`` is for templates that look back no further than so many
-turns: turns after the ``FULL``-th are rendered with these only, and at each doubling of the turns the whole prefix is
-rendered once more and compared with the segments, as long as it fits in ``HELD`` characters; a template that does look
-back further is detected there as one that rewrites history. So the cost is linear and the memory constant.
+Prefixes are complete: a turn is rendered with all turns before it, and the whole of the two outputs is compared, at every
+turn and for texts of any length. That is right for any template; its cost grows with the square of a conversation's turns. A
+caller whose template is known to look back no further may pass ``context``, the number of earlier turns to render with; from
+there on ``rewritten`` is null (not checked) unless the turns rendered show a change.
 
-Conversations are dealt by id, sorted by turn inside the task (Spark's external sort) and streamed:
-with ``context`` no conversation is gathered in memory.
+Conversations are dealt by id, sorted by turn inside the task (Spark's external sort) and streamed; a task holds the turns
+of one conversation, with ``context`` only so many.
 
 Nulls: a null text or role is empty, a null id is a conversation of its own, a null turn comes
 first. Rows that repeat a turn are kept, ordered by role and text. Very long texts are rendered like others. Empty tables
@@ -41,8 +40,6 @@ CONTROL = ("<s>", "</s>", "[INST]", "[/INST]")
 _BREAK = re.compile(r"\\|" + "|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROL))
 _TURN = re.compile(r"<s>\[INST\] ([^\n]*)\n((?s:.*?)) \[/INST\]</s>")
 _ROLE = {"%": "%25", "\n": "%0A", "<": "%3C", "[": "%5B"}
-#: Turns that are rendered with all before them whatever the context, characters of a prefix that is compared as a whole.
-FULL, HELD = 256, 4_000_000
 #: Stands for a text while the template is probed.
 PROBE = "\ue000\ue001\ue000"
 
@@ -94,33 +91,21 @@ class Rendering:
     def __init__(self, render: Template, context: int | None):
         self.render, self.context = render, context
         self.before: list[Turn] = []
-        self.old = ""  # what the turns before render to
-        self.n, self.chars, self.segments = 0, 0, []
-
-    def add(self, turn: Turn) -> tuple[str, bool, int, int, int]:
-        """The turn's segment, whether history was rewritten, characters kept, start and end of the text in the segment."""
-        short = self.context is not None and self.n >= FULL
-        before = self.before[len(self.before) - self.context :] if short else self.before
-        if short:
-            self.old = self.render(before) if before else ""
-        new, probed = self.render([*before, turn]), self.render([*before, (turn[0], PROBE)])
+        self.old, self.n = "", 0  # what the turns before render to, turns so far
+
+    def add(self, turn: Turn) -> tuple[str, bool | None, int, int, int]:
+        """The turn's segment, whether history was rewritten (null: not all of it was compared), characters kept, start and end of the text in the segment."""
+        cut = self.context is not None and self.n > self.context
+        if cut:
+            del self.before[: len(self.before) - self.context]
+            self.old = self.render(self.before)
+        new, probed = self.render([*self.before, turn]), self.render([*self.before, (turn[0], PROBE)])
         kept, whole = _kept(self.old, new), len(self.old)
         segment, self.old, self.n = new[kept:], new, self.n + 1
         self.before.append(turn)
-        self.chars += len(segment)
-        if self.context is not None:
-            self.segments.append(segment)
-            if self.chars > HELD and self.n >= FULL:
-                del self.before[: len(self.before) - self.context]
-                self.segments.clear()
-            elif short and self.n & (self.n - 1) == 0:
-                now = self.render(self.before)
-                same = _kept("".join(self.segments), now)
-                if same < self.chars:
-                    kept, whole = min(kept, same), max(whole, same + 1)
         place = probed.rfind(PROBE)
         start, end = (max(0, place - kept), len(segment) - (len(probed) - place - len(PROBE))) if place >= 0 else (0, 0)  # else the template doesn't show the text
-        return segment, kept < whole, kept, start, end
+        return segment, kept < whole or (None if cut else False), kept, start, end
 
 
 _SEGMENTS = pa.schema(
@@ -150,7 +135,7 @@ def format_turns(turns: DataFrame, render: Template = template, context: int | N
 
     conv_id, turn, role, segment, start (in the formatted text), rewritten, kept, text_start, text_end
     (of the escaped text, in the formatted text), loss. The segments of a conversation, in order,
-    are its formatted text; rows of a conversation stay together and in order.
+    are its formatted text; rows of a conversation stay together and in order. ``rewritten`` is null where ``context`` left prefixes out.
     """
     rows = small_batches(turns).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -182,7 +167,7 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 state["loss_chars"] += len(masked)
                 state["loss"].update(masked.encode())
             state["chars"] += len(segment)
-            state["rewritten"] |= rewritten
+            state["rewritten"] = True if rewritten or state["rewritten"] else None if rewritten is None else state["rewritten"]
         yield _batch(out)
     if state:
         yield _batch([row()])
@@ -206,7 +191,7 @@ def op2_chat_format(spark, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    return read_back(format_turns(turns.unionByName(extra), context=2))
+    return read_back(format_turns(turns.unionByName(extra)))
 
 
 OP2_SQL = r"""

@@ -99,30 +99,36 @@ def test_rewriting_template_is_detected(spark):
     assert got[1, 1].segment == "<assistant>long thought\n" and got[1, 1].loss
     plain = {(r.conv_id, r.turn): r for r in chat_format.format_turns(turns, context=2).collect()}
     whole = {(r.conv_id, r.turn): r for r in chat_format.format_turns(turns).collect()}
-    assert plain == whole and not any(r.rewritten for r in plain.values())
+    assert plain == whole and not any(r.rewritten for r in plain.values())  # no more than two turns before
     back = {r.conv_id: r for r in chat_format.read_back(chat_format.format_turns(turns)).collect()}
     assert back[1].loss_chars == 12 and back[2].n_turns == 1 and back[None].n_turns == 1
     assert chat_format.read_back(chat_format.format_turns(turns.limit(0))).count() == 0
 
 
-def test_a_template_that_looks_far_back(spark, monkeypatch):
-    """Rewrites a turn ten back: seen at once with whole prefixes, at a doubling of the turns beyond FULL."""
+def test_a_template_that_looks_far_back(spark):
+    """Rewrites a turn ten back: seen at once with whole prefixes; a window says that it has not looked."""
 
     def fading(turns):
         return "".join(f"<{r}>{t if i > len(turns) - 10 else '.'}\n" for i, (r, t) in enumerate(turns))
 
     turns = spark.createDataFrame([(1, i, "user", f"text {i}") for i in range(40)] + [(2, 0, "user", "a" * 300_000)], "conv_id long, turn long, role string, text string").withColumn("segment", chat_format.F.lit("mine"))
     flags = lambda **kw: [r.rewritten for r in chat_format.format_turns(turns, fading, **kw).filter("conv_id = 1").orderBy("turn").collect()]
-    assert flags() == [i >= 9 for i in range(40)] == flags(context=2)
-    back = {r.conv_id: r for r in chat_format.read_back(chat_format.format_turns(turns, context=2)).collect()}
-    assert back[2].n_turns == 1 and back[1].n_turns == 40 and not back[1].rewritten
-    monkeypatch.setattr(chat_format, "FULL", 4)
-    late = chat_format.Rendering(fading, 2)
-    assert [i for i in range(40) if late.add(("user", f"text {i}"))[1]] == [15, 31]
-    monkeypatch.setattr(chat_format, "HELD", 50)
-    small = chat_format.Rendering(chat_format.template, 2)
-    made = [small.add(("user", f"text {i}"))[0] for i in range(40)]
-    assert "".join(made) == chat_format.template([("user", f"text {i}") for i in range(40)]) and len(small.before) == 2
+    assert flags() == [i >= 9 for i in range(40)] == flags(context=40)
+    assert flags(context=2) == [False] * 3 + [None] * 37 and flags(context=12) == [i >= 9 for i in range(40)]
+    whole, part = ({r.conv_id: r for r in chat_format.read_back(chat_format.format_turns(turns, **kw)).collect()} for kw in ({}, {"context": 2}))
+    assert part[2].n_turns == 1 and part[1].n_turns == 40 and part[1].rewritten is None and part[2].rewritten is False and whole[1].rewritten is False
+    assert part[1][:-1] == whole[1][:-1]
+
+
+@pytest.mark.parametrize("chars", [10, 20_000])
+def test_history_rewritten_late(chars):
+    """The first turn is cut from the 301st turn on, in short and in long texts."""
+
+    def cutting(turns):
+        return "".join(f"<{r}>{'CUT' if i == 0 and len(turns) > 300 else t}\n" for i, (r, t) in enumerate(turns))
+
+    made = chat_format.Rendering(cutting, None)
+    assert [i for i in range(330) if made.add(("user", f"{i} " + "x" * chars))[1]] == [300]
 
 
 def test_repeated_turns(spark):
