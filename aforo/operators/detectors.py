@@ -164,6 +164,12 @@ def forest_scores(forest: list, norm: float, x: np.ndarray) -> np.ndarray:
     return -(2.0 ** (-(total / max(len(forest), 1)) / norm))
 
 
+def forest_pool(df: DataFrame, key: list[str], features: list[str], trees: int, sample: int, seed: int) -> np.ndarray:
+    """At most ``trees * sample`` rows, drawn by hash: what a forest is fitted on."""
+    keyed = df.withColumn("_h", F.xxhash64(F.lit(seed), *key, *features))
+    return keyed.select("_h", *features).orderBy("_h").limit(trees * sample).toPandas()[features].to_numpy(float)
+
+
 def isolation_forest(df: DataFrame, key: list[str], features: list[str], trees: int = 100, sample: int = 256, seed: int = 42, fitted_on: str = "true") -> DataFrame:
     """Isolation forest: trees from seeded samples of at most ``sample`` rows each (of those where ``fitted_on`` holds), scores
     -2^(-depth / c), lower is stranger.
@@ -171,8 +177,7 @@ def isolation_forest(df: DataFrame, key: list[str], features: list[str], trees:
     Fitting needs ``trees * sample`` rows in all, the documented bound; they are drawn by hash and sent to the
     driver. Scoring is Arrow-batched over the broadcast trees, without shuffle.
     """
-    keyed = df.filter(fitted_on).withColumn("_h", F.xxhash64(F.lit(seed), *key, *features))
-    pool = keyed.select("_h", *features).orderBy("_h").limit(trees * sample).toPandas()[features].to_numpy(float)
+    pool = forest_pool(df.filter(fitted_on), key, features, trees, sample, seed)
     shared = df.sparkSession.sparkContext.broadcast(fit_forest(pool, trees, sample, seed))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

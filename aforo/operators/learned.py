@@ -29,6 +29,29 @@ def standardised(df: DataFrame, features: list[str], train: str) -> DataFrame:
     return out.drop(*stats.columns)
 
 
+def informative(df: DataFrame, features: list[str], target: str, most: int, bins: int = 10) -> list[str]:
+    """The ``most`` features that say most about the target, in their given order; all if there are no more.
+
+    Mutual information of both in ``bins`` parts of about equal count (approximate percentiles), nulls in a part of their own: one
+    count by feature and parts, summed up where rows are read.
+    """
+    if len(features) <= most:
+        return list(features)
+    cols = list(dict.fromkeys([*features, target]))
+    shares = F.array(*(F.lit(i / bins) for i in range(1, bins)))
+    cuts = df.agg(*(F.array_distinct(F.percentile_approx(c, shares, F.lit(10_000))).alias(f"_c{i}") for i, c in enumerate(cols)))
+    part = lambda i, c: F.when(F.col(c).isNull(), -1).otherwise(F.size(F.filter(f"_c{i}", lambda x: x < F.col(c))))
+    at = df.select(*cols).crossJoin(F.broadcast(cuts)).select(*(part(i, c).alias(f"_p{i}") for i, c in enumerate(cols)))  # one row
+    y = F.col(f"_p{cols.index(target)}").alias("y")
+    pairs = at.select(y, F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.col(f"_p{i}").alias("x")) for i in range(len(features))))).alias("v"))
+    counts = pairs.groupBy("v.f", "v.x", "y").count()
+    own, other, all_ = Window.partitionBy("f", "x"), Window.partitionBy("f", "y"), Window.partitionBy("f")  # bins squared rows a feature
+    n = F.sum("count").over(all_)
+    share = F.col("count") / n * F.log(F.col("count") * n / (F.sum("count").over(own) * F.sum("count").over(other)))
+    told = counts.withColumn("s", share).groupBy("f").agg(F.round(F.sum("s"), 9).alias("mi")).orderBy(F.desc("mi"), "f").limit(most)
+    return [features[i] for i in sorted(r["f"] for r in told.collect())]  # a row a feature
+
+
 def cross_sectional_forest(df: DataFrame, key: list[str], features: list[str], x: str, series: str, contamination: float = CROSS_SECTIONAL) -> DataFrame:
     """Isolation forest over all series: fitted on the training rows (column train), judges the others.
 
@@ -118,10 +141,15 @@ def interval_forecast(df: DataFrame, key: str, t: str, x: str, width: float = 0.
     return out.select(key, t, "forecast", "low", "high", ((F.col("_y") < F.col("low")) | (F.col("_y") > F.col("high"))).alias("is_anomaly"), ((F.col("_y") - F.col("forecast")) / size).alias("residual"))
 
 
-def stacking(df: DataFrame, key: list[str], features: list[str], y: str, t: str = "fecha", least_months: int = 6, step: int = 12, seed: int = 42) -> DataFrame:
+#: Trees, depth, step, share of rows a tree sees, least rows of a leaf.
+STACKING = {"maxIter": 50, "maxDepth": 3, "stepSize": 0.1, "subsamplingRate": 0.8, "minInstancesPerNode": 5}
+
+
+def stacking(df: DataFrame, key: list[str], features: list[str], y: str, t: str = "fecha", least_months: int = 6, step: int = 12, seed: int = 42, trees: dict = STACKING) -> DataFrame:
     """Boosted trees on detectors' flags and scores, walked forward: rows of ``step`` months are scored by a model of all months
-    before them. An isotonic function fitted on the first 60 per cent of the scored months calibrates; the threshold (0.10 to
-    0.90) with the best F1 on the others decides. Columns of ``key``, stacking_score, stacking_score_calibrated, stacking_anomaly.
+    before them, in which positive rows weigh as much as negative ones. An isotonic function fitted on the first 60 per cent of the scored months
+    calibrates the others (those it was fitted on keep their scores); the threshold (0.10 to 0.90) with the best F1 on these others
+    decides. Columns of ``key``, stacking_score, stacking_score_calibrated, stacking_anomaly.
 
     Refitting every ``step`` months instead of each month keeps the number of models small.
     """
@@ -135,20 +163,22 @@ def stacking(df: DataFrame, key: list[str], features: list[str], y: str, t: str
     n_months = months.count()
     rows = written(df.select(*key, *(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features), F.col(y).cast("double").alias("_y")).join(F.broadcast(months), t))
     x = VectorAssembler(inputCols=features, outputCol="_v").transform(rows)
-    gbt = GBTClassifier(featuresCol="_v", labelCol="_y", maxIter=10, maxDepth=3, stepSize=0.1, subsamplingRate=0.8, seed=seed)
+    gbt = GBTClassifier(featuresCol="_v", labelCol="_y", weightCol="_weight", seed=seed, **trees)
     scored = None
     for first in range(least_months, n_months, step):
         past, now = x.filter(F.col("_m") < first), x.filter((F.col("_m") >= first) & (F.col("_m") < first + step))
-        if past.select("_y").distinct().count() < 2:
+        n, positive = past.agg(F.count("*"), F.sum("_y")).first()
+        if not n or positive in (None, 0, n):
             continue
-        one = gbt.fit(past).transform(now).select(*key, "_m", "_y", vector_to_array("probability")[1].alias("stacking_score"))
+        one = gbt.fit(past.withColumn("_weight", F.when(F.col("_y") > 0, (n - positive) / positive).otherwise(1.0))).transform(now).select(*key, "_m", "_y", vector_to_array("probability")[1].alias("stacking_score"))
         scored = one if scored is None else scored.unionByName(one)
     if scored is None:
         return rows.limit(0).select(*key, F.lit(0.0).alias("stacking_score"), F.lit(0.0).alias("stacking_score_calibrated"), F.lit(False).alias("stacking_anomaly"))
     scored = written(scored)
     early = scored.select("_m").distinct().agg(F.percentile("_m", F.lit(0.6)).alias("p")).first()["p"]
     iso = IsotonicRegression(featuresCol="stacking_score", labelCol="_y", predictionCol="stacking_score_calibrated").fit(scored.filter(F.col("_m") <= early))
-    scored = written(iso.transform(scored))
+    calibrated = iso.transform(scored)
+    scored = written(calibrated.withColumn("stacking_score_calibrated", F.when(F.col("_m") <= early, F.col("stacking_score")).otherwise(F.col("stacking_score_calibrated"))))
     return scored.crossJoin(F.broadcast(best_threshold(scored.filter(F.col("_m") > early), "stacking_score_calibrated", "_y"))).select(
         *key, "stacking_score", "stacking_score_calibrated", (F.col("stacking_score_calibrated") >= F.col("threshold")).alias("stacking_anomaly")
     )

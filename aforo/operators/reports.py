@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aforo.operators.ranges import written
+
 
 def consensus_counts(df: DataFrame, most: int) -> DataFrame:
     """How many rows have at least 1, 2, ... detectors."""
@@ -89,16 +91,55 @@ def write_results(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(flat.schema).option("header", True).csv(path)
 
 
-def weighted_meta_score(df: DataFrame, features: list[str], label: str, weight: str, key: list[str], seed: int = 1) -> DataFrame:
-    """Out-of-fold boosted-tree probability that a row is positive; five folds by the hash of the key."""
+# The meta model's trees; weights by how many detectors fired; the fallback's weights by detector, that of any other.
+META = {"maxIter": 150, "maxDepth": 4, "stepSize": 0.08, "subsamplingRate": 0.8}
+CONFIDENCE = ((3, 2.0), (2, 1.0), (1, 0.5), (0, 0.3))
+MODEL_WEIGHTS = {"m2": 0.15, "3sigma": 0.10, "iqr": 0.10, "chronos": 0.15, "prophet": 0.15, "anr": 0.20, "nmf": 0.15, "readings": 0.05, "autoencoder": 0.15}
+OTHER_MODEL, VULNERABILITY, FEWEST_POSITIVES = 0.1, 0.3, 10
+
+
+def heuristic_score(flags: dict[str, Column], vulnerability: Column | None = None) -> Column:
+    """Weighted share of the detectors that fired (null: not), raised by vulnerability (null: 0.5), from 0 to 1. flags: by detector."""
+    weights = {d: MODEL_WEIGHTS.get(d, OTHER_MODEL) for d in flags}
+    score = F.lit(0.0)
+    for d, flag in flags.items():
+        score = score + F.coalesce(flag.cast("double"), F.lit(0.0)) * (weights[d] / sum(weights.values()))
+    if vulnerability is not None:
+        score = score * (1 + VULNERABILITY * F.coalesce(vulnerability, F.lit(0.5)))
+    return F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))
+
+
+def meta_score(df: DataFrame, key: list[str], features: list[str], flags: dict[str, str], fired: str, folds: int = 5, seed: int = 42, trees: dict = META, vulnerability: str | None = None) -> DataFrame:
+    """Columns of ``key`` and fraud_score: the out-of-fold probability of boosted trees that two detectors or more fire.
+
+    Rows weigh by how many fired (CONFIDENCE), and positive ones as much as all others together. Folds are stratified: rows of each class are dealt out
+    by the hash of their key. With fewer than FEWEST_POSITIVES positive rows, or more than half, the heuristic score stands in. The folds'
+    models are fitted side by side; ``key`` identifies a row. flags: column by detector; fired: how many fired.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    x = VectorAssembler(inputCols=features, outputCol="_v").transform(df.withColumn("_f", F.pmod(F.xxhash64(*key), F.lit(5)))).persist()
-    out = None
-    for f in range(5):
-        model = GBTClassifier(featuresCol="_v", labelCol=label, weightCol=weight, maxIter=4, maxDepth=3, seed=seed).fit(x.filter(F.col("_f") != f))
-        one = model.transform(x.filter(F.col("_f") == f)).select(*key, vector_to_array("probability")[1].alias("score"))
-        out = one if out is None else out.unionByName(one)
+    rows = df.withColumn("_y", (F.col(fired) >= 2).cast("double"))
+    n, positive = rows.agg(F.count("*"), F.sum("_y")).first()
+    if not n or positive < FEWEST_POSITIVES or positive > n * 0.5:
+        return df.select(*key, heuristic_score({d: F.col(c) for d, c in flags.items()}, F.col(vulnerability) if vulnerability else None).alias("fraud_score"))
+    weight = F.lit(1.0)
+    for least, w in reversed(CONFIDENCE):
+        weight = F.when(F.col(fired) >= least, w).otherwise(weight)
+    clean = rows.select(*key, "_y", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_x{i}") for i, c in enumerate([*features, *flags.values()])), (weight * F.when(F.col("_y") > 0, (n - positive) / positive).otherwise(1.0)).alias("_w"))
+    clean = written(clean.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(folds))))
+    x = VectorAssembler(inputCols=[f"_x{i}" for i in range(len(features) + len(flags))], outputCol="_v").transform(clean)
+
+    def one(fold: int) -> DataFrame:
+        model = GBTClassifier(featuresCol="_v", labelCol="_y", weightCol="_w", seed=seed, **trees).fit(x.filter(F.col("_fold") != fold))
+        return model.transform(x.filter(F.col("_fold") == fold)).select(*key, vector_to_array("probability")[1].alias("fraud_score"))
+
+    with ThreadPoolExecutor(folds) as pool:
+        parts = list(pool.map(one, range(folds)))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
     return out

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from aforo.plans import audit, detectors, ensemble, flows, learned, monthly, reports, spatial, validation, welfare
+from aforo.plans import audit, detectors, ensemble, flows, inference, learned, monthly, reports, spatial, validation, welfare
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (monthly, flows, ensemble, spatial, detectors, reports, welfare, learned, audit, validation):
+for _module in (monthly, flows, ensemble, spatial, detectors, reports, welfare, learned, audit, validation, inference):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

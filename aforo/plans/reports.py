@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from aforo.functions import ladders
 from aforo.operators import ensemble as e
+from aforo.operators import monthly as m
 from aforo.operators import reports as r
 from aforo.plans.ensemble import _CONF, _CONS, FLAGS, KEYS, RESULTS, results
 from aforo.plans.flows import rounded, rounded_sql
@@ -55,4 +56,12 @@ def _sink(s, d):
 
 
 _q("snk1_results_csv", _sink, f"WITH {RESULTS} SELECT barrio_key, fecha, models_detecting AS models, CAST(n_models_detecting AS INTEGER) AS n FROM ({_CONS})")
-_q("m12_meta_score", lambda s, d: r.weighted_meta_score(results(s, d).withColumns({"y": F.col("is_anomaly_yoy").cast("double"), "w": F.when(F.col("is_anomaly_yoy"), 2.0).otherwise(0.5)}), ["cpc", "seasonal_zscore", "cross_sectional_zscore", "abs_dev"], "y", "w", KEYS))
+M12_FEATURES = ["deviation_from_group_trend", "relative_consumption", "consumption_volatility", "momentum"]
+
+
+def m12(s, d):
+    df = e.consensus(m.lags(m.relative_consumption(results(s, d))), FLAGS)
+    return r.meta_score(df, KEYS, M12_FEATURES, {f.removeprefix("is_anomaly_"): f for f in FLAGS}, "n_models_detecting")
+
+
+_q("m12_meta_score", m12)

@@ -91,10 +91,11 @@ def test_ablation_equals_models_of_single_rows(spark):
 
 
 def test_stacking_and_threshold(spark):
+    assert learned.STACKING == {"maxIter": 50, "maxDepth": 3, "stepSize": 0.1, "subsamplingRate": 0.8, "minInstancesPerNode": 5}
     rng = random.Random(4)
     rows = [(i, month(m), float(rng.random() < (0.9 if y else 0.1)), rng.gauss(2 * y, 1), bool(y)) for m in range(24) for i in range(20) for y in [rng.random() < 0.3]]
     df = spark.createDataFrame(rows, "i int, fecha date, f double, s double, y boolean")
-    got = learned.stacking(df, ["i", "fecha"], ["f", "s"], "y", step=9).join(df, ["i", "fecha"]).toPandas()
+    got = learned.stacking(df, ["i", "fecha"], ["f", "s"], "y", step=9, trees=learned.STACKING | {"maxIter": 10}).join(df, ["i", "fecha"]).toPandas()
     assert len(got) == 18 * 20 and got.stacking_score.between(0, 1).all() and got.stacking_score_calibrated.between(0, 1).all()
     assert got.stacking_score[got.y].mean() > got.stacking_score[~got.y].mean() + 0.2 and (got.stacking_anomaly == got.y).mean() > 0.8
     scored = [(0.12, True), (0.3, False), (0.52, True), (0.6, False), (0.9, True)]
@@ -229,8 +230,11 @@ def test_fuzzy_match_equals_all_pairs(spark):
 
 
 def test_meta_score_is_out_of_fold(spark):
+    assert reports.META == {"maxIter": 150, "maxDepth": 4, "stepSize": 0.08, "subsamplingRate": 0.8}
     rng = random.Random(13)
-    rows = [(i, rng.gauss(3 * y, 1), float(y), 1.0) for i in range(300) for y in [rng.random() < 0.4]]
-    df = spark.createDataFrame(rows, "i int, x double, y double, w double")
-    got = reports.weighted_meta_score(df, ["x"], "y", "w", ["i"]).join(df, "i").toPandas()
-    assert len(got) == 300 and got.score.between(0, 1).all() and got.score[got.y == 1].mean() > got.score[got.y == 0].mean() + 0.3
+    rows = [(i, rng.gauss(3 * (n >= 2), 1), n, n >= 1, n >= 2) for i in range(300) for n in [rng.choice([0, 0, 1, 2, 3])]]
+    df = spark.createDataFrame(rows, "i int, x double, n int, a boolean, b boolean")
+    got = reports.meta_score(df, ["i"], ["x"], {}, "n", trees=reports.META | {"maxIter": 6}).join(df, "i").toPandas()
+    assert len(got) == 300 and got.fraud_score.between(0, 1).all() and got.fraud_score[got.n >= 2].mean() > got.fraud_score[got.n < 2].mean() + 0.3
+    few = reports.meta_score(df.filter("n < 2").withColumn("v", F.lit(0.5)), ["i"], ["x"], {"iqr": "a", "new": "b"}, "n", vulnerability="v").join(df, "i").collect()
+    assert len(few) and all(abs(r.fraud_score - 0.5 * r.a * 1.15) < 1e-12 for r in few)  # the fallback: two detectors of weight 0.1
