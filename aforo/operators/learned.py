@@ -29,6 +29,18 @@ def standardised(df: DataFrame, features: list[str], train: str) -> DataFrame:
     return out.drop(*stats.columns)
 
 
+def robust(df: DataFrame, features: list[str], on: str) -> DataFrame:
+    """Features less their median over their interquartile range, both of the rows where ``on`` holds (approximate percentiles, a sketch of
+    bounded size); a range of 0 counts as 1, values that are not finite as 0.
+    """
+    clean = df.withColumns({f: F.when(F.isnan(F.col(f).cast("double")) | (F.abs(f) == float("inf")), 0.0).otherwise(F.coalesce(F.col(f).cast("double"), F.lit(0.0))) for f in features})
+    parts = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    cuts = clean.filter(on).agg(*(F.percentile_approx(f, parts, F.lit(10_000)).alias(f"_q{i}") for i, f in enumerate(features)))
+    clean = clean.crossJoin(F.broadcast(cuts))  # one row
+    width = lambda i: F.col(f"_q{i}")[2] - F.col(f"_q{i}")[0]
+    return clean.withColumns({f: (F.col(f) - F.col(f"_q{i}")[1]) / F.when(width(i) > 0, width(i)).otherwise(1.0) for i, f in enumerate(features)}).drop(*cuts.columns)
+
+
 def informative(df: DataFrame, features: list[str], target: str, most: int, bins: int = 10) -> list[str]:
     """The ``most`` features that say most about the target, in their given order; all if there are no more.
 
@@ -68,6 +80,60 @@ def cross_sectional_forest(df: DataFrame, key: list[str], features: list[str], x
     return out.select(*key, F.col("score").alias("score_m2"), penalised(F.col("score"), F.col("offset"), F.coalesce("cv", "median_cv"), F.col("median_cv")).alias("is_anomaly_m2"))
 
 
+# The latent part's weight in the score, share of the training rows that are anomalous.
+LATENT_WEIGHT, PPCA_SHARE = 2.0, 0.05
+
+
+def ppca_figures(x: np.ndarray, mean: np.ndarray, axes: np.ndarray, values: np.ndarray, noise: float) -> tuple[np.ndarray, ...]:
+    """Under a probabilistic principal component model: mean squared error of rebuilding, divergence of the latent posterior from its
+    prior, log-likelihood, distance of the latent mean from 0. axes: features by components; values: their variances; noise: that of each other direction.
+    """
+    c = x - mean
+    z = c @ axes
+    rest = np.maximum((c**2).sum(1) - (z**2).sum(1), 0.0)
+    d, k = axes.shape
+    left = np.maximum(values - noise, 0.0)
+    latent = z * (np.sqrt(left) / values)
+    spread = noise / values
+    divergence = 0.5 * (latent**2).sum(1) + 0.5 * (spread - 1 - np.log(spread)).sum()
+    likelihood = -0.5 * (d * np.log(2 * np.pi) + np.log(values).sum() + (d - k) * np.log(noise) + (z**2 / values).sum(1) + rest / noise)
+    error = (rest + ((z * (noise / values)) ** 2).sum(1)) / d
+    return error, divergence, likelihood, np.sqrt((latent**2).sum(1))
+
+
+def probabilistic_pca(df: DataFrame, key: list[str], features: list[str], k: int, share: float = PPCA_SHARE, beta: float = LATENT_WEIGHT) -> DataFrame:
+    """Per row after training: key, vae_score (error + beta times divergence), vae_log_likelihood, vae_latent_distance, is_anomaly_vae (the
+    score is over the training rows' 1 - ``share`` quantile).
+
+    The closed form of a linear variational autoencoder: principal components of the training rows (column train), scaled by median and
+    interquartile range, the mean of the other variances as noise. Scoring is Arrow-batched over the few numbers of the model.
+    """
+    from pyspark.ml.feature import PCA, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    x = VectorAssembler(inputCols=features, outputCol="_s").transform(robust(df.select(*key, "train", *features), features, "train"))
+    x = written(x.select(*key, "train", "_s"))
+    train = x.filter("train")
+    model = PCA(k=k, inputCol="_s", outputCol="_p").fit(train)
+    got = train.select(Summarizer.metrics("mean", "variance").summary(F.col("_s")).alias("m")).select("m.mean", "m.variance").first()
+    total = float(np.sum(got["variance"].toArray()))
+    values = np.maximum(model.explainedVariance.toArray() * total, 1e-12)
+    noise = max((total - values.sum()) / max(len(features) - k, 1), 1e-12)
+    mean, axes = got["mean"].toArray(), model.pc.toArray()
+    plain = x.select(*key, "train", vector_to_array("_s").alias("_a"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                error, divergence, likelihood, distance = ppca_figures(np.stack(b["_a"].to_list()).astype(float), mean, axes, values, noise)
+                yield b[[*key, "train"]].assign(vae_score=error + beta * divergence, vae_log_likelihood=likelihood, vae_latent_distance=distance)
+
+    scored = written(plain.mapInPandas(run, plain.drop("_a").withColumns({c: F.lit(0.0) for c in ("vae_score", "vae_log_likelihood", "vae_latent_distance")}).schema))
+    limit = scored.filter("train").agg(F.percentile("vae_score", F.lit(1 - share)).alias("_q"))
+    return scored.filter("NOT train").crossJoin(F.broadcast(limit)).withColumn("is_anomaly_vae", F.col("vae_score") > F.col("_q")).drop("_q", "train")  # one row
+
+
 def penalised(score: Column, offset: Column, cv: Column, median: Column) -> Column:
     """Whether a score is under the offset, after what is added for a series that varies much."""
     raised = F.lit(0.0)

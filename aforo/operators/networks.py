@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +39,7 @@ def network_class(features: DataFrame) -> DataFrame:
     df = features.crossJoin(F.broadcast(limits)).withColumn("u", F.greatest("t", F.lit(1e-6)))
     score, near, spread, u = F.col("score"), F.col("neighbour_score"), F.col("propagation"), F.col("u")
     high, diff = F.col("elevation"), F.col("elevation_diff")
+    # fixed values: the rules' limits and weights
     cases = [
         (~(score > F.col("t")), "NORMAL", F.lit(0.0)),
         (F.col("upstream_score") > F.col("t") * 0.8, "PROPAGATION", F.col("upstream_score") / u * 0.5 + spread / u * 0.3 + score / u * 0.2),
@@ -83,3 +88,65 @@ def fuzzy_match(left: DataFrame, right: DataFrame, least: float = 0.3) -> DataFr
     score = F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb")) + F.when(F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a")), 0.3).otherwise(0.0)
     best = pairs.withColumn("score", score).filter(F.col("score") >= least).groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("s"), "b")).alias("m"))
     return left.join(best, "a", "left").select("a", F.col("m.b").alias("b"), (-F.col("m.s")).alias("score"))
+
+
+#: Edges that are broadcast at most.
+MOST_EDGES = 2_000_000
+
+
+def _dependencies(near: dict, source) -> dict:
+    """Brandes' dependencies of all nodes on a source: how many of its shortest paths to others pass through each. near: node to {neighbour: length}."""
+    done, ways, best, before = [], {source: 1.0}, {source: 0.0}, {source: []}
+    heap, n, final = [(0.0, 0, source)], 0, set()
+    while heap:
+        far, _, v = heappop(heap)
+        if v in final:
+            continue
+        final.add(v)
+        done.append(v)
+        for w, length in near.get(v, {}).items():
+            d = far + length
+            if w not in best or d < best[w] - 1e-12 * max(1.0, d):
+                best[w], ways[w], before[w], n = d, ways[v], [v], n + 1
+                heappush(heap, (d, n, w))
+            elif w not in final and abs(d - best[w]) <= 1e-12 * max(1.0, d):
+                ways[w] += ways[v]
+                before[w].append(v)
+    share = dict.fromkeys(done, 0.0)
+    for w in reversed(done):
+        for v in before[w]:
+            share[v] += ways[v] / ways[w] * (1.0 + share[w])
+    share[source] = 0.0
+    return share
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame, most: int = MOST_EDGES) -> DataFrame:
+    """(id, betweenness): of each node the share of shortest paths between two others that pass through it, over all pairs.
+
+    nodes: id; edges: a, b, w (a row a pair, w its length, over 0, undirected). Sources are dealt to tasks, and each source's dependencies
+    are worked out on the graph, which every task holds: its edges are counted first, and more than ``most`` are an error, as no task could hold
+    them (exact betweenness of such a graph takes nodes times edges anyway). Sums by node are made where they arise.
+    """
+    edges = edges.filter("a <> b AND w > 0").groupBy("a", "b").agg(F.min("w").alias("w"))
+    if (n_edges := edges.count()) > most:
+        raise ValueError(f"{n_edges} edges; {most} are held by a task at most")
+    near: dict = {}
+    for a, b, w in edges.collect():
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = min(w, near.get(a, {}).get(b, w))
+    shared = nodes.sparkSession.sparkContext.broadcast(near)
+    kind = dict(nodes.dtypes)["id"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict = {}
+        for b in batches:
+            for source in b["id"].tolist():
+                for v, share in _dependencies(shared.value, source).items():
+                    if share:
+                        total[v] = total.get(v, 0.0) + share
+        yield pd.DataFrame({"id": list(total), "s": list(total.values())})
+
+    ids = nodes.select("id").distinct()
+    n = ids.count()
+    sums = ids.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id").mapInPandas(run, f"id {kind}, s double").groupBy("id").agg(F.sum("s").alias("s"))
+    scale = (n - 1) * (n - 2) if n > 2 else 1
+    return ids.join(sums, "id", "left").select("id", (F.coalesce("s", F.lit(0.0)) / scale).alias("betweenness"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from aforo.operators import attribution, causal, conformal, resampling
+from aforo.operators import attribution, causal, conformal, flows, learned, networks, resampling, spectra, survival
 from aforo.operators import ensemble as e
 from aforo.operators.ranges import written
 from aforo.plans.ensemble import _CONF, _CONS, _P0, _VOTE, FLAGS, KEYS, RESULTS, WEIGHTS, pseudo, results
-from aforo.plans.flows import rounded, rounded_sql
+from aforo.plans.flows import _DAILY, rounded, rounded_sql
 from aforo.plans.learned import FEATURES, monthly_features
-from aforo.sources.adapters import census, table
+from aforo.plans.spatial import _edges
+from aforo.sources.adapters import HOUSEHOLD, census, household_hourly, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -96,3 +97,51 @@ _SIZES = {"core_size_median": 2, "core_size_least": 0, "core_size_greatest": 0,
 _q("c7_core_sizes", lambda s, sf: rounded(boot(s, sf)[1], [], _SIZES),
    rounded_sql(_MONTHLY + ", sizes AS (SELECT round, count(c.unit) AS size FROM limits LEFT JOIN core c USING (round) GROUP BY 1)",
      "SELECT median(size) AS core_size_median, min(size) AS core_size_least, max(size) AS core_size_greatest, count(*) AS rounds FROM sizes", [], _SIZES).replace("SELECT , ", "SELECT "))
+
+
+def contracts(s, sf):
+    """A row a customer: days from the first order of all to the customer's first large returned line (else to the end), whether there is one, covariates."""
+    o, c, l = (table(s, sf, t) for t in ("orders", "customer", "lineitem"))
+    ends = o.agg(F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"))
+    bad = l.filter("l_returnflag = 'R' AND l_quantity >= 48 AND l_discount >= 0.08").join(o, l.l_orderkey == o.o_orderkey).groupBy("o_custkey").agg(F.min("l_shipdate").alias("leak"))
+    own = o.groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").cast("double").alias("building_m2"), (F.avg("o_totalprice") / 10000).alias("pipe_risk_score"))
+    rows = c.join(bad, c.c_custkey == bad.o_custkey, "left").join(own, c.c_custkey == own.k, "left").crossJoin(F.broadcast(ends))  # one row
+    days = F.datediff(F.coalesce("leak", "last"), "first").cast("double")
+    return rows.select(
+        F.col("c_custkey").alias("contrato"), F.greatest(days, F.lit(0.5)).alias("duration_days"), F.col("leak").isNotNull().alias("event"), (F.col("c_acctbal") / 1000).alias("building_age_decades"), "building_m2", "pipe_risk_score",
+        (F.pmod("c_custkey", F.lit(60)) + 25).cast("double").alias("edad_titular"),
+    )
+
+
+COVARIATES = ["building_age_decades", "building_m2", "pipe_risk_score", "edad_titular"]
+_q("h3_cox_risk", lambda s, sf: survival.cox_risk(contracts(s, sf), "contrato", "duration_days", "event", COVARIATES))
+
+
+def network(s, sf):
+    pipes = _edges(s, sf).groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("w").alias("w")).filter("(a * 7 + b * 3) % 5 = 0")
+    return table(s, sf, "nation").select(F.col("n_nationkey").alias("id")), pipes
+
+
+_q("m17_betweenness", lambda s, sf: networks.betweenness(*network(s, sf)))
+_q("m13p_probabilistic_pca", lambda s, sf: learned.probabilistic_pca(monthly_features(s, sf), KEYS, FEATURES, 4))
+_q("h1_spectral_scores", lambda s, sf: spectra.spectral_scores(household_hourly(s, sf), "contrato", "ts", "litros"))
+_q("h1_spectrogram", lambda s, sf: spectra.spectrogram(household_hourly(s, sf), "contrato", "ts", "litros"))
+
+
+def days(s, sf):
+    """Day shapes of households; every twenty-fifth contract has a known leak."""
+    return spectra.day_shapes(household_hourly(s, sf), "contrato", "ts", "litros").withColumn("normal", F.col("contrato") % 25 != 0)
+
+
+_q("h2_day_shapes", lambda s, sf: rounded(spectra.mean_shapes(days(s, sf), "contrato"), ["contrato"], {f"h{h}": 6 for h in range(24)}),
+   rounded_sql(f"""{HOUSEHOLD}, sums AS (SELECT contrato, CAST(ts AS DATE) AS d, {', '.join(f"coalesce(sum(litros) FILTER (hour(ts) = {h}), 0) AS s{h}" for h in range(24))}, sum(litros) + 1e-10 AS total FROM household GROUP BY 1, 2),
+m AS (SELECT contrato, {', '.join(f'avg(s{h} / total) AS m{h}' for h in range(24))}, {' + '.join(f'avg(s{h} / total)' for h in range(24))} + 1e-10 AS total FROM sums GROUP BY 1)""",
+     f"SELECT contrato, {', '.join(f'm{h} / total AS h{h}' for h in range(24))} FROM m", ["contrato"], {f"h{h}": 6 for h in range(24)}))
+_q("h2_profile_errors", lambda s, sf: spectra.roll_up(spectra.profile_errors(days(s, sf), "contrato", "normal"), "contrato"))
+_q("h2_clusters", lambda s, sf: spectra.clusters(spectra.mean_shapes(days(s, sf), "contrato"), "contrato")[0])
+_ROLL = {"ae_median_error": 6, "ae_max_error": 6, "ae_anomaly_days": 0, "n_days": 0, "ae_anomaly_ratio": 6, "ae_anomaly_score": 6, "is_anomaly_ae": 0}
+_q("a28_profile_roll_up",
+   lambda s, sf: rounded(spectra.roll_up(flows.daily_features(household_hourly(s, sf), "contrato", "litros").withColumns({"err": F.abs(F.round(F.col("night_day_ratio") - 1, 6)), "odd": F.col("night_day_ratio") > 1.5}), "contrato", "err", "odd"), ["contrato"], _ROLL),
+   rounded_sql(f"""{HOUSEHOLD}, dd AS ({_DAILY}), g AS (SELECT contrato, median(abs(round(night_day_ratio - 1, 6))) AS ae_median_error, max(abs(round(night_day_ratio - 1, 6))) AS ae_max_error,
+  count(*) FILTER (night_day_ratio > 1.5) AS ae_anomaly_days, count(*) AS n_days FROM dd GROUP BY 1), sc AS (SELECT *, ae_median_error / (max(ae_median_error) OVER () + 1e-10) AS ae_anomaly_score FROM g)""",
+     "SELECT *, ae_anomaly_days / n_days AS ae_anomaly_ratio, ae_anomaly_score > quantile_cont(ae_anomaly_score, 0.90) OVER () AS is_anomaly_ae FROM sc", ["contrato"], _ROLL))
