@@ -400,11 +400,36 @@ def test_repeated_passages_equal_brute_force(spark, real, empty):
         rows += [(50_000 + len(rows), " ".join(some(rnd.choice([0, 5, 80])) + p + some(rnd.choice([0, 10, 60])))) for _ in range(rnd.choice([2, 3, 12]))]
     rows += [(9000, None), (9001, ""), (9002, "ha " * 3000), (9003, "ha " * 49), (9004, "Same row " * 30), (9004, "Same row " * 30), (None, "same ROW\n" * 30)]
     table = real.unionByName(docs(spark, rows, False))
-    got = collections.Counter((r.doc_id, r.start_word, r.end_word) for r in suffix_dedup.repeated_passages(table).collect())
-    assert got == brute_passages([tuple(r) for r in table.collect()])
+    want = brute_passages([tuple(r) for r in table.collect()])
+    for most_bits in (suffix_dedup.MOST_BITS, 0):  # by the bit table, by a join
+        assert collections.Counter((r.doc_id, r.start_word, r.end_word) for r in suffix_dedup.repeated_passages(table, most_bits=most_bits).collect()) == want
     assert suffix_dedup.repeated_passages(empty).count() == 0
 
 
+def test_runs_by_neighbours_equal_all_pairs():
+    """Few words, so that suffixes share much to the right and differ to the left in all ways."""
+    rnd = np.random.default_rng(11)
+    size, least, spread = suffix_dedup.SPREAD - 1, suffix_dedup.LEAST, suffix_dedup.SPREAD
+    for _ in range(60):
+        n = int(rnd.integers(1, 30))
+        base = rnd.integers(1, 3, size=(2, size + least)).astype(np.uint64)
+        words = base[rnd.integers(2, size=n)].copy()
+        for row in words:
+            for at in rnd.integers(size + least, size=rnd.integers(3)):
+                row[at] = 9
+        ahead, behind = rnd.choice([least, least, 40, 19], size=n), rnd.choice([size, size, 12, 0], size=n)
+        col = np.arange(size + least)
+        words[(col >= size + ahead[:, None]) | (col < size - behind[:, None])] = 0
+        begins = np.arange(spread)
+        there = (begins >= size - behind[:, None]) & (begins + least <= size + ahead[:, None])
+        h, places = rnd.integers(2, size=n), rnd.choice([1, 1, 2], size=n)
+        got = suffix_dedup.repeated_runs(h, words, ahead, behind, there, places)
+        for i in range(n):
+            for at in range(spread):
+                same = sum(int(places[j]) for j in range(n) if there[j, at] and h[j] == h[i] and (words[j, at : at + least] == words[i, at : at + least]).all())
+                assert got[i, at] == (there[i, at] and same > 1)
+
+
 @pytest.mark.parametrize("large", [suffix_dedup.LARGE, 60])
 def test_passages_around_a_hot_line(spark, monkeypatch, large):
     monkeypatch.setattr(suffix_dedup, "LARGE", large)
