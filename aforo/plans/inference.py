@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from aforo.operators import attribution, causal, conformal, flows, learned, networks, resampling, spectra, survival
+from aforo.operators import attribution, causal, conformal, evidence, flows, learned, networks, resampling, spectra, survival
 from aforo.operators import ensemble as e
 from aforo.operators.ranges import written
 from aforo.plans.ensemble import _CONF, _CONS, _P0, _VOTE, FLAGS, KEYS, RESULTS, WEIGHTS, pseudo, results
 from aforo.plans.flows import _DAILY, rounded, rounded_sql
 from aforo.plans.learned import FEATURES, monthly_features
 from aforo.plans.spatial import _edges
-from aforo.sources.adapters import HOUSEHOLD, census, household_hourly, table
+from aforo.sources.adapters import CENSUS, HOUSEHOLD, METERS, census, household_hourly, meters, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -145,3 +145,112 @@ _q("a28_profile_roll_up",
    rounded_sql(f"""{HOUSEHOLD}, dd AS ({_DAILY}), g AS (SELECT contrato, median(abs(round(night_day_ratio - 1, 6))) AS ae_median_error, max(abs(round(night_day_ratio - 1, 6))) AS ae_max_error,
   count(*) FILTER (night_day_ratio > 1.5) AS ae_anomaly_days, count(*) AS n_days FROM dd GROUP BY 1), sc AS (SELECT *, ae_median_error / (max(ae_median_error) OVER () + 1e-10) AS ae_anomaly_score FROM g)""",
      "SELECT *, ae_anomaly_days / n_days AS ae_anomaly_ratio, ae_anomaly_score > quantile_cont(ae_anomaly_score, 0.90) OVER () AS is_anomaly_ae FROM sc", ["contrato"], _ROLL))
+
+RATES = ["m_cross", "m_season", "m_dev", "m_yoy"]
+
+
+def rates(s, sf):
+    """Share of months in which each detector fires, a row a barrio and use."""
+    return results(s, sf).groupBy("barrio_key").agg(*(F.avg(F.coalesce(F.col(f"is_anomaly_{m[2:]}").cast("int"), F.lit(0))).alias(m) for m in RATES))
+
+
+_RATES = f"{RESULTS}, rates AS (SELECT barrio_key, {', '.join(f'avg(coalesce(is_anomaly_{m[2:]}::INT, 0)) AS {m}' for m in RATES)} FROM results GROUP BY 1)"
+_TAIL = """CASE WHEN {z} = 0 THEN 1 WHEN abs({z}) > 9 THEN 0 ELSE greatest(0, 1 - 2 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 250),
+  lambda n: exp((2 * n + 1) * ln(abs({z})) - {z} * {z} / 2 - (lgamma(n + 1.5) + (n + 1) * ln(2) - 0.5 * ln(pi())))))) END"""
+_FR = {"statistic": 6, "p_value": 6, "n": 0}
+_CHI = f"({_TAIL.format(z='sqrt(statistic)')} + exp(-statistic / 2) * sqrt(statistic / 2) / gamma(1.5))"
+_q("c17_friedman", lambda s, sf: rounded(evidence.friedman(rates(s, sf), "barrio_key", RATES), [], _FR),
+   rounded_sql(f"""{_RATES}, long AS (UNPIVOT rates ON {', '.join(RATES)} INTO NAME model VALUE v),
+ranked AS (SELECT *, rank() OVER (PARTITION BY barrio_key ORDER BY v) + (count(*) OVER (PARTITION BY barrio_key, v) - 1) / 2 AS r, count(*) OVER (PARTITION BY barrio_key, v) AS same FROM long),
+sums AS (SELECT model, sum(r) AS r, sum(same * same - 1) AS ties, count(*) AS n FROM ranked GROUP BY 1),
+fr AS (SELECT any_value(n) AS n, (12 * sum(r * r) / (any_value(n) * 4 * 5) - 3 * any_value(n) * 5) / (1 - sum(ties) / (any_value(n) * 4 * 15)) AS statistic FROM sums)""",
+     f"SELECT *, {_CHI} AS p_value FROM fr", [], _FR).replace("SELECT , ", "SELECT "))
+_PAIRS = [(a, b) for i, a in enumerate(RATES) for b in RATES[i + 1 :]]
+_WX = {"statistic": 6, "p_value": 6, "n": 0}
+_q("c17_wilcoxon", lambda s, sf: rounded(evidence.wilcoxon(rates(s, sf), "barrio_key", RATES), ["model_a", "model_b", "better"], _WX),
+   rounded_sql(f"""{_RATES}, d AS ({' UNION ALL '.join(f"SELECT '{a}' AS model_a, '{b}' AS model_b, round({a} - {b}, 12) AS d FROM rates" for a, b in _PAIRS)}),
+rk AS (SELECT *, rank() OVER (PARTITION BY model_a, model_b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY model_a, model_b, abs(d)) - 1) / 2 AS r, count(*) OVER (PARTITION BY model_a, model_b, abs(d)) AS same FROM d WHERE d <> 0),
+ws AS (SELECT model_a, model_b, coalesce(sum(r) FILTER (d > 0), 0) AS w, count(*) AS n, sum(same * same - 1) AS t FROM rk GROUP BY 1, 2),
+wz AS (SELECT *, least(w, n * (n + 1) / 2 - w) AS statistic FROM ws), wt AS (SELECT *, (statistic - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - t / 48) AS z FROM wz),
+sd AS (SELECT model, stddev_pop(v) AS s FROM (UNPIVOT rates ON {', '.join(RATES)} INTO NAME model VALUE v) GROUP BY 1),
+wp AS (SELECT *, {_TAIL.format(z='z')} AS p_value FROM wt)""",
+     "SELECT wp.*, CASE WHEN p_value < 0.05 THEN CASE WHEN a.s < b.s THEN model_a ELSE model_b END END AS better FROM wp JOIN sd a ON a.model = model_a JOIN sd b ON b.model = model_b", ["model_a", "model_b", "better"], _WX))
+_ST = {"mean_score": 6, "std_score": 6, "cv": 6}
+_q("q11_model_stability", lambda s, sf: rounded(evidence.model_stability(rates(s, sf), RATES), ["model", "verdict"], _ST),
+   rounded_sql(f"{_RATES}, st AS (SELECT model, avg(v) AS mean_score, stddev_pop(v) AS std_score FROM (UNPIVOT rates ON {', '.join(RATES)} INTO NAME model VALUE v) GROUP BY 1)",
+     "SELECT *, CASE WHEN cv < 0.5 THEN 'ESTABLE' WHEN cv < 1.0 THEN 'VARIABLE' ELSE 'INESTABLE' END AS verdict FROM (SELECT *, CASE WHEN mean_score > 0 THEN std_score / mean_score END AS cv FROM st)", ["model", "verdict"], _ST))
+
+PROBLEMATIC = ("R",)  # return flags stand for reasons of a change
+
+
+def changes(s, sf):
+    """Meter changes: a row a line item, its month and reason."""
+    return table(s, sf, "lineitem").select(F.trunc(F.col("l_shipdate").cast("date"), "month").alias("month"), F.col("l_returnflag").alias("reason"))
+
+
+def truth(s, sf):
+    return evidence.meter_risk(meters(s, sf).withColumn("smart", F.col("uso").isin("BUILDING", "MACHINERY")), "2008-12-31")
+
+
+def detections(s, sf):
+    df = e.weighted_voting(e.consensus(results(s, sf), FLAGS), WEIGHTS)
+    return df.select("barrio", F.col("fecha").alias("month"), F.col("ensemble_score").alias("score"), F.col("n_models_detecting").alias("n_models"), "alert")
+
+
+_CH = "changes AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, count(*) AS total, count(*) FILTER (l_returnflag = 'R') AS problematic FROM lineitem GROUP BY 1)"
+_q("src16_problematic_rate", lambda s, sf: rounded(evidence.problematic_rate(changes(s, sf), "month", "reason", PROBLEMATIC), ["month"], {"total": 0, "problematic": 0, "rate": 6, "nth": 0}),
+   rounded_sql(_CH, "SELECT *, problematic / total AS rate, row_number() OVER (ORDER BY month) - 1 AS nth FROM changes", ["month"], {"total": 0, "problematic": 0, "rate": 6, "nth": 0}))
+_q("src16_rate_trend", lambda s, sf: rounded(evidence.rate_trend(evidence.problematic_rate(changes(s, sf), "month", "reason", PROBLEMATIC)), [], {"trend_slope": 9, "months": 0}),
+   rounded_sql(_CH, "SELECT regr_slope(problematic / total, nth) AS trend_slope, count(*) AS months FROM (SELECT *, row_number() OVER (ORDER BY month) - 1 AS nth FROM changes)", [], {"trend_slope": 9, "months": 0}).replace("SELECT , ", "SELECT "))
+_RISK = f"""{METERS}, ages AS (SELECT barrio, date_diff('day', installed, DATE '2008-12-31') / 365.25 AS age, uso IN ('BUILDING', 'MACHINERY') AS smart FROM meters),
+stats AS (SELECT barrio, count(*) AS total_counters, 100 * count(*) FILTER (smart) / count(*) AS smart_pct, avg(age) AS mean_age_years, median(age) AS median_age_years, max(age) AS max_age_years FROM ages GROUP BY 1),
+risk AS (SELECT *, 100 - smart_pct AS manual_pct, (rank() OVER (ORDER BY mean_age_years DESC) + (count(*) OVER (PARTITION BY mean_age_years) - 1) / 2
+  + rank() OVER (ORDER BY 100 - smart_pct DESC) + (count(*) OVER (PARTITION BY smart_pct) - 1) / 2) / 2 AS risk_score FROM stats)"""
+_MR = {"total_counters": 0, "smart_pct": 6, "manual_pct": 6, "mean_age_years": 6, "median_age_years": 6, "max_age_years": 6, "risk_score": 6}
+_q("src16_meter_risk", lambda s, sf: rounded(truth(s, sf), ["barrio"], _MR), rounded_sql(_RISK, "SELECT * FROM risk", ["barrio"], _MR))
+_DET = f"{RESULTS}, det AS (SELECT v.barrio, v.fecha AS month, v.ensemble_score AS score, c.n_models_detecting AS n_models, c.alert FROM ({_VOTE}) v JOIN ({_CONS}) c USING (barrio_key, fecha))"
+_VAL = f"""{_DET}, {_RISK}, val AS (SELECT barrio, avg(score) AS mean_anomaly_score, max(score) AS max_anomaly_score, avg(n_models) AS mean_n_models, count(*) FILTER (n_models > 0) AS total_detections,
+  count(score) AS n_observations, count(*) FILTER (alert = 'ROJO') AS n_red, count(*) FILTER (alert = 'AMARILLO') AS n_yellow FROM det GROUP BY 1)"""
+_GT = {"mean_anomaly_score": 6, "max_anomaly_score": 6, "mean_n_models": 6, "total_detections": 0, "n_observations": 0, "n_red": 0, "n_yellow": 0, "detection_rate": 6, "risk_score": 6, "smart_pct": 6}
+_q("a26_ground_truth", lambda s, sf: rounded(evidence.ground_truth(detections(s, sf), truth(s, sf)), ["barrio"], _GT),
+   rounded_sql(_VAL, "SELECT *, total_detections / n_observations AS detection_rate FROM val LEFT JOIN risk USING (barrio)", ["barrio"], _GT))
+_OV = {"temporal_corr_score": 6, "temporal_corr_detection_rate": 6, "n_common_months": 0, "n_top": 0, "n_overlap": 0, "overlap_pct": 4}
+
+
+def overlap(s, sf):
+    det = written(detections(s, sf))
+    return evidence.ground_truth_overlap(evidence.ground_truth(det, truth(s, sf)), det, evidence.problematic_rate(changes(s, sf), "month", "reason", PROBLEMATIC))
+
+
+_q("a26_overlap", lambda s, sf: rounded(overlap(s, sf), [], _OV),
+   rounded_sql(f"""{_VAL}, {_CH}, mo AS (SELECT month, avg(score) AS s, avg((n_models > 0)::INT) AS d FROM det GROUP BY 1), cm AS (SELECT mo.*, problematic / total AS rate FROM mo JOIN changes USING (month)),
+lim AS (SELECT quantile_cont(mean_anomaly_score, 0.75) AS t, median(risk_score) AS m FROM val LEFT JOIN risk USING (barrio)),
+ov AS (SELECT count(*) AS n_top, count(*) FILTER (risk_score <= m) AS n_overlap FROM val LEFT JOIN risk USING (barrio), lim WHERE mean_anomaly_score >= t)""",
+     "SELECT *, 100 * n_overlap / n_top AS overlap_pct FROM ov, (SELECT corr(s, rate) AS temporal_corr_score, corr(d, rate) AS temporal_corr_detection_rate, count(*) AS n_common_months FROM cm)", [], _OV).replace("SELECT , ", "SELECT "))
+
+
+def evidences(s, sf):
+    """Mean score of barrios beside four kinds of evidence: meters' risk, their manual share, elderly people, what is supplied for what is sold."""
+    own = detections(s, sf).groupBy(F.col("barrio").alias("unit")).agg(F.round(F.avg("score"), 9).alias("x"))
+    risk, old = truth(s, sf).select("barrio", "risk_score", "manual_pct"), census(s, sf).select(F.col("barrio").alias("b2"), "pct_65plus")
+    g = own.join(risk, F.col("unit") == F.col("barrio")).join(old, F.col("unit") == F.col("b2"))
+    kinds = {"infrastructure": "risk_score", "smart_coverage": "manual_pct", "demography": "pct_65plus"}
+    return g.select("unit", "x", F.explode(F.array(*(F.struct(F.lit(k).alias("evidence"), F.round(F.col(c).cast("double"), 9).alias("y")) for k, c in kinds.items()))).alias("e")).select("e.evidence", "unit", "x", "e.y")
+
+
+_EV = {"rho": 6, "p_value": 6, "ci_low": 6, "ci_high": 6, "hit_rate": 6, "k": 0, "n": 0}
+_KINDS = {"infrastructure": "risk_score", "smart_coverage": "manual_pct", "demography": "pct_65plus"}
+_q("c9_external_validation", lambda s, sf: rounded(evidence.external_validation(evidences(s, sf)), ["evidence"], _EV),
+   rounded_sql(f"""{_VAL}, {CENSUS}, own AS (SELECT barrio AS unit, round(mean_anomaly_score, 9) AS x, risk_score, manual_pct, pct_65plus FROM val JOIN risk USING (barrio) JOIN census USING (barrio)),
+ev AS ({' UNION ALL '.join(f"SELECT '{k}' AS evidence, unit, x, round(CAST({c} AS DOUBLE), 9) AS y FROM own" for k, c in _KINDS.items())}),
+rr AS (SELECT *, rank() OVER (PARTITION BY evidence ORDER BY x) + (count(*) OVER (PARTITION BY evidence, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY evidence ORDER BY y) + (count(*) OVER (PARTITION BY evidence, y) - 1) / 2 AS ry,
+  row_number() OVER (PARTITION BY evidence ORDER BY unit) AS i, count(*) OVER (PARTITION BY evidence) AS n, row_number() OVER (PARTITION BY evidence ORDER BY x DESC, unit) AS hx, row_number() OVER (PARTITION BY evidence ORDER BY y DESC, unit) AS hy FROM ev),
+real AS (SELECT evidence, corr(rx, ry) AS rho, any_value(n) AS n, least(10, any_value(n) // 2) AS k, count(*) FILTER (hx <= least(10, n // 2) AND hy <= least(10, n // 2)) / least(10, any_value(n) // 2) AS hit_rate FROM rr GROUP BY 1),
+mixed AS (SELECT evidence, r AS round, i, rx, ry, row_number() OVER (PARTITION BY evidence, r ORDER BY {_DRAW.format("'ext-' || evidence || '-' || r || '-' || unit")}, unit) AS j FROM rr, range(1, 10001) t(r)),
+null_ AS (SELECT a.evidence, a.round, corr(a.rx, b.ry) AS c FROM mixed a JOIN mixed b ON a.evidence = b.evidence AND a.round = b.round AND a.i = b.j GROUP BY 1, 2),
+pv AS (SELECT evidence, (count(*) FILTER (round(abs(c), 9) >= round(abs(rho), 9)) + 1) / (count(*) + 1) AS p_value FROM null_ JOIN real USING (evidence) GROUP BY 1),
+slots AS (SELECT evidence, r AS round, {_DRAW.format("'ext-' || evidence || '-' || r || '-' || i")} % n + 1 AS i FROM rr, range(1, 1001) t(r)),
+drawn AS (SELECT s.evidence, s.round, rank() OVER (PARTITION BY s.evidence, s.round ORDER BY x) + (count(*) OVER (PARTITION BY s.evidence, s.round, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY s.evidence, s.round ORDER BY y) + (count(*) OVER (PARTITION BY s.evidence, s.round, y) - 1) / 2 AS ry
+  FROM slots s JOIN rr ON rr.evidence = s.evidence AND rr.i = s.i),
+ci AS (SELECT evidence, quantile_cont(c, 0.025) AS ci_low, quantile_cont(c, 0.975) AS ci_high FROM (SELECT evidence, round, corr(rx, ry) AS c FROM drawn GROUP BY 1, 2) WHERE c IS NOT NULL AND NOT isnan(c) GROUP BY 1)""",
+     "SELECT * FROM real JOIN pv USING (evidence) JOIN ci USING (evidence)", ["evidence"], _EV))
