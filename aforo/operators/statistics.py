@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aforo.operators.ranges import running_sums, written
+
 _ALL = Window.unboundedPreceding
 
 
@@ -151,3 +153,84 @@ def inject(df: DataFrame, key: str, t: str, x: str, changes: dict[int, float], t
     for offset, by in changes.items():
         m = F.when(F.col("_i") == offset, by).otherwise(m)
     return df.withColumn("_i", i).withColumns({x: F.col(x) * m, "injected": F.col("_i").isin(*changes), "train": F.col("_i") < 0}).drop("_i")
+
+
+# Share of a series that is reference, rows of a window, rows of a series at least; weights of the z-scores; slope, middle and limit of the score.
+REFERENCE, WINDOW, LEAST_SERIES, LEAST_SERIES_COUNT = 0.6, 6, 6, 3
+WD_WEIGHTS = {"wd_temporal_zscore": 0.40, "shift_zscore": 0.25, "cross_barrio_zscore": 0.20, "wd_multivariate_zscore": 0.15}
+WD_SLOPE, WD_MIDDLE, WD_LIMIT = 0.8, 2.0, 0.55
+
+
+def gap_of(a: Column, b: Column, na: int, nb: int) -> Column:
+    """Wasserstein distance of two arrays of na and nb values: the mean gap of their order statistics, each repeated to a common number."""
+    n = na * nb
+    parts = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.abs(F.get(F.array_sort(a), F.floor(k / nb).cast("int")) - F.get(F.array_sort(b), F.floor(k / na).cast("int"))))
+    return F.aggregate(parts, F.lit(0.0), lambda s, v: s + v) / n
+
+
+def pooled_gap(df: DataFrame, key: str, x: str) -> DataFrame:
+    """(key, distance): Wasserstein distance of each key's values from the values of all keys together.
+
+    The pooled distribution G and its integral A(x) = x G(x) - (mean of values up to x, times their share) are running sums over distinct values, range by
+    range. Between two of a key's values its own distribution is a constant c, and G crosses c once, at its quantile: so a key needs A at its own
+    values, which are pooled values, and at as many quantiles, and no key meets all values. Quantiles are looked up by buckets of the share.
+    """
+    buckets = 1000
+    rows = written(df.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x")).filter("x IS NOT NULL"))
+    pooled = rows.groupBy("x").agg(F.count("*").alias("c")).withColumn("cx", F.col("c") * F.col("x"))
+    total = pooled.agg(F.sum("c").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    pooled = running_sums(pooled, "x", {"c": "upto", "cx": "sum"}).crossJoin(F.broadcast(total))  # one row
+    pooled = pooled.select("x", (F.col("upto") / F.col("n")).alias("g"), ((F.col("upto") - F.col("c")) / F.col("n")).alias("g0"), ((F.col("x") * F.col("upto") - F.col("sum")) / F.col("n")).alias("a"), "hi")
+    pooled = written(pooled)
+    own = rows.groupBy("k", "x").agg(F.count("*").alias("c")).join(pooled.select("x", "a", "hi"), "x")
+    w = Window.partitionBy("k").orderBy("x")
+    own = own.withColumns({"f": F.sum("c").over(w) / F.sum("c").over(Window.partitionBy("k")), "x2": F.lead("x").over(w), "a2": F.lead("a").over(w), "first": F.row_number().over(w) == 1})
+    own = written(own.withColumn("f", F.round("f", 12)))
+    shares = own.select("f").distinct().withColumn("bucket", F.floor(F.col("f") * buckets))  # as many as series have different lengths and places
+    spans = pooled.select("x", "a", "g", "g0", F.explode(F.expr(f"sequence(floor(g0 * {buckets}), floor(g * {buckets}))")).alias("bucket"))
+    at = shares.join(spans, "bucket").filter((F.round("g0", 12) < F.col("f")) & (F.col("f") <= F.round("g", 12))).select("f", F.col("x").alias("q"), F.col("a").alias("aq"))
+    own = own.join(at, "f")
+    inside = F.col("x2").isNotNull()
+    q = F.when(F.col("q") <= F.col("x"), F.col("x")).when(F.col("q") >= F.col("x2"), F.col("x2")).otherwise(F.col("q"))
+    aq = F.when(F.col("q") <= F.col("x"), F.col("a")).when(F.col("q") >= F.col("x2"), F.col("a2")).otherwise(F.col("aq"))
+    below, above = F.col("f") * (q - F.col("x")) - (aq - F.col("a")), (F.col("a2") - aq) - F.col("f") * (F.col("x2") - q)
+    last = written(pooled.filter("x = hi")).select(F.col("a").alias("top"))  # one row
+    parts = own.crossJoin(F.broadcast(last)).withColumn("part", F.when(inside, below + above).otherwise((F.col("hi") - F.col("x")) - (F.col("top") - F.col("a"))) + F.when(F.col("first"), F.col("a")).otherwise(0.0))
+    return parts.groupBy(F.col("k").alias(key)).agg(F.sum("part").alias("distance"))
+
+
+def _z(x: str, mean: Column, spread: Column, floor: float | None) -> Column:
+    """z-score: over a small addition, or 0 for hardly any spread."""
+    return (F.col(x) - mean) / (F.coalesce(spread, F.lit(0.0)) + 1e-10) if floor is None else F.when(spread > floor, (F.col(x) - mean) / spread).otherwise(0.0)
+
+
+def wasserstein_detection(df: DataFrame, key: str, t: str, x: str, others: list[str]) -> DataFrame:
+    """Per key and t: wd_train_test (the first 60 per cent of a series against the rest), wd_cross_barrio (a series over its mean against all series'),
+    wd_temporal (the window up to here against the six rows before it), wd_multivariate (the same for several measures, over their spread), distribution_shift_pct, wasserstein_score, is_anomaly_wasserstein.
+
+    The score is a sigmoid of weighted sizes of z-scores: of keys for the first two, of a key's months for the others. Missing distances are 0.
+    """
+    w, whole = Window.partitionBy(key).orderBy(t), Window.partitionBy(key)
+    cols = list(dict.fromkeys([x, *others]))
+    i, n = F.row_number().over(w) - 1, F.count("*").over(whole)
+    rows = written(df.select(key, t, *cols).withColumns({"_i": i, "_n": n, "_mean": F.avg(x).over(whole)}))
+    side = rows.filter(F.col("_n") >= LEAST_SERIES).withColumn("_ref", F.col("_i") < F.greatest(F.lit(3), F.floor(F.col("_n") * REFERENCE)))
+    shift = ecdf_gap(side, key, x, "_ref").select(key, F.col("wasserstein").alias("wd_train_test"))
+    few = rows.filter(F.col("_n") >= LEAST_SERIES).select(key).distinct().count() < LEAST_SERIES_COUNT
+    cross = pooled_gap(rows.filter((F.col("_n") >= LEAST_SERIES) & F.lit(not few)).withColumn("_r", F.col(x) / (F.col("_mean") + 1e-10)), key, "_r").withColumnRenamed("distance", "wd_cross_barrio")
+    full = (F.col("_n") >= 2 * WINDOW + 1) & (F.col("_i") >= 2 * WINDOW)
+    before, now = w.rowsBetween(-2 * WINDOW, -WINDOW - 1), w.rowsBetween(-WINDOW, 0)
+    parts = rows.withColumns({f"_b_{c}": F.collect_list(c).over(before) for c in cols} | {f"_a_{c}": F.collect_list(c).over(now) for c in cols} | {f"_s_{c}": F.stddev_pop(c).over(before) + 1e-10 for c in cols})
+    gap = {c: gap_of(F.col(f"_b_{c}"), F.col(f"_a_{c}"), WINDOW, WINDOW + 1) for c in cols}
+    multi = sum((gap[c] / F.col(f"_s_{c}") for c in others), F.lit(0.0)) / len(others)
+    base = parts.select(key, t, "_mean", F.when(full, gap[x]).otherwise(0.0).alias("wd_temporal"), F.when(full, multi).otherwise(0.0).alias("wd_multivariate"))
+    base = base.withColumns({f"{c}_zscore": _z(c, F.avg(c).over(whole), F.stddev_samp(c).over(whole), 1e-10) for c in ("wd_temporal", "wd_multivariate")})
+    for frame, c, z in ((shift, "wd_train_test", "shift_zscore"), (cross, "wd_cross_barrio", "cross_barrio_zscore")):
+        frame = written(frame)
+        stats = frame.agg(F.avg(c).alias("_m"), F.stddev_samp(c).alias("_d"))
+        scored = frame.crossJoin(F.broadcast(stats)).select(key, c, _z(c, F.col("_m"), F.col("_d"), None).alias(z))  # one row
+        base = base.join(scored, key, "left").fillna({c: 0.0, z: 0.0})
+    raw = sum((weight * F.abs(F.col(c)) for c, weight in WD_WEIGHTS.items()), F.lit(0.0))
+    base = base.withColumn("wasserstein_score", 1 / (1 + F.exp(-WD_SLOPE * (raw - WD_MIDDLE))))
+    pct = F.when(F.abs("_mean") > 1e-10, F.col("wd_train_test") / F.col("_mean") * 100).otherwise(0.0)
+    return base.select(key, t, "wasserstein_score", (F.col("wasserstein_score") > WD_LIMIT).alias("is_anomaly_wasserstein"), pct.alias("distribution_shift_pct"), "wd_temporal", "wd_cross_barrio", "wd_multivariate", "wd_train_test")

@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from aforo.operators import attribution, causal, conformal, evidence, flows, learned, networks, resampling, spectra, survival
 from aforo.operators import ensemble as e
+from aforo.operators import monthly as m
+from aforo.operators import statistics as st
 from aforo.operators.ranges import written
 from aforo.plans.ensemble import _CONF, _CONS, _P0, _VOTE, FLAGS, KEYS, RESULTS, WEIGHTS, pseudo, results
 from aforo.plans.flows import _DAILY, rounded, rounded_sql
 from aforo.plans.learned import FEATURES, monthly_features
+from aforo.plans.monthly import _YOY
 from aforo.plans.spatial import _edges
-from aforo.sources.adapters import CENSUS, HOUSEHOLD, METERS, census, household_hourly, meters, table
+from aforo.sources.adapters import CENSUS, HOUSEHOLD, METERS, PANEL, census, household_hourly, meters, panel, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -254,3 +257,38 @@ drawn AS (SELECT s.evidence, s.round, rank() OVER (PARTITION BY s.evidence, s.ro
   FROM slots s JOIN rr ON rr.evidence = s.evidence AND rr.i = s.i),
 ci AS (SELECT evidence, quantile_cont(c, 0.025) AS ci_low, quantile_cont(c, 0.975) AS ci_high FROM (SELECT evidence, round, corr(rx, ry) AS c FROM drawn GROUP BY 1, 2) WHERE c IS NOT NULL AND NOT isnan(c) GROUP BY 1)""",
      "SELECT * FROM real JOIN pv USING (evidence) JOIN ci USING (evidence)", ["evidence"], _EV))
+
+_WD = {"wasserstein_score": 5, "is_anomaly_wasserstein": 0, "distribution_shift_pct": 4, "wd_temporal": 3, "wd_cross_barrio": 6, "wd_multivariate": 1, "wd_train_test": 3}
+
+
+def distances(s, sf):
+    return st.wasserstein_detection(m.yoy_ratio(panel(s, sf)), "barrio_key", "fecha", "consumo", ["consumo", "cpc", "yoy_ratio"])
+
+
+def _gap_sql(c: str) -> str:
+    return f"list_sum(list_transform(range(0, 42), lambda k: abs(list_sort(b_{c})[k // 7 + 1] - list_sort(a_{c})[k // 6 + 1]))) / 42"
+
+
+_q("m15_wasserstein_detection", lambda s, sf: rounded(distances(s, sf), KEYS, _WD),
+   rounded_sql(f"""{PANEL}, yoy AS (SELECT * FROM ({_YOY.replace('$p', 'panel')})),
+rows AS (SELECT barrio_key, fecha, consumo, cpc, yoy_ratio, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY barrio_key) AS n, avg(consumo) OVER (PARTITION BY barrio_key) AS mean,
+  {', '.join(f"list({c}) OVER (PARTITION BY barrio_key ORDER BY fecha ROWS BETWEEN 12 PRECEDING AND 7 PRECEDING) AS b_{c}, list({c}) OVER (PARTITION BY barrio_key ORDER BY fecha ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS a_{c}, stddev_pop({c}) OVER (PARTITION BY barrio_key ORDER BY fecha ROWS BETWEEN 12 PRECEDING AND 7 PRECEDING) + 1e-10 AS s_{c}" for c in ("consumo", "cpc", "yoy_ratio"))}
+  FROM yoy WINDOW w AS (PARTITION BY barrio_key ORDER BY fecha)),
+sides AS (SELECT barrio_key, consumo AS x, (count(*) FILTER (i < greatest(3, floor(n * 0.6))))::DOUBLE AS a, (count(*) FILTER (i >= greatest(3, floor(n * 0.6))))::DOUBLE AS b FROM rows WHERE n >= 6 GROUP BY 1, 2),
+gaps AS (SELECT barrio_key, abs(sum(a) OVER u / sum(a) OVER (PARTITION BY barrio_key) - sum(b) OVER u / sum(b) OVER (PARTITION BY barrio_key)) * (lead(x) OVER (PARTITION BY barrio_key ORDER BY x) - x) AS g
+  FROM sides WINDOW u AS (PARTITION BY barrio_key ORDER BY x ROWS UNBOUNDED PRECEDING)),
+shift AS (SELECT barrio_key, sum(g) AS wd FROM gaps GROUP BY 1),
+norm AS (SELECT barrio_key, consumo / (mean + 1e-10) AS x FROM rows WHERE n >= 6),
+pool AS (SELECT x, count(*)::DOUBLE AS c FROM norm GROUP BY 1), keys AS (SELECT DISTINCT barrio_key FROM norm), mine AS (SELECT barrio_key, x, count(*)::DOUBLE AS c FROM norm GROUP BY 1, 2),
+grid AS (SELECT k.barrio_key, p.x, p.c AS c, coalesce(o.c, 0) AS o FROM keys k CROSS JOIN pool p LEFT JOIN mine o ON o.barrio_key = k.barrio_key AND o.x = p.x),
+steps AS (SELECT barrio_key, abs(sum(o) OVER u / sum(o) OVER (PARTITION BY barrio_key) - sum(c) OVER u / sum(c) OVER (PARTITION BY barrio_key)) * (lead(x) OVER (PARTITION BY barrio_key ORDER BY x) - x) AS g
+  FROM grid WINDOW u AS (PARTITION BY barrio_key ORDER BY x ROWS UNBOUNDED PRECEDING)),
+crossed AS (SELECT barrio_key, sum(g) AS wd FROM steps GROUP BY 1),
+base AS (SELECT barrio_key, fecha, mean, CASE WHEN n >= 13 AND i >= 12 THEN {_gap_sql("consumo")} ELSE 0 END AS wd_temporal,
+  CASE WHEN n >= 13 AND i >= 12 THEN ({' + '.join(f"{_gap_sql(c)} / s_{c}" for c in ("consumo", "cpc", "yoy_ratio"))}) / 3 ELSE 0 END AS wd_multivariate FROM rows),
+zs AS (SELECT *, {', '.join(f"CASE WHEN stddev_samp({c}) OVER (PARTITION BY barrio_key) > 1e-10 THEN ({c} - avg({c}) OVER (PARTITION BY barrio_key)) / stddev_samp({c}) OVER (PARTITION BY barrio_key) ELSE 0 END AS {c}_z" for c in ("wd_temporal", "wd_multivariate"))} FROM base),
+sz AS (SELECT barrio_key, wd AS wd_train_test, (wd - avg(wd) OVER ()) / (coalesce(stddev_samp(wd) OVER (), 0) + 1e-10) AS shift_z FROM shift),
+cz AS (SELECT barrio_key, wd AS wd_cross_barrio, (wd - avg(wd) OVER ()) / (coalesce(stddev_samp(wd) OVER (), 0) + 1e-10) AS cross_z FROM crossed),
+al AS (SELECT zs.*, coalesce(wd_train_test, 0) AS wd_train_test, coalesce(shift_z, 0) AS shift_z, coalesce(wd_cross_barrio, 0) AS wd_cross_barrio, coalesce(cross_z, 0) AS cross_z FROM zs LEFT JOIN sz USING (barrio_key) LEFT JOIN cz USING (barrio_key)),
+sc AS (SELECT *, 1 / (1 + exp(-0.8 * (0.40 * abs(wd_temporal_z) + 0.25 * abs(shift_z) + 0.20 * abs(cross_z) + 0.15 * abs(wd_multivariate_z) - 2.0))) AS wasserstein_score FROM al)""",
+     "SELECT *, wasserstein_score > 0.55 AS is_anomaly_wasserstein, CASE WHEN abs(mean) > 1e-10 THEN wd_train_test / mean * 100 ELSE 0 END AS distribution_shift_pct FROM sc", KEYS, _WD))

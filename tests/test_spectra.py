@@ -186,3 +186,42 @@ def test_shapes_errors_and_clusters(spark):
     assert [(r.cluster_id, r.n, int(np.argmax(r.centre))) for r in centres.orderBy("cluster_id").collect()] == [(0, 15, 7), (1, 10, 13), (2, 5, 20)]
     assert [c.count() for c in spectra.clusters(spectra.mean_shapes(shapes.filter("k < 2"), "k"), "k")] == [2, 1]
     assert [c.count() for c in spectra.clusters(spectra.mean_shapes(shapes.limit(0), "k"), "k")] == [0, 0]
+
+
+# M15
+
+
+def plain_gap(a, b):
+    grid = np.sort(np.concatenate([a, b]))
+    f, g = (np.searchsorted(np.sort(v), grid, side="right") / len(v) for v in (a, b))
+    return float((np.abs(f - g)[:-1] * np.diff(grid)).sum())
+
+
+def test_wasserstein_equals_plain_distances(spark):
+    rnd = np.random.default_rng(9)
+    series = {f"k{k}": (rnd.random(n) * 10 + k + 5, rnd.random(n) + 1) for k, n in enumerate([30, 30, 14, 9, 6, 3])}
+    series["k0"][0][20:] += 15
+    series["k1"][0][:4] = series["k1"][0][4]  # ties
+    rows = [(k, i, float(x), float(y)) for k, (a, b) in series.items() for i, (x, y) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(rows, "k string, t int, x double, y double").repartition(3)
+    norm = {k: a / (a.mean() + 1e-10) for k, (a, _) in series.items() if len(a) >= 6}
+    pool = np.concatenate(list(norm.values()))
+    from aforo.operators import statistics as st
+
+    flat = spark.createDataFrame([(k, float(v)) for k, vs in norm.items() for v in vs], "k string, v double")
+    assert {r.k: round(r.distance, 9) for r in st.pooled_gap(flat, "k", "v").collect()} == {k: round(plain_gap(v, pool), 9) for k, v in norm.items()}
+    got = {(r.k, r.t): r for r in st.wasserstein_detection(df, "k", "t", "x", ["x", "y"]).collect()}
+    assert len(got) == len(rows)
+    shift = {k: plain_gap(a[: max(3, int(len(a) * 0.6))], a[max(3, int(len(a) * 0.6)) :]) for k, (a, _) in series.items() if len(a) >= 6}
+    cross = {k: plain_gap(v, pool) for k, v in norm.items()}
+    sz, cz = ({k: (v - np.mean(list(d.values()))) / (np.std(list(d.values()), ddof=1) + 1e-10) for k, v in d.items()} for d in (shift, cross))
+    for k, (a, b) in series.items():
+        temporal = [plain_gap(a[i - 12 : i - 6], a[i - 6 : i + 1]) if len(a) >= 13 and i >= 12 else 0.0 for i in range(len(a))]
+        multi = [np.mean([plain_gap(v[i - 12 : i - 6], v[i - 6 : i + 1]) / (v[i - 12 : i - 6].std() + 1e-10) for v in (a, b)]) if len(a) >= 13 and i >= 12 else 0.0 for i in range(len(a))]
+        z = [(np.array(v) - np.mean(v)) / np.std(v, ddof=1) if np.std(v, ddof=1) > 1e-10 else np.zeros(len(v)) for v in (temporal, multi)]
+        for i in range(len(a)):
+            r = got[k, i]
+            raw = 0.4 * abs(z[0][i]) + 0.25 * abs(sz.get(k, 0)) + 0.2 * abs(cz.get(k, 0)) + 0.15 * abs(z[1][i])
+            want = 1 / (1 + np.exp(-0.8 * (raw - 2)))
+            assert (r.wd_temporal, r.wd_multivariate, r.wasserstein_score) == pytest.approx((temporal[i], multi[i], want)) and r.is_anomaly_wasserstein == (want > 0.55)
+            assert (r.wd_train_test, r.wd_cross_barrio) == pytest.approx((shift.get(k, 0), cross.get(k, 0)), abs=1e-12)
