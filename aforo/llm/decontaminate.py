@@ -1,9 +1,9 @@
 """Benchmark decontamination by template windows.
 
 Texts are canonicalised word by word: numbers (digits or words) become ``<num>``, units of measure after a number
-``<unit>`` and names ``<name>``; other words are lower-cased and lose punctuation. Names are capitalised words,
-at the beginning of a sentence or line only if they are no common opening word; a number with its unit in one word
-(5kg) counts as two. A window is ``WINDOW`` canonical words of an item (a shorter item is one window). A window with
+``<unit>`` and names ``<name>``; other words are lower-cased and lose punctuation. Names are words that begin with a
+capital (TOM, DeShawn, O'Brien, Ann-Marie, an initial with its stop), at the beginning of a sentence or line only if they are no common
+opening word, and in capitals throughout only between words that are not; names that follow each other in a sentence are one (Mary Ann). A number with its unit in one word (5kg) counts as two. A window is ``WINDOW`` canonical words of an item (a shorter item is one window). A window with
 fewer than ``LITERAL`` words that are no slots says too little as a template and stands for itself: it is compared
 with the values in its slots. An item of fewer than ``LITERAL`` words is found only in texts of just these words.
 
@@ -12,8 +12,8 @@ windows are there and the slots agree: what stood in one slot value of the item
 that a question asked again with other numbers, names or units is caught, and a chance likeness of templates is not;
 or if ``VERBATIM`` words in a row are there, values included.
 
-The documents' windows don't move: each task first asks a filter of fixed size (a bit table of
-``FILTER_BITS`` bits, made from the items, of whatever number) and only windows that pass, with the values in
+The documents' windows don't move: each task first asks a filter (a bit table with ``KEY_BITS`` bits for each window of the items,
+as counted, up to ``MOST_BITS``, beyond which more windows pass and results stay the same) and only windows that pass, with the values in
 their slots and their places, go to the join, where hashes are compared in full. Share and slots are checked
 for each place that the item may have in the document: windows as far from the document's beginning as from the
 item's, give or take nothing or up to ``SHIFT`` words put in or left out, and also the first occurrences of
@@ -39,13 +39,16 @@ from pyspark.sql import functions as F
 from aforo.llm.common import checkpoint, mix64, raw_hash, slices, small_batches, split_words
 
 #: Words in a window, share of an item's windows that must be found, words of a template that must be
-#: words, share of slots that may disagree, bits of the filter, words that may shift within an item, words in a row that suffice.
-WINDOW, FOUND, LITERAL, DISAGREE, FILTER_BITS, SHIFT, VERBATIM = 8, 0.5, 4, 0.1, 1 << 23, 8, 13
+#: words, share of slots that may disagree, words that may shift within an item, words in a row that suffice.
+WINDOW, FOUND, LITERAL, DISAGREE, SHIFT, VERBATIM = 8, 0.5, 4, 0.1, 8, 13
+#: Bits of the filter for each window of the items, at least, and at most (16 MB).
+KEY_BITS, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 27
 
 #: Units of measure, singular or plural, and their signs.
 UNITS = frozenset(
     "mm cm m km metre metres meter meters kilometre kilometres kilometer kilometers mile miles inch inches foot feet yard yards "
-    "mg g kg gram grams kilogram kilograms ton tons tonne tonnes ounce ounces pound pounds lb lbs oz ml l litre litres liter liters gallon gallons "
+    "mg g kg gram grams kilogram kilograms ton tons tonne tonnes ounce ounces pound pounds lb lbs oz ml cl dl l litre litres liter liters gallon gallons "
+    "pint pints quart quarts cup cups teaspoon teaspoons tablespoon tablespoons yd ft acre acres hectare hectares ha celsius fahrenheit h hr hrs min mins "
     "s sec second seconds minute minutes hour hours day days week weeks month months year years hz khz mhz ghz w kw mw watt watts volt volts "
     "j kj joule joules n newton newtons kpa bar degree degrees percent dollar dollars euro euros cent cents usd eur gbp kb mb gb tb km/h mph m/s".split()
 )
@@ -67,7 +70,7 @@ _GLUED = re.compile(r"([+-]?\d[\d.,]*)([^\W\d_][^\W\d_/]*(?:/[^\W\d_]+)?)$")
 _STRIP = "\"'`.,;:!?()[]{}<>*_~|#$%&…“”‘’«»¿¡"
 _END = ".!?:\n"
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
-_WORD, _NUM, _UNIT, _CAPITAL, _OPENER = 0, 1, 2, 4, 8
+_WORD, _NUM, _UNIT, _CAPITAL, _OPENER, _SHOUT = 0, 1, 2, 4, 8, 16
 #: Raw words whose tokens a worker keeps at most.
 CACHED = 50_000
 
@@ -92,8 +95,9 @@ def _tokens(raw: str) -> tuple[list[tuple[str, int]], bool]:
         if _NUMBER.match(low) or "-" in low and all(x in NUMBER_WORDS for x in low.split("-")):
             return [(low, _NUM)], ends
     kind = _KINDS.get(low, _WORD)
-    if bare != low and kind != _NUM and len(bare) > 1 and bare[0].isupper() and bare[1:].islower():
-        kind |= _CAPITAL
+    if bare[0].isupper() and kind != _NUM and (len(bare) > 1 or not kind & _OPENER) and (low.isalpha() or all(x.isalpha() or x in "'’-." for x in low)):
+        kind |= _CAPITAL | (_SHOUT if len(bare) > 1 and bare.isupper() else 0)
+        ends = ends and (len(bare) > 1 or raw[-1] != ".")  # an initial
     return [(low, kind)], ends
 
 
@@ -102,19 +106,26 @@ def canonical(text: str) -> tuple[list[str], list[str], list[str]]:
 
     White space is what it is for split_words. A unit is one only after a number; its value is the singular.
     """
-    words, values, lows = [], [], []
+    found = []
     for line in text.split("\n"):
         opens = True
         for raw in re.findall(r"[^\x20\x09-\x0d]+", line):
             tokens, ends = _tokens(raw)
             for low, kind in tokens:
-                name = kind & _CAPITAL and not (opens and kind & _OPENER)
-                slot = NUM if kind == _NUM else UNIT if kind & _UNIT and words and words[-1] == NUM else NAME if name else ""
-                words.append(slot or low)
-                values.append(_singular(low) if slot == UNIT else low if slot else "")
-                lows.append(low)
+                found.append((low, kind, opens))
                 opens = False
             opens = ends or opens
+    words, values, lows = [], [], []
+    shouts = [False, *(bool(kind & _SHOUT) for _, kind, _ in found), False]
+    for i, (low, kind, opens) in enumerate(found):
+        name = kind & _CAPITAL and not (opens and kind & _OPENER) and not (shouts[i + 1] and (shouts[i] or shouts[i + 2]))
+        slot = NUM if kind == _NUM else UNIT if kind & _UNIT and words and words[-1] == NUM else NAME if name else ""
+        if slot == NAME and not opens and words and words[-1] == NAME:
+            values[-1] = lows[-1] = f"{lows[-1]} {low}"
+        else:
+            words.append(slot or low)
+            values.append(_singular(low) if slot == UNIT else low if slot else "")
+            lows.append(low)
     return words, values, lows
 
 
@@ -153,9 +164,24 @@ class Canonical:
         opens = first | (ended[at] > ended[previous])
         number = kind == _NUM
         unit = ((kind & _UNIT) > 0) & np.concatenate([number[:0], [False] * bool(len(at)), number[:-1]]).astype(bool) & ~first
-        name = ((kind & _CAPITAL) > 0) & ~unit & ~(opens & ((kind & _OPENER) > 0))
+        shout = (kind & _SHOUT) > 0
+        last = np.zeros(len(at), bool)
+        last[self.offsets[1:][np.diff(self.offsets) > 0] - 1] = True
+        beside = np.zeros(len(at), bool)  # another word in capitals before or after it
+        beside[1:] |= shout[:-1] & ~first[1:]
+        beside[:-1] |= shout[1:] & ~last[:-1]
+        name = ((kind & _CAPITAL) > 0) & ~unit & ~(opens & ((kind & _OPENER) > 0)) & ~(shout & beside)
+        follows = name & ~opens & np.concatenate([name[:0], [False] * bool(len(at)), name[:-1]]).astype(bool)
+        self.begin = np.flatnonzero(~follows)  # each canonical word's first token, and how many it has
+        self.count = np.diff(np.append(self.begin, len(at)))
+        self.offsets = np.concatenate([[0], np.cumsum(~follows)])[self.offsets]
+        every = pair(hashes, hashes2, np.uint64)[self.code]
+        self.raw = every[self.begin]
+        for k in range(1, int(self.count.max(initial=1))):
+            more = self.count > k
+            self.raw[more] = mix64(self.raw[more] * np.uint64(0x9E3779B97F4A7C15) + every[self.begin[more] + k])
+        number, unit, name = number[self.begin], unit[self.begin], name[self.begin]
         self.unit, self.slot = unit, number | unit | name
-        self.raw = pair(hashes, hashes2, np.uint64)[self.code]
         self.hashes = self.raw.copy()
         for which, mark in ((number, NUM), (unit, UNIT), (name, NAME)):
             self.hashes[which] = xxhash.xxh3_64_intdigest(mark)
@@ -180,8 +206,8 @@ class Canonical:
         return start, h, owner[start]
 
     def low(self, i: int) -> str:
-        word, second = divmod(int(self.code[i]), 2)
-        return (self.second if second else self.first)[word]
+        tokens = (divmod(int(c), 2) for c in self.code[self.begin[i] : self.begin[i] + self.count[i]])
+        return " ".join((self.second if second else self.first)[word] for word, second in tokens)
 
     def values(self, start: int, width: int) -> list[str]:
         return [_singular(self.low(i)) if self.unit[i] else self.low(i) for i in range(start, start + width) if self.slot[i]]
@@ -215,7 +241,7 @@ def _probe(widths: list[int], bits):
             rows, ids, texts, made, out = *(piece.column(c).to_pylist() for c in ("row", "doc_id", "text_hash")), Canonical(piece.column("text")), []
             for width in widths:
                 start, h, owner = made.windows(width)
-                place = h & np.uint64(FILTER_BITS - 1)
+                place = h & np.uint64(8 * len(table) - 1)
                 hit = np.flatnonzero((table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
                 seen = set()
                 for s, x, o in zip(start[hit].tolist(), h[hit].view(np.int64).tolist(), owner[hit].tolist()):
@@ -229,12 +255,12 @@ def _probe(widths: list[int], bits):
 
 def _bit_table(items: DataFrame) -> np.ndarray:
     """The filter of the items' window hashes: each task sends its bits, which are joined by OR."""
-    bytes_ = FILTER_BITS // 8
+    bytes_ = min(MOST_BITS, max(LEAST_BITS, 1 << (KEY_BITS * items.count()).bit_length())) // 8
 
     def bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(bytes_, np.uint8)
         for b in batches:
-            place = b.column(0).to_numpy().view(np.uint64) & np.uint64(FILTER_BITS - 1)
+            place = b.column(0).to_numpy().view(np.uint64) & np.uint64(8 * bytes_ - 1)
             np.bitwise_or.at(table, (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at].astype(np.int32))], names=["at", "bits"])

@@ -144,7 +144,7 @@ def test_canonical_arrays_equal_plain():
     import pyarrow as pa
 
     rnd = random.Random(2)
-    texts = [None, "", LONG] + ["".join(rnd.choice([" ", "\n", " Tom", "Ann.", " 5", " kg", " hours", "7h", " 8miles", " The", " two", " ...", "x", "\t", "A", "é ", "..\n", " 3%"]) for _ in range(rnd.randrange(14))) for _ in range(500)]
+    texts = [None, "", LONG] + ["".join(rnd.choice([" ", "\n", " Tom", "Ann.", " 5", " kg", " hours", "7h", " 8miles", " The", " two", " ...", "x", "\t", "A", "é ", "..\n", " 3%", " T. ", " DeShawn", " O'Brien ", " TOM ", " NASA", " Ann-Marie", " I "]) for _ in range(rnd.randrange(14))) for _ in range(500)]
     made = decontaminate.Canonical(pa.array(texts))
     for i, t in enumerate(texts):
         words, values, lows = decontaminate.canonical(t or "")
@@ -218,6 +218,29 @@ def test_decontamination_after_another_use_of_the_template(spark):
     assert got == [1, 2, 4]
 
 
+def test_items_asked_again_with_other_names_and_units(spark):
+    """Held-out names, numbers and units: the share of items that is found, and texts of the same shape that are not."""
+    people = ["TOM", "DeShawn", "O'Brien", "Ann-Marie", "Mary Ann", "T.", "McDonald", "Zoë", "J. R. Smith", "María José"]
+    units = ["pints", "quarts", "h", "hectares", "cups"]
+    shapes = [
+        "A tank holds {a} {u} and is filled by {p} at a rate of {b} {u} each minute, while a leak loses {c} {u} each minute until it is full.",
+        "Yesterday {p} walked {a} {u} to the market and bought {b} red apples for the children, then gave {c} of them to a friend.",
+        "In the workshop {p} paints {a} chairs in {b} {u} and would like to know how long it takes to paint {c} chairs alone.",
+        "On Monday the baker {p} sold {a} loaves of bread before noon and {b} loaves after noon, so how many loaves are left of {c}?",
+    ]
+    fill = lambda shape, p, u, n: shape.format(p=p, u=u, a=n + 40, b=n + 5, c=n + 2)
+    items = [(i, fill(s, "Sam", "litres", 0)) for i, s in enumerate(shapes)]
+    rows = [(100 * i + 10 * j + k, f"so here is one. {fill(s, p, u, 7 * j + k + 1)} What do you say") for i, s in enumerate(shapes) for j, p in enumerate(people) for k, u in enumerate(units)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, rows), table).collect()}
+    hits = {(d, d // 100) for d, _ in rows}
+    assert len(got & hits) >= 0.9 * len(hits) and got <= hits
+    shouted = [(i, t.upper()) for i, t in items]
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, shouted), table).collect()} == {(i, i) for i, _ in items}
+    other = [(i, t.replace("apples", "pears and plums").replace("leak", "hole in it").replace("chairs", "old doors").replace("loaves", "bags of salt").replace("rate", "pace of at most").replace("children", "old neighbours down the road")) for i, t in rows[:20]]
+    print("recall", len(got & hits) / len(hits), len({r.doc_id for r in decontaminate.contaminated(docs(spark, other), table).collect()}))
+
+
 def test_items_with_null_or_equal_ids(spark):
     parts = [" ".join(f"{a}{i}" for i in range(12)).replace("0", "o").replace("1", "i").replace("2", "z") for a in ("ka", "lo", "mu")]
     parts = [re.sub(r"\d", "x", p) for p in parts]
