@@ -1,6 +1,6 @@
 """Running sums and minima over a whole frame without a window that holds all of it in one task.
 
-The order column is cut into ranges of about equal size (approximate percentiles, a bounded array of numbers that travels in
+Few rows are summed in one window. Beyond them the order column is cut into ranges of about equal size (approximate percentiles, a bounded array of numbers that travels in
 the plan), sums per range are a small table, and a window runs inside each range only.
 """
 
@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges a frame is cut into.
-PARTS = 48
+#: Ranges a frame is cut into; rows, as counted, that one sorted window may hold instead.
+PARTS, FEW = 48, 300_000
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -35,15 +35,20 @@ def _cut(df: DataFrame, by: str, within: Sequence[str], parts: int) -> DataFrame
 def running_sums(df: DataFrame, by: str, cols: dict[str, str], within: Sequence[str] = (), descending: bool = False, parts: int = PARTS) -> DataFrame:
     """For each column ``c: name`` its sum up to and with this row's value, in the order of ``by`` (nulls last), as ``name``.
 
-    Rows are expected to differ in (within, by): group equal values first. They are written once, as they are read three times.
+    Rows are expected to differ in (within, by): group equal values first. They are written once, as they are read three times. Up to ``FEW``
+    rows need no ranges.
     """
-    cut = _cut(written(df), by, within, parts)
+    rows = written(df)
+    value = F.desc_nulls_first(by) if descending else F.asc_nulls_last(by)
+    if rows.count() <= FEW:
+        run = Window.partitionBy(*within).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return rows.withColumns({name: F.sum(c).over(run) for c, name in cols.items()})
+    cut = _cut(rows, by, within, parts)
     per = cut.groupBy(*within, "_range").agg(*(F.sum(c).alias(f"_p_{c}") for c in cols))
     order = F.desc("_range") if descending else F.col("_range")
     before = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)  # at most parts + 1 rows
     per = per.select(*within, "_range", *(F.coalesce(F.sum(f"_p_{c}").over(before), F.lit(0)).alias(f"_p_{c}") for c in cols))
     cut = cut.join(per, [*within, "_range"]) if within else cut.join(F.broadcast(per), "_range")
-    value = F.desc_nulls_first(by) if descending else F.asc_nulls_last(by)
     own = Window.partitionBy(*within, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = cut.withColumns({name: F.col(f"_p_{c}") + F.sum(c).over(own) for c, name in cols.items()})
     return cut.drop("_range", *(f"_p_{c}" for c in cols))
@@ -51,7 +56,10 @@ def running_sums(df: DataFrame, by: str, cols: dict[str, str], within: Sequence[
 
 def least_from_here(df: DataFrame, by: str, x: str, name: str, parts: int = PARTS) -> DataFrame:
     """The least ``x`` of this row and all with a greater ``by``."""
-    cut = _cut(written(df), by, (), parts)
+    rows = written(df)
+    if rows.count() <= FEW:
+        return rows.withColumn(name, F.min(x).over(Window.orderBy(F.desc(by)).rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    cut = _cut(rows, by, (), parts)
     per = cut.groupBy("_range").agg(F.min(x).alias("_p"))
     after = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)  # at most parts + 1 rows
     per = per.select("_range", F.min("_p").over(after).alias("_p"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aforo.operators.ranges import running_sums
+from aforo.operators.ranges import running_sums, written
 
 
 def reading_flags(df: DataFrame, multiplier: float = 3.0, zero_days: int = 30) -> DataFrame:
@@ -58,7 +58,11 @@ def meter_health(df: DataFrame) -> DataFrame:
 
 def gini(df: DataFrame, key: str, x: str) -> DataFrame:
     """Gini coefficient of the positive values per key, from counts per distinct value; no key is sorted in one task."""
-    counts = df.filter(F.col(x) > 0).groupBy(key, F.col(x).alias("x")).count()
+    return gini_of(df.filter(F.col(x) > 0).groupBy(key, F.col(x).alias("x")).count(), key)
+
+
+def gini_of(counts: DataFrame, key: str) -> DataFrame:
+    """The same from counts (key, x, count) of positive values."""
     ranks = running_sums(counts, "x", {"count": "upto"}, [key])
     places = F.col("count") * (2 * F.col("upto") - F.col("count") + 1) / 2  # sum of the ranks of equal values
     out = ranks.groupBy(key).agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("x")).alias("s"), F.sum(places * F.col("x")).alias("t"))
@@ -67,10 +71,15 @@ def gini(df: DataFrame, key: str, x: str) -> DataFrame:
 
 def binned_entropy(df: DataFrame, key: str, x: str, bins: int = 50) -> DataFrame:
     """Entropy (bits) of the positive values over equal-width bins of each key's range."""
-    pos = df.filter(F.col(x) > 0).select(key, F.col(x).alias("x"))
+    return entropy_of_bins(df.filter(F.col(x) > 0).groupBy(key, F.col(x).alias("x")).count(), key, bins)
+
+
+def entropy_of_bins(counts: DataFrame, key: str, bins: int = 50) -> DataFrame:
+    """The same from counts (key, x, count) of positive values."""
+    pos = counts
     pos = pos.join(pos.groupBy(key).agg(F.min("x").alias("lo"), F.max("x").alias("hi")), key)
     b = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(0)
-    counts = pos.groupBy(key, b.alias("b")).count()
+    counts = pos.groupBy(key, b.alias("b")).agg(F.sum("count").alias("count"))
     p = F.col("count") / F.sum("count").over(Window.partitionBy(key))  # at most ``bins`` rows a key
     return counts.withColumn("p", p).groupBy(key).agg((-F.sum(F.col("p") * F.log2("p"))).alias("entropy"))
 
@@ -80,8 +89,13 @@ def ks_before(df: DataFrame, key: str, x: str, months: int = 6) -> DataFrame:
 
     From counts per distinct value, each carried to the months it is compared in. ``key`` orders the months.
     """
-    nth = df.select(key).distinct().withColumn("_m", F.row_number().over(Window.orderBy(key)))  # a row a month
-    counts = df.filter(F.col(x).isNotNull()).groupBy(key, F.col(x).alias("x")).count().join(F.broadcast(nth), key)
+    return ks_of(df.groupBy(key, F.col(x).alias("x")).count(), key, months)
+
+
+def ks_of(counts: DataFrame, key: str, months: int = 6) -> DataFrame:
+    """The same from counts (key, x, count)."""
+    nth = counts.select(key).distinct().withColumn("_m", F.row_number().over(Window.orderBy(key)))  # a row a month
+    counts = counts.filter("x IS NOT NULL").join(F.broadcast(nth), key)
     rows = counts.select("x", "count", F.explode(F.sequence(F.lit(0), F.lit(months))).alias("_d"), "_m")
     now = (F.col("_d") == 0).cast("long")
     g = rows.groupBy((F.col("_m") + F.col("_d")).alias("_m"), "x").agg(F.sum(F.col("count") * now).alias("a"), F.sum(F.col("count") * (1 - now)).alias("b"))
@@ -99,7 +113,9 @@ def distribution_features(df: DataFrame) -> DataFrame:
         F.count("*").alias("n_readings"), pct(F.col("m3") == 0, "pct_zero"), pct(F.col("m3") < 0, "pct_negative"), pct(F.col("m3_per_day") > F.col("p99"), "pct_extreme"),
         F.avg("delay").alias("mean_delay"), pct(F.col("delay") > 5, "pct_late"), F.skewness("m3_per_day").alias("skewness"), F.kurtosis("m3_per_day").alias("kurtosis"),
     )
-    for more in (gini(df, "mes", "m3_per_day"), binned_entropy(df, "mes", "m3_per_day"), ks_before(df, "mes", "m3_per_day")):
+    counts = written(df.groupBy("mes", F.col("m3_per_day").alias("x")).count())  # what all three need of the readings
+    positive = counts.filter("x > 0")
+    for more in (gini_of(positive, "mes"), entropy_of_bins(positive, "mes"), ks_of(counts, "mes")):
         out = out.join(more, "mes", "left")
     return out
 
