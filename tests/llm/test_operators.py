@@ -745,3 +745,27 @@ def test_shards(spark, real, empty, tmp_path):
     assert len(shards) == 7 and max(map(len, shards.values())) - min(map(len, shards.values())) <= 1
     assert all(sorted(s) == list(range(len(s))) for s in shards.values())
     assert sharding.shard_documents(empty, 3, f"{tmp_path}/c").count() == 0
+
+
+def test_shards_equal_plain_shuffles(spark, tmp_path):
+    """Buckets, their order, Fisher-Yates, slots and shards worked out row by row; a very long text counts into the buckets."""
+    rnd = random.Random(4)
+    rows = [(rnd.randrange(10**6), "w " * rnd.randrange(400)) for _ in range(300)] + [(7, None), (None, "x"), (8, "long " * 40_000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    size, seed, shards = 30_000, 5, 6
+    buckets = max(sharding.LEAST_BUCKETS, -(-sum(len((t or "").encode()) for _, t in rows) // size))
+    hashed = table.select("doc_id", "text", *(sharding.F.xxhash64(sharding.F.lit(seed + i), "doc_id", sharding.F.crc32(sharding.F.coalesce("text", sharding.F.lit("")).cast("binary"))).alias(f"h{i}") for i in (0, 1))).collect()
+    place = []
+    for b in range(buckets):
+        own = sorted((r for r in hashed if r.h0 % buckets == b), key=lambda r: (r.h1, r.doc_id is not None, r.doc_id or 0))
+        order, random_ = list(range(len(own))), np.random.Generator(np.random.PCG64([seed, b]))
+        picks = random_.integers(0, np.arange(len(own), 0, -1)) if own else []
+        for i, j in zip(range(len(own) - 1, 0, -1), picks):
+            order[i], order[j] = order[j], order[i]
+        place += [own[i] for i in order]
+    want = collections.Counter()
+    for at, r in enumerate(place):
+        shard = at * shards // len(rows)
+        want[r.doc_id, r.text, shard, at - min(k for k in range(len(rows)) if k * shards // len(rows) == shard)] += 1
+    got = sharding.shard_documents(table.repartition(3), shards, f"{tmp_path}/p", seed=seed, bucket_bytes=size)
+    assert collections.Counter((r.doc_id, r.text, r.shard, r.slot) for r in got.collect()) == want
