@@ -1,4 +1,4 @@
-"""Shapley values of isolation forests: how much each feature adds to a row's depth, and the three that add most."""
+"""What isolation forests look at: Shapley values of a row's depth, and what mixing up a feature changes."""
 
 from __future__ import annotations
 
@@ -7,10 +7,12 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aforo.operators.detectors import fit_forest, forest_pool
+from aforo.operators.detectors import fit_forest, forest_pool, forest_scores
+from aforo.operators.learned import robust
+from aforo.operators.ranges import spread, written
 
 
 def covered(tree, x: np.ndarray):
@@ -83,7 +85,7 @@ def explain_forest(df: DataFrame, key: list[str], features: list[str], trees: in
     depth less base), top_features (the ``top`` of largest share by size, ties in the order of ``features``), directions ("sube" adds depth).
 
     The forest is that of ``isolation_forest`` with the same seed; nodes are weighted by the bounded sample it was fitted on. Scoring is
-    Arrow-batched over the broadcast trees, without shuffle. Nulls count as 0, as in the detector's input.
+    Arrow-batched over the broadcast trees; rows are dealt out evenly, as each takes long. Nulls count as 0, as in the detector's input.
     """
     clean = df.select(*key, *(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features))
     pool = forest_pool(clean, key, features, trees, sample, seed)
@@ -105,4 +107,57 @@ def explain_forest(df: DataFrame, key: list[str], features: list[str], trees: in
                 )
 
     schema = clean.select(*key, F.lit(0.0).alias("depth"), F.lit(0.0).alias("base"), F.array(F.lit(0.0)).alias("shares"), F.array(F.lit("")).alias("top_features"), F.array(F.lit("")).alias("directions")).schema
-    return clean.mapInPandas(run, schema)
+    return spread(clean, *key).mapInPandas(run, schema)
+
+
+# Repeats, share of rows that are top, quartiles between the categories.
+REPEATS, TOP_SHARE, CATEGORIES = 10, 0.05, ((0.75, "CRITICAL"), (0.25, "LOW"))
+
+
+def _shuffled(h: np.ndarray, variant: int, n: int) -> np.ndarray:
+    """A row of the pool for each row and variant, by a hash of both."""
+    x = h.astype(np.uint64) + np.uint64(variant + 1) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) % np.uint64(n)).astype(np.int64)
+
+
+def permutation_importance(df: DataFrame, key: list[str], features: list[str], repeats: int = REPEATS, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
+    """Per feature: importance (mean Jaccard distance between the strangest rows and those when its values are mixed up), std, rank, category.
+
+    The strangest are the TOP_SHARE with the lowest isolation forest scores. A mixed-up value is one of the bounded sample the forest is fitted on,
+    drawn by a hash of row, feature and repeat, so that no column is sorted: each row is scored in all variants where it is read, and what is
+    shuffled are sketches of scores and counts a variant. The upper quarter by importance is CRITICAL, the lower one LOW.
+    """
+    clean = robust(df.select(*key, *features).withColumn("_all", F.lit(True)), features, "_all").drop("_all")
+    pool = forest_pool(clean, key, features, trees, sample, seed)
+    if not len(pool):
+        return df.sparkSession.createDataFrame([], "feature string, importance double, std double, rank int, category string")
+    forest, norm = fit_forest(pool, trees, sample, seed)
+    shared = df.sparkSession.sparkContext.broadcast((forest, norm, pool))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forest, norm, pool = shared.value
+        for b in batches:
+            x, h = b[features].to_numpy(float), b["_h"].to_numpy()
+            scores = [forest_scores(forest, norm, x)]
+            for j in range(len(features)):
+                for r in range(repeats):
+                    mixed = x.copy()
+                    mixed[:, j] = pool[_shuffled(h, j * repeats + r, len(pool)), j]
+                    scores.append(forest_scores(forest, norm, mixed))
+            yield pd.DataFrame({"base": np.round(scores[0], 12), "scores": list(np.round(np.stack(scores[1:], 1), 12))})
+
+    hashed = clean.withColumn("_h", F.xxhash64(F.lit(seed), *key)).select("_h", *features)
+    rows = written(spread(hashed, "_h").mapInPandas(run, "base double, scores array<double>"))
+    cut = lambda c: F.percentile_approx(c, F.lit(TOP_SHARE), F.lit(10_000))
+    each = rows.select("base", F.posexplode("scores").alias("v", "s"))
+    cuts = each.groupBy("v").agg(cut("s").alias("_s")).crossJoin(F.broadcast(rows.agg(cut("base").alias("_b"))))  # one row
+    each = each.join(F.broadcast(cuts), "v")  # a row a variant
+    top, now = F.col("base") <= F.col("_b"), F.col("s") <= F.col("_s")
+    g = each.groupBy("v").agg((1 - F.count_if(top & now) / (F.count_if(top | now) + 1e-10)).alias("d"))
+    per = g.groupBy((F.floor(F.col("v") / repeats)).cast("int").alias("j")).agg(F.avg("d").alias("importance"), F.stddev_pop("d").alias("std"))
+    cats = per.agg(*(F.percentile("importance", F.lit(q)).alias(f"_{name}") for q, name in CATEGORIES))  # a row a feature goes in
+    category = F.when(F.col("importance") <= F.col("_LOW"), "LOW").when(F.col("importance") >= F.col("_CRITICAL"), "CRITICAL").otherwise("MEDIUM")
+    out = per.crossJoin(F.broadcast(cats)).withColumns({"rank": F.row_number().over(Window.orderBy(F.desc("importance"), "j")), "category": category, "feature": F.array(*map(F.lit, features))[F.col("j")]})  # a row a feature
+    return out.select("feature", "importance", "std", "rank", "category")

@@ -266,6 +266,20 @@ def bocpd(df: DataFrame, key: str, t: str, x: str, hazard: float = 1 / 12, longe
     return df.select(key, t, x).groupBy(key).applyInPandas(run, df.select(key, t).withColumn("p_change", F.lit(0.0)).schema)
 
 
+#: Fixed value: the probability from which a change is one.
+CHANGE = 0.3
+
+
+def changepoints(df: DataFrame, key: str, t: str, x: str, hazard: float = 1 / 12) -> DataFrame:
+    """Rows where the CUSUM passes its limit or the Bayesian probability of a change is over CHANGE: key, t, p_change, by_cusum, by_probability."""
+    from aforo.operators.statistics import cusum
+
+    probable = bocpd(df, key, t, x, hazard)
+    passed = cusum(df, key, t, x).distinct().withColumn("by_cusum", F.lit(True))
+    both = probable.join(passed, [key, t], "left").withColumns({"by_cusum": F.coalesce("by_cusum", F.lit(False)), "by_probability": F.col("p_change") > CHANGE})
+    return both.filter("by_cusum OR by_probability")
+
+
 def household_changes(df: DataFrame, key: str, t: str, x: str, hours: int = 4, hazard: float = 1 / 168, apart: int = 12) -> DataFrame:
     """Per contract, on means of ``hours`` hours: change points (probability over 0.05, ``apart`` hours from the last), the greatest
     probability, the first change point, a score, and whether it is over the 85th percentile of all.

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aforo.operators.ranges import running_sums, written
+from aforo.operators.ranges import running_sums, spread, written
 from aforo.operators.resampling import draw
 
 # Rounds of permutation and of bootstrap, units and rounds at least, ranks compared, limits of stability and their names.
@@ -88,8 +88,7 @@ def external_validation(df: DataFrame, permutations: int = PERMUTATIONS, bootstr
     rows = rows.withColumns({"hx": F.row_number().over(w.orderBy(F.desc("x"), "unit")), "hy": F.row_number().over(w.orderBy(F.desc("y"), "unit"))})
     rows = written(rows.select("evidence", "unit", "x", "y", "r_x", "r_y", "i", "n", "k", "hx", "hy"))
     real = rows.groupBy("evidence").agg(F.corr("r_x", "r_y").alias("rho"), F.max("n").alias("n"), F.max("k").alias("k"), (F.count_if((F.col("hx") <= F.col("k")) & (F.col("hy") <= F.col("k"))) / F.max("k")).alias("hit_rate"))
-    many = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(many, "evidence", "unit")  # each row becomes ``permutations`` rows
+    dealt = spread(rows, "evidence", "unit")  # each row becomes ``permutations`` rows
     mixed = dealt.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
     mixed = mixed.withColumn("j", F.row_number().over(Window.partitionBy("evidence", "round").orderBy(draw(F.lit(seed), "evidence", "round", "unit"), "unit")))
     pairs = mixed.select("evidence", "round", "i", "r_x").join(mixed.select("evidence", "round", F.col("j").alias("i"), "r_y"), ["evidence", "round", "i"])

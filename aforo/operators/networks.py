@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aforo.operators.ranges import spread
+
 
 def graph_features(nodes: DataFrame, pipes: DataFrame) -> DataFrame:
     """Of each node, over its neighbours: number, weights, range of elevations, mean score, mean score by weight, mean score of
@@ -147,6 +149,6 @@ def betweenness(nodes: DataFrame, edges: DataFrame, most: int = MOST_EDGES) -> D
 
     ids = nodes.select("id").distinct()
     n = ids.count()
-    sums = ids.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id").mapInPandas(run, f"id {kind}, s double").groupBy("id").agg(F.sum("s").alias("s"))
+    sums = spread(ids, "id").mapInPandas(run, f"id {kind}, s double").groupBy("id").agg(F.sum("s").alias("s"))
     scale = (n - 1) * (n - 2) if n > 2 else 1
     return ids.join(sums, "id", "left").select("id", (F.coalesce("s", F.lit(0.0)) / scale).alias("betweenness"))

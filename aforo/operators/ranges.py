@@ -23,6 +23,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """``df`` dealt over as many partitions as the session shuffles to, also if it is small: for rows that take long each."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 def _cut(df: DataFrame, by: str, within: Sequence[str], parts: int) -> DataFrame:
     """With a column _range: how many of the cuts are below the value; nulls come after all."""
     shares = F.array(*(F.lit(i / parts) for i in range(1, parts)))

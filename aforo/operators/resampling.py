@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aforo.operators.ranges import spread
+
 #: Buckets of places in which draws and labels meet.
 BUCKETS = 64
 
@@ -31,7 +33,7 @@ def null_label_test(df: DataFrame, row: list[str], label: str, score: str, round
     p_value, p_spread, z_score; no row for fewer than ``top`` labels. df: a row a unit and month; row: its key.
     """
     rows = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
-    rows = rows.select(*row, label, score).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *row)  # each becomes ``rounds`` rows
+    rows = spread(rows.select(*row, label, score), *row)  # each becomes ``rounds`` rows
     counts = rows.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_c"), F.avg(score).alias("_mean"))
     w = Window.orderBy("_label")  # a row a label
     spans = counts.select("_label", (F.sum("_c").over(w) - F.col("_c")).alias("_low"), F.sum("_c").over(w).alias("_high"))

@@ -101,4 +101,5 @@ _q("m1_isolation_forest", lambda s, sf: d.isolation_forest(daily_features(househ
 _q("m13_pca_autoencoder", lambda s, sf: d.pca_errors(m.fourier(m.lags(panel(s, sf))), ["barrio_key", "fecha"], ["cpc", "lag_1", "lag_2", "rolling_mean_3", "rolling_std_3", "momentum"], 3))
 _q("m16_persistence", lambda s, sf: d.persistence_h0(panel(s, sf), "barrio_key", "fecha", "cpc"))
 _q("h4_bocpd", lambda s, sf: d.household_changes(household_hourly(s, sf), "contrato", "ts", "litros"))
+_q("m14_changepoints", lambda s, sf: d.changepoints(panel(s, sf), "barrio_key", "fecha", "cpc"))
 _q("m14_bocpd", lambda s, sf: d.bocpd(panel(s, sf), "barrio_key", "fecha", "cpc"))

@@ -9,7 +9,7 @@ from aforo.operators import monthly as m
 from aforo.operators import statistics as st
 from aforo.plans.flows import rounded, rounded_sql
 from aforo.plans.monthly import _MED, _SEAS
-from aforo.sources.adapters import CENSUS, METERS, READINGS, SECTOR, SPARSE, census, meters, panel, readings, sector_hourly, table
+from aforo.sources.adapters import CENSUS, METERS, PANEL, READINGS, SECTOR, SPARSE, census, meters, panel, readings, sector_hourly, table
 
 QUERIES, ORACLE_SQL = {}, {}
 FLAGS = ["is_anomaly_cross", "is_anomaly_season", "is_anomaly_dev", "is_anomaly_yoy"]
@@ -184,7 +184,17 @@ _q("w24_projection", lambda s, d: rounded(st.projection(e.consensus(results(s, d
       SELECT *, CASE WHEN current > 0 THEN (future - current) / current * 100 ELSE 0 END AS pct_change FROM (SELECT *, ic + trend * (n + 5) AS future, 6 * jc + sc * (6 * n + 15) AS future_total FROM (
         SELECT barrio_key, count(*) AS n, regr_slope(cpc, i) AS trend, regr_intercept(cpc, i) AS ic, regr_slope(consumo, i) AS sc, regr_intercept(consumo, i) AS jc, avg(cpc) FILTER (i >= nn - 3) AS current, avg(n_models_detecting) FILTER (i >= nn - 3) AS recent_rate
         FROM (SELECT *, CAST(row_number() OVER (PARTITION BY barrio_key ORDER BY fecha) - 1 AS DOUBLE) AS i, count(*) OVER (PARTITION BY barrio_key) AS nn FROM c) WHERE nn >= 6 GROUP BY 1)))""", ["barrio_key", "risk"], _PJ))
-QUERIES["m14_cusum"] = lambda s, d: st.cusum(panel(s, d), "barrio_key", "fecha", "cpc")
+_q("m14_cusum", lambda s, d: st.cusum(panel(s, d), "barrio_key", "fecha", "cpc"),
+   f"""WITH RECURSIVE {PANEL}, z AS (
+  SELECT barrio_key, fecha, row_number() OVER (PARTITION BY barrio_key ORDER BY fecha) AS i,
+    CASE WHEN stddev_pop(cpc) OVER k > 0 THEN (cpc - avg(cpc) OVER k) / stddev_pop(cpc) OVER k ELSE 0 END AS z FROM panel WINDOW k AS (PARTITION BY barrio_key)
+), c(barrio_key, fecha, i, u, d, hit) AS (
+  SELECT barrio_key, min(fecha), CAST(0 AS BIGINT), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), false FROM z GROUP BY 1
+  UNION ALL
+  SELECT barrio_key, fecha, i, CASE WHEN hit THEN 0 ELSE nu END, CASE WHEN hit THEN 0 ELSE nd END, hit FROM (
+    SELECT *, nu > 2.0 OR nd > 2.0 AS hit FROM (SELECT z.*, greatest(0, c.u + z.z - 0.5) AS nu, greatest(0, c.d - z.z - 0.5) AS nd FROM c JOIN z ON z.barrio_key = c.barrio_key AND z.i = c.i + 1))
+)
+SELECT barrio_key, fecha FROM c WHERE hit""")
 _q("w13_equal_width_bins", lambda s, d: st.equal_width_bins(table(s, d, "customer"), "c_acctbal", 3, "bin").groupBy("bin").agg(F.count("*").alias("n")),
    "SELECT bin, count(*) AS n FROM (SELECT CAST(least(greatest(ceil((c_acctbal - min(c_acctbal) OVER ()) / (max(c_acctbal) OVER () - min(c_acctbal) OVER ()) * 3) - 1, 0), 2) AS INTEGER) AS bin FROM customer) GROUP BY 1")
 _q("a10_vulnerability", lambda s, d: table(s, d, "customer").groupBy("c_nationkey").agg(F.avg((F.col("c_acctbal") < 0).cast("int")).alias("m"), F.count("*").alias("n"), F.avg((F.col("c_mktsegment") != "HOUSEHOLD").cast("int")).alias("h")).select("c_nationkey", F.round(0.5 * st.min_max("m") + 0.3 * st.min_max("n") + 0.2 * st.min_max("h"), 6).alias("vulnerability")),

@@ -33,6 +33,7 @@ def scored(s, sf):
 
 _q("e4_mahalanobis_conformal", lambda s, sf: conformal.expanding_conformal(monthly_features(s, sf), KEYS, "fecha", FEATURES))
 _q("e8_forest_attribution", lambda s, sf: attribution.explain_forest(monthly_features(s, sf), KEYS, FEATURES))
+_q("e7_permutation_importance", lambda s, sf: attribution.permutation_importance(monthly_features(s, sf), KEYS, FEATURES))
 
 
 def causal_units(s, sf):

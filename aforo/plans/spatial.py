@@ -116,7 +116,12 @@ _q("m18_steady_state", lambda s, d: rounded(n.steady_state(_nodes(s, d).withColu
    rounded_sql(f"{_ED}, {_ND}", "SELECT *, CASE WHEN pressure < 15 THEN 'LOW' WHEN pressure < 40 THEN 'MEDIUM' ELSE 'HIGH' END AS zone, supply < demand AS bottleneck FROM (SELECT id, demand, coalesce(head, 0) AS head, coalesce(supply, 0) AS supply, coalesce(head, 0) + CASE WHEN score > 4500 THEN 20 ELSE 0 END + CASE WHEN coalesce(np, 0) > 0 THEN 10 ELSE 0 END AS pressure FROM nd LEFT JOIN (SELECT dst AS id, max(src * 3.0 - dst * 3.0) AS head, sum(w) AS supply, max((score > 4500)::INT) AS np FROM ed JOIN nd n2 ON n2.id = src WHERE src > dst GROUP BY 1) f USING (id))", ["id", "zone"], {"head": 4, "supply": 4, "pressure": 4, "bottleneck": 0}))
 _q("c5_chains", lambda s, d: n.chains(_edges(s, d).withColumn("w", F.col("w") / F.max("w").over(Window.partitionBy())), 0.6).select(F.array_join("path", ">").alias("path"), F.round("strength", 6).alias("strength")),
    f"WITH {_ED}, e AS (SELECT * FROM (SELECT src, dst, w / max(w) OVER () AS w FROM ed) WHERE w >= 0.6) SELECT concat_ws('>', a.src, a.dst, b.dst) AS path, round(a.w * b.w, 6) AS strength FROM e a JOIN e b ON a.dst = b.src AND b.dst <> a.src UNION ALL SELECT concat_ws('>', a.src, a.dst, b.dst, c.dst), round(a.w * b.w * c.w, 6) FROM e a JOIN e b ON a.dst = b.src AND b.dst <> a.src JOIN e c ON b.dst = c.src AND c.dst <> a.src AND c.dst <> a.dst")
-_q("j13_fuzzy_match", lambda s, d: rounded(n.fuzzy_match(table(s, d, "part").select(F.col("p_type").alias("a")).distinct(), table(s, d, "part").select(F.col("p_brand").alias("b")).distinct().unionByName(table(s, d, "part").select(F.regexp_replace("p_type", " .*", " TYPE").alias("b")).distinct()), 0.2), ["a", "b"], {"score": 6}))
+_q("j13_fuzzy_match", lambda s, d: rounded(n.fuzzy_match(table(s, d, "part").select(F.col("p_type").alias("a")).distinct(), table(s, d, "part").select(F.col("p_brand").alias("b")).distinct().unionByName(table(s, d, "part").select(F.regexp_replace("p_type", " .*", " TYPE").alias("b")).distinct()), 0.2), ["a", "b"], {"score": 6}),
+   rounded_sql("""na AS (SELECT DISTINCT p_type AS a FROM part), nb AS (SELECT p_brand AS b FROM part UNION SELECT regexp_replace(p_type, ' .*', ' TYPE') FROM part),
+wa AS (SELECT a, list_distinct(string_split(trim(regexp_replace(upper(a), '[^A-Z0-9]+', ' ', 'g')), ' ')) AS wa FROM na), wb AS (SELECT b, list_distinct(string_split(trim(regexp_replace(upper(b), '[^A-Z0-9]+', ' ', 'g')), ' ')) AS wb FROM nb),
+sc AS (SELECT a, b, len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb))) + CASE WHEN contains(a, b) OR contains(b, a) THEN 0.3 ELSE 0 END AS score FROM wa JOIN wb ON len(list_intersect(wa, wb)) > 0),
+be AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS nth FROM sc WHERE score >= 0.2)""",
+     "SELECT na.a, be.b, be.score FROM na LEFT JOIN be ON be.a = na.a AND nth = 1", ["a", "b"], {"score": 6}))
 _q("src1_thousands", lambda s, d: table(s, d, "orders").select("o_orderkey", F.round(ps.thousands_comma(F.concat(F.lit('"'), F.format_number("o_totalprice", 2), F.lit('"'))), 2).alias("v")), "SELECT o_orderkey, round(o_totalprice, 2) AS v FROM orders")
 _q("src4_decimal_comma_day_first", lambda s, d: table(s, d, "orders").select("o_orderkey", ps.decimal_comma(F.regexp_replace(F.col("o_totalprice").cast("decimal(18,2)").cast("string"), r"\.", ",")).alias("v"), ps.day_first(F.date_format("o_orderdate", "d/M/yyyy H:mm")).alias("ts")), "SELECT o_orderkey, round(o_totalprice, 2) AS v, date_trunc('minute', o_orderdate) AS ts FROM orders")
 _q("src9_period", lambda s, d: table(s, d, "orders").select("o_orderkey", ps.period_month(F.date_format("o_orderdate", "yyyy '-  ' MM")).alias("mes"), ps.clean_name(F.concat(F.lit("12-"), F.lower("o_orderpriority"))).alias("name")), "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS mes, upper(trim(regexp_replace('12-' || lower(o_orderpriority), '^\\d+-', ''))) AS name FROM orders")

@@ -101,6 +101,28 @@ def test_shares_are_shapley_values(spark):
     assert attribution.explain_forest(df.limit(0), ["i"], list("abcd"), 3).count() == 0
 
 
+def test_permutation_importance(spark):
+    rnd = np.random.default_rng(7)
+    x = rnd.normal(size=(400, 3))
+    x[:20, 0] *= 12  # strange by the first feature only
+    df = spark.createDataFrame([(i, *map(float, v), 1.0) for i, v in enumerate(x)], "i int, a double, b double, c double, k double")
+    got = {r.feature: r for r in attribution.permutation_importance(df, ["i"], ["a", "b", "c", "k"], repeats=4, trees=40).collect()}
+    assert got["a"].rank == 1 and got["a"].category == "CRITICAL" and got["k"].importance < 1e-9 and got["k"].category == "LOW" and 0.3 < got["a"].importance <= 1
+    assert sorted(r.rank for r in got.values()) == [1, 2, 3, 4] and got["a"].importance > got["b"].importance + 0.2
+    assert attribution.permutation_importance(df.limit(0), ["i"], ["a", "b"]).count() == 0
+
+
+def test_changepoints_are_a_union(spark):
+    values = [1.0, 1.1, 0.9, 1.0, 1.05, 5.0, 5.1, 4.9, 5.0, 5.05, 5.0, 4.95]
+    df = spark.createDataFrame([(k, i, v + 0.01 * i) for k in ("a", "b") for i, v in enumerate(values if k == "a" else [1.0] * 12)], "k string, t int, x double")
+    got = {(r.k, r.t): r for r in detectors.changepoints(df, "k", "t", "x").collect()}
+    p = {(r.k, r.t): r.p_change for r in detectors.bocpd(df, "k", "t", "x").collect()}
+    from aforo.operators.statistics import cusum
+
+    passed = {(r.k, r.t) for r in cusum(df, "k", "t", "x").collect()}
+    assert set(got) == passed | {at for at, v in p.items() if v > 0.3} and passed and all(r.p_change == p[at] and r.by_cusum == (at in passed) for at, r in got.items())
+
+
 # C1 to C3
 
 

@@ -143,7 +143,9 @@ def test_infrastructure_risk_of_a_constant_factor(spark):
     assert got == {"a": 0 + 0.5 + 1 + 0.5, "b": 1 + 0.5 + 0 + 0.5}
 
 
-def test_running_sums_over_many_ranges(spark):
+@pytest.mark.parametrize("few", [0, ranges.FEW])
+def test_running_sums_over_many_ranges(spark, monkeypatch, few):
+    monkeypatch.setattr(ranges, "FEW", few)
     values = [((i * 37) % 101 / 7, i % 5, "ab"[i % 2]) for i in range(101)]
     df = spark.createDataFrame([*values, (None, 3, "a"), (None, 4, "b")], "x double, n int, k string").repartition(5)
     key = lambda v: (v is None, v)
