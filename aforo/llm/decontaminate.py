@@ -71,8 +71,8 @@ _STRIP = "\"'`.,;:!?()[]{}<>*_~|#$%&…“”‘’«»¿¡"
 _END = ".!?:\n"
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 _WORD, _NUM, _UNIT, _CAPITAL, _OPENER, _SHOUT = 0, 1, 2, 4, 8, 16
-#: Raw words whose tokens a worker keeps at most.
-CACHED = 50_000
+#: Raw words whose tokens a worker keeps (one slice more at most), bytes of text in a slice: larger ones repeat more words.
+CACHED, SLICE = 300_000, 2 << 20
 
 
 def _singular(unit: str) -> str:
@@ -129,34 +129,53 @@ def canonical(text: str) -> tuple[list[str], list[str], list[str]]:
     return words, values, lows
 
 
+class Known:
+    """Raw words seen so far: a number for each, and by number how many tokens it has, whether a sentence ends, and of two tokens text, kind and hash."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.text: list[str] = []
+        self.many, self.ends = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.kind, self.hash = np.zeros(0, np.int8), np.zeros(0, np.uint64)
+
+    def add(self, words: list[str]) -> None:
+        rows = []
+        for w in words:
+            tokens, ends = ([], True) if w == "\x01" else _tokens(w)
+            (low, kind), (low2, kind2) = (*tokens, ("", 0), ("", 0))[:2]
+            rows.append((len(tokens), ends, kind, kind2, xxhash.xxh3_64_intdigest(low), xxhash.xxh3_64_intdigest(low2) if low2 else 0))
+            self.text += (low, low2)
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+        many, ends, kind, kind2, first, second = zip(*rows)
+        self.many, self.ends = np.append(self.many, np.array(many, np.int64)), np.append(self.ends, np.array(ends, bool))
+        self.kind = np.append(self.kind, np.stack([np.array(kind, np.int8), np.array(kind2, np.int8)], 1).ravel())
+        self.hash = np.append(self.hash, np.stack([np.array(first, np.uint64), np.array(second, np.uint64)], 1).ravel())
+
+
 class Canonical:
     """Canonical words of many texts at once, as arrays; what canonical() says of each."""
 
-    _known: dict[str, tuple] = {}
+    _known = Known()
 
     def __init__(self, texts: pa.Array):
         marked = pc.replace_substring(pc.fill_null(texts, ""), "\n", " \x01 ")
         raw, offsets = split_words(marked, lower=False)
         coded = raw.dictionary_encode()
-        known, table = self._known, []
-        if len(known) > CACHED:
-            known.clear()
-        for w in coded.dictionary.to_pylist():
-            got = known.get(w)
-            if got is None:
-                tokens, ends = ([], True) if w == "\x01" else _tokens(w)
-                (low, kind), (low2, kind2) = (*tokens, ("", 0), ("", 0))[:2]
-                got = known[w] = len(tokens), ends, low, kind, xxhash.xxh3_64_intdigest(low), low2, kind2, xxhash.xxh3_64_intdigest(low2) if low2 else 0
-            table.append(got)
-        each, ends, self.first, kind, hashes, self.second, kind2, hashes2 = zip(*table) if table else [()] * 8
-        pair = lambda a, b, t: np.stack([np.array(a, t), np.array(b, t)], 1).ravel()  # noqa: E731  a word's tokens are 2 * word and 2 * word + 1
-        code = coded.indices.to_numpy().astype(np.int64)
-        many, ends = np.array(each, np.int64)[code], np.array(ends, bool)[code]
+        words = coded.dictionary.to_pylist()
+        if len(self._known.number) > CACHED:
+            Canonical._known = Known()
+        known = self.known = self._known
+        number = np.array([known.number.get(w, -1) for w in words], np.int64)
+        if (unknown := number < 0).any():
+            number[unknown] = len(known.number) + np.arange(unknown.sum())
+            known.add([words[i] for i in np.flatnonzero(unknown)])
+        code = number[coded.indices.to_numpy()]
+        many, ends = known.many[code], known.ends[code]
         before = np.concatenate([[0], np.cumsum(many)])
         self.offsets = before[offsets]
-        at = np.repeat(np.arange(len(code)), many)  # each token's word
+        at = np.repeat(np.arange(len(code)), many)  # each token's word; its tokens are 2 * word and 2 * word + 1
         self.code = 2 * code[at] + np.arange(len(at)) - before[at]
-        kind = pair(kind, kind2, np.int8)[self.code]
+        kind = known.kind[self.code]
         ended = np.concatenate([[0], np.cumsum(ends)])
         first = np.zeros(len(at), bool)
         first[self.offsets[:-1][np.diff(self.offsets) > 0]] = True
@@ -175,11 +194,13 @@ class Canonical:
         self.begin = np.flatnonzero(~follows)  # each canonical word's first token, and how many it has
         self.count = np.diff(np.append(self.begin, len(at)))
         self.offsets = np.concatenate([[0], np.cumsum(~follows)])[self.offsets]
-        every = pair(hashes, hashes2, np.uint64)[self.code]
+        every = known.hash[self.code]
         self.raw = every[self.begin]
-        for k in range(1, int(self.count.max(initial=1))):
-            more = self.count > k
-            self.raw[more] = mix64(self.raw[more] * np.uint64(0x9E3779B97F4A7C15) + every[self.begin[more] + k])
+        longer, k = np.flatnonzero(self.count > 1), 1
+        while len(longer):
+            self.raw[longer] = mix64(self.raw[longer] * np.uint64(0x9E3779B97F4A7C15) + every[self.begin[longer] + k])
+            k += 1
+            longer = longer[self.count[longer] > k]
         number, unit, name = number[self.begin], unit[self.begin], name[self.begin]
         self.unit, self.slot = unit, number | unit | name
         self.hashes = self.raw.copy()
@@ -206,8 +227,7 @@ class Canonical:
         return start, h, owner[start]
 
     def low(self, i: int) -> str:
-        tokens = (divmod(int(c), 2) for c in self.code[self.begin[i] : self.begin[i] + self.count[i]])
-        return " ".join((self.second if second else self.first)[word] for word, second in tokens)
+        return " ".join(self.known.text[c] for c in self.code[self.begin[i] : self.begin[i] + self.count[i]])
 
     def values(self, start: int, width: int) -> list[str]:
         return [_singular(self.low(i)) if self.unit[i] else self.low(i) for i in range(start, start + width) if self.slot[i]]
@@ -237,7 +257,7 @@ def _probe(widths: list[int], bits):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
-        for piece in slices(batches, "text"):
+        for piece in slices(batches, "text", SLICE):
             rows, ids, texts, made, out = *(piece.column(c).to_pylist() for c in ("row", "doc_id", "text_hash")), Canonical(piece.column("text")), []
             for width in widths:
                 start, h, owner = made.windows(width)
@@ -248,7 +268,6 @@ def _probe(widths: list[int], bits):
                     out.append((rows[o], ids[o], texts[o], x, s - int(made.offsets[o]), (o, x) not in seen, made.values(s, width)))
                     seen.add((o, x))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
-        Canonical._known.clear()
 
     return run
 
