@@ -16,9 +16,11 @@ PARTS, FEW = 48, 300_000
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's checkpoint folder (one beside the warehouse where none is set) and read from there."""
+    """``df`` written to the cluster's checkpoint folder and read from there; on a single machine without one, to a folder beside the warehouse."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
     return df.checkpoint()
 
