@@ -139,3 +139,22 @@ def band_power(df: DataFrame, key: str, x: str, periods: tuple[int, ...] = (24,
     out = df.groupBy(key).agg(*aggs)
     power = {f"power_{p}h": F.when(F.col("energy") > 0, 2 * (F.col(f"c{p}") * F.col(f"c{p}") + F.col(f"s{p}") * F.col(f"s{p}")) / (F.col("n") * F.col("energy"))).otherwise(0.0) for p in periods}
     return out.select(key, "n", *(v.alias(k) for k, v in power.items()))
+
+
+# Litres an hour at night, deviations over the mean of a day, litres a day, from which (below which) a day is the first suspect one.
+NIGHT_LITRES, DAY_DEVIATIONS, BROKEN_LITRES = 1.0, 0.5, 5
+
+
+def leak_start(hourly: DataFrame, suspects: DataFrame, key: str = "contrato", t: str = "ts", x: str = "litros") -> DataFrame:
+    """(key, tipo_sospecha, leak_start): the first day of a contract that shows what it is suspected of, or its first day where none does or for another kind.
+
+    fuga_fisica: a mean of the hours 0 to 5 over NIGHT_LITRES; fuga_silenciosa: a total over the mean by DAY_DEVIATIONS deviations;
+    contador_roto: a total under BROKEN_LITRES. suspects: key, tipo_sospecha.
+    """
+    night = F.hour(t) <= 5
+    days = hourly.groupBy(key, F.col(t).cast("date").alias("_day")).agg(F.sum(x).alias("_total"), F.avg(F.when(night, F.col(x))).alias("_night"))
+    g = days.groupBy(key).agg(F.avg("_total").alias("_m"), F.stddev_samp("_total").alias("_s"))
+    rows = days.join(g, key).join(suspects.select(key, "tipo_sospecha"), key, "right")
+    kind = F.col("tipo_sospecha")
+    shows = ((kind == "fuga_fisica") & (F.col("_night") > NIGHT_LITRES)) | ((kind == "fuga_silenciosa") & (F.col("_total") > F.col("_m") + F.col("_s") * DAY_DEVIATIONS)) | ((kind == "contador_roto") & (F.col("_total") < BROKEN_LITRES))
+    return rows.groupBy(key, "tipo_sospecha").agg(F.coalesce(F.min(F.when(shows, F.col("_day"))), F.min("_day")).alias("leak_start"))

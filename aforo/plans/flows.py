@@ -71,6 +71,13 @@ _add("m20_household_rules", household_hourly, HOUSEHOLD, lambda d: f.classify_ho
       CASE WHEN night_flow_ratio > 0.5 AND consumption_cv < 0.8 THEN least((night_flow_ratio - 0.5) / 0.5, 1) * 0.5 + least((0.8 - consumption_cv) / 0.8, 1) * 0.3 + least(nocturnal_baseline / 3, 1) * 0.2 END AS a,
       CASE WHEN daily_trend_slope > 2 THEN least(daily_trend_slope / 12, 1) * 0.7 + CASE WHEN night_flow_ratio > 0.3 THEN 0.2 ELSE 0 END END AS b, CASE WHEN zero_consumption_days > 3 THEN least(zero_consumption_days / 10, 1) END AS c,
       CASE WHEN "mean_daily_L" < 40 AND nocturnal_baseline > 0.5 AND consumption_cv < 0.5 THEN greatest(0.4 + least(0.5 - "mean_daily_L" / 100, 0.5), 0) END AS d FROM ({_HF})))""")
+_M20 = ORACLE_SQL["m20_household_rules"]
+QUERIES["m20_leak_start"] = lambda spark, sf_dir: f.leak_start(household_hourly(spark, sf_dir), f.classify_households(f.household_features(household_hourly(spark, sf_dir))))
+ORACLE_SQL["m20_leak_start"] = f"""WITH {HOUSEHOLD}, su AS (SELECT contrato, tipo_sospecha FROM ({_M20})),
+dd AS (SELECT contrato, CAST(ts AS DATE) AS d, sum(litros) AS total, avg(litros) FILTER (hour(ts) <= 5) AS night FROM household GROUP BY 1, 2),
+dm AS (SELECT *, avg(total) OVER k AS m, stddev_samp(total) OVER k AS s FROM dd WINDOW k AS (PARTITION BY contrato))
+SELECT contrato, tipo_sospecha, coalesce(min(d) FILTER ((tipo_sospecha = 'fuga_fisica' AND night > 1) OR (tipo_sospecha = 'fuga_silenciosa' AND total > m + s * 0.5) OR (tipo_sospecha = 'contador_roto' AND total < 5)), min(d)) AS leak_start
+FROM dm JOIN su USING (contrato) GROUP BY 1, 2"""
 _add("h1_band_power", household_hourly, HOUSEHOLD, lambda d: f.band_power(d, "contrato", "litros"), ["contrato"], {"n": 0, "power_24h": 6, "power_12h": 6},
      "SELECT contrato, n, CASE WHEN e > 0 THEN 2 * (c24 * c24 + s24 * s24) / (n * e) ELSE 0 END AS power_24h, CASE WHEN e > 0 THEN 2 * (c12 * c12 + s12 * s12) / (n * e) ELSE 0 END AS power_12h FROM (SELECT contrato, count(*) AS n, sum(x * x) AS e, sum(x * cos(i * 2 * pi() / 24)) AS c24, sum(x * sin(i * 2 * pi() / 24)) AS s24, sum(x * cos(i * 2 * pi() / 12)) AS c12, sum(x * sin(i * 2 * pi() / 12)) AS s12 FROM (SELECT contrato, litros - avg(litros) OVER (PARTITION BY contrato) AS x, row_number() OVER (PARTITION BY contrato ORDER BY ts) AS i FROM household) GROUP BY 1)")
 
