@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -59,8 +60,36 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in pieces whose ``column`` has about ``limit`` bytes at most (or one row)."""
+#: What a Python worker keeps from task to task: of one operator at a time.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(operator: str) -> dict:
+    """What this worker keeps for later tasks of ``operator``; what it kept for others goes.
+
+    Workers live on between stages, an executor has more of them than cores, and each would else hold the tables of every stage so far.
+    """
+    if operator not in _KEPT:
+        _KEPT.clear()
+        _give_back()
+        _KEPT[operator] = {}
+    return _KEPT[operator]
+
+
+def _give_back() -> None:
+    """Free memory to the system, Arrow's and, where the C library can do so (glibc), that of other arrays and strings."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, operator: str = "") -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces whose ``column`` has about ``limit`` bytes at most (or one row).
+
+    ``operator`` names the one whose tables the worker keeps meanwhile; without it none stay.
+    """
+    kept(operator)
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -71,7 +100,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             base, start = int(ends[stop - 1]), stop
-    pa.default_memory_pool().release_unused()  # workers live on between tasks
+    _give_back()  # workers live on between tasks
 
 
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aforo.llm.common import checkpoint, mix64, raw_hash, slices, small_batches, split_words
+from aforo.llm.common import checkpoint, kept, mix64, raw_hash, slices, small_batches, split_words
 
 #: Words in a window, share of an item's windows that must be found, words of a template that must be
 #: words, share of slots that may disagree, words that may shift within an item, words in a row that suffice.
@@ -71,8 +71,8 @@ _STRIP = "\"'`.,;:!?()[]{}<>*_~|#$%&…“”‘’«»¿¡"
 _END = ".!?:\n"
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 _WORD, _NUM, _UNIT, _CAPITAL, _OPENER, _SHOUT = 0, 1, 2, 4, 8, 16
-#: Raw words whose tokens a worker keeps (one slice more at most), bytes of text in a slice: larger ones repeat more words.
-CACHED, SLICE = 300_000, 2 << 20
+#: Under which name workers keep raw words; of how many (one slice more at most); bytes of text in a slice: larger ones repeat more words.
+OPERATOR, CACHED, SLICE = "decontaminate", 300_000, 2 << 20
 
 
 def _singular(unit: str) -> str:
@@ -130,12 +130,12 @@ def canonical(text: str) -> tuple[list[str], list[str], list[str]]:
 
 
 class Known:
-    """Raw words seen so far: a number for each, and by number how many tokens it has, whether a sentence ends, and of two tokens text, kind and hash."""
+    """Raw words seen so far: a number for each, and by number the word, how many tokens it has, whether a sentence ends, and of two tokens kind and hash."""
 
     def __init__(self):
         self.number: dict[str, int] = {}
-        self.text: list[str] = []
-        self.many, self.ends = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.words: list[str] = []
+        self.many, self.ends = np.zeros(0, np.int8), np.zeros(0, bool)
         self.kind, self.hash = np.zeros(0, np.int8), np.zeros(0, np.uint64)
 
     def add(self, words: list[str]) -> None:
@@ -144,43 +144,48 @@ class Known:
             tokens, ends = ([], True) if w == "\x01" else _tokens(w)
             (low, kind), (low2, kind2) = (*tokens, ("", 0), ("", 0))[:2]
             rows.append((len(tokens), ends, kind, kind2, xxhash.xxh3_64_intdigest(low), xxhash.xxh3_64_intdigest(low2) if low2 else 0))
-            self.text += (low, low2)
         self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+        self.words += words
         many, ends, kind, kind2, first, second = zip(*rows)
-        self.many, self.ends = np.append(self.many, np.array(many, np.int64)), np.append(self.ends, np.array(ends, bool))
+        self.many, self.ends = np.append(self.many, np.array(many, np.int8)), np.append(self.ends, np.array(ends, bool))
         self.kind = np.append(self.kind, np.stack([np.array(kind, np.int8), np.array(kind2, np.int8)], 1).ravel())
         self.hash = np.append(self.hash, np.stack([np.array(first, np.uint64), np.array(second, np.uint64)], 1).ravel())
 
+    def text(self, token: int) -> str:
+        return _tokens(self.words[token >> 1])[0][token & 1][0]
+
 
 class Canonical:
     """Canonical words of many texts at once, as arrays; what canonical() says of each."""
 
-    _known = Known()
-
     def __init__(self, texts: pa.Array):
         marked = pc.replace_substring(pc.fill_null(texts, ""), "\n", " \x01 ")
         raw, offsets = split_words(marked, lower=False)
         coded = raw.dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self._known.number) > CACHED:
-            Canonical._known = Known()
-        known = self.known = self._known
+        own = kept(OPERATOR)
+        if len(own.setdefault("known", Known()).number) > CACHED:
+            own["known"] = Known()
+        known = self.known = own["known"]
         number = np.array([known.number.get(w, -1) for w in words], np.int64)
         if (unknown := number < 0).any():
             number[unknown] = len(known.number) + np.arange(unknown.sum())
             known.add([words[i] for i in np.flatnonzero(unknown)])
-        code = number[coded.indices.to_numpy()]
+        code = number.astype(np.int32)[coded.indices.to_numpy()]
+        del marked, raw, coded, words, number
         many, ends = known.many[code], known.ends[code]
-        before = np.concatenate([[0], np.cumsum(many)])
+        before = np.concatenate([[0], np.cumsum(many, dtype=np.int64)])
         self.offsets = before[offsets]
         at = np.repeat(np.arange(len(code)), many)  # each token's word; its tokens are 2 * word and 2 * word + 1
-        self.code = 2 * code[at] + np.arange(len(at)) - before[at]
+        self.code = 2 * code[at] + (np.arange(len(at)) - before[at]).astype(np.int32)
         kind = known.kind[self.code]
+        del many, before, code
         ended = np.concatenate([[0], np.cumsum(ends)])
         first = np.zeros(len(at), bool)
         first[self.offsets[:-1][np.diff(self.offsets) > 0]] = True
         previous = np.concatenate([at[:1], at[:-1]])
         opens = first | (ended[at] > ended[previous])
+        del ends, ended, previous
         number = kind == _NUM
         unit = ((kind & _UNIT) > 0) & np.concatenate([number[:0], [False] * bool(len(at)), number[:-1]]).astype(bool) & ~first
         shout = (kind & _SHOUT) > 0
@@ -227,7 +232,7 @@ class Canonical:
         return start, h, owner[start]
 
     def low(self, i: int) -> str:
-        return " ".join(self.known.text[c] for c in self.code[self.begin[i] : self.begin[i] + self.count[i]])
+        return " ".join(self.known.text(c) for c in self.code[self.begin[i] : self.begin[i] + self.count[i]])
 
     def values(self, start: int, width: int) -> list[str]:
         return [_singular(self.low(i)) if self.unit[i] else self.low(i) for i in range(start, start + width) if self.slot[i]]
@@ -237,7 +242,7 @@ def _items(window: int):
     schema = pa.schema([("item", pa.int64()), ("item_id", pa.int64()), ("width", pa.int32()), ("h", pa.int64()), ("at", pa.int32()), ("opening", pa.bool_()), ("values", pa.list_(pa.string()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "text"):
+        for piece in slices(batches, "text", operator=OPERATOR):
             items, ids, made, rows = piece.column("item").to_pylist(), piece.column("item_id").to_pylist(), Canonical(piece.column("text")), []
             n = np.diff(made.offsets)
             for width in sorted({min(window, int(x)) for x in n if x}):
@@ -257,7 +262,7 @@ def _probe(widths: list[int], bits):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
-        for piece in slices(batches, "text", SLICE):
+        for piece in slices(batches, "text", SLICE, OPERATOR):
             rows, ids, texts, made, out = *(piece.column(c).to_pylist() for c in ("row", "doc_id", "text_hash")), Canonical(piece.column("text")), []
             for width in widths:
                 start, h, owner = made.windows(width)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aforo.llm.common import slices, small_batches
+from aforo.llm.common import kept, slices, small_batches
 
 MARK = "▁"
 #: Stretches a worker's cache holds at most, and the longest it keeps.
@@ -254,14 +254,15 @@ def _utf8(raw: bytes) -> str:
         return "".join(out)
 
 
-_CODECS: dict[bytes, Codec] = {}
+#: Under which name workers keep their codecs.
+OPERATOR = "sentencepiece"
 
 
 def _codec(model: bytes) -> Codec:
-    key = hashlib.sha256(model).digest()
-    if key not in _CODECS:
-        _CODECS[key] = Codec(model)
-    return _CODECS[key]
+    codecs, key = kept(OPERATOR), hashlib.sha256(model).digest()
+    if key not in codecs:
+        codecs[key] = Codec(model)
+    return codecs[key]
 
 
 def read_model(path: str | None = None) -> bytes:
@@ -290,7 +291,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
         codec.limit = cached
         first, last = (np.array([i], "<u4").tobytes() for i in (codec.bos, codec.eos))
         look, one = codec.cache.get, codec._stretch
-        for piece in slices(batches, "text"):
+        for piece in slices(batches, "text", operator=OPERATOR):
             n, ids_sha, text_sha, all_ids, texts = [], [], [], [], []
             for text in piece.column("text").to_pylist():
                 got = [look(s) or one(s) for s in codec.stretches(text or "")]

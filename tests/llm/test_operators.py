@@ -153,6 +153,27 @@ def test_canonical_arrays_equal_plain():
         assert [(made.values(j, 1) or [""])[0] for j in range(a, b)] == values
 
 
+def test_a_worker_keeps_the_tables_of_one_operator():
+    """The words that op3 keeps and the codec that op1 keeps go as soon as the worker has a task of another operator."""
+    import gc
+    import weakref
+
+    import pyarrow as pa
+
+    from aforo.llm.common import slices
+
+    texts = pa.RecordBatch.from_pydict({"text": ["some words"]})
+    words = weakref.ref(decontaminate.Canonical(texts.column("text")).known)
+    codec = weakref.ref(sentencepiece_codec._codec(sentencepiece_codec.read_model()))
+    gc.collect()
+    assert words() is None and codec() is sentencepiece_codec._codec(sentencepiece_codec.read_model())
+    assert len(list(slices([texts], "text"))) == 1
+    gc.collect()
+    assert codec() is None
+    known = weakref.ref(decontaminate.Canonical(texts.column("text")).known)
+    assert known() is decontaminate.Canonical(texts.column("text")).known
+
+
 def template_windows(text, k):
     """(place, key, slot values) of each window of k words, as the module's description says."""
     words, values, lows = decontaminate.canonical(text or "")
