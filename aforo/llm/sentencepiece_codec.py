@@ -1,15 +1,16 @@
 """SentencePiece encoding and decoding for models of the merge type.
 
-Encoding is exact and does not run the merge queue over the text. An Aho-Corasick automaton finds all
+Encoding is exact and does not run the merge queue over the text. An Aho-Corasick automaton finds the
 pieces in a stretch of text; from the left the longest piece that starts at a position is taken and
-kept if it is compatible with the piece before it, which is tried by merging the two again and seeing
-whether the border stays. Else the next shorter piece is tried; when none is left the position is
+kept (one of one or two characters, which are looked up, where no longer one does) if it is compatible with the piece before it, which is tried by merging the two again and seeing
+whether the border stays. Else the next shorter piece that it starts with is tried; when none is left the position is
 marked in a bitfield of failed positions and the walk goes back one piece. A sequence whose
 neighbours are all compatible is the one that merging gives, as the first merge over a border would
 also happen between the two neighbours alone.
 
 No piece of such a vocabulary has the space mark after another character, so a text falls apart
-before each space mark, and each worker keeps the ids of the stretches it has seen (a bounded cache).
+before each space mark, and each worker keeps the ids of the stretches it has seen (a bounded cache in two halves: when
+one is full the other, not asked for as long, goes).
 If a vocabulary has such pieces, whole lines (or texts) are encoded instead.
 
 Nulls: a null text counts as empty and gives only begin and end. Repeated rows are encoded like
@@ -21,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
-from struct import pack
+from struct import Struct, pack
 
 import ahocorasick
 import numpy as np
@@ -33,9 +34,15 @@ from aforo.llm.common import kept, slices, small_batches
 
 MARK = "▁"
 #: Stretches a worker's cache holds at most, and the longest it keeps.
-CACHED, CACHED_CHARS = 350_000, 64
+CACHED, CACHED_CHARS = 700_000, 64
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
+#: A piece at a place: its length, its id and the same of the longest shorter piece that it starts with.
+Match = tuple[int, int, "Match | None"]
+_OUTSIDE: Match = (1, -1, None)
+#: Little-endian bytes of so many ids.
+_PACK = [Struct(f"<{n}I").pack for n in range(17)]
+
 
 def _fields(data: bytes) -> Iterator[tuple[int, int, bytes | int]]:
     """Fields of a protocol buffer message: number, wire type, value."""
@@ -105,14 +112,21 @@ class Codec:
             raise ValueError("byte fallback needs 256 byte pieces")
         self.whole = {p for p in self.ids if self._merge(p) == [p]}  # a piece that merging never makes is never used
         self.automaton = ahocorasick.Automaton()
-        for p in self.whole:
-            self.automaton.add_word(p, (len(p), self.ids[p]))
+        found: dict[str, Match] = {}
+        for p in sorted(self.whole, key=len):
+            shorter = next((found[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in found), None)
+            found[p] = len(p), self.ids[p], shorter
+        self.short = {p: m for p, m in found.items() if len(p) <= 2}
+        for p in (found.keys() - self.short) or found:
+            self.automaton.add_word(p, found[p])
         self.automaton.make_automaton()
         joined = any(MARK in p.lstrip(MARK) for p in self.ids)
         self.split = re.compile(r"[^\n]+|\n" if joined else f"{MARK}*[^{MARK}\n]+|{MARK}+|\n") if not any("\n" in p and len(p) > 1 for p in self.ids) else None
         self.limit = CACHED
         self.compatible: dict[int, bool] = {}
-        self.cache: dict[str, tuple[bytes, str]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.differs: dict[str, str] = {}
         self.odd = {i for i, k in enumerate(self.kinds) if k != NORMAL}
 
     def _merge(self, text: str) -> list[str]:
@@ -139,44 +153,41 @@ class Codec:
             known = self.compatible[key] = self._merge("".join(two)) == two
         return known
 
-    def _walk(self, text: str) -> list[tuple[int, int]]:
-        """(length, id) of the pieces of a normalised stretch; a character outside the vocabulary has id -1."""
-        n = len(text)
-        found: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    def _walk(self, text: str) -> list[Match]:
+        """The pieces of a normalised stretch; a character outside the vocabulary has id -1."""
+        n, path, at, left, known, short = len(text), [], 0, -1, self.compatible, self.short.get
+        found: list[Match | None] = [None] * n
         for end, match in self.automaton.iter(text):
-            found[end - match[0] + 1].append(match)  # ends only grow: the last is the longest
-        failed, path, at, left, known = bytearray(n + 1), [], 0, -1, self.compatible
-        tries = [(found[0] or [(1, -1)])[:]] if n else []
+            found[end - match[0] + 1] = match  # ends only grow: the last is the longest
+        failed, match = bytearray(n + 1), n and (found[0] or short(text[:2]) or short(text[0]) or _OUTSIDE)
         while at < n:
-            options = tries[-1]
-            while options:
-                match = options.pop()
-                size, right = match
-                if failed[at + size]:
-                    continue
-                if left >= 0 and right >= 0:
+            while match:
+                size, right, shorter = match
+                if not failed[at + size]:
+                    if left < 0 or right < 0:
+                        break
                     fits = known.get(left << 24 | right)
-                    if not (self._fits(left, right) if fits is None else fits):
-                        continue
+                    if self._fits(left, right) if fits is None else fits:
+                        break
+                match = shorter
+            if match:
                 path.append(match)
                 at, left = at + size, right
-                if at < n:
-                    tries.append((found[at] or [(1, -1)])[:])
-                break
+                match = at < n and (found[at] or short(text[at : at + 2]) or short(text[at]) or _OUTSIDE)
             else:
                 failed[at] = 1
-                tries.pop()
-                at -= path.pop()[0]
+                size, _, match = path.pop()
+                at -= size
                 left = path[-1][1] if path else -1
         return path
 
     def _ids_of(self, text: str) -> list[int]:
         path = self._walk(text)
-        ids = [i for _, i in path]
+        ids = [i for _, i, _ in path]
         if -1 not in ids:
             return ids
         out, at = [], 0
-        for size, i in path:
+        for size, i, _ in path:
             if i >= 0:
                 out.append(i)
             elif self.bytes:
@@ -189,25 +200,40 @@ class Codec:
     def normalise(self, text: str) -> str:
         return (MARK * self.dummy_prefix + text.replace(" ", MARK)) if text else ""
 
-    def _stretch(self, s: str) -> tuple[bytes, str]:
-        """Little-endian ids of a stretch and the text its ids stand for (space marks kept)."""
-        known = self.cache.get(s)
+    def _stretch(self, s: str) -> bytes:
+        """Little-endian ids of a stretch.
+
+        They are decoded once; the few stretches that their ids don't give back (space marks kept) are not cached, and put in ``differs``
+        with what they give instead.
+        """
+        known = self.cache.get(s) or self.older.get(s)
         if known is None:
             ids = self._ids_of(s)
-            text = self._text(ids)
-            known = pack(f"<{len(ids)}I", *ids), s if text == s else text
-            if len(s) <= CACHED_CHARS:
-                if len(self.cache) >= self.limit:
-                    self.cache.clear()
-                self.cache[s] = known
+            text, known = self._text(ids), _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else pack(f"<{len(ids)}I", *ids)
+            if text != s:
+                self.differs[s] = text
+                return known
+        if len(s) <= CACHED_CHARS:
+            if len(self.cache) >= self.limit // 2:
+                self.older, self.cache = self.cache, {}
+            self.cache[s] = known
         return known
 
+    def both_ways(self, text: str) -> tuple[bytes, str]:
+        """Little-endian ids of a text and the text they decode to."""
+        parts, look, one = self.stretches(text), self.cache.get, self._stretch
+        ids = b"".join([look(s) or one(s) for s in parts])
+        if self.differs:
+            parts = [self.differs.get(s, s) for s in parts]
+            self.differs.clear()
+        return ids, self._finish("".join(parts))
+
     def stretches(self, text: str) -> list[str]:
         text = self.normalise(text)
         return self.split.findall(text) if self.split else [text] if text else []
 
     def encode(self, text: str, bos: bool = False, eos: bool = False) -> list[int]:
-        body = np.frombuffer(b"".join(self._stretch(s)[0] for s in self.stretches(text)), "<u4").tolist()
+        body = np.frombuffer(self.both_ways(text)[0], "<u4").tolist()
         return [self.bos] * bos + body + [self.eos] * eos
 
     def _text(self, ids: list[int]) -> str:
@@ -290,13 +316,11 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
         codec = _codec(shared.value)
         codec.limit = cached
         first, last = (np.array([i], "<u4").tobytes() for i in (codec.bos, codec.eos))
-        look, one = codec.cache.get, codec._stretch
         for piece in slices(batches, "text", operator=OPERATOR):
             n, ids_sha, text_sha, all_ids, texts = [], [], [], [], []
             for text in piece.column("text").to_pylist():
-                got = [look(s) or one(s) for s in codec.stretches(text or "")]
-                ids = b"".join([first, *[g[0] for g in got], last])
-                back = codec._finish("".join([g[1] for g in got]))
+                body, back = codec.both_ways(text or "")
+                ids = first + body + last
                 n.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())

@@ -75,6 +75,15 @@ def test_encode_rows(spark, library, empty):
     assert sentencepiece_codec.encode(empty, sentencepiece_codec.read_model()).count() == 0
 
 
+def test_stretches_asked_again_stay_in_a_full_cache(library):
+    codec, made = sentencepiece_codec.Codec(sentencepiece_codec.read_model()), []
+    codec.limit, ids_of = 8, codec._ids_of
+    codec._ids_of = lambda s: made.append(s) or ids_of(s)
+    for i in range(100):
+        assert codec.encode(f"the w{i}q") == library.encode(f"the w{i}q")
+    assert made.count("▁the") == 1 and len(made) == 101 and len(codec.cache) + len(codec.older) <= 8
+
+
 # 2 chat
 
 
