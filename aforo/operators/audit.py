@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aforo.operators.geometry import point_in_polygon
+from aforo.operators.statistics import correlation
 
 # Fixed values.
 #: Factors of infrastructure risk that grow with the value, and that grow as it falls.
@@ -77,7 +78,7 @@ def model_decay(df: DataFrame, flags: list[str], t: str = "fecha") -> DataFrame:
     i = F.row_number().over(Window.orderBy("quarter")).cast("double")
     rows = rates.withColumn("_i", i).select("_i", F.inline(F.array(*(F.struct(F.lit(f.removeprefix("is_anomaly_")).alias("model"), F.col(f).alias("rate")) for f in flags))))
     g = rows.filter("rate IS NOT NULL").groupBy("model").agg(
-        (F.avg("rate") * 100).alias("mean_rate"), (F.stddev_pop("rate") / (F.avg("rate") + 1e-10)).alias("cv"), F.when(F.stddev_pop("rate") > 0, F.corr("_i", "rate")).otherwise(0.0).alias("trend_corr"), F.count("*").alias("quarters")
+        (F.avg("rate") * 100).alias("mean_rate"), (F.stddev_pop("rate") / (F.avg("rate") + 1e-10)).alias("cv"), F.when(F.stddev_pop("rate") > 0, correlation("_i", "rate")).otherwise(0.0).alias("trend_corr"), F.count("*").alias("quarters")
     ).filter("quarters >= 2")
     status = F.when(F.abs("trend_corr") > 0.7, F.when(F.col("trend_corr") > 0, "DECAY").otherwise("MEJORA")).when(F.col("cv") > 0.5, "INESTABLE").otherwise("ESTABLE")
     return g.withColumn("status", status)

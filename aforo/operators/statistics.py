@@ -10,6 +10,14 @@ from aforo.operators.ranges import running_sums, written
 _ALL = Window.unboundedPreceding
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson's r of the rows that have both: NaN where one of them does not vary, for which Spark's own ``corr`` divides by zero; null without rows."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.when(spread == 0, F.lit(float("nan"))).otherwise(F.covar_pop(x, y) / spread)
+
+
 def ecdf_gap(df: DataFrame, key: str, x: str, side: str) -> DataFrame:
     """Per key: Wasserstein distance (area between the two samples' distributions) and KS statistic.
 
