@@ -8,6 +8,7 @@ from aforo.operators import audit as a
 from aforo.operators import ensemble as e
 from aforo.operators import monthly as m
 from aforo.operators import readings as r
+from aforo.operators import statistics as st
 from aforo.plans.ensemble import _CONF, _CONS, _P0, _VOTE, FLAGS, RESULTS, WEIGHTS, pseudo, results
 from aforo.plans.flows import _DIST, _Z, _zs, rounded, rounded_sql
 from aforo.plans.spatial import _PTS, _points, _squares
@@ -97,7 +98,7 @@ def _reading_correlation(s, sf):
     dist = r.distribution_flags(r.distribution_features(readings(s, sf)), _Z).select(F.col("mes").alias("fecha"), "score")
     monthly = results(s, sf).groupBy("fecha").agg(*(F.avg(F.col(f).cast("double")).alias(f) for f in FLAGS))
     both = dist.join(monthly, "fecha")
-    return both.agg(*(F.corr("score", f).alias(f"r_{f[11:]}") for f in FLAGS), F.count("*").alias("n"))
+    return both.agg(*(st.correlation("score", f).alias(f"r_{f[11:]}") for f in FLAGS), F.count("*").alias("n"))
 
 
 _q("c23_reading_correlation", _reading_correlation, [], {**{f"r_{f[11:]}": 4 for f in FLAGS}, "n": 0},

@@ -7,11 +7,11 @@ import shutil
 import duckdb
 import pytest
 
-from aforo.operators import audit
+from aforo.operators import audit, statistics
 from aforo.plans import registry
 
 SF = "/root/testdata/sf0.001"
-FLAT = ["c14_decay_status"]
+FLAT = ["c14_decay_status", "c23_reading_correlation"]
 
 
 @pytest.fixture(scope="module")
@@ -53,3 +53,9 @@ def test_decay_of_a_detector_that_never_fires(spark):
     got = {r.model: (r.mean_rate, r.trend_corr, r.status) for r in audit.model_decay(spark.createDataFrame(rows, "fecha date, is_anomaly_a boolean, is_anomaly_b boolean"), ["is_anomaly_a", "is_anomaly_b"]).collect()}
     assert got["a"] == (0.0, 0.0, "ESTABLE")
     assert got["b"][0] == 37.5 and abs(got["b"][1] - 1) < 1e-12 and got["b"][2] == "DECAY"
+
+
+def test_correlation_without_spread_or_rows(spark):
+    df = spark.createDataFrame([(1.0, 5.0, 2.0, None), (2.0, 5.0, 4.0, None), (3.0, 5.0, 5.0, None), (None, 7.0, 0.0, None)], "x double, flat double, y double, none double")
+    flat, r, none = df.select("x", "flat", "y", "none").agg(statistics.correlation("x", "flat"), statistics.correlation("x", "y"), statistics.correlation("x", "none")).collect()[0]
+    assert math.isnan(flat) and abs(r - 0.9819805) < 1e-7 and none is None
