@@ -125,7 +125,7 @@ _q("a20_detections_per_model", lambda s, d: results(s, d).select(F.inline(F.arra
 _q("q2_monthly_timeline", lambda s, d: e.consensus(results(s, d), FLAGS).groupBy("fecha").agg(F.count_if(F.col("n_models_detecting") > 0).alias("n_any"), F.count_if(F.col("alert") == "ROJO").alias("n_red")),
    f"WITH {RESULTS} SELECT fecha, count(*) FILTER (n_models_detecting > 0) AS n_any, count(*) FILTER (alert = 'ROJO') AS n_red FROM ({_CONS}) GROUP BY 1")
 _q("q1_alert_distribution", lambda s, d: e.consensus(results(s, d), FLAGS).groupBy("alert", "confidence").agg(F.count("*").alias("n")), f"WITH {RESULTS} SELECT alert, confidence, count(*) AS n FROM ({_CONS}) GROUP BY 1, 2")
-_q("q3_flag_correlation", lambda s, d: results(s, d).agg(*(F.round(F.corr(F.coalesce(F.col(a).cast("double"), F.lit(0.0)), F.coalesce(F.col(b).cast("double"), F.lit(0.0))), 6).alias(f"{a[11:]}_{b[11:]}") for a, b in _pairs)),
+_q("q3_flag_correlation", lambda s, d: results(s, d).agg(*(F.round(st.correlation(F.coalesce(F.col(a).cast("double"), F.lit(0.0)), F.coalesce(F.col(b).cast("double"), F.lit(0.0))), 6).alias(f"{a[11:]}_{b[11:]}") for a, b in _pairs)),
    f"WITH {RESULTS} SELECT " + ", ".join(f"round(corr(coalesce({a}::INT, 0), coalesce({b}::INT, 0)), 6) AS {a[11:]}_{b[11:]}" for a, b in _pairs) + " FROM results")
 _q("q4_top_barrios", lambda s, d: e.consensus(results(s, d), FLAGS).groupBy("barrio").agg(F.sum("n_models_detecting").cast("long").alias("detections"), F.count("*").alias("n")).orderBy(F.desc("detections"), "barrio").limit(10),
    f"WITH {RESULTS} SELECT barrio, CAST(sum(n_models_detecting) AS BIGINT) AS detections, count(*) AS n FROM ({_CONS}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")

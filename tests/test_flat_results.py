@@ -11,7 +11,7 @@ from aforo.operators import audit, statistics
 from aforo.plans import registry
 
 SF = "/root/testdata/sf0.001"
-FLAT = ["c14_decay_status", "c23_reading_correlation"]
+FLAT = ["c14_decay_status", "c23_reading_correlation", "q3_flag_correlation"]
 
 
 @pytest.fixture(scope="module")
