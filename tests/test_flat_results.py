@@ -7,11 +7,11 @@ import shutil
 import duckdb
 import pytest
 
-from aforo.operators import audit, statistics
+from aforo.operators import audit, ensemble, statistics
 from aforo.plans import registry
 
 SF = "/root/testdata/sf0.001"
-FLAT = ["c14_decay_status", "c23_reading_correlation", "q3_flag_correlation"]
+FLAT = ["c14_decay_status", "c23_reading_correlation", "q3_flag_correlation", "e13_binary_metrics"]
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +59,15 @@ def test_correlation_without_spread_or_rows(spark):
     df = spark.createDataFrame([(1.0, 5.0, 2.0, None), (2.0, 5.0, 4.0, None), (3.0, 5.0, 5.0, None), (None, 7.0, 0.0, None)], "x double, flat double, y double, none double")
     flat, r, none = df.select("x", "flat", "y", "none").agg(statistics.correlation("x", "flat"), statistics.correlation("x", "y"), statistics.correlation("x", "none")).collect()[0]
     assert math.isnan(flat) and abs(r - 0.9819805) < 1e-7 and none is None
+
+
+def test_measures_without_a_denominator(spark):
+    def measures(rows):
+        r = ensemble.binary_metrics(spark.createDataFrame(rows, "y boolean, p boolean"), "y", "p").collect()[0]
+        return [text(float(r[c])) for c in ("tp", "fp", "fn", "tn", "precision", "recall", "f1", "kappa")]
+
+    assert measures([(True, False), (False, True), (False, False)]) == ["0", "1", "1", "1", "0", "0", "nan", "-0.5"]
+    assert measures([(True, False), (False, False)]) == ["0", "0", "1", "1", "nan", "0", "nan", "0"]
+    assert measures([(False, False)]) == ["0", "0", "0", "1", "nan", "nan", "nan", "nan"]
+    assert measures([]) == ["0", "0", "0", "0", "nan", "nan", "nan", "nan"]
+    assert measures([(True, True), (False, False), (True, None), (None, None)]) == ["1", "0", "0", "1", "1", "1", "1", text((0.5 - 0.125) / 0.875)]
