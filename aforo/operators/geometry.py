@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aforo.operators.ranges import written
+
 
 def area(ring: Column) -> Column:
     """Shoelace area; a closing vertex changes nothing; 0 below three vertices."""
@@ -88,17 +92,57 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, cell: float) -> Dat
     return points.join(first, "pid", "left")
 
 
-def nearest(points: DataFrame, targets: DataFrame, most: float) -> DataFrame:
-    """Each point with its nearest target within ``most`` (ties: least id), by a join on grid cells of that size.
+#: Targets that share a target's cell, on average, in which a search may start, and how often cells are halved for it at most.
+ROOM, HALVINGS = 8, 30
+
+
+def _cell(v: Column, width: float) -> Column:
+    """The number of a cell; cells are a little wider than the distance that they stand for, so that rounding puts no pair too far apart."""
+    return F.floor(v / (width * (1 + 2**-20)))
+
+
+def _nearest_within(spots: DataFrame, marks: DataFrame, width: float) -> DataFrame:
+    """x, y, d, tid of the spots with a mark within ``width``.
 
-    points: pid, x, y; targets: tid, tx, ty.
+    Each pair is looked at twice, once for the least distance and once for the least id there, as both are sums of fixed size that are
+    kept while pairs pass by; the least pair of both would have all pairs sorted first.
     """
-    c = lambda v: F.floor(v / most)
-    around = targets.withColumn("cx", F.explode(F.sequence(c(F.col("tx")) - 1, c(F.col("tx")) + 1))).withColumn("cy", F.explode(F.sequence(c(F.col("ty")) - 1, c(F.col("ty")) + 1)))
+    at = spots.withColumns({"cx": _cell(F.col("x"), width), "cy": _cell(F.col("y"), width)})
+    around = marks
+    for c, v in (("cx", _cell(F.col("tx"), width)), ("cy", _cell(F.col("ty"), width))):
+        around = around.withColumn(c, F.explode(F.sequence(v - 1, v + 1)))
     d = F.sqrt((F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty")))
-    near = points.withColumns({"cx": c(F.col("x")), "cy": c(F.col("y"))}).join(around, ["cx", "cy"]).withColumn("d", d).filter(F.col("d") <= most)
-    best = near.groupBy("pid").agg(F.min(F.struct("d", "tid")).alias("b"))
-    return points.join(best, "pid", "left").select(*points.columns, F.col("b.tid").alias("tid"), F.col("b.d").alias("distance"))
+    least = at.join(around, ["cx", "cy"]).withColumn("d", d).filter(F.col("d") <= width).groupBy("x", "y").agg(F.min("d").alias("d"))
+    again = least.withColumns({"cx": _cell(F.col("x"), width), "cy": _cell(F.col("y"), width)}).join(around, ["cx", "cy"]).filter(d == F.col("d"))
+    return again.groupBy("x", "y").agg(F.min("d").alias("d"), F.min("tid").alias("tid"))
+
+
+def nearest(points: DataFrame, targets: DataFrame, most: float) -> DataFrame:
+    """Each point with its nearest target within ``most`` (ties: least id), by joins on grid cells.
+
+    points: pid, x, y; targets: tid, tx, ty. A place is looked up once for all points there, and the least id stands for all targets at a place.
+    The search starts in cells that few targets share; places without a target within the width of a cell go on to cells twice as wide, up to
+    ``most``. So the pairs looked at grow with the points, not with their product with the targets, unless many places lie far from any target
+    but beside a crowd of them.
+    """
+    marks = written(targets.groupBy("tx", "ty").agg(F.min("tid").alias("tid")))
+    widths = [most]
+    while len(widths) <= HALVINGS:
+        cells = marks.groupBy(_cell(F.col("tx"), widths[0]), _cell(F.col("ty"), widths[0])).agg(F.count("*").cast("double").alias("n"))
+        if (cells.agg(F.sum(F.col("n") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0.0))).first()[0] or 0) <= ROOM:
+            break
+        widths.insert(0, widths[0] / 2)
+    left = points.select("x", "y").filter("x IS NOT NULL AND y IS NOT NULL").distinct()
+    found = []
+    for width in widths:
+        found.append(_nearest_within(left, marks, width))
+        if width < most:
+            found[-1] = written(found[-1])
+            left = written(left.join(found[-1], ["x", "y"], "left_anti"))
+            if left.isEmpty():
+                break
+    best = reduce(DataFrame.unionAll, found)
+    return points.join(best, ["x", "y"], "left").select(*points.columns, "tid", F.col("d").alias("distance"))
 
 
 def within_distance(areas: DataFrame, most: float) -> DataFrame:
